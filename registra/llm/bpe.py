@@ -12,7 +12,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -218,25 +218,28 @@ def _encode_tree(piece: bytes, ranks: Ranks) -> bytes:
     return np.array([i for i in ids if i >= 0], dtype="<u4").tobytes()
 
 
-class Encoder:
-    """Encodes texts, a batch at a time; keeps what pieces were encoded to."""
+class Memo:
+    """Encodes texts piece by piece, a batch of texts at a time; keeps what pieces were encoded to, up to MEMO pieces.
 
-    def __init__(self, path: str, pattern: str):
-        self.ranks, self.pattern, self.memo = ranks_at(path), pattern, {}
+    encode: gives the ids of each of many pieces as little-endian unsigned 32-bit integers."""
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], pattern: str):
+        self.encode, self.pattern, self.memo = encode, pattern, {}
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         parts = [split(t, self.pattern) for t in texts]
         if len(self.memo) > MEMO:
             self.memo.clear()
         new = list(set().union(*parts).difference(self.memo))
-        self.memo.update(zip(new, encode_pieces([p.encode("utf-8", "replace") for p in new], self.ranks)))
+        self.memo.update(zip(new, self.encode(new)))
         get = self.memo.__getitem__
         return (b"".join(map(get, p)) for p in parts)
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, pattern: str) -> Encoder:
-    return Encoder(path, pattern)
+def encoder(path: str, pattern: str) -> Memo:
+    ranks = ranks_at(path)
+    return Memo(lambda new: encode_pieces([p.encode("utf-8", "replace") for p in new], ranks), pattern)
 
 
 def decode(ids: np.ndarray, ranks: Ranks) -> bytes:
@@ -267,14 +270,14 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     out_types = [("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())]
 
     def run(batches):
-        encode = encoder(ranks_path, pattern)
+        encode, ranks = encoder(ranks_path, pattern), ranks_at(ranks_path)
         for batch in in_slices(batches, "text"):
             counts, a, b, all_ids = [], [], [], []
             for packed in encode([t or "" for t in batch.column("text").to_pylist()]):
                 ids = np.frombuffer(packed, dtype="<u4")
                 counts.append(len(ids))
                 a.append(hashlib.sha256(packed).hexdigest())
-                b.append(hashlib.sha256(decode(ids, encode.ranks)).hexdigest())
+                b.append(hashlib.sha256(decode(ids, ranks)).hexdigest())
                 if with_ids:
                     all_ids.append(ids.astype(np.int32))
             columns = [batch.column("id"), *(pa.array(x, t) for x, (_, t) in zip((counts, a, b), out_types))]
