@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from registra.llm import bpe, langid, mixing, pii, secrets, simhash, tokenfile
+from registra.llm import bpe, langid, mixing, pii, secrets, simhash, sketch, tokenfile
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_tokens(spark, path)
 
 
+def op5_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_simhash": op2_simhash,
     "op3_tokens": op3_tokens,
+    "op5_sketch": op5_sketch,
     "op6_mixing": op6_mixing,
     "op8_pii": op8_pii,
     "op9_language": op9_language,
