@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from registra.llm import bpe, langid, mixing, pii, secrets, simhash, sketch, tokenfile
+from registra.llm import bpe, langid, mixing, pii, secrets, simhash, sketch, tokenfile, wrapper
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ QUERIES = {
     "op3_tokens": op3_tokens,
     "op5_sketch": op5_sketch,
     "op6_mixing": op6_mixing,
+    "op7_html": op7_html,
     "op8_pii": op8_pii,
     "op9_language": op9_language,
     "op10_bpe": op10_bpe,
