@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from registra.llm import bpe, langid, mixing, pii, secrets, simhash, sketch, tokenfile, wrapper
+from registra.llm import bpe, langid, mixing, permutation, pii, secrets, simhash, sketch, tokenfile, wrapper
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_tokens(spark, path)
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op5_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -54,6 +58,7 @@ QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_simhash": op2_simhash,
     "op3_tokens": op3_tokens,
+    "op4_neighbours": op4_neighbours,
     "op5_sketch": op5_sketch,
     "op6_mixing": op6_mixing,
     "op7_html": op7_html,
