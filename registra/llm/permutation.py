@@ -19,13 +19,15 @@ from pyspark.sql import functions as F
 
 from registra.llm.common import written
 
-#: Pivots, taken from the distinct vectors of a bounded sample (SAMPLE rows with the smallest hashes of ids); and
-#: nearest pivots that represent a vector.
-PIVOTS, LENGTH, SAMPLE = 256, 128, 2048
+#: Pivots, taken from a bounded sample (SAMPLE rows with the smallest hashes of ids); nearest pivots that represent a
+#: vector; and the cosine that pivots stay below, so that near copies give one pivot.
+PIVOTS, LENGTH, SAMPLE, APART = 256, 128, 2048, 0.9
 #: Rows and queries that meet in one task, about.
 BLOCK, QUERIES = 4096, 2048
 #: Of a block's rows that are reranked, and rows at least.
 RERANK, LEAST = 0.05, 256
+#: A pivot that is the nearest of more than so many times the mean number of rows has a crowd.
+CROWD = 6
 
 
 def clean(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -42,13 +44,17 @@ def _unit(v: np.ndarray) -> np.ndarray:
 
 
 def pivots(rows: DataFrame, n: int = PIVOTS) -> np.ndarray:
-    """Unit pivots: the first n distinct vectors, ordered by the hash of the id, of at most SAMPLE rows."""
+    """Unit pivots: of at most SAMPLE rows, ordered by the hash of the id, the first n whose cosine to each other is below APART."""
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toPandas().v
-    seen = dict.fromkeys(tuple(x) for x in sample)
-    if not seen:
+    sizes = sample.map(len)
+    if sample.empty:
         return np.zeros((0, 0))
-    size = len(next(iter(seen)))
-    return _unit(np.array([x for x in seen if len(x) == size][:n]))
+    unit = _unit(np.stack(sample[sizes == sizes.iloc[0]].to_numpy()))
+    apart: list[int] = []
+    for i in range(len(unit)):
+        if len(apart) < n and (not apart or (unit[apart] @ unit[i]).max() < APART):
+            apart.append(i)
+    return unit[apart]
 
 
 def orders(unit: np.ndarray, pivot: np.ndarray, length: int) -> np.ndarray:
@@ -67,8 +73,11 @@ def search_block(ids: np.ndarray, v: np.ndarray, query_ids: np.ndarray, q: np.nd
     lists = np.full((n, len(pivot)), length, dtype=np.int16)
     lists[np.arange(n)[:, None], own] = np.arange(length, dtype=np.int16)
     lists = np.ascontiguousarray(lists.T)
-    keep = min(n, max(least, int(np.ceil(share * n)), 4 * k))
-    places = np.arange(n, dtype=np.int64)
+    # Near copies of one vector share their nearest pivot. Such crowds don't count towards the share that is reranked,
+    # or they would crowd out all others; of a crowd every row is reranked that is as near as the share's last.
+    crowd = np.bincount(own[:, 0], minlength=len(pivot))[own[:, 0]] > CROWD * max(n / len(pivot), 1.0)
+    calm = np.flatnonzero(~crowd)
+    keep = max(least, int(np.ceil(share * n)), 4 * k)
     norms = np.sqrt((v * v).sum(axis=1))
     out_q, out_i, out_s = [], [], []
     step, total = np.empty(n, dtype=np.int16), np.empty(n, dtype=np.int32)
@@ -80,9 +89,8 @@ def search_block(ids: np.ndarray, v: np.ndarray, query_ids: np.ndarray, q: np.nd
             # A list that holds a vector counts its rank here and not as missing there.
             total += step
             total -= length - lists[p]
-        at = places
-        if keep < n:
-            at = np.argpartition(total.astype(np.int64) * n + places, keep)[:keep]
+        bar = np.partition(total[calm], keep - 1)[keep - 1] if keep < len(calm) else np.iinfo(np.int32).max
+        at = np.flatnonzero(total <= bar)
         at = at[ids[at] != query_id]
         score = (v[at] * vector).sum(axis=1) / (norms[at] * np.sqrt((vector * vector).sum()))
         best = np.lexsort((ids[at], -score))[:k]
