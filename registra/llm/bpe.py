@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 
 #: Pieces that a worker keeps encoded; beyond it the memo is emptied. A bound on memory only: results don't depend on it.
-MEMO = 600_000
+MEMO = 1_000_000
 #: Cells of the arrays of trees that are updated together.
 CELLS = 2_000_000
 

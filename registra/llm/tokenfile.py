@@ -10,8 +10,10 @@ them in any order, and a lost task costs its own segments.
 
 from __future__ import annotations
 
+import os
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -44,7 +46,7 @@ def pack(ids: np.ndarray) -> dict:
     blocks = padded.reshape(n, BLOCK)
     minima = blocks.min(axis=1)
     rest = blocks - minima[:, None]
-    bits = np.frexp(rest.astype(np.float64))[1].astype(np.uint8)
+    bits = np.frexp(rest.astype(np.float32))[1].astype(np.uint8)
     ordered = np.sort(bits, axis=1)
     choices = ordered[:, [-(-BLOCK * p // 100) - 1 for p in PERCENTILES]].astype(np.int64)
     costs = np.stack([choices[:, k] * (BLOCK // 8) + EXCEPTION * (bits > choices[:, k : k + 1]).sum(axis=1) for k in range(len(PERCENTILES))], axis=1)
@@ -103,11 +105,12 @@ def unpack(x: dict, first: int = 0, last: int | None = None) -> np.ndarray:
 def _encoder(path: str, pattern: str):
     """Encodes texts with the tokenizers library: piece by piece, each new piece once, where the pattern's classes
     are those of plain text; other texts whole."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
 
     def encode(new: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)]
 
     memo, odd = Memo(encode, pattern), (_patterns(pattern)[1] or frozenset()) - {"_"}
 
