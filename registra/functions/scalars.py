@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from registra.functions import vocab
 
@@ -31,7 +32,7 @@ def fold(c: Column) -> Column:
     return F.regexp_replace(F.translate(c, FOLD_FROM, FOLD_TO), "[̀-ͯ]", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkd_fold(texts: pd.Series) -> pd.Series:
     """Exact NFKD fold, for text beyond the table of fold()."""
     return texts.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t) if not "̀" <= c <= "ͯ"))
@@ -197,7 +198,7 @@ def url_date(url: Column) -> Column:
     """/yyyy/mm/dd/ of a permalink, else the latest of stamps yyyymmddhhmmss_ and ddmmyyyyhhmm."""
     permalink = _dmy(url, r"/(\d{4})/(\d{2})/(\d{2})/", (3, 2, 1)).try_cast("date")
     stamp = _dmy(url, r"(?:^|\D)(\d{4})(\d{2})(\d{2})\d{6}_", (3, 2, 1)).try_cast("date")
-    uploads = F.transform(F.regexp_extract_all(url, F.lit(r"(?:^|\D)(\d{12})(?:\D|$)"), F.lit(1)), lambda x: F.concat_ws("-", F.substring(x, 5, 4), F.substring(x, 3, 2), F.substring(x, 1, 2)).try_cast("date"))
+    uploads = F.transform(F.regexp_extract_all(url, F.lit(r"(?<!\d)(\d{12})(?!\d)"), F.lit(1)), lambda x: F.concat_ws("-", F.substring(x, 5, 4), F.substring(x, 3, 2), F.substring(x, 1, 2)).try_cast("date"))
     return F.coalesce(permalink, stamp, F.array_max(uploads))
 
 

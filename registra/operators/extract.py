@@ -32,7 +32,11 @@ def document_links(pages: DataFrame) -> DataFrame:
         r'\sdata-(?:href|url|src|file|download)="([^"]+)"',
         r"onclick=\"[^\"]*?'([^']+)'",
     ]
-    found = F.flatten(F.array(*[F.transform(F.regexp_extract_all("html", F.lit(p), F.lit(1)), lambda x, i, b=b: F.struct(F.lit(b).alias("branch"), i.alias("pos"), x.alias("href"))) for b, p in enumerate(branches)]))
+
+    def of_branch(b: int, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all("html", F.lit(pattern), F.lit(1)), lambda x, i: F.struct(F.lit(b).alias("branch"), i.alias("pos"), x.alias("href")))
+
+    found = F.flatten(F.array(*[of_branch(b, p) for b, p in enumerate(branches)]))
     each = pages.select("page_id", F.col("url").alias("base"), F.explode(found).alias("x")).select("page_id", "base", "x.*")
     inner = F.coalesce(S.nonblank(F.try_url_decode(F.regexp_extract("href", r"[?&](?:url|file|src)=(https?[^&]+)", 1))), F.col("href"))
     links = each.withColumn("link", S.absolute_url(F.col("base"), inner)).where(S.is_document_url(F.col("link")))

@@ -33,7 +33,10 @@ def search_filtered(documents: DataFrame, key: str | None = None, category: str
 
 def inverted(documents: DataFrame, weights: dict[str, int] = WEIGHTS) -> DataFrame:
     """(term, id, weight): the tokens of the fields, with the weight of the best field that holds them."""
-    parts = F.flatten(F.array(*[F.transform(F.split(S.normalize_title(F.col(c)), " "), lambda t, w=w: F.struct(t.alias("term"), F.lit(w).alias("weight"))) for c, w in weights.items()]))
+    def terms(column: str, weight: int):
+        return F.transform(F.split(S.normalize_title(F.col(column)), " "), lambda t: F.struct(t.alias("term"), F.lit(weight).alias("weight")))
+
+    parts = F.flatten(F.array(*[terms(c, w) for c, w in weights.items()]))
     each = documents.select("id", F.explode(parts).alias("x")).select("id", "x.*").where("term <> ''")
     return each.groupBy("term", "id").agg(F.max("weight").alias("weight"))
 

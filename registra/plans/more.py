@@ -82,11 +82,11 @@ def decision_key_resolution(spark, d):
     return merges.resolve_decision_keys(own, stored).select("id", "dedup_key")
 
 
-@query("select item_id, amount_value * (case when item_id % 3 = 0 then 2 else 1 end) as amount_value, supplier_name from v_rec where item_id % 2 = 0 or item_id % 3 = 0")
+@query("select item_id, cast(amount_value * (case when item_id % 3 = 0 then 2 else 1 end) as decimal(18,2)) as amount_value, supplier_name from v_rec where item_id % 2 = 0 or item_id % 3 = 0")
 def record_upsert(spark, d):
     r = view(spark, d, "v_rec").select("item_id", "amount_value", "supplier_name")
     twice = r.where("item_id % 3 = 0").withColumn("amount_value", (F.col("amount_value") * 2).cast("decimal(18,2)"))
-    return merges.upsert(r.where("item_id % 2 = 0"), twice, ["item_id"]).withColumn("amount_value", F.col("amount_value").cast("decimal(28,2)"))
+    return merges.upsert(r.where("item_id % 2 = 0"), twice, ["item_id"])
 
 
 @query("""select status, count(*) as n, count(*) filter (turned) as turned from (select case when municipality_id = 7 and category = 'Prokurime' and year(published_date) = 1996 then 'published' else status end as status,
@@ -245,10 +245,10 @@ def evidence_pick(spark, d):
 SCORES = """primary_row as (select * from (select *, row_number() over (partition by municipality_id order by updated_at desc, id desc) as rn from v_reg where is_primary) x where rn = 1),
     ev as (select municipality_id, max(case when file_name like 'kalendari%' then 10 else 0 end) as annual, max(case when file_name like 'projekt%' then 10 else 0 end) as draft, max(case when file_name like 'raport%' then 10 else 0 end) as response
     from v_item i join v_att a on a.item_id = i.id where status = 'published' and category = 'Konsultime publike' group by 1),
-    some as (select distinct municipality_id from v_item where status = 'published' and category = 'Konsultime publike'),
+    any_item as (select distinct municipality_id from v_item where status = 'published' and category = 'Konsultime publike'),
     scores as (select m.id as municipality_id, name_key, coalesce(annual, 0) as ind1_auto, case when coalesce(trim(konsultime_url), '') <> '' then 10 else 0 end as ind2_auto,
     case when draft = 10 then 10 when s.municipality_id is not null then 5 else 0 end as ind3_auto, 0 as ind4_auto, coalesce(response, 0) as ind5_auto
-    from v_m m left join ev on ev.municipality_id = m.id left join some s on s.municipality_id = m.id left join primary_row p on p.municipality_id = m.id)"""
+    from v_m m left join ev on ev.municipality_id = m.id left join any_item s on s.municipality_id = m.id left join primary_row p on p.municipality_id = m.id)"""
 AUTO = [f"ind{k}_auto" for k in range(1, 6)]
 
 
@@ -336,7 +336,7 @@ def candidate_repeats(spark, d):
 
 
 @query("""with n as (select page_id, len(regexp_extract_all(html, '<li[ >]')) as li, len(regexp_extract_all(html, '<article[ >]')) as articles, len(regexp_extract_all(html, 'class="[^"]*(?:row|list|post)[^"]*"')) as row_nodes,
-    len(list_filter(regexp_extract_all(html, '<a\\s[^>]*?href="([^"]*)"[^>]*>([^<]*)</a>', 2), x -> length(trim(x)) between 18 and 260)) as title_links from v_page)
+    len(list_filter(regexp_extract_all(html, '<a\\s[^>]*?href="([^"]*)"[^>]*>([^<]*)</a>', 2), lambda x: length(trim(x)) between 18 and 260)) as title_links from v_page)
     select page_id, cast(li as int) as li, cast(articles as int) as articles, cast(row_nodes as int) as row_nodes, cast(title_links as int) as title_links,
     case when li >= 8 then 8 else 0 end + case when articles >= 2 then 8 else 0 end + case when row_nodes >= 3 then 8 else 0 end + case when title_links >= 5 then 10 else 0 end as score from n""")
 def list_signals(spark, d):
