@@ -171,11 +171,9 @@ def apply_reviewed_urls(registry: DataFrame, reviewed: DataFrame, column: str =
     good = reviewed.where("confirmed and url is not null").groupBy("municipality_id").agg(F.min("url").alias("__url"))
     met = registry.join(good, "municipality_id", "left")
     fill = F.col("is_primary") & F.col("__url").isNotNull() & (F.trim(F.coalesce(column, F.lit(""))) == "")
-    out = met.withColumn(column, F.when(fill, F.col("__url")).otherwise(F.col(column)))
-    for c in ("last_error_type", "cooldown_until"):
-        if c in registry.columns:
-            out = out.withColumn(c, F.when(fill, None).otherwise(F.col(c)))
-    return out.select(*registry.columns)
+    new = {column: F.when(fill, F.col("__url")).otherwise(F.col(column))}
+    new |= {c: F.when(~F.coalesce(fill, F.lit(False)), F.col(c)) for c in ("last_error_type", "cooldown_until") if c in registry.columns}
+    return met.withColumns(new).select(*registry.columns)
 
 
 def reconcile_provenance(items: DataFrame, official: DataFrame, publish_them: bool = False) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from registra.functions import scalars as S
 from registra.operators import aggs, joins, predicates, windows
-from registra.plans import more
+from registra.plans import extra, more
 from registra.plans.views import view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -321,8 +321,8 @@ def dedup_first(spark, d):
     return windows.keep_first(view(spark, d, "v_doc"), ["title"], ["id"]).select("id", "source", "lang")
 
 
-QUERIES |= more.QUERIES
-ORACLE |= more.ORACLE
+QUERIES |= more.QUERIES | extra.QUERIES
+ORACLE |= more.ORACLE | extra.ORACLE
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
