@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from registra.functions import scalars as S
 from registra.operators import aggs, extract, joins, merges, predicates, scoring, search, windows
 from registra.plans.views import view
+from registra.sources.shared import shared_dir
 from registra.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -384,9 +384,8 @@ def search_terms(spark, d):
 
 
 def _folder(spark) -> str:
-    """A new folder where streams keep versions and checkpoints: in the shared one, if the session names it."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{base.rstrip('/')}/streams-{uuid.uuid4().hex}"
+    """A new folder in the shared one, for versions, files and checkpoints."""
+    return f"{shared_dir(spark)}/work-{uuid.uuid4().hex}"
 
 
 def table_is_folder(spark, path: str) -> bool:
