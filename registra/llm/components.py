@@ -25,7 +25,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
-    """(node, root) for every node of an edge (a, b); root is the smallest node that can be reached.
+    """(node, root) for every node of an edge (a, b) but the roots themselves; root is the smallest node that can be reached.
 
     Each round is written to the shared folder, so the lineage stays short and lost executors cost one round."""
     edges = written(edges.select("a", "b").where("a <> b").distinct(), "edges")

@@ -20,8 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from registra.llm.bpe import in_slices
-from registra.llm.common import written
+from registra.llm.common import in_slices, written
 from registra.llm.components import connected_components
 
 #: Nodes of a bucket beyond which it is dealt out as tiles of pairs of chunks of half as many.
@@ -30,11 +29,11 @@ TILE = 2048
 BATCH = 1 << 16
 
 
-def simhash(text: str | None, words: int = 4) -> int:
-    """SimHash of the text's shingles, repeats included; 0 for a text without words."""
+def shingle_hashes(text: str | None, words: int) -> np.ndarray:
+    """XXH64 of the shingles in text order, repeats included; of the whole sequence if it is shorter than a shingle."""
     found = (text or "").encode("utf-8", "replace").lower().split()
     if not found:
-        return 0
+        return np.zeros(0, dtype="<u8")
     if len(found) < words:
         hashes = [xxhash.xxh64_intdigest(b" ".join(found), 42)]
     else:
@@ -43,11 +42,22 @@ def simhash(text: str | None, words: int = 4) -> int:
         starts = [0, *ends[: len(found) - words].tolist()]
         digest = xxhash.xxh64_intdigest
         hashes = [digest(joined[a:b], 42) for a, b in zip(starts, (ends[words - 1 :] - 1).tolist())]
-    h = np.array(hashes, dtype="<u8")
+    return np.array(hashes, dtype="<u8")
+
+
+def bits_of(h: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; 0 without hashes."""
+    if not len(h):
+        return 0
     ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
 
 
+def simhash(text: str | None, words: int = 4) -> int:
+    """SimHash of the text's shingles, repeats included; 0 for a text without words."""
+    return bits_of(shingle_hashes(text, words))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
     """(id, fp) for each row; fp holds the 64 bits as a long. ASCII letters are lower-cased, words split at ASCII white space."""
 
@@ -163,37 +173,56 @@ def forest(bucket: np.ndarray, fps: np.ndarray, radius: int) -> list[tuple[int,
         d += 1
 
 
-def links(nodes: DataFrame, radius: int = 4, spare: int = 2, tile: int = TILE) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints nodes.fp that connect all that differ in at most `radius` bits."""
-    tables = masks(radius, spare)
-    signed = [m - (1 << 64) if m >> 63 else m for m in tables]
-    keyed = nodes.select("fp", F.explode(F.array([F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(signed)])).alias("k"))
-    keyed = keyed.select("fp", "k.t", "k.key")
-    sizes = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
+def spare_runs(n: int, radius: int, most: int = 128) -> int:
+    """Runs that a table's key is made of, so that a bucket holds `most` of n evenly spread nodes at most. Any number
+    gives all links: more runs mean smaller buckets in more tables."""
+    spare = 2
+    while spare < 4 and n >> (64 * spare // (radius + spare)) > most:
+        spare += 1
+    return spare
+
+
+def _tiled(keyed: DataFrame, tile: int) -> DataFrame:
+    """keyed: (node, ..., key) with a long key. Rows of keys with two nodes or more as (node, ..., bucket); the bucket
+    of a key with more than `tile` nodes is dealt out, one tile for each pair of its chunks."""
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     chunks = F.expr(f"cast(if(n > {tile}, ceil(n / {tile // 2}), 1) as int)")
-    sized = keyed.join(sizes, ["t", "key"]).withColumn("chunks", chunks).withColumn("own", F.expr("cast(pmod(xxhash64(fp), chunks) as int)"))
-    tiled = sized.select("fp", "t", "key", "own", F.explode(F.expr("sequence(0, chunks - 1)")).alias("other"))
-    tiled = tiled.select("fp", F.xxhash64("t", "key", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"))
+    sized = keyed.join(sizes, "key").withColumn("chunks", chunks).withColumn("own", F.expr("cast(pmod(xxhash64(node), chunks) as int)"))
+    dealt = sized.withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
+    bucket = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    return dealt.withColumn("bucket", bucket).drop("key", "n", "chunks", "own", "other")
+
+
+def _bucket_links(keyed: DataFrame, radius: int, tile: int) -> DataFrame:
+    """Edges (a, b) that connect the nodes (node, fp, key) of each key whose fp differ in at most `radius` bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, fps = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+        bucket, fps, nodes = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
 
-        def compared(b, f):
+        def compared(b, f, n):
             pairs = np.array(forest(b, f, radius), dtype=np.int64).reshape(-1, 2)
-            ab = f.view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(ab[pairs[:, 0]]), pa.array(ab[pairs[:, 1]])], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(n[pairs[:, 0]]), pa.array(n[pairs[:, 1]])], names=["a", "b"])
 
         for batch in batches:
             bucket = np.concatenate([bucket, batch.column("bucket").to_numpy()])
             fps = np.concatenate([fps, batch.column("fp").to_numpy().view(np.uint64)])
+            nodes = np.concatenate([nodes, batch.column("node").to_numpy()])
             if len(bucket) >= BATCH:
                 cut = int(np.searchsorted(bucket, bucket[-1]))
                 if cut:
-                    yield compared(bucket[:cut], fps[:cut])
-                    bucket, fps = bucket[cut:], fps[cut:]
-        yield compared(bucket, fps)
+                    yield compared(bucket[:cut], fps[:cut], nodes[:cut])
+                    bucket, fps, nodes = bucket[cut:], fps[cut:], nodes[cut:]
+        yield compared(bucket, fps, nodes)
 
-    return tiled.repartition("bucket").sortWithinPartitions("bucket", "fp").mapInArrow(run, "a long, b long")
+    dealt = _tiled(keyed, tile).select("node", "fp", "bucket")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket", "fp").mapInArrow(run, "a long, b long")
+
+
+def links(nodes: DataFrame, radius: int = 4, spare: int = 2, tile: int = TILE) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints nodes.fp that connect all that differ in at most `radius` bits."""
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks(radius, spare)]
+    keys = F.array(*[F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(signed)])
+    return _bucket_links(nodes.select(F.col("fp").alias("node"), "fp", F.explode(keys).alias("key")), radius, tile)
 
 
 def groups(found: DataFrame, radius: int = 4) -> DataFrame:
@@ -201,7 +230,7 @@ def groups(found: DataFrame, radius: int = 4) -> DataFrame:
 
     Null ids count as larger than any other; a component of null ids alone has a null component."""
     nodes = written(found.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
-    roots = connected_components(links(nodes.select("fp"), radius))
+    roots = connected_components(links(nodes.select("fp"), radius, spare_runs(nodes.count(), radius)))
     linked = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = linked.groupBy("root").agg(F.min("least").alias("component"))
     of_fp = linked.join(smallest, "root").select("fp", "component")
@@ -217,15 +246,122 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return groups(found, radius).select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 4, words: int = 4) -> DataFrame:
-    """docs with one row for each near-duplicate group: the one with the smallest id, the first of repeated rows.
+# Near-duplicates by similarity of shingle sets, for the pipeline: SimHash proposes, the sets decide
+
+#: Words of a shingle, and least similarity (Jaccard) of the shingle sets of linked texts.
+WORDS, SIMILARITY = 5, 0.8
+#: Bits that SimHashes of texts of that similarity may differ in. They differ in about 10 (14 were the most seen).
+LOOSE = 20
+#: Bands of two minima each: two texts of similarity 0.8 share a band with a probability of 1 - (1 - 0.64) ** 14 > 0.999999.
+BANDS = 14
+#: Texts of a candidate component beyond which it is dealt out as tiles.
+SET_TILE = 256
+
+_FACTORS = np.random.default_rng(42).integers(1 << 62, 1 << 63, 2 * BANDS, dtype=np.uint64) | np.uint64(1)
 
-    All columns stay, whatever they are called."""
+
+def bands(distinct: np.ndarray) -> np.ndarray:
+    """A key for each band: two minima of the distinct hashes under multiplications modulo 2**64."""
+    least = np.array([(distinct * f).min() for f in _FACTORS], dtype=np.uint64).reshape(BANDS, 2)
+    return (least[:, 0] ^ (least[:, 1] * np.uint64(0x9E3779B97F4A7C15)) ^ np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+
+
+def _marks(rows: DataFrame) -> DataFrame:
+    """(id, node, fp, keys) of rows (id, text): node is the digest of the text's shingle set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in in_slices(batches, "text"):
+            nodes, fps, keys = [], [], []
+            for text in batch.column("text").to_pylist():
+                h = shingle_hashes(text, WORDS)
+                distinct = np.unique(h)
+                nodes.append(xxhash.xxh64_intdigest(distinct.tobytes()))
+                fps.append(bits_of(h))
+                keys.append(bands(distinct) if len(distinct) else [])
+            signed = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (nodes, fps)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *signed, pa.array(keys, pa.list_(pa.int64()))], names=["id", "node", "fp", "keys"])
+
+    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, node long, fp long, keys array<long>")
+
+
+def similar_sets(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Pairs of numbers that connect all sets (sorted, distinct) that are linked by similarities of at least `similarity`."""
+    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
+    parent, pairs = list(range(len(sets))), []
+
+    def find(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for k, i in enumerate(order):
+        for j in order[k + 1 :]:
+            small, large = len(sets[i]), len(sets[j])
+            if small < similarity * large:
+                break
+            if find(i) == find(j):
+                continue
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if both >= similarity * (small + large - both) - 1e-9:
+                parent[find(i)] = find(j)
+                pairs.append((i, j))
+    return pairs
+
+
+def _verified(rows: DataFrame, nodes: DataFrame, roots: DataFrame, similarity: float, tile: int) -> DataFrame:
+    """Edges (a, b) between nodes of one candidate component whose shingle sets are similar enough. The sets are made
+    anew from the texts of the components' nodes; only these are read."""
+    every = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    wanted = nodes.join(every, "node").select(F.col("least").alias("id"), "node", F.col("root").alias("key"))
+    members = rows.join(wanted, "id").dropDuplicates(["node"]).select("node", "key", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, nodes, sets, out = None, [], [], []
+
+        def done():
+            out.extend((nodes[i], nodes[j]) for i, j in similar_sets(sets, similarity))
+            nodes.clear()
+            sets.clear()
+
+        for batch in in_slices(batches, "text"):
+            for bucket, node, text in zip(*(batch.column(c).to_pylist() for c in ("bucket", "node", "text"))):
+                if bucket != at:
+                    done()
+                    at = bucket
+                nodes.append(node)
+                sets.append(np.unique(shingle_hashes(text, WORDS)))
+        done()
+        pairs = np.array(out, dtype=np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    dealt = _tiled(members, tile).select("node", "text", "bucket")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long")
+
+
+def similar(rows: DataFrame, similarity: float = SIMILARITY, radius: int = LOOSE, tile: int = TILE, set_tile: int = SET_TILE) -> DataFrame:
+    """(id, component) for rows (id, text): components over links between texts whose sets of 5-word shingles have at
+    least that similarity; component is the smallest id. Texts of equal sets are one node, so are texts without words.
+
+    Texts meet if they share a band of minima; of those, SimHashes at most `radius` bits apart, compared by bit planes,
+    give candidate components, within which the sets decide."""
+    marked = written(_marks(rows), "marks")
+    nodes = written(marked.groupBy("node").agg(F.min("id").alias("least"), F.min("fp").alias("fp"), F.first("keys").alias("keys")), "nodes")
+    loose = _bucket_links(nodes.select("node", "fp", F.explode("keys").alias("key")), radius, tile)
+    roots = connected_components(loose)
+    linked = connected_components(_verified(rows, nodes.select("node", "least"), roots, similarity, set_tile))
+    grouped = nodes.select("node", "least").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    smallest = grouped.groupBy("root").agg(F.min("least").alias("component"))
+    return marked.select("id", "node").join(grouped.join(smallest, "root").select("node", "component"), "node").select("id", "component")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """docs with one row for each group of near-duplicates (see similar): the one with the smallest id, the first of
+    repeated rows; null ids count as the largest. All columns stay, whatever they are called."""
     row, names = "__row", docs.columns
     while row in names:
         row = "_" + row
     rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
     ranked = rows.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("own"), F.col(row).alias("row")).alias("id"), F.col(text_col).alias("text"))
-    found = written(fingerprints(ranked, "id", "text", words), "fingerprints")
-    kept = groups(found, radius).groupBy("component").agg(F.lit(1).alias("one")).select(F.col("component.row").alias(row))
+    kept = similar(ranked, similarity).select("component.row").distinct().withColumnRenamed("row", row)
     return rows.join(kept, row, "left_semi").select(*names)

@@ -209,7 +209,7 @@ def test_pipeline(spark):
     d = "/root/testdata/sf0.001"
     rows = spark.read.parquet(f"{d}/documents.parquet")
     out = corpus_pipeline.run(spark, d).collect()
-    groups = {r.component_id for r in simhash.near_duplicates(rows).collect()}
+    groups = {r.component for r in simhash.similar(rows.select(F.col("doc_id").alias("id"), "text")).collect()}
     counts = {}
     for r in out:
         counts[r.doc_id] = counts.get(r.doc_id, 0) + 1

@@ -82,6 +82,30 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100} or got == {**{i: 0 for i in range(1, 41)}, 101: 100, 102: 100}
 
 
+def edited(rng, words, n):
+    out = list(words)
+    for i in rng.choice(len(words), n, replace=False):
+        out[i] = f"new{rng.integers(1 << 30)}"
+    return " ".join(out)
+
+
+def test_similar_against_all_pairs(spark):
+    rng = np.random.default_rng(2)
+    texts = []
+    for k in range(12):
+        words = [f"w{rng.integers(4000)}" for _ in range(int(rng.integers(120, 400)))]
+        texts += [" ".join(words), " ".join(words).upper()] + [edited(rng, words, n) for n in (1, 2, 3, 4, 6, 9, 14, 30)]
+    crowd_words = [f"c{i}" for i in range(200)]
+    texts += [edited(rng, crowd_words, 2) for _ in range(60)] + ["", None, " ", "one two", "one two", "two one", "x " * 8000]
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if (not sets[i] and not sets[j]) or (sets[i] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))]
+    want = components(len(texts), pairs)
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    for tile, set_tile in ((2048, 256), (16, 8)):
+        got = {r.id: r.component for r in simhash.similar(rows, tile=tile, set_tile=set_tile).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
 def test_keep_one(spark):
     text = " ".join(f"w{i}" for i in range(60))
     rows = [(3, text, "a"), (1, text, "b"), (1, text, "c"), (2, "other words here entirely different", "d"), (None, text, "e"), (None, "alone null id text", "f")]
