@@ -56,7 +56,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
 
     complement = F.when(F.col("k") == 3, beside(0, 2, 4)).when(F.col("k") == 4, beside(1, 3)).when(F.col("k") == 5, beside(0, 1, 2))
     linked = parts.withColumn("linked", complement).where("linked")
-    extra = linked.groupBy("key").agg(F.collect_list(F.struct("start", "k", "end")).alias("extra"))
+    extra = written(linked.groupBy("key").agg(F.collect_list(F.struct("start", "k", "end")).alias("extra")), "linked")
     both = found.select("id", "key", "base").join(extra, "key", "left")
     every = F.array_sort(F.concat("base", F.coalesce("extra", F.array().cast("array<struct<start:int,k:int,end:int>>"))))
 
