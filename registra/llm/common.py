@@ -2,23 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset
-    (a local session, as in tests), a temporary folder of the session's own."""
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+from registra.sources.shared import shared_dir
 
 
 def written(df: DataFrame, name: str, **options) -> DataFrame:
@@ -31,3 +22,17 @@ def written(df: DataFrame, name: str, **options) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def in_slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4_000_000, rows: int = 2_000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about so many bytes of a column and so many rows, one row at least: a bound on a task's memory."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        start, total = 0, 0
+        for i, size in enumerate(sizes.tolist()):
+            if i > start and (total + size > most or i - start >= rows):
+                yield batch.slice(start, i - start)
+                start, total = i, 0
+            total += size
+        if start < batch.num_rows:
+            yield batch.slice(start)

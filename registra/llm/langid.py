@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from registra.llm.bpe import in_slices
+from registra.llm.common import in_slices
 
 UNKNOWN = "und"
 #: Buckets of trigrams, a power of two.
@@ -146,8 +146,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """docs without those whose language can't be told (`und`); null languages are filled with the prediction. Same columns."""
-    rows = docs.withColumn("__held_out", held_out(id_col)) if "__held_out" not in docs.columns else docs
-    learned = rows.where(~held_out(id_col) & F.col(id_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    learned = docs.where(~held_out(id_col) & F.col(id_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     langs, logp = learn(learned)
     schema, names = docs.schema, docs.columns
 

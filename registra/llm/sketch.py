@@ -20,8 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from registra.llm.bpe import in_slices
-from registra.llm.common import shuffle_partitions
+from registra.llm.common import in_slices, shuffle_partitions
 
 WORDS = 5
 #: One in so many hashes is kept.
