@@ -147,6 +147,16 @@ def test_page_parts(spark):
     assert wrapper.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_broken_pages_take_no_time():
+    import time
+
+    began = time.time()
+    for page in ('<a ' + '"" ' * 20_000, "<" * 50_000, '<p title="x>text</p> more', "<!-- " * 5000, "<b " * 20_000, "<p>" * 20_000 + "x", '<a href="' * 3000):
+        wrapper.blocks(page)
+    assert time.time() - began < 20
+    assert wrapper.blocks('<p title="x>text</p><p>more</p>')[2][-1] == "more"
+
+
 def test_alignment():
     a = "html(nav(),div.x(p(),ul(li())),footer())"
     b = "html(nav(),div.ad!(),div.x(h1(),p()),footer())"
