@@ -17,14 +17,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 import regex
 from pyspark.sql import DataFrame
 
+from registra.llm.common import in_slices
+
 #: Pieces that a worker keeps encoded; beyond it the memo is emptied. A bound on memory only: results don't depend on it.
-MEMO = 1_000_000
+MEMO = 400_000
 #: Cells of the arrays of trees that are updated together.
-CELLS = 2_000_000
+CELLS = 500_000
 
 _BIG = np.int64(1) << 62
 #: Of the multiplicative hash of pairs.
@@ -46,17 +47,28 @@ def _patterns(pattern: str) -> tuple:
     may not be used: those that `re` classes otherwise, and the underscore."""
     general = regex.compile(pattern)
     if pattern != r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""":
-        return general, None
+        return general, None, ""
     every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
     odd = set("_")
     for theirs, ours in ((r"\p{L}", r"[^\W\d_]"), (r"\p{N}", r"\d"), (r"\s", r"\s")):
         odd |= set(regex.findall(theirs, every)) ^ set(re.findall(ours, every))
-    return general, frozenset(odd)
+    return general, frozenset(odd), "".join(c for c in sorted(odd) if c < "\u0100")
+
+
+def is_plain(text: str, pattern: str, but: str = "") -> bool:
+    """Whether the fast pattern splits text as the general one does; characters of `but` are not looked for."""
+    _, odd, low = _patterns(pattern)
+    if odd is None:
+        return False
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return (odd - set(but) if but else odd).isdisjoint(text)
+    return not any(c in text for c in low if c not in but)
 
 
 def split(text: str, pattern: str) -> list[str]:
-    general, odd = _patterns(pattern)
-    return (fast_pattern() if odd is not None and odd.isdisjoint(text) else general).findall(text)
+    return (fast_pattern() if is_plain(text, pattern) else _patterns(pattern)[0]).findall(text)
 
 
 class Ranks:
@@ -219,16 +231,16 @@ def _encode_tree(piece: bytes, ranks: Ranks) -> bytes:
 
 
 class Memo:
-    """Encodes texts piece by piece, a batch of texts at a time; keeps what pieces were encoded to, up to MEMO pieces.
+    """Encodes texts piece by piece, a batch of texts at a time; keeps what pieces were encoded to, up to `most` pieces and those of one batch.
 
     encode: gives the ids of each of many pieces as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], pattern: str):
-        self.encode, self.pattern, self.memo = encode, pattern, {}
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], pattern: str, most: int = MEMO):
+        self.encode, self.pattern, self.most, self.memo = encode, pattern, most, {}
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         parts = [split(t, self.pattern) for t in texts]
-        if len(self.memo) > MEMO:
+        if len(self.memo) > self.most:
             self.memo.clear()
         new = list(set().union(*parts).difference(self.memo))
         self.memo.update(zip(new, self.encode(new)))
@@ -246,20 +258,6 @@ def decode(ids: np.ndarray, ranks: Ranks) -> bytes:
     return b"".join(map(ranks.bytes_of.__getitem__, ids.tolist()))
 
 
-def in_slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """The batches in slices of about so many characters, one row at least, so that a task's memory is bounded."""
-    for batch in batches:
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-        start, total = 0, 0
-        for i, size in enumerate(sizes.tolist()):
-            if i > start and total + size > most:
-                yield batch.slice(start, i - start)
-                start, total = i, 0
-            total += size
-        if start < batch.num_rows:
-            yield batch.slice(start)
-
-
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Encode every whole text and decode it again: id, n_tokens, ids_sha256, decoded_sha256, and `ids` if asked for.
 

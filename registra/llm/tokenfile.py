@@ -24,8 +24,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from registra.llm.bpe import Memo, _patterns, in_slices
-from registra.llm.common import shared_dir, shuffle_partitions
+from registra.llm.bpe import Memo, is_plain
+from registra.llm.common import in_slices, shuffle_partitions
+from registra.sources.shared import shared_dir
 
 BLOCK = 128
 #: Ids of a segment, about: a segment ends with the document that reaches it.
@@ -35,6 +36,9 @@ PERCENTILES = (50, 75, 90, 95, 98, 100)
 #: Bytes of an exception: its place in the block and its residual.
 EXCEPTION = 5
 
+#: Pieces that a worker keeps encoded: the library takes longer for a piece than the memory of it is worth.
+MEMO = 1_000_000
+
 FILE = "shard int, segment int, first long, doc_ids array<long>, sizes array<int>, minima array<int>, widths array<tinyint>, starts array<int>, packed binary, exceptions array<tinyint>, places binary, residuals binary"
 
 
@@ -112,10 +116,10 @@ def _encoder(path: str, pattern: str):
     def encode(new: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)]
 
-    memo, odd = Memo(encode, pattern), (_patterns(pattern)[1] or frozenset()) - {"_"}
+    memo = Memo(encode, pattern, MEMO)
 
     def run(texts: list[str]) -> list[bytes]:
-        plain = [odd.isdisjoint(t) for t in texts]
+        plain = [is_plain(t, pattern, but="_") for t in texts]
         pieces, whole = memo([t for t, p in zip(texts, plain) if p]), iter(encode([t for t, p in zip(texts, plain) if not p]))
         return [next(pieces) if p else next(whole) for p in plain]
 
