@@ -151,4 +151,5 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
     keyed = rows.select(F.col(row).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
     taken = mix(keyed, "id", "text", "source", whole=True).select(F.col("id").alias(row), F.round("copies").cast("int").alias(times)).where(F.col(times) > 0)
-    return rows.join(taken, row).withColumn(times, F.explode(F.expr(f"sequence(1, `{times}`)"))).select(*docs.columns)
+    # Sorted on both sides at every size: what is broadcast at one size and shuffled at another grows by leaps.
+    return rows.join(taken.hint("merge"), row).withColumn(times, F.explode(F.expr(f"sequence(1, `{times}`)"))).select(*docs.columns)
