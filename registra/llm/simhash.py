@@ -358,6 +358,11 @@ def similar(rows: DataFrame, similarity: float = SIMILARITY, radius: int = LOOSE
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """docs with one row for each group of near-duplicates (see similar): the one with the smallest id, the first of
     repeated rows; null ids count as the largest. All columns stay, whatever they are called."""
+    ids = docs.agg(F.count("*").alias("n"), F.count_distinct(id_col).alias("distinct")).first()
+    if ids["n"] == ids["distinct"]:  # the ids are keys: no copy of the table is needed
+        found = similar(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), similarity)
+        kept = found.select(F.col("component").alias(id_col)).distinct()
+        return docs.join(kept.hint("merge"), id_col, "left_semi").select(*docs.columns)
     row, names = "__row", docs.columns
     while row in names:
         row = "_" + row

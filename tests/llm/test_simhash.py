@@ -113,4 +113,6 @@ def test_keep_one(spark):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted((r.doc_id or 0, r["__row"]) for r in kept.collect()) in ([(0, "f"), (1, "b"), (2, "d")], [(0, "f"), (1, "c"), (2, "d")])
+    unique = docs.where("doc_id > 1").union(spark.createDataFrame([(9, text.upper(), "g")], docs.schema))
+    assert sorted(r.doc_id for r in simhash.keep_one(unique).collect()) == [2, 3] and simhash.keep_one(unique).columns == docs.columns
     assert simhash.keep_one(docs.limit(0)).count() == 0 and simhash.near_duplicates(docs.limit(0)).count() == 0
