@@ -246,12 +246,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return groups(found, radius).select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-# Near-duplicates by similarity of shingle sets, for the pipeline: SimHash proposes, the sets decide
+# Near-duplicates by similarity of shingle sets, for the pipeline: shared bands propose, the sets decide
 
 #: Words of a shingle, and least similarity (Jaccard) of the shingle sets of linked texts.
 WORDS, SIMILARITY = 5, 0.8
-#: Bits that SimHashes of texts of that similarity may differ in. They differ in about 10 (14 were the most seen).
-LOOSE = 20
 #: Bands of two minima each: two texts of similarity 0.8 share a band with a probability of 1 - (1 - 0.64) ** 14 > 0.999999.
 BANDS = 14
 #: Texts of a candidate component beyond which it is dealt out as tiles.
@@ -266,22 +264,90 @@ def bands(distinct: np.ndarray) -> np.ndarray:
     return (least[:, 0] ^ (least[:, 1] * np.uint64(0x9E3779B97F4A7C15)) ^ np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
+def parities(distinct: np.ndarray) -> bytes:
+    """A bit for each of 64 * 2 ** k cells, about one for every two hashes: whether an odd number of hashes falls there.
+
+    A hash that only one of two sets has turns one bit, so the bits that differ are never more than the hashes that
+    differ. The halves of longer parities, laid over each other, are the shorter ones of the same set."""
+    cells = max(64, 1 << max(1, (len(distinct) - 1).bit_length()) - 1)
+    odd = np.bincount((distinct & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def possible_pairs(sizes: np.ndarray, bits: list[bytes], similarity: float) -> list[tuple[int, int]]:
+    """Pairs of numbers that connect all sets that are linked by pairs whose sizes and parities allow that similarity:
+    sets of a and b hashes that differ in d have similarity (a + b - d) / (a + b + d). Leaves out no similar pair."""
+    order = np.argsort(sizes, kind="stable")
+    label, pairs = np.arange(len(sizes)), []
+    ordered, widths = sizes[order], np.array([len(bits[i]) for i in order])
+    for width in np.unique(widths).tolist():
+        # by size, those of this width, and longer ones, folded, up to the largest size that can be similar
+        start, own = np.searchsorted(widths, [width, width + 1]).tolist()
+        last = np.searchsorted(ordered, ordered[start:own] / similarity * (1 + 1e-9), "right")
+        rows, size = order[start : last[-1]], ordered[start : last[-1]]
+        cells = np.empty((len(rows), width // 8), dtype="<u8")
+        for i, row in enumerate(rows):
+            cells[i] = np.bitwise_xor.reduce(np.frombuffer(bits[row], dtype="<u8").reshape(-1, width // 8), axis=0)
+        last = (last - start).tolist()
+        for k, stop in enumerate(last):
+            if stop <= k + 1:
+                continue
+            differ = np.bitwise_count(cells[k] ^ cells[k + 1 : stop]).sum(axis=1, dtype=np.int64)
+            may = differ * (1 + similarity) <= (size[k] + size[k + 1 : stop]) * (1 - similarity) + 1e-9
+            for j in rows[k + 1 : stop][may & (label[rows[k + 1 : stop]] != label[rows[k]])].tolist():
+                if label[j] != label[rows[k]]:
+                    pairs.append((int(rows[k]), j))
+                    label[label == label[j]] = label[rows[k]]
+    return pairs
+
+
 def _marks(rows: DataFrame) -> DataFrame:
-    """(id, node, fp, keys) of rows (id, text): node is the digest of the text's shingle set."""
+    """(id, node, size, bits, keys) of rows (id, text): node is the digest of the text's shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches, "text"):
-            nodes, fps, keys = [], [], []
+            nodes, sizes, bits, keys = [], [], [], []
             for text in batch.column("text").to_pylist():
-                h = shingle_hashes(text, WORDS)
-                distinct = np.unique(h)
+                distinct = np.unique(shingle_hashes(text, WORDS))
                 nodes.append(xxhash.xxh64_intdigest(distinct.tobytes()))
-                fps.append(bits_of(h))
+                sizes.append(len(distinct))
+                bits.append(parities(distinct))
                 keys.append(bands(distinct) if len(distinct) else [])
-            signed = [pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (nodes, fps)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *signed, pa.array(keys, pa.list_(pa.int64()))], names=["id", "node", "fp", "keys"])
+            columns = [pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], names=["id", "node", "size", "bits", "keys"])
+
+    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, node long, size long, bits binary, keys array<long>")
+
+
+def _candidates(keyed: DataFrame, similarity: float, tile: int) -> DataFrame:
+    """Edges (a, b) that connect the nodes (node, size, bits, key) of each key whose sizes and parities allow that similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, nodes, sizes, bits, out = None, [], [], [], []
+
+        def done():
+            out.extend((nodes[i], nodes[j]) for i, j in possible_pairs(np.array(sizes, dtype=np.int64), bits, similarity))
+            for x in (nodes, sizes, bits):
+                x.clear()
+
+        for batch in in_slices(batches, "bits"):
+            for bucket, node, size, b in zip(*(batch.column(c).to_pylist() for c in ("bucket", "node", "size", "bits"))):
+                if bucket != at:
+                    done()
+                    at = bucket
+                nodes.append(node)
+                sizes.append(size)
+                bits.append(b)
+            if len(out) >= BATCH:
+                pairs = np.array(out, dtype=np.int64)
+                out.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        done()
+        pairs = np.array(out, dtype=np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, node long, fp long, keys array<long>")
+    dealt = _tiled(keyed, tile).select("node", "size", "bits", "bucket")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long")
 
 
 def similar_sets(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
@@ -339,15 +405,15 @@ def _verified(rows: DataFrame, nodes: DataFrame, roots: DataFrame, similarity: f
     return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long")
 
 
-def similar(rows: DataFrame, similarity: float = SIMILARITY, radius: int = LOOSE, tile: int = TILE, set_tile: int = SET_TILE) -> DataFrame:
+def similar(rows: DataFrame, similarity: float = SIMILARITY, tile: int = TILE, set_tile: int = SET_TILE) -> DataFrame:
     """(id, component) for rows (id, text): components over links between texts whose sets of 5-word shingles have at
     least that similarity; component is the smallest id. Texts of equal sets are one node, so are texts without words.
 
-    Texts meet if they share a band of minima; of those, SimHashes at most `radius` bits apart, compared by bit planes,
-    give candidate components, within which the sets decide."""
+    Texts meet if they share a band of minima; those whose sizes and parities don't rule out the similarity give
+    candidate components, within which the sets decide."""
     marked = written(_marks(rows), "marks")
-    nodes = written(marked.groupBy("node").agg(F.min("id").alias("least"), F.min("fp").alias("fp"), F.first("keys").alias("keys")), "nodes")
-    loose = _bucket_links(nodes.select("node", "fp", F.explode("keys").alias("key")), radius, tile)
+    nodes = written(marked.groupBy("node").agg(F.min("id").alias("least"), *[F.first(c).alias(c) for c in ("size", "bits", "keys")]), "nodes")
+    loose = _candidates(nodes.select("node", "size", "bits", F.explode("keys").alias("key")), similarity, tile)
     roots = connected_components(loose)
     linked = connected_components(_verified(rows, nodes.select("node", "least"), roots, similarity, set_tile))
     grouped = nodes.select("node", "least").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))

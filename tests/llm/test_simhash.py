@@ -116,3 +116,55 @@ def test_keep_one(spark):
     unique = docs.where("doc_id > 1").union(spark.createDataFrame([(9, text.upper(), "g")], docs.schema))
     assert sorted(r.doc_id for r in simhash.keep_one(unique).collect()) == [2, 3] and simhash.keep_one(unique).columns == docs.columns
     assert simhash.keep_one(docs.limit(0)).count() == 0 and simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def repeated_lines():
+    """Texts of which one copy has a line many times, texts of 8 to 12 words, and texts without a near copy."""
+    rng = np.random.default_rng(5)
+    texts = []
+    for _ in range(30):
+        words = [f"w{rng.integers(1 << 30)}" for _ in range(204)]
+        line = " ".join(words[50:62])
+        texts += [" ".join(words), " ".join(words) + (" " + line) * 20]
+    for n in (8, 9, 10, 11, 12):
+        words = [f"s{rng.integers(1 << 30)}" for _ in range(n)]
+        texts += [" ".join(words), " ".join([*words, "more"]), " ".join([*words, "more", "words"]), " ".join(["other", *words[1:]]), " ".join([*words, *words])]
+    return texts + [" ".join(f"u{rng.integers(1 << 30)}" for _ in range(50)) for _ in range(5)]
+
+
+def brute_components(texts):
+    split = [t.lower().split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)} for w in split]
+    return components(len(texts), [(i, j) for i in range(len(sets)) for j in range(i) if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])])
+
+
+def test_similar_with_repeated_lines_and_short_texts(spark):
+    texts = repeated_lines()
+    want = brute_components(texts)
+    assert all(want[2 * i + 1] == 2 * i for i in range(30)) and len(set(want)) < len(want) - 30
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    for tile, set_tile in ((2048, 256), (4, 4)):
+        got = {r.id: r.component for r in simhash.similar(rows, tile=tile, set_tile=set_tile).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
+def test_pipeline_stage_against_all_pairs(spark):
+    import corpus_pipeline
+
+    texts = repeated_lines() + [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").collect()]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    kept = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect())
+    assert kept == sorted(set(brute_components(texts)))
+
+
+def test_parities_rule_out_no_similar_pair():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        n = int(rng.integers(1, 3000))
+        a = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < rng.uniform(0.6, 1)], rng.integers(0, 1 << 64, int(n * rng.uniform(0, 0.3)), dtype=np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        pairs = simhash.possible_pairs(np.array([len(a), len(b)]), [simhash.parities(x) for x in (a, b)], 0.8)
+        assert pairs or not len(b) or both < 0.8 * (len(a) + len(b) - both)
+    a, b = (np.unique(rng.integers(0, 1 << 64, 1000, dtype=np.uint64)) for _ in range(2))
+    assert simhash.possible_pairs(np.array([1000, 1000]), [simhash.parities(x) for x in (a, b)], 0.8) == []
