@@ -14,7 +14,7 @@ from registra.llm.common import written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts whose language can't be told go; unlabelled ones get a language."""
+    """Texts whose language can't be told go; missing labels and those that the mixture contradicts become the predicted one."""
     return langid.keep_identified(docs)
 
 

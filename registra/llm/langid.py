@@ -5,6 +5,8 @@ sum; the table of languages times buckets is all that reaches the driver, whatev
 mixture: expectation-maximisation estimates the proportions of its languages from the trigrams' likelihoods, and the
 set of languages is the one with the smallest BIC on the way from all languages to one. The prediction is the
 language with the largest share of that set; the score is its share among all languages.
+
+The pipeline's stage judges every document by its mixture: see keep_identified.
 """
 
 from __future__ import annotations
@@ -26,6 +28,9 @@ SMOOTH = 0.5
 ROUNDS, TOLERANCE = 20, 1e-3
 #: Each byte is in three trigrams: their counts weigh a third, so that the penalty meets independent evidence.
 WEIGHT = 1 / 3
+#: A text fits no language if trigrams spread evenly over the buckets explain it better than its mixture does, by more
+#: than this log likelihood for each trigram and by more than the BIC's price of a language for the whole text.
+MISFIT = 1.0
 
 _LETTERS = np.full(256, 32, dtype=np.uint8)
 _LETTERS[97:123] = np.arange(97, 123)
@@ -78,8 +83,8 @@ def _mixture(p: np.ndarray, c: np.ndarray, n: float) -> tuple[np.ndarray, float]
     return share, float(c @ np.log(p @ share))
 
 
-def proportions(text: str, logp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Shares of all languages, and shares within the selected set (0 outside it)."""
+def judged(text: str, logp: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Shares of all languages, shares within the selected set (0 outside it), and whether the text fits that set (see MISFIT)."""
     codes, counts = np.unique(buckets(text), return_counts=True)
     lp = logp[codes]
     c = counts * WEIGHT
@@ -92,8 +97,13 @@ def proportions(text: str, logp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     best = int(single.argmax())
     chosen, least = np.zeros(size), -2 * single[best] + penalty
     chosen[best] = 1.0
+
+    def fits() -> bool:
+        gap = (np.count_nonzero(chosen) * penalty - least) / -2 - n * np.log(len(logp))
+        return not (gap > MISFIT * n and 2 * gap > penalty)
+
     if -2 * (fit + base) + 2 * penalty >= least:  # no set of two or more can be better
-        return shares, chosen
+        return shares, chosen, fits()
     keep, now, value = np.arange(size), shares, fit
     while len(keep) > 1:
         cost = -2 * (value + base) + len(keep) * penalty
@@ -102,7 +112,12 @@ def proportions(text: str, logp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             chosen[keep] = now
         keep = np.delete(keep, now.argmin())
         now, value = _mixture(p[:, keep], c, n)
-    return shares, chosen
+    return shares, chosen, fits()
+
+
+def proportions(text: str, logp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Shares of all languages, and shares within the selected set (0 outside it)."""
+    return judged(text, logp)[:2]
 
 
 def predict(docs: DataFrame, langs: list[str], logp: np.ndarray, text_col: str = "text") -> DataFrame:
@@ -145,7 +160,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """docs without those whose language can't be told (`und`); null languages are filled with the prediction. Same columns."""
+    """docs, each judged by its mixture. Texts that are null, have no letter or fit no language (see MISFIT) go, and all
+    of them if there is nothing to learn from. The others get the prediction of identify as their label; a label that
+    no training row has can't be judged and stays. Same columns."""
     learned = docs.where(~held_out(id_col) & F.col(id_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     langs, logp = learn(learned)
     schema, names = docs.schema, docs.columns
@@ -155,7 +172,11 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             keep, filled = [], []
             for text, lang in zip(batch.column(text_col).to_pylist(), batch.column(lang_col).to_pylist()):
                 keep.append(bool(langs) and has_letter(text))
-                filled.append(langs[int(proportions(text, logp)[1].argmax())] if keep[-1] and lang is None else lang)
+                if keep[-1]:
+                    _, chosen, keep[-1] = judged(text, logp)
+                    if lang is None or lang in langs:
+                        lang = langs[int(chosen.argmax())]
+                filled.append(lang)
             columns = [pa.array(filled, pa.string()) if c == lang_col else batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
 

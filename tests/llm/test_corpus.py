@@ -115,6 +115,29 @@ def test_language(spark):
     assert langid.identify(every.limit(0)).count() == 0
 
 
+def test_language_stage_judges_labelled_texts(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    whole = {r.doc_id: r for r in docs.collect()}
+    long = [r for r in whole.values() if len(r.text) > 400]
+    wrong = {10**6 + i: (r.text, "fr" if r.lang != "fr" else "en", r.lang) for i, r in enumerate(long[:40])}
+    junk = ["qzxv wkjq zzxq pqwx vvkj " * 3, "asdfghjkl qwertyuiop zxcvbnm", "Привет мир как дела", "日本語のテキストです", "zzzz " * 50, "12 !!", ""]
+    junk = {2 * 10**6 + i: (t, "en") for i, t in enumerate(junk)}
+    short = {3 * 10**6: ("the", "en"), 3 * 10**6 + 1: ("x", "en"), 3 * 10**6 + 2: (whole[long[0].doc_id].text, "unseen")}
+    mixed = {3 * 10**6 + 3: (next(r.text for r in long if r.lang == "de")[:400] + " " + next(r.text for r in long if r.lang == "en")[:200], "de")}
+    more = [(i, t, lang) for part in (wrong, junk, short, mixed) for i, (t, lang, *_) in part.items()]
+    # ids of the fold that isn't learned from, so that the planted labels teach nothing
+    held = [i for i in range(10**7, 10**7 + 1000) if zlib.crc32(str(i).encode()) % 3 == 1]
+    place = dict(zip((m[0] for m in more), held))
+    every = docs.union(spark.createDataFrame([(place[i], t, lang) for i, t, lang in more], docs.schema))
+    got = {r.doc_id: r.lang for r in corpus_pipeline.language(spark, every, "").collect()}
+    assert all(got[i] == r.lang for i, r in whole.items())
+    assert all(got[place[i]] == truth for i, (_, _, truth) in wrong.items())
+    assert not any(place[i] in got for i in junk)
+    assert all(got[place[i]] == lang for part in (short, mixed) for i, (_, lang) in part.items())
+
+
 def test_language_mixture():
     rng = np.random.default_rng(0)
     a, b = (" ".join(rng.choice(w, 400)) for w in (["the", "and", "with", "thing", "of"], ["der", "und", "nicht", "schön", "ein"]))
