@@ -170,6 +170,17 @@ def test_page_parts(spark):
     assert wrapper.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_copies_teach_no_template(spark):
+    def page(i):
+        return f'<div class="top">Home</div><div class="c"><h2>T{i}</h2><p>body {i}</p></div><div class="note">{"only here" if i == 3 else "none"}</div>'
+
+    rows = [(i, f"http://same.x/{i}", page(0)) for i in range(5)] + [(100 + i, f"http://skew.x/{i}", page(max(0, i - 89))) for i in range(100)]
+    got = {r.page_id: r.text for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all("T0\nbody 0" in got[i] for i in range(5))
+    assert all(f"T{max(0, i - 89)}\nbody {max(0, i - 89)}" in got[100 + i] and "Home" not in got[100 + i] for i in range(100))
+    assert got[192].endswith("only here")
+
+
 def test_broken_pages_take_no_time():
     import time
 
