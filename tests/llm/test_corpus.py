@@ -170,6 +170,16 @@ def test_page_parts(spark):
     assert wrapper.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_wrapper_decides_on_all_pages(spark):
+    def page(i):
+        return f'<div class="a">stand {i}</div><article><h1>T{i}</h1><div class="by"><i>By the desk</i></div><p>body {i}</p><p>more {i}</p><div class="x">Read all of it</div></article><div class="z">All rights</div>'
+
+    rows = [(i, f"http://h.x/{i}", page(i)) for i in range(6)] + [(10 + i, f"http://one.x/{i}", page(0)) for i in range(5)]
+    got = {r.page_id: r.text for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(6)] == [f"stand {i}\nT{i}\nbody {i}\nmore {i}" for i in range(6)]
+    assert [got[10 + i] for i in range(5)] == ["T0\nBy the desk\nbody 0\nmore 0\nRead all of it"] * 5
+
+
 def test_copies_teach_no_template(spark):
     def page(i):
         return f'<div class="top">Home</div><div class="c"><h2>T{i}</h2><p>body {i}</p></div><div class="note">{"only here" if i == 3 else "none"}</div>'
