@@ -27,7 +27,13 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]+){3}"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 OCTETS = r"^0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?:\.0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])){3}$"
-CANDIDATE = r"(?<![A-Za-z0-9.+@-])(?:[A-Za-z]{0,4}[0-9][A-Za-z0-9-]{5,33}+|[A-Za-z0-9._%+-]{1,64}+\x20?[(\[](?i:at)[)\]]\x20?[A-Za-z0-9.-]{1,64}+(?:\x20?[(\[](?i:dot)[)\]]\x20?[A-Za-z0-9-]{1,30}+)*)(?![A-Za-z0-9@-])"
+# Identifier-like strings (letters, digits and hyphens; five digits or more are asked for below) and masked addresses.
+CANDIDATE = (
+    r"(?:(?<![A-Za-z0-9.+@-])(?=[A-Za-z-]*+[0-9])[A-Za-z0-9][A-Za-z0-9-]{5,}+(?![A-Za-z0-9@-])"
+    r"|(?<![A-Za-z0-9._%+@-])[A-Za-z0-9._%+-]++\x20?[(\[](?i:at)[)\]]\x20?[A-Za-z0-9.-]++(?:\x20?[(\[](?i:dot)[)\]]\x20?[A-Za-z0-9-]++)*+(?![A-Za-z0-9@-]))"
+)
+#: Code points before and after a value that its contexts are taken from: patterns are of words nearby.
+CONTEXT = (60, 40)
 
 
 def _digits(hit: Column) -> Column:
@@ -60,13 +66,13 @@ def base_spans(text: Column) -> Column:
     return F.concat(*[spans.numbered(x, k, "ksb") for k, x in enumerate(_found(text))])
 
 
-def _mentions(text: Column, found: Column, k: int | None) -> Column:
-    """Array of struct<k, start, end, value, patterns>; k is null for candidates."""
+def _mentions(cut: Column, found: Column, k: int | None, context: tuple[int, int]) -> Column:
+    """Array of struct<k, start, end, value, patterns>; k is null for candidates. cut: the text's pieces."""
     fold = lambda s: F.regexp_replace(F.regexp_replace(F.lower(s), "[0-9]", "0"), r"\s+", " ")
 
     def one(x):
-        before = fold(F.substring(text, F.greatest(F.lit(1), x["start"] - 59), F.least(x["start"], F.lit(60))))
-        after = F.regexp_extract(fold(F.substring(text, x["end"] + 1, F.lit(40))), r"^ ?(\S+)", 1)
+        before = fold(spans.between(cut, F.greatest(F.lit(0), x["start"] - context[0]), x["start"]))
+        after = F.regexp_extract(fold(spans.between(cut, x["end"], x["end"] + context[1])), r"^ ?(\S+)", 1)
         two, label = F.regexp_extract(before, r"(\S+ \S+) ?$", 1), F.regexp_extract(before, r"(\S*\w\S*[:=#]) ?$", 1)
         patterns = F.array_compact(F.array(F.when((two != "") & (after != ""), F.concat(two, F.lit(" _ "), after)), F.when(label != "", F.concat(label, F.lit(" _")))))
         return F.struct(F.lit(k).cast("int").alias("k"), x["start"].alias("start"), x["end"].alias("end"), F.lower(x["hit"]).alias("value"), patterns.alias("patterns"))
@@ -74,10 +80,9 @@ def _mentions(text: Column, found: Column, k: int | None) -> Column:
     return F.transform(found, one)
 
 
-def _candidates(text: Column, base: Column) -> Column:
-    found = spans.matches(text, CANDIDATE, r"[0-9][A-Za-z0-9-]{5}|(?i)[(\[]at[)\]]")
-    likely = F.filter(found, lambda x: (F.length(_digits(x["hit"])) >= 5) | x["hit"].rlike(r"(?i)[(\[]at[)\]]"))
-    return spans.apart(likely, base)
+def _candidates(text: Column) -> Column:
+    found = spans.matches(text, CANDIDATE, r"[0-9](?:[A-Za-z-]*+[0-9]){4}|(?i)[(\[]at[)\]]")
+    return F.filter(found, lambda x: (F.length(_digits(x["hit"])) >= 5) | x["hit"].rlike(r"(?i)[(\[]at[)\]]"))
 
 
 def discovered(mentions: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confident: float = CONFIDENT) -> DataFrame:
@@ -101,28 +106,30 @@ def discovered(mentions: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT
     return best
 
 
-def _extra(docs: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame]:
+def _extra(docs: DataFrame, context: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
     """The rows' ids, digests and base spans, written; and for each digest the spans that contexts discover."""
     text = F.col("text")
-    rows = docs.withColumn("text", F.coalesce(docs[text_col], F.lit("")))
-    kinds = rows.withColumns({f"f{k}": x for k, x in enumerate(_found(text))})
+    rows = docs.withColumn("text", F.coalesce("text", F.lit("")))
+    kinds = rows.withColumns({f"f{k}": x for k, x in enumerate([*_found(text), _candidates(text)])})
+    some = sum((F.size(f"f{k}") for k in range(1, 5)), F.size("f0")) > 0
+    kinds = kinds.select("id", F.md5(text.cast("binary")).alias("key"), *[f"f{k}" for k in range(5)], F.when(some, spans.pieces(text)).alias("cut"))
     base = F.concat(*[spans.numbered(F.col(f"f{k}"), k, "ksb") for k in range(4)])
-    kinds = kinds.withColumn("base", base).withColumn("key", F.md5(text.cast("binary")))
-    every = F.concat(*[_mentions(text, F.col(f"f{k}"), k) for k in range(4)], _mentions(text, _candidates(text, F.col("base")), None))
-    found = written(kinds.select("id", "key", "base", every.alias("mentions")), "pii")
+    every = F.concat(*[_mentions(F.col("cut"), F.col(f"f{k}"), k if k < 4 else None, context) for k in range(5)])
+    found = written(kinds.select("id", "key", base.alias("base"), every.alias("mentions")), "pii")
     mentions = found.where("size(mentions) > 0").dropDuplicates(["key"]).select("key", F.explode("mentions").alias("m")).select("key", "m.*")
+    mentions = spans.apart(mentions, F.col("k").isNotNull())
     values = discovered(mentions)
     hits = mentions.where("k is null").drop("k").join(values, "value")
     extra = hits.groupBy("key").agg(F.array_sort(F.collect_set(F.struct((F.col("k") + 4).alias("k"), "start", "end"))).alias("extra"))
     return found, written(extra, "extra")
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", context: tuple[int, int] = CONTEXT) -> DataFrame:
     """(id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_context) for each row of docs, repeated rows included.
 
     A null text counts as empty: no spans, and the digest of the empty string. Positions are code points, end
-    exclusive; spans are ordered by kind, then start. Columns of other names aren't read."""
-    found, extra = _extra(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), "text")
+    exclusive; spans are ordered by kind, then start. context: see CONTEXT. Columns of other names aren't read."""
+    found, extra = _extra(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), context)
     both = found.select("id", "key", "base").join(extra, "key", "left")
     every = F.concat("base", F.coalesce("extra", F.array().cast("array<struct<k:int,start:int,end:int>>")))
 
@@ -144,7 +151,7 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars")
     key, extra_col = "__key", "__extra"
     while key in docs.columns or extra_col in docs.columns:
         key, extra_col = "_" + key, "_" + extra_col
-    _, extra = _extra(docs.select(F.lit(None).cast("int").alias("id"), docs[text_col].alias("text")), "text")
+    _, extra = _extra(docs.select(F.lit(None).cast("int").alias("id"), docs[text_col].alias("text")), CONTEXT)
     extra = extra.select(F.col("key").alias(key), F.col("extra").alias(extra_col))
     rows = docs.withColumn(key, F.md5(F.coalesce(docs[text_col], F.lit("")).cast("binary"))).join(extra, key, "left")
     text = F.col(text_col)
@@ -152,14 +159,17 @@ def redact(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars")
     ordered = F.array_sort(F.transform(every, lambda x: F.struct(x["start"].alias("start"), (-x["end"]).alias("less"), x["k"].alias("k"))))
     names = F.array(*[F.lit(f"<{k.removeprefix('ctx_').upper()}>") for k in KINDS])
 
-    def step(acc, x):
-        fresh = F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.element_at(names, x["k"] + 1))
-        out = F.when(x["start"] >= acc["at"], fresh).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], -x["less"]).alias("at"), out.alias("out"))
+    def clean_of(both):
+        def step(at, x):
+            fresh = F.concat(spans.between(both["cut"], at, x["start"]), F.element_at(names, x["k"] + 1))
+            return F.greatest(at, -x["less"]), F.when(x["start"] >= at, fresh).otherwise("")
 
-    rest = F.lit(1 << 30)
-    clean = F.aggregate(ordered, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, rest)))
-    clean = F.when(text.isNotNull(), F.when(F.size(ordered) > 0, clean).otherwise(text))
+        done = spans.running(both["found"], F.lit(0), step, "string")
+        return F.transform(F.array(done), lambda s: F.concat(F.array_join(s["out"], ""), spans.between(both["cut"], s["at"], F.length(text))))[0]
+
+    bound = lambda found: F.transform(F.array(F.struct(found.alias("found"), spans.pieces(text).alias("cut"))), clean_of)[0]
+    clean = F.transform(F.array(ordered), lambda found: F.when(F.size(found) > 0, bound(found)).otherwise(text))[0]
+    clean = F.when(text.isNotNull(), clean)
     out = rows.withColumn(text_col, clean)
     if length_col in docs.columns:
         out = out.withColumn(length_col, F.length(text_col).cast(dict(docs.dtypes)[length_col]))

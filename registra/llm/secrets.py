@@ -3,7 +3,8 @@
 Base kinds (assign, access, hex) are reported wherever they match. Weak parts are reported only beside their
 complement: a named identifier beside a secret, a long mixed blob beside an access or other identifier, an endpoint
 beside a base part. Beside means that they start within SCOPE code points of one text: an interval join, evaluated
-as a window with a range frame, which can't hold more parts than fit into the scope.
+as a window with a range frame, which can't hold more parts than fit into the scope. Weak parts that overlap a base
+span are no parts.
 
 Texts are known by a digest, so copies are linked once, and the text itself is never shuffled.
 """
@@ -45,10 +46,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
     exclusive; spans are ordered by start, then kind. Columns of other names aren't read."""
     text = F.coalesce(docs[text_col], F.lit(""))
     found = docs.select(docs[id_col].alias("id"), F.md5(text.cast("binary")).alias("key"), text.alias("text"))
-    found = found.withColumn("base", _base(F.col("text"))).withColumn("weak", _weak(F.col("text")))
-    found = written(found.select("id", "key", "base", spans.apart(F.col("weak"), F.col("base")).alias("weak")), "secrets")
+    found = found.select("id", "key", _base(F.col("text")).alias("base"), _weak(F.col("text")).alias("weak"))
+    found = written(found, "secrets")
 
     parts = found.where("size(weak) > 0").dropDuplicates(["key"]).select("key", F.explode(F.concat("base", "weak")).alias("p")).select("key", "p.*")
+    parts = spans.apart(parts, F.col("k") < 3)
     near = Window.partitionBy("key").orderBy("start").rangeBetween(-scope, scope)
 
     def beside(*ks: int) -> Column:

@@ -84,3 +84,94 @@ def test_contexts_find_unseen_identifiers(spark):
 def test_copies_add_no_support(spark):
     got = spans_of(spark, pii.find, ["a b. phone: +1 (555) 010-1000 x"] * 9 + ["a b. phone: 0445551234 x"])
     assert got[9] == ""
+
+
+def brute_links(text, scope=200):
+    """All pairs of parts: a weak part counts if its complement starts within the scope."""
+    base = []
+    for k, (p, least, g) in enumerate(((secrets.ASSIGN, 6, 2), (r"AKIA[A-Z0-9]+", 20, 0), (r"[0-9a-f]+", 24, 0))):
+        base += [(m.start(), k, m.end()) for m in re.finditer(p.replace("((?i:password|passwd|secret|token|api_?key))", "((?ai:password|passwd|secret|token|api_?key))"), text) if len(m[g]) >= least]
+    weak = [(m.start(), k, m.end()) for k, p in ((3, secrets.IDENTIFIER), (4, secrets.BLOB), (5, secrets.ENDPOINT)) for m in re.finditer(p.replace("(?i:", "(?ai:"), text)]
+    parts = base + [w for w in weak if not any(b[0] < w[2] and w[0] < b[2] for b in base)]
+    needs = {3: (0, 2, 4), 4: (1, 3), 5: (0, 1, 2)}
+    return sorted(p for p in parts if p[1] < 3 or any(q[1] in needs[p[1]] and abs(q[0] - p[0]) <= scope for q in parts))
+
+
+def test_links_against_all_pairs(spark):
+    rng = random.Random(11)
+    bits = [*SECRET_BITS, "client_id=ab12 ", "login: zoe1 ", "https://h.example.org/x ", "x " * 40, "y " * 90, "0123456789abcdef01234567 ", " aB3aB3aB3aB3aB3aB3aB3aB3aB3aB3aB3aB3 "]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(40))) for _ in range(400)]
+    got = spans_of(spark, secrets.scan, texts)
+    assert all(got[i] == ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in brute_links(t)) for i, t in enumerate(texts))
+
+
+def test_many_matches_in_one_text(spark):
+    n = 3000
+    secret, private = "".join(f"token=abcdef{i} user: bob{i} " for i in range(n)), "".join(f"é ip: 10.0.{i // 256}.{i % 256} " for i in range(n))
+    docs = spark.createDataFrame([(1, secret, len(secret)), (2, private, len(private))], "doc_id long, text string, n_chars long")
+    one = {r.doc_id: r for r in secrets.scan(docs).collect()}[1]
+    assert one.n_assign == n and one.n_linked == n and one.base_sha256 == base_secrets(secret)[-1]
+    two = {r.doc_id: r for r in pii.find(docs).collect()}[2]
+    assert two.n_ip == n and two.base_sha256 == base_pii(private)[-1]
+    clean = {r.doc_id: r for r in pii.redact(docs.where("doc_id = 2")).collect()}[2]
+    assert clean.text == "é ip: <IP> " * n and clean.n_chars == len(clean.text)
+
+
+def brute_discovered(mentions, rounds=3, support=3, confident=0.8):
+    """The scores of patterns and values over plain dictionaries; mentions: (k or None, value, patterns)."""
+    import math
+
+    seed = {}
+    for k, v, ps in mentions:
+        for p in ps:
+            old = seed.get((p, v))
+            seed[p, v] = k if old is None else old if k is None else min(old, k)
+    size = {}
+    for p, _ in seed:
+        size[p] = size.get(p, 0) + 1
+    passed = {}
+    for _ in range(rounds):
+        known = {(v, k): 1.0 for (_, v), k in seed.items() if k is not None} | passed
+        sure, held = {}, {}
+        for p, v in seed:
+            for (w, k), s in known.items():
+                if w == v:
+                    held[p, k] = held.get((p, k), 0.0) + s
+                    sure[p, k] = sure.get((p, k), 0) + (s >= confident)
+        conf = {pk: h / (size[pk[0]] + 0.5) for pk, h in held.items() if size[pk[0]] >= support}
+        conf = {pk: c for pk, c in conf.items() if sure[pk] >= support and c >= confident}
+        rest = {}
+        for (p, v), k in seed.items():
+            for (q, kind), c in conf.items():
+                if k is None and p == q:
+                    rest[v, kind] = rest.get((v, kind), 0.0) + math.log(1 - c)
+        passed = {vk: 1 - math.exp(x) for vk, x in rest.items()}
+        if not passed:
+            break
+    best = {}
+    for (v, k), s in passed.items():
+        if s >= confident and (v not in best or (s, -k) > best[v]):
+            best[v] = (s, -k)
+    return {v: -k for v, (_, k) in best.items()}
+
+
+def test_pattern_scores_against_dictionaries(spark):
+    rng = random.Random(3)
+    found = set()
+    for _ in range(4):
+        rows = []
+        for v in range(160):
+            kind = rng.choice([0, 0, 1, 1, None])
+            own = [f"p{rng.randrange(9)}" if kind is None else f"p{kind * 4 + rng.randrange(4)}" if rng.random() < 0.97 else "p8" for _ in range(rng.randrange(3))]
+            rows += [(kind, f"v{v}", own)] * rng.randrange(1, 3)
+        got = {r.value: r.k for r in pii.discovered(spark.createDataFrame(rows, "k int, value string, patterns array<string>")).collect()}
+        assert got == brute_discovered(rows)
+        found |= set(got.items())
+    assert found
+
+
+def test_long_identifiers(spark):
+    uuid = "550e8400-e29b-41d4-a716-{:012d}"
+    texts = [f"Our record. email: user{i}@mail.example and more" for i in range(20)] + [f"Our record. email: {uuid.format(7)} and more", "Our record. email: ABCDE12345678 and more"]
+    got = spans_of(spark, pii.find, texts)
+    assert got[20] == "ctx_email:19:55" and got[21] == "ctx_email:19:32"
