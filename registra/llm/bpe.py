@@ -5,6 +5,8 @@ hold the smallest pair rank below them, the leftmost one on ties: key = rank * w
 the root's pair, joins it with its right neighbour and updates the leaves whose pair changed (the merged one,
 the previous live one and the one that died), a logarithmic number of nodes each. Trees of all new pieces of
 one batch and one width are updated side by side in numpy arrays; pieces seen before come from a bounded memo.
+
+Texts are first cut at single spaces, where every match of the pattern ends: see Units.
 """
 
 from __future__ import annotations
@@ -12,18 +14,21 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
 from registra.llm.common import in_slices
 
-#: Pieces that a worker keeps encoded; beyond it the memo is emptied. A bound on memory only: results don't depend on it.
+#: Pieces, and units of texts, that a worker keeps encoded; beyond it the memo is emptied. A bound on memory only: results don't depend on it.
 MEMO = 400_000
+#: Longer units aren't kept.
+LONGEST = 64
 #: Cells of the arrays of trees that are updated together.
 CELLS = 500_000
 
@@ -34,41 +39,9 @@ _SPREAD = 0x9E3779B97F4A7C15
 _FEW = 24
 
 
-@lru_cache(maxsize=1)
-def fast_pattern() -> re.Pattern:
-    """The split pattern for texts whose every character is classed alike by `re` and by Unicode's general
-    categories. `re` matches it about twice as fast as the general pattern."""
-    return re.compile(r" ?(?:[^\W\d_]+|\d+)|'(?:s|t|re|ve|m|ll|d)| ?[^\s\w]+|\s+(?!\S)|\s+")
-
-
-@lru_cache(maxsize=8)
-def _patterns(pattern: str) -> tuple:
-    """The general pattern and, for the public GPT-2 style pattern, the class of characters for which the fast one
-    may not be used: those that `re` classes otherwise, and the underscore."""
-    general = regex.compile(pattern)
-    if pattern != r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""":
-        return general, None, ""
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    odd = set("_")
-    for theirs, ours in ((r"\p{L}", r"[^\W\d_]"), (r"\p{N}", r"\d"), (r"\s", r"\s")):
-        odd |= set(regex.findall(theirs, every)) ^ set(re.findall(ours, every))
-    return general, frozenset(odd), "".join(c for c in sorted(odd) if c < "\u0100")
-
-
-def is_plain(text: str, pattern: str, but: str = "") -> bool:
-    """Whether the fast pattern splits text as the general one does; characters of `but` are not looked for."""
-    _, odd, low = _patterns(pattern)
-    if odd is None:
-        return False
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return (odd - set(but) if but else odd).isdisjoint(text)
-    return not any(c in text for c in low if c not in but)
-
-
-def split(text: str, pattern: str) -> list[str]:
-    return (fast_pattern() if is_plain(text, pattern) else _patterns(pattern)[0]).findall(text)
+# Fixed value: the public pattern whose matches all end before a space that isn't next to other white space.
+AT_SPACES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_SPACED = re.compile(r" \s")
 
 
 class Ranks:
@@ -230,28 +203,92 @@ def _encode_tree(piece: bytes, ranks: Ranks) -> bytes:
     return np.array([i for i in ids if i >= 0], dtype="<u4").tobytes()
 
 
-class Memo:
-    """Encodes texts piece by piece, a batch of texts at a time; keeps what pieces were encoded to, up to `most` pieces and those of one batch.
-
-    encode: gives the ids of each of many pieces as little-endian unsigned 32-bit integers."""
+def units(text: str) -> list[str]:
+    """The text cut before its spaces, the space left out. A space between white space (or between white space and the
+    text's end) is no cut: there it stays in the unit."""
+    found = text.split(" ")
+    out = found[:1]
+    for k in range(1, len(found)):
+        before, after = out[-1], found[k]
+        inner = k > 1 and not before or before[-1:].isspace()
+        if inner and (not after or after[0].isspace()):
+            out[-1] = f"{before} {after}"
+        else:
+            out.append(after)
+    return out
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], pattern: str, most: int = MEMO):
-        self.encode, self.pattern, self.most, self.memo = encode, pattern, most, {}
 
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        parts = [split(t, self.pattern) for t in texts]
+class Units:
+    """Encodes texts unit by unit, a batch of texts at a time. Arrow cuts the texts and finds the batch's distinct
+    units; each of them is encoded once, or comes from the memo of up to `most` units and those of one batch; the ids
+    are gathered with numpy.
+
+    encode: gives the ids of each of many strings as little-endian unsigned 32-bit integers. A unit that isn't the
+    first of its text is encoded with the space before it."""
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = MEMO):
+        self.encode, self.most, self.memo = encode, most, {}
+
+    def _packed(self, keys: list[str]) -> list[bytes]:
+        found = list(map(self.memo.get, keys))
+        if None in found:
+            at = [k for k, x in enumerate(found) if x is None]
+            for k, x in zip(at, self.encode([keys[k] for k in at])):
+                found[k] = x
+                if len(keys[k]) <= LONGEST:
+                    self.memo[keys[k]] = x
+        return found
+
+    def _gathered(self, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+        first = lists.offsets.to_numpy()[:-1].astype(np.int64)
+        words = lists.flatten()
+        rest = np.ones(len(words), dtype=bool)
+        rest[first] = False
+        leading, others = words.take(pa.array(first)).dictionary_encode(), words.filter(pa.array(rest)).dictionary_encode()
+        table = self._packed([*(" " + w for w in others.dictionary.to_pylist()), *leading.dictionary.to_pylist()])
+        sizes = np.fromiter(map(len, table), dtype=np.int64, count=len(table)) // 4
+        starts, ids = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(table), dtype="<u4")
+        row = np.empty(len(words), dtype=np.int64)
+        row[rest], row[first] = others.indices.to_numpy(), leading.indices.to_numpy() + len(others.dictionary)
+        n = sizes[row]
+        place = np.repeat(starts[row] - np.cumsum(n) + n, n)
+        place += np.arange(len(place))
+        return ids[place], np.add.reduceat(n, first) if len(first) else n
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.memo) > self.most:
             self.memo.clear()
-        new = list(set().union(*parts).difference(self.memo))
-        self.memo.update(zip(new, self.encode(new)))
-        get = self.memo.__getitem__
-        return (b"".join(map(get, p)) for p in parts)
+        odd = [bool(_SPACED.search(t)) or t[-1:] == " " and t[-2:-1].isspace() for t in texts]
+        even = pc.split_pattern(pa.array([t for t, o in zip(texts, odd) if not o], pa.string()), " ")
+        parts = []
+        for lists in (even, pa.array([units(t) for t, o in zip(texts, odd) if o], pa.list_(pa.string()))):
+            ids, counts = self._gathered(lists)
+            ends = np.cumsum(counts)
+            parts.append(iter([ids[a:b].tobytes() for a, b in zip((ends - counts).tolist(), ends.tolist())]))
+        return [next(parts[o]) for o in odd]
+
+
+def piecewise(encode: Callable[[list[str]], list[bytes]], pattern: str, most: int = MEMO) -> Callable[[list[str]], list[bytes]]:
+    """The ids of strings by those of their pieces, the pattern's matches; each new piece is encoded once."""
+    memo: dict[str, bytes] = {}
+    find = regex.compile(pattern).findall
+
+    def run(texts: list[str]) -> list[bytes]:
+        parts = list(map(find, texts))
+        if len(memo) > most:
+            memo.clear()
+        new = list(set().union(*parts).difference(memo))
+        memo.update(zip(new, encode(new)))
+        return [b"".join(map(memo.__getitem__, p)) for p in parts]
+
+    return run
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str, pattern: str) -> Memo:
+def encoder(path: str, pattern: str) -> Callable[[list[str]], list[bytes]]:
     ranks = ranks_at(path)
-    return Memo(lambda new: encode_pieces([p.encode("utf-8", "replace") for p in new], ranks), pattern)
+    run = piecewise(lambda new: encode_pieces([p.encode("utf-8", "replace") for p in new], ranks), pattern)
+    return Units(run) if pattern == AT_SPACES else run
 
 
 def decode(ids: np.ndarray, ranks: Ranks) -> bytes:

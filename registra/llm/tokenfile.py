@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from registra.llm.bpe import Memo, is_plain
+from registra.llm.bpe import AT_SPACES, Units
 from registra.llm.common import in_slices, shuffle_partitions
 from registra.sources.shared import shared_dir
 
@@ -36,7 +36,7 @@ PERCENTILES = (50, 75, 90, 95, 98, 100)
 #: Bytes of an exception: its place in the block and its residual.
 EXCEPTION = 5
 
-#: Pieces that a worker keeps encoded: the library takes longer for a piece than the memory of it is worth.
+#: Units of texts that a worker keeps encoded: the library takes longer for one than the memory of it is worth.
 MEMO = 1_000_000
 
 FILE = "shard int, segment int, first long, doc_ids array<long>, sizes array<int>, minima array<int>, widths array<tinyint>, starts array<int>, packed binary, exceptions array<tinyint>, places binary, residuals binary"
@@ -106,28 +106,29 @@ def unpack(x: dict, first: int = 0, last: int | None = None) -> np.ndarray:
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str, pattern: str):
-    """Encodes texts with the tokenizers library: piece by piece, each new piece once, where the pattern's classes
-    are those of plain text; other texts whole."""
+def _encoder(path: str, pattern: str, plain: bool):
+    """Encodes texts with the tokenizers library: cut at spaces, each new unit once, where the tokenizer splits texts
+    by a pattern that allows it; texts that hold the string of an added token, and other tokenizers' texts, whole."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+    tokenizer.encode_special_tokens = plain
+    added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
 
     def encode(new: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)]
 
-    memo = Memo(encode, pattern, MEMO)
+    by_units = Units(encode, MEMO) if pattern == AT_SPACES else encode
 
     def run(texts: list[str]) -> list[bytes]:
-        plain = [is_plain(t, pattern, but="_") for t in texts]
-        pieces, whole = memo([t for t, p in zip(texts, plain) if p]), iter(encode([t for t, p in zip(texts, plain) if not p]))
-        return [next(pieces) if p else next(whole) for p in plain]
+        whole = [any(a in t for a in added) for t in texts]
+        some = [iter(f([t for t, w in zip(texts, whole) if w == k])) for k, f in enumerate((by_units, encode))]
+        return [next(some[w]) for w in whole]
 
     return run
 
 
-def _segments(batches: Iterator[pa.RecordBatch], path: str, pattern: str, end_id: int) -> Iterator[dict]:
-    encode, shard = _encoder(path, pattern), TaskContext.get().partitionId()
+def _segments(batches: Iterator[pa.RecordBatch], path: str, pattern: str, end_id: int, plain: bool) -> Iterator[dict]:
+    encode, shard = _encoder(path, pattern, plain), TaskContext.get().partitionId()
     end = np.array([end_id], dtype="<u4").tobytes()
     ids, sizes, parts, held, first, k = [], [], [], 0, 0, 0
 
@@ -148,9 +149,12 @@ def _segments(batches: Iterator[pa.RecordBatch], path: str, pattern: str, end_id
         yield segment()
 
 
-def write_tokens(docs: DataFrame, tokenizer_path: str, pattern: str, path: str | None = None, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> str:
+def write_tokens(docs: DataFrame, tokenizer_path: str, pattern: str, path: str | None = None, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", plain: bool = False) -> str:
     """Write the ids of every whole text, end_id after each, in ascending order of id_col (long; nulls first, rows of
-    the same id by text). Gives the path, by default a new one in the shared folder. A null text counts as empty."""
+    the same id by text). Gives the path, by default a new one in the shared folder. A null text counts as empty.
+
+    pattern: what the tokenizer splits texts by. plain: strings of special tokens in a text (like <|endoftext|>) are
+    ordinary text; by default they are the special token, as the library gives them."""
     spark = docs.sparkSession
     path = path or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     rows = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
@@ -163,7 +167,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, pattern: str, path: str |
     ])
 
     def run(batches):
-        for x in _segments(batches, tokenizer_path, pattern, end_id):
+        for x in _segments(batches, tokenizer_path, pattern, end_id, plain):
             yield pa.RecordBatch.from_arrays([pa.array([x[f.name]], f.type) for f in arrow], schema=arrow)
 
     ordered.mapInArrow(run, kinds).write.option("compression", "none").parquet(path)

@@ -17,7 +17,7 @@ from registra.llm import bpe, tokenfile
 
 RANKS, JSON = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
 SF = "/root/testdata/sf0.001"
-ODD = ["", "a", "  \n\t x ", "héllo wörld", "don't we'll I'm", "日本語 テスト", "a_b api_key=1", "½ ²³ ٣", "\x1c\x85 ", "😀👍🏽", "ab" * 3000, " " * 500, "x" * 2000]
+ODD = ["", "a", "  \n\t x ", "héllo wörld", "don't we'll I'm", "日本語 テスト", "a_b api_key=1", "½ ²³ ٣", "\x1c\x85 ", "😀👍🏽", "ab" * 3000, " " * 500, "x" * 2000, " a", "a ", "a  ", "a\n ", "a \n b", "a\n b", " \n", "  b  c ", "a 's it's 'll", "a\u00a0 b", " \u2028 x", "a \x1c b"]
 
 
 @pytest.fixture(scope="module")
@@ -40,6 +40,20 @@ def test_any_text(library, texts):
     assert ids(texts) == [library.encode_ordinary(t) for t in texts]
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="ab' \n\t.1é\u00a0\u3000'", max_size=14), max_size=8))
+def test_white_space(library, texts):
+    want = [library.encode_ordinary(t) for t in texts]
+    assert ids(texts) == want
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in tokenfile._encoder(JSON, public_tokenizers.PATTERN, False)(texts)] == want
+
+
+def test_memo_is_a_bound_on_memory_only(library):
+    one = bpe.Units(bpe.piecewise(lambda new: bpe.encode_pieces([p.encode() for p in new], bpe.ranks_at(RANKS)), public_tokenizers.PATTERN, 3), 3)
+    for texts in (["one two three four", "five six"], ["one " + "x" * 500, "seven"], [], ["two two"]):
+        assert [np.frombuffer(x, dtype="<u4").tolist() for x in one(texts)] == [library.encode_ordinary(t) for t in texts]
+
+
 def test_trees_of_all_sizes(library):
     pieces = [("ab" * k)[:k].encode() for k in range(1, 70)] * 30  # enough of a width for the arrays of trees
     ranks = bpe.ranks_at(RANKS)
@@ -93,6 +107,17 @@ def test_token_files(spark):
         start += len(want)
 
 
+@pytest.mark.parametrize("plain", [False, True])
+def test_strings_of_special_tokens(spark, plain):
+    texts = ["x <|endoftext|> y", "<|endoftext|>", "a<|endoftext|>b c d", "no such string", "<|endoftext |>"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.ids for r in tokenfile.read_tokens(spark, tokenfile.write_tokens(docs, JSON, public_tokenizers.PATTERN, plain=plain), with_ids=True).collect()}
+    library = Tokenizer.from_file(JSON)
+    library.encode_special_tokens = plain
+    assert [got[i] for i in range(len(texts))] == [library.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+    assert (50256 in got[0]) == (not plain)
+
+
 def test_repeated_and_null_ids(spark):
     rows = spark.createDataFrame([(5, "b"), (5, "b"), (None, "a"), (None, None)], "doc_id long, text string")
     got = sorted((r.start, r.n_tokens) for r in tokenfile.read_tokens(spark, tokenfile.write_tokens(rows, JSON, public_tokenizers.PATTERN)).collect())
