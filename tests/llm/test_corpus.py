@@ -207,6 +207,52 @@ def test_alignment():
     assert wrapper.align(a, b) == (0, 1, 3, 5, -1, -1, 6)
 
 
+def brute_matching(a, b):
+    """The size of the largest simple tree matching, by recursion over nested tuples (label, child, ...)."""
+    if a[0] != b[0]:
+        return 0
+    table = [[0] * len(b) for _ in a]
+    for i in range(1, len(a)):
+        for j in range(1, len(b)):
+            table[i][j] = max(table[i - 1][j], table[i][j - 1], table[i - 1][j - 1] + brute_matching(a[i], b[j]))
+    return 1 + table[-1][-1]
+
+
+def test_alignment_against_recursion():
+    rng = np.random.default_rng(4)
+
+    def tree(depth):
+        kids = [tree(depth - 1) for _ in range(rng.integers(0, 5))] if depth else []
+        return ("abc"[rng.integers(3)], *(k for n, k in enumerate(kids) if not n or k != kids[n - 1]))
+
+    text = lambda t: f"{t[0]}({','.join(map(text, t[1:]))})"
+    for _ in range(150):
+        a, b = ("r", *tree(4)[1:]), ("r", *tree(4)[1:])
+        to = wrapper.align(text(a), text(b))
+        assert sum(x >= 0 for x in to) == brute_matching(a, b)
+        forest = wrapper.Forest()
+        (x, inner), (y, _) = forest.add(text(a)), forest.add(text(b))
+        kept = [j for j in to if j >= 0]
+        assert kept == sorted(set(kept)) and all(forest.label[x[i]] == forest.label[y[j]] for i, j in enumerate(to) if j >= 0)
+        assert all(to[i] >= 0 for i, own in enumerate(inner) for c in own if to[c] >= 0)
+
+
+def test_alignment_of_many_children():
+    unlike = [f"{'pq'[k % 2]}({'u(),' * (k % 7)}v())" for k in range(3000)]
+    a, b = f"r({','.join(unlike)})", f"r({','.join(unlike[:1000] + ['x()'] + unlike[1003:2500] + ['x()'] * 5 + unlike[2400:])})"
+    assert sum(x >= 0 for x in wrapper.align(a, b)) >= sum(u.count("(") for u in unlike[:1000] + unlike[1003:2500] + unlike[2500:])
+
+
+def test_deep_pages_and_names(spark):
+    def deep(n):
+        return "<div>" * n + f"<nav>Home</nav><p>main {n}</p><footer>(c)</footer>" + "</div>" * n
+
+    names = '<article><p class="related-work">One</p><div class="search-results">Two</div><div class="share-price">Three</div><div class="related-posts">no</div><div id="comments">no</div><div class="shareButtons">no</div><p class="has-sidebar">Four</p></article>'
+    rows = [(n, "http://d.x/", deep(n)) for n in (20, 120, 5000)] + [(1, "http://n.x/", names)]
+    got = {r.page_id: r.text for r in wrapper.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[n] == f"main {n}" for n in (20, 120, 5000)) and got[1] == "One\nTwo\nThree\nFour"
+
+
 def brute_neighbours(rows, every, k):
     ids, v = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=float)
     unit = v / np.linalg.norm(v, axis=1, keepdims=True)
@@ -245,6 +291,49 @@ def test_neighbours_in_crowds(spark):
     assert np.mean([len(set(found[q]) & set(want[q])) / 5 for q in want]) >= 0.9
 
 
+def test_neighbours_of_every_length_and_scale(spark):
+    rng = np.random.default_rng(5)
+    v = [x.tolist() for x in rng.normal(size=(400, 8))]
+    rows = [(i, x) for i, x in enumerate(v)]
+    for odd in ([(10**6 + i, [1.0, float(i), 2.0]) for i in range(3)], [(10**6 + 50 * i, rng.normal(size=3).tolist()) for i in range(300)]):
+        got = permutation.nearest(spark.createDataFrame(odd + rows, "vec_id long, embedding array<double>"), share=0.2, least=16).collect()
+        own, other = [r for r in got if r.query_id < 10**6], [r for r in got if r.query_id >= 10**6]
+        want = brute_neighbours(rows, 50, 5)
+        assert len(own) == 40 and all(r.vec_id < 10**6 for r in own) and all(r.vec_id >= 10**6 for r in other)
+        assert np.mean([r.vec_id in want[r.query_id] for r in own]) >= 0.8
+        assert len(other) == (2 if len(odd) == 3 else 5 * 300)
+    for scale in (1e-200, 1e200, 1e-310):
+        small = [(i, (np.array(x) * (scale if i % 3 == 0 else 1.0)).tolist()) for i, x in rows]
+        got = permutation.nearest(spark.createDataFrame(small, "vec_id long, embedding array<double>"), share=1.0).collect()
+        u = np.array(v) / np.linalg.norm(np.array(v), axis=1, keepdims=True)
+        assert len(got) == 40 and all(abs(r.score - u[r.query_id] @ u[r.vec_id]) < 1e-9 for r in got)
+        assert scale == 1e-310 or all(r.vec_id == want[r.query_id][r.rank - 1] for r in got)
+
+
+def test_neighbours_of_repeated_ids(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (0, [1.0, 0.0]), (7, [1.0, 0.1]), (7, [1.0, 0.1])]
+    got = sorted((r.query_id, r.rank, r.vec_id, round(r.score, 6)) for r in permutation.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=2).collect())
+    near, far = round(1 / 1.01**0.5, 6), round(0.1 / 1.01**0.5, 6)
+    assert got == sorted([(0, 1, 0, 1.0), (0, 2, 7, near)] * 2 + [(0, 1, 7, far), (0, 2, 7, far)])
+
+
+def test_inverted_files():
+    rng = np.random.default_rng(8)
+    v, pivot = rng.normal(size=(300, 12)), rng.normal(size=(40, 12))
+    pivot /= np.linalg.norm(pivot, axis=1, keepdims=True)
+    own = permutation.orders(v, pivot, 10)
+    ends, posted, ranks = permutation.inverted(own, 40)
+    assert len(posted) == 3000 and all(own[posted[i], ranks[i]] == p for p in range(40) for i in range(ends[p - 1] if p else 0, ends[p]))
+    assert (own == np.argsort(-(v @ pivot.T), axis=1, kind="stable")[:, :10]).all()
+    asked = own[5][:6]
+    rank_of = [{p: r for r, p in enumerate(o.tolist())} for o in own]
+    distance = [sum(abs(o.get(p, 10) - r) for r, p in enumerate(asked.tolist())) for o in rank_of]
+    saved = permutation.footrule(asked, ends, posted, ranks, 300, 10)
+    assert (saved == sum(10 - r for r in range(6)) - np.array(distance)).all()
+    walked = sum(ends[p] - (ends[p - 1] if p else 0) for p in asked.tolist())
+    assert walked < 6 * 300 / 2  # most of the index is not read
+
+
 def test_few_vectors(spark):
     rows = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (50, [0.0, 2.0])], "vec_id long, embedding array<double>")
     got = sorted(tuple(r) for r in permutation.nearest(rows).select("query_id", "rank", "vec_id").collect())
