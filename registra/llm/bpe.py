@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from registra.llm.common import in_slices
 
 #: Pieces, and units of texts, that a worker keeps encoded; beyond it the memo is emptied. A bound on memory only: results don't depend on it.
-MEMO = 400_000
+MEMO, UNITS = 400_000, 700_000
 #: Longer units aren't kept.
 LONGEST = 64
 #: Cells of the arrays of trees that are updated together.
@@ -226,7 +226,7 @@ class Units:
     encode: gives the ids of each of many strings as little-endian unsigned 32-bit integers. A unit that isn't the
     first of its text is encoded with the space before it."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = MEMO):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], most: int = UNITS):
         self.encode, self.most, self.memo = encode, most, {}
 
     def _packed(self, keys: list[str]) -> list[bytes]:
