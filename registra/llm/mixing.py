@@ -5,7 +5,8 @@ fractional rest as its inclusion probability. The flight phase moves three proba
 space of the balancing constraints (number of documents, number of words) until one of them is 0 or 1. It runs in
 blocks of at most about BLOCK documents of one source, so a large source is many tasks; what is left fractional of
 each block, two documents at most, meets in the blocks of the next level, until one block of each source is left.
-Its last two documents are the landing problem.
+That block takes its large documents first, so the last two, the landing problem, are small ones as a rule: they are
+taken or left as whole documents, whichever comes nearest to the target.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from registra.llm.common import written
+from registra.llm.common import shuffle_partitions, written
 
 BLOCK = 2048
 #: Weights of the sources in order of their names, repeating.
@@ -72,49 +73,76 @@ def landing(p: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def sources(sizes: DataFrame) -> DataFrame:
-    """(source, rank, source_size, n, target) from (source, size). One row for each source; ordered windows over them.
+    """(source, rank, source_size, n, target) from (source, size): one row for each source, in any number of them.
 
-    Targets share SHARE of all words by weight. The level at which weight * level meets the cap MOST * size orders
-    the sources: those below the level that the others' weights leave stop at their caps, the rest get weight * level."""
+    Ranks come from a range-partitioned order. Targets share SHARE of all words by weight, weight * level, but for
+    sources whose cap, MOST * size, is below that: the level rises by what they leave, until no more of them stop."""
+    spark = sizes.sparkSession
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    ranked = totals.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())))
-    weights = F.array(*[F.lit(float(w)) for w in WEIGHTS])
-    ranked = ranked.withColumn("weight", F.element_at(weights, (F.col("rank") - 1) % len(WEIGHTS) + 1)).withColumn("cap", MOST * F.col("source_size"))
-    by_level = Window.orderBy(F.col("cap") / F.col("weight"), "rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy()
-    left = SHARE * F.sum("source_size").over(whole) - (F.sum("cap").over(by_level) - F.col("cap"))
-    rest = F.sum("weight").over(whole) - (F.sum("weight").over(by_level) - F.col("weight"))
-    leveled = ranked.withColumn("level", left / rest).withColumn("stops", F.col("cap") <= F.col("level") * F.col("weight"))
-    level = F.min_by("level", F.when(~F.col("stops"), F.col("cap") / F.col("weight"))).over(whole)
-    return leveled.withColumn("target", F.when(F.col("stops"), F.col("cap")).otherwise(F.col("weight") * level)).select("source", "rank", "source_size", "n", "target")
+    by_name = F.col("source").asc_nulls_last()
+    ordered = totals.repartitionByRange(shuffle_partitions(spark), by_name).sortWithinPartitions(by_name).withColumn("at", F.monotonically_increasing_id())
+    table = written(ordered.select("source", "source_size", "n", F.shiftright("at", 33).cast("int").alias("part"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("local")), "sources")
+    before, offsets = 0, []
+    for part, n in sorted(map(tuple, table.groupBy("part").agg(F.count("*")).collect())):
+        offsets += [F.lit(part), F.lit(before)]
+        before += n
+    rank = F.element_at(F.create_map(*offsets), F.col("part")) + F.col("local") + 1 if offsets else F.col("local")
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]), F.pmod(rank - 1, F.lit(len(WEIGHTS))).cast("int") + 1)
+    ranked = table.select("source", rank.alias("rank"), "source_size", "n", weight.alias("weight"), (MOST * F.col("source_size")).alias("cap"))
+    words, weights = ranked.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(1.0))).first()
+    level = SHARE * words / weights
+    while True:
+        stops = F.col("cap") <= level * F.col("weight")
+        capped, rest = ranked.agg(F.coalesce(F.sum(F.when(stops, F.col("cap"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~stops, F.col("weight"))), F.lit(0.0))).first()
+        higher = (SHARE * words - capped) / rest if rest else level
+        if higher <= level * (1 + 1e-12):
+            break
+        level = higher
+    return ranked.select("source", "rank", "source_size", "n", F.least("cap", level * F.col("weight")).alias("target"))
+
 
+def numbered(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with `copy`, which counts the rows of equal keys from 0. No task gets all rows of a key: they are counted
+    by the partitions that they lie in, and the partitions' counts are summed up."""
+    parted = written(rows.withColumn("part", F.spark_partition_id()), "parted")
+    counts = parted.groupBy(*keys, "part").agg(F.count("*").alias("held")).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("part", "held"))).alias("parts")).where("size(parts) > 1")
+    named = [F.col(k).alias(f"k_{k}") for k in keys]
+    counts = counts.select(*named, "parts")
+    same = [parted[k].eqNullSafe(counts[f"k_{k}"]) for k in keys]
+    local = F.row_number().over(Window.partitionBy(*keys, "part").orderBy(*keys)) - 1
+    met = parted.withColumn("local", local).join(counts, same, "left")
+    offset = F.aggregate(F.filter("parts", lambda x: x["part"] < F.col("part")), F.lit(0).cast("long"), lambda a, x: a + x["held"])
+    return met.select(*rows.columns, (F.col("local") + F.coalesce(offset, F.lit(0))).cast("long").alias("copy"))
 
-def _flight_of(level: int, land: bool, names: list[str]):
-    """The flight, and perhaps the landing, of one block. Rows are ordered by their ids' hash; the seed is the block's."""
+
+def _flight_of(level: int, last: bool, names: list[str]):
+    """The flight, and of the last block of a source the landing. Rows are ordered by their hashes, in the last block
+    by size first; the seed is the block's."""
 
     def fly(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        by = np.lexsort((group["size"].to_numpy(), group["id"].astype("string").fillna("").to_numpy(dtype=str), group["order"].to_numpy()))
+        size = group["size"].to_numpy()
+        by = np.lexsort((group["copy"].to_numpy(), size, group["order"].to_numpy(), -size if last else np.zeros(len(size))))
         group = group.iloc[by]
         x = group["size"].to_numpy(dtype=float)
         p = flight(group["p"].to_numpy(), x, np.random.default_rng([level, int(key[0]), int(key[1])]).random(len(group) + 1))
-        return group.assign(p=landing(p, x) if land else p)[names]
+        return group.assign(p=landing(p, x) if last else p)[names]
 
     return fly
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", whole: bool = False) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(id, size, source_size, target, taken, copies) for each row of docs.
 
-    size: words of the whole text (null: 0). taken: words that the mix takes, between 0 and 2 times size; copies:
-    times that the document is taken, fractional for the landing documents of a source unless `whole`, which rounds
-    the landing to whole documents. Without it a source's words are its target to less than a word. Null sources are
-    one source, the last. Draws depend on ids alone, so reruns agree; rows of the same id and size are interchangeable."""
+    size: words of the whole text (null: 0). copies: whole times that the document is taken, 0 to 2; taken: words that
+    this gives. A source's words differ from its target by less than the larger of the last two documents. Null sources
+    are one source, the last. Draws depend on ids and texts alone, so reruns agree; equal rows are interchangeable."""
     words = F.coalesce(F.regexp_count(docs[text_col], F.lit(WORD)), F.lit(0)).cast("long")
-    sizes = written(docs.select(docs[id_col].alias("id"), docs[source_col].alias("source"), words.alias("size")), "sizes")
-    table = written(sources(sizes), "sources")
+    sizes = docs.select(docs[id_col].alias("id"), docs[source_col].alias("source"), words.alias("size"), F.xxhash64(docs[text_col]).alias("digest"))
+    sizes = written(numbered(sizes, ["id", "source", "size", "digest"]), "sizes")
+    table = written(sources(sizes), "targets")
     times = F.coalesce(F.col("target") / F.when(F.col("source_size") > 0, F.col("source_size")), F.lit(0.0))
     times = F.when(F.abs(times - F.round(times)) < _EDGE, F.round(times)).otherwise(times)
-    rows = sizes.alias("d").join(table.alias("s"), F.expr("d.source <=> s.source")).select("id", "size", "rank", "n", "source_size", "target", times.alias("times"))
+    rows = sizes.alias("d").join(table.alias("s"), F.expr("d.source <=> s.source")).select("id", "size", "digest", "copy", "rank", "n", "source_size", "target", times.alias("times"))
     rows = rows.withColumn("base", F.floor("times").cast("double")).withColumn("p", F.col("times") - F.col("base")).drop("times")
     schema, names = rows.schema, rows.columns
     most = table.agg(F.max("n")).first()[0] or 0
@@ -122,25 +150,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     while True:
         blocks = f"cast(ceil(n / {BLOCK // 2} / pow({BLOCK // 4}, {level})) as int)"
         last = most / (BLOCK // 2) / (BLOCK // 4) ** level <= 1
-
-        dealt = rows.withColumn("order", F.xxhash64("id", F.lit(level))).withColumn("block", F.expr(f"cast(pmod(xxhash64(id, 17), {blocks}) as int)"))
-        flown = written(dealt.groupBy("rank", "block").applyInPandas(_flight_of(level, last and whole, names), schema), "flown")
+        dealt = rows.withColumn("order", F.xxhash64("id", "digest", "copy", F.lit(level))).withColumn("block", F.expr(f"cast(pmod(xxhash64(id, digest, copy, 17), {blocks}) as int)"))
+        flown = written(dealt.groupBy("rank", "block").applyInPandas(_flight_of(level, last, names), schema), "flown")
         settled = flown if last else flown.where("p <= 0 or p >= 1")
         done = settled if done is None else done.unionByName(settled)
         if last:
             break
         rows, level = flown.where("p > 0 and p < 1"), level + 1
-    part = F.sum(F.when((F.col("p") > 0) & (F.col("p") < 1), F.col("p") * F.col("size")).otherwise(0.0)).over(Window.partitionBy("rank"))
-    fractional = done.where("p > 0 and p < 1")
-    landed = fractional.withColumn("sum", part).withColumn("k", F.row_number().over(Window.partitionBy("rank").orderBy("size", F.xxhash64("id"))))
-    first = F.round(F.col("p") * F.col("size"))
-    own = F.when(F.col("k") == 1, first).otherwise(F.round("sum") - F.sum(F.when(F.col("k") == 1, first).otherwise(0.0)).over(Window.partitionBy("rank")))
-    landed = landed.withColumn("extra", F.least(F.greatest(own, F.lit(0.0)), F.col("size").cast("double"))).drop("sum", "k")
-    every = done.where("p <= 0 or p >= 1").withColumn("extra", F.col("p") * F.col("size")).unionByName(landed)
-    return every.select(
-        F.col("id").alias(id_col), "size", "source_size", "target",
-        (F.col("base") * F.col("size") + F.col("extra")).cast("long").alias("taken"), (F.col("base") + F.col("p")).alias("copies"),
-    )
+    copies = F.col("base") + F.col("p")
+    return done.select(F.col("id").alias(id_col), "size", "source_size", "target", (copies * F.col("size")).cast("long").alias("taken"), copies.cast("int").alias("copies"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -150,6 +168,6 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
         row, times = "_" + row, "_" + times
     rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
     keyed = rows.select(F.col(row).alias("id"), F.col(text_col).alias("text"), F.col(source_col).alias("source"))
-    taken = mix(keyed, "id", "text", "source", whole=True).select(F.col("id").alias(row), F.round("copies").cast("int").alias(times)).where(F.col(times) > 0)
+    taken = mix(keyed, "id", "text", "source").select(F.col("id").alias(row), F.col("copies").alias(times)).where(F.col(times) > 0)
     # Sorted on both sides at every size: what is broadcast at one size and shuffled at another grows by leaps.
     return rows.join(taken.hint("merge"), row).withColumn(times, F.explode(F.expr(f"sequence(1, `{times}`)"))).select(*docs.columns)
