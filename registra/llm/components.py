@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from registra.llm.common import written
+from registra.llm.common import erase, new_path, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -24,16 +24,20 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of an edge (a, b) but the roots themselves; root is the smallest node that can be reached.
 
-    Each round is written to the shared folder, so the lineage stays short and lost executors cost one round."""
-    edges = written(edges.select("a", "b").where("a <> b").distinct(), "edges")
-    before = None
-    for _ in range(most_rounds):
-        edges = written(_star(_star(edges, large=True), large=False), "edges")
+    Each round is written to the shared folder, so the lineage stays short and lost executors cost one round; the round
+    before is erased. Rounds go on until one changes nothing."""
+    spark = edges.sparkSession
+    edges = edges.select("a", "b").where("a <> b").distinct()
+    before, last = None, None
+    while True:
+        path = new_path(spark, "edges")
+        edges = written(edges if last is None else _star(_star(edges, large=True), large=False), "edges", path)
+        if last is not None:
+            erase(spark, last)
         now = edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first()
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = now
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+        before, last = now, path

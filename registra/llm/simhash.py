@@ -3,14 +3,18 @@
 Fingerprints are 64-bit SimHashes of word shingles. Equal fingerprints collapse into one node first. Nodes that
 differ in at most `radius` bits agree in `spare` of `radius + spare` runs of bits, so each choice of `spare` runs
 makes a table, and any two linked nodes share a bucket (table, bits of those runs): the search is exact. Buckets of
-one node are dropped, and large ones become tiles, one for each pair of their chunks, so no task gets more than two
-chunks of a bucket. In a task the bit planes of all its nodes are stored vertically; the distances of all pairs
+one node are dropped. Of a large bucket every node is first compared with one of its nodes, the pivot, chunk by chunk;
+nodes linked to the pivot need no more comparison with each other, and those that are nearer to the pivot than any
+other node allows need none at all. Only the rest becomes tiles, pairs of chunks, so no task gets more than two chunks
+of a bucket, and a group that hangs together around its pivot is read twice and not once for each chunk. In a task the
+bit planes of all its nodes are stored vertically; the distances of all pairs
 (i, i + d) of one bucket are counted side by side, plane after plane, in carry-save counters of machine words, and
 words whose pairs all exceed the radius, or are linked already, are abandoned. Tasks return forests, not all pairs.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -27,6 +31,8 @@ from registra.llm.components import connected_components
 TILE = 2048
 #: Nodes whose buckets are compared at once in a task.
 BATCH = 1 << 16
+#: The same, of nodes that carry parities.
+MARKED = 1 << 13
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -129,15 +135,16 @@ def _within(planes: np.ndarray, at: np.ndarray, lanes: np.ndarray, d: int, radiu
     return (at, last) if len(at) else (at, lanes)
 
 
-def forest(bucket: np.ndarray, fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
+def forest(bucket: np.ndarray, fps: np.ndarray, radius: int, known: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Pairs of row numbers that connect all rows of equal bucket (rows come sorted by it) that are linked by
-    distances of at most radius."""
+    distances of at most radius. known rows of a bucket are linked to each other already."""
     n, pairs = len(fps), []
     if n < 2:
         return pairs
     words = (n + 63) // 64
     planes = bit_planes(fps)
-    label, parent = np.arange(n), list(range(n))
+    label = np.arange(n) if known is None else linked_before(bucket, known)
+    parent = label.tolist()
 
     def find(i: int) -> int:
         while parent[i] != i:
@@ -173,6 +180,14 @@ def forest(bucket: np.ndarray, fps: np.ndarray, radius: int) -> list[tuple[int,
         d += 1
 
 
+def linked_before(bucket: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """A label for each row: of known rows the first known one of their bucket, of others themselves."""
+    label, at = np.arange(len(bucket)), np.flatnonzero(known)
+    _, first, own = np.unique(bucket[at], return_index=True, return_inverse=True)
+    label[at] = at[first][own]
+    return label
+
+
 def spare_runs(n: int, radius: int, most: int = 128) -> int:
     """Runs that a table's key is made of, so that a bucket holds `most` of n evenly spread nodes at most. Any number
     gives all links: more runs mean smaller buckets in more tables."""
@@ -182,40 +197,80 @@ def spare_runs(n: int, radius: int, most: int = 128) -> int:
     return spare
 
 
-def _tiled(keyed: DataFrame, tile: int) -> DataFrame:
-    """keyed: (node, ..., key) with a long key. Rows of keys with two nodes or more as (node, ..., bucket); the bucket
-    of a key with more than `tile` nodes is dealt out, one tile for each pair of its chunks."""
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    chunks = F.expr(f"cast(if(n > {tile}, ceil(n / {tile // 2}), 1) as int)")
-    sized = keyed.join(sizes, "key").withColumn("chunks", chunks).withColumn("own", F.expr("cast(pmod(xxhash64(node), chunks) as int)"))
-    dealt = sized.withColumn("other", F.explode(F.expr("sequence(0, chunks - 1)")))
-    bucket = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
-    return dealt.withColumn("bucket", bucket).drop("key", "n", "chunks", "own", "other")
+def _met(keyed: DataFrame, tile: int, distances, limit: float, reach: float | None) -> tuple[DataFrame, DataFrame]:
+    """keyed: (node, key, ...), longs. Gives the rows that are to be compared, with `bucket` instead of key and
+    `known`, and edges (a, b) that are found already.
+
+    Keys with two nodes to `tile` are buckets. Of larger ones each node's distance to the key's smallest node, the
+    pivot, comes first: distances(rows) maps Arrow batches of (chunk, is_pivot, node, key, pivot, ...), sorted by chunk
+    and the pivot first, to (node, key, pivot, d). Nodes at `limit` or less are linked to the pivot: these are known.
+    Tiles pair chunks of the others with each other and with the known ones; of a metric, known nodes that are farther
+    than `reach` below the nearest other's distance are left out."""
+    half = tile // 2
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1")
+    sized = keyed.join(sizes, "key")
+    names = [c for c in keyed.columns if c != "key"]
+    small = sized.where(F.col("n") <= tile).select(*names, F.col("key").alias("bucket"), F.lit(False).alias("known"))
+    hot = sized.where(F.col("n") > tile)
+    none = keyed.sparkSession.createDataFrame([], "a long, b long")
+    if sizes.where(F.col("n") > tile).isEmpty():
+        return small, none
+    chunks = F.ceil(F.col("n") / half).cast("int")
+    own = hot.withColumn("is_pivot", F.col("node") == F.col("pivot")).withColumn("chunk_no", F.when(F.col("is_pivot"), F.sequence(F.lit(0), chunks - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), chunks).cast("int"))))
+    dealt = own.withColumn("chunk", F.explode("chunk_no")).withColumn("chunk", F.xxhash64("key", "chunk")).drop("n", "chunk_no")
+    ordered = dealt.repartition("chunk").sortWithinPartitions("chunk", F.desc("is_pivot"))
+    pivoted = written(ordered.mapInArrow(distances, "node long, key long, pivot long, d double").where("node <> pivot"), "pivoted")
+    near = F.col("d") <= limit
+    found = pivoted.where(near).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    rest = pivoted.groupBy("key").agg(F.count_if(~near).alias("n_other"), F.min(F.when(~near, F.col("d"))).alias("nearest"), F.count_if(near).alias("n_known")).where("n_other > 0")
+    left = pivoted.join(rest, "key")
+    if reach is not None:
+        left = left.where(~near | (F.col("d") >= F.col("nearest") - reach))
+    others, knowns = F.ceil(F.col("n_other") / half).cast("int"), F.greatest(F.lit(1), F.ceil(F.col("n_known") / half).cast("int"))
+    spread = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    struct = lambda i, j, with_known: F.struct(i.alias("i"), j.alias("j"), F.lit(with_known).alias("w"))
+    each = lambda n, f: F.transform(F.sequence(F.lit(0), n - 1), f)
+    mine = spread(others)
+    to_others = each(others, lambda j: struct(F.least(mine, j), F.greatest(mine, j), False))
+    tiles = F.when(near, each(others, lambda i: struct(i, spread(knowns), True))).otherwise(F.concat(to_others, each(knowns, lambda j: struct(mine, j, True))))
+    tiled = left.select("node", "key", near.alias("known"), F.explode(tiles).alias("t")).select("node", "key", "known", F.xxhash64("key", "t.i", "t.j", "t.w").alias("bucket"))
+    return small.unionByName(tiled.join(keyed, ["node", "key"]).select(*names, "bucket", "known")), found
 
 
 def _bucket_links(keyed: DataFrame, radius: int, tile: int) -> DataFrame:
     """Edges (a, b) that connect the nodes (node, fp, key) of each key whose fp differ in at most `radius` bits."""
 
+    def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivot = None
+        for batch in batches:
+            fps = batch.column("fp").to_numpy().view(np.uint64)
+            first = batch.column("is_pivot").to_numpy(zero_copy_only=False)
+            at = np.maximum.accumulate(np.where(first, np.arange(len(fps)), -1))
+            other = np.where(at >= 0, fps[np.maximum(at, 0)], pivot or 0)
+            if len(fps):
+                pivot = other[-1]
+            d = np.bitwise_count(fps ^ other.astype(np.uint64)).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "key", "pivot")), pa.array(d)], names=["node", "key", "pivot", "d"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, fps, nodes = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        held = [np.zeros(0, dtype=t) for t in (np.int64, np.uint64, np.int64, bool)]
 
-        def compared(b, f, n):
-            pairs = np.array(forest(b, f, radius), dtype=np.int64).reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(n[pairs[:, 0]]), pa.array(n[pairs[:, 1]])], names=["a", "b"])
+        def compared(bucket, fps, nodes, known):
+            pairs = np.array(forest(bucket, fps, radius, known if known.any() else None), dtype=np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(nodes[pairs[:, 0]]), pa.array(nodes[pairs[:, 1]])], names=["a", "b"])
 
         for batch in batches:
-            bucket = np.concatenate([bucket, batch.column("bucket").to_numpy()])
-            fps = np.concatenate([fps, batch.column("fp").to_numpy().view(np.uint64)])
-            nodes = np.concatenate([nodes, batch.column("node").to_numpy()])
-            if len(bucket) >= BATCH:
-                cut = int(np.searchsorted(bucket, bucket[-1]))
+            new = [batch.column("bucket").to_numpy(), batch.column("fp").to_numpy().view(np.uint64), batch.column("node").to_numpy(), batch.column("known").to_numpy(zero_copy_only=False)]
+            held = [np.concatenate(x) for x in zip(held, new)]
+            if len(held[0]) >= BATCH:
+                cut = int(np.searchsorted(held[0], held[0][-1]))
                 if cut:
-                    yield compared(bucket[:cut], fps[:cut], nodes[:cut])
-                    bucket, fps, nodes = bucket[cut:], fps[cut:], nodes[cut:]
-        yield compared(bucket, fps, nodes)
+                    yield compared(*(x[:cut] for x in held))
+                    held = [x[cut:] for x in held]
+        yield compared(*held)
 
-    dealt = _tiled(keyed, tile).select("node", "fp", "bucket")
-    return dealt.repartition("bucket").sortWithinPartitions("bucket", "fp").mapInArrow(run, "a long, b long")
+    rows, found = _met(keyed, tile, distances, radius, radius)
+    return rows.select("node", "fp", "bucket", "known").repartition("bucket").sortWithinPartitions("bucket", "fp").mapInArrow(run, "a long, b long").unionByName(found)
 
 
 def links(nodes: DataFrame, radius: int = 4, spare: int = 2, tile: int = TILE) -> DataFrame:
@@ -254,6 +309,8 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS = 14
 #: Texts of a candidate component beyond which it is dealt out as tiles.
 SET_TILE = 256
+#: Bits of the SimHashes of two sets' distinct hashes up to which the sets are proposed without another look.
+NEAR = 8
 
 _FACTORS = np.random.default_rng(42).integers(1 << 62, 1 << 63, 2 * BANDS, dtype=np.uint64) | np.uint64(1)
 
@@ -274,11 +331,21 @@ def parities(distinct: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def possible_pairs(sizes: np.ndarray, bits: list[bytes], similarity: float) -> list[tuple[int, int]]:
-    """Pairs of numbers that connect all sets that are linked by pairs whose sizes and parities allow that similarity:
-    sets of a and b hashes that differ in d have similarity (a + b - d) / (a + b + d). Leaves out no similar pair."""
+def possible(differ: np.ndarray, sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets whose sizes sum up to sizes and that differ in `differ` hashes or more can be that similar: sets of
+    a and b hashes that differ in d have similarity (a + b - d) / (a + b + d)."""
+    return differ * (1 + similarity) <= sizes * (1 - similarity) + 1e-9
+
+
+def folded(bits: bytes, width: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(np.frombuffer(bits, dtype="<u8").reshape(-1, width // 8), axis=0)
+
+
+def possible_pairs(sizes: np.ndarray, bits: list[bytes], similarity: float, label: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Pairs of numbers that connect all sets that are linked by pairs whose sizes and parities allow that similarity.
+    Leaves out no similar pair. Sets of equal label are linked already."""
     order = np.argsort(sizes, kind="stable")
-    label, pairs = np.arange(len(sizes)), []
+    label, pairs = np.arange(len(sizes)) if label is None else label.copy(), []
     ordered, widths = sizes[order], np.array([len(bits[i]) for i in order])
     for width in np.unique(widths).tolist():
         # by size, those of this width, and longer ones, folded, up to the largest size that can be similar
@@ -287,13 +354,13 @@ def possible_pairs(sizes: np.ndarray, bits: list[bytes], similarity: float) -> l
         rows, size = order[start : last[-1]], ordered[start : last[-1]]
         cells = np.empty((len(rows), width // 8), dtype="<u8")
         for i, row in enumerate(rows):
-            cells[i] = np.bitwise_xor.reduce(np.frombuffer(bits[row], dtype="<u8").reshape(-1, width // 8), axis=0)
+            cells[i] = folded(bits[row], width)
         last = (last - start).tolist()
         for k, stop in enumerate(last):
             if stop <= k + 1:
                 continue
             differ = np.bitwise_count(cells[k] ^ cells[k + 1 : stop]).sum(axis=1, dtype=np.int64)
-            may = differ * (1 + similarity) <= (size[k] + size[k + 1 : stop]) * (1 - similarity) + 1e-9
+            may = possible(differ, size[k] + size[k + 1 : stop], similarity)
             for j in rows[k + 1 : stop][may & (label[rows[k + 1 : stop]] != label[rows[k]])].tolist():
                 if label[j] != label[rows[k]]:
                     pairs.append((int(rows[k]), j))
@@ -302,58 +369,87 @@ def possible_pairs(sizes: np.ndarray, bits: list[bytes], similarity: float) -> l
 
 
 def _marks(rows: DataFrame) -> DataFrame:
-    """(id, node, size, bits, keys) of rows (id, text): node is the digest of the text's shingle set."""
+    """(id, node, size, bits, fp, keys) of rows (id, text): node is the digest of the text's shingle set, fp the SimHash
+    of its distinct hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in in_slices(batches, "text"):
-            nodes, sizes, bits, keys = [], [], [], []
+            nodes, sizes, bits, fps, keys = [], [], [], [], []
             for text in batch.column("text").to_pylist():
                 distinct = np.unique(shingle_hashes(text, WORDS))
                 nodes.append(xxhash.xxh64_intdigest(distinct.tobytes()))
                 sizes.append(len(distinct))
                 bits.append(parities(distinct))
+                fps.append(bits_of(distinct))
                 keys.append(bands(distinct) if len(distinct) else [])
-            columns = [pa.array(np.array(nodes, dtype=np.uint64).view(np.int64)), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], names=["id", "node", "size", "bits", "keys"])
+            longs = [np.array(x, dtype=np.uint64).view(np.int64) for x in (nodes, fps)]
+            columns = [pa.array(longs[0]), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), pa.array(longs[1]), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], names=["id", "node", "size", "bits", "fp", "keys"])
 
-    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, node long, size long, bits binary, keys array<long>")
+    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, node long, size long, bits binary, fp long, keys array<long>")
 
 
 def _candidates(keyed: DataFrame, similarity: float, tile: int) -> DataFrame:
-    """Edges (a, b) that connect the nodes (node, size, bits, key) of each key whose sizes and parities allow that similarity."""
+    """Edges (a, b) that connect the nodes (node, size, bits, fp, key) of each key whose sizes and parities allow that
+    similarity. SimHashes within NEAR bits, compared bit-sliced, are taken first, so that only the pairs between what
+    they connect are left to the parities."""
+
+    def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivot = None
+        for batch in in_slices(batches, "bits"):
+            out = []
+            for first, size, bits in zip(*(batch.column(c).to_pylist() for c in ("is_pivot", "size", "bits"))):
+                if first:
+                    pivot = (size, bits)
+                width = min(len(bits), len(pivot[1]))
+                differ = int(np.bitwise_count(folded(bits, width) ^ folded(pivot[1], width)).sum())
+                out.append(0.0 if possible(differ, size + pivot[0], similarity) else 1.0)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "key", "pivot")), pa.array(out, pa.float64())], names=["node", "key", "pivot", "d"])
+
+    def compared(bucket, node, size, bits, fp, known):
+        bucket, node, size, known = np.array(bucket), np.array(node), np.array(size, dtype=np.int64), np.array(known, dtype=bool)
+        pairs = forest(bucket, np.array(fp, dtype=np.int64).view(np.uint64), NEAR, known if known.any() else None)
+        label = linked_before(bucket, known)
+        for a, b in pairs:
+            label[label == label[b]] = label[a]
+        starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else []
+        for a, b in zip(starts, [*starts[1:], len(bucket)]):
+            own = label[a:b]
+            if b - a > 1 and (own != own[0]).any():
+                pairs += [(a + i, a + j) for i, j in possible_pairs(size[a:b], bits[a:b], similarity, own)]
+        pairs = np.array(pairs, dtype=np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(node[pairs[:, 0]]), pa.array(node[pairs[:, 1]])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, nodes, sizes, bits, out = None, [], [], [], []
+        held: list[list] = [[] for _ in range(6)]
+        for batch in in_slices(batches, "bits"):
+            for x, c in zip(held, ("bucket", "node", "size", "bits", "fp", "known")):
+                x += batch.column(c).to_pylist()
+            if len(held[0]) >= MARKED and held[0][0] != held[0][-1]:
+                cut = bisect_left(held[0], held[0][-1])
+                yield compared(*(x[:cut] for x in held))
+                held = [x[cut:] for x in held]
+        if held[0]:
+            yield compared(*held)
 
-        def done():
-            out.extend((nodes[i], nodes[j]) for i, j in possible_pairs(np.array(sizes, dtype=np.int64), bits, similarity))
-            for x in (nodes, sizes, bits):
-                x.clear()
+    rows, found = _met(keyed, tile, distances, 0.5, None)
+    return rows.select("node", "size", "bits", "fp", "bucket", "known").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long").unionByName(found)
 
-        for batch in in_slices(batches, "bits"):
-            for bucket, node, size, b in zip(*(batch.column(c).to_pylist() for c in ("bucket", "node", "size", "bits"))):
-                if bucket != at:
-                    done()
-                    at = bucket
-                nodes.append(node)
-                sizes.append(size)
-                bits.append(b)
-            if len(out) >= BATCH:
-                pairs = np.array(out, dtype=np.int64)
-                out.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-        done()
-        pairs = np.array(out, dtype=np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    dealt = _tiled(keyed, tile).select("node", "size", "bits", "bucket")
-    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long")
+def similarity_of(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted arrays of distinct hashes; of two empty ones 1."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    union = len(a) + len(b) - both
+    return both / union if union else 1.0
 
 
-def similar_sets(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Pairs of numbers that connect all sets (sorted, distinct) that are linked by similarities of at least `similarity`."""
+def similar_sets(sets: list[np.ndarray], similarity: float, known: list[bool] | None = None) -> list[tuple[int, int]]:
+    """Pairs of numbers that connect all sets (sorted, distinct) that are linked by similarities of at least
+    `similarity`. known ones are linked to each other already."""
     order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
     parent, pairs = list(range(len(sets))), []
+    if known and any(known):
+        parent = [known.index(True) if k else i for i, k in enumerate(known)]
 
     def find(i: int) -> int:
         while parent[i] != i:
@@ -368,8 +464,7 @@ def similar_sets(sets: list[np.ndarray], similarity: float) -> list[tuple[int, i
                 break
             if find(i) == find(j):
                 continue
-            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if both >= similarity * (small + large - both) - 1e-9:
+            if similarity_of(sets[i], sets[j]) >= similarity - 1e-9:
                 parent[find(i)] = find(j)
                 pairs.append((i, j))
     return pairs
@@ -382,38 +477,50 @@ def _verified(rows: DataFrame, nodes: DataFrame, roots: DataFrame, similarity: f
     wanted = nodes.join(every, "node").select(F.col("least").alias("id"), "node", F.col("root").alias("key"))
     members = rows.join(wanted, "id").dropDuplicates(["node"]).select("node", "key", "text")
 
+    def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivot = None
+        for batch in in_slices(batches, "text"):
+            out = []
+            for first, text in zip(*(batch.column(c).to_pylist() for c in ("is_pivot", "text"))):
+                own = np.unique(shingle_hashes(text, WORDS))
+                pivot = own if first else pivot
+                out.append(1.0 - similarity_of(own, pivot))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "key", "pivot")), pa.array(out, pa.float64())], names=["node", "key", "pivot", "d"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, nodes, sets, out = None, [], [], []
+        at, nodes, sets, knowns, out = None, [], [], [], []
 
         def done():
-            out.extend((nodes[i], nodes[j]) for i, j in similar_sets(sets, similarity))
-            nodes.clear()
-            sets.clear()
+            out.extend((nodes[i], nodes[j]) for i, j in similar_sets(sets, similarity, knowns))
+            for x in (nodes, sets, knowns):
+                x.clear()
 
         for batch in in_slices(batches, "text"):
-            for bucket, node, text in zip(*(batch.column(c).to_pylist() for c in ("bucket", "node", "text"))):
+            for bucket, node, text, known in zip(*(batch.column(c).to_pylist() for c in ("bucket", "node", "text", "known"))):
                 if bucket != at:
                     done()
                     at = bucket
                 nodes.append(node)
                 sets.append(np.unique(shingle_hashes(text, WORDS)))
+                knowns.append(known)
         done()
         pairs = np.array(out, dtype=np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    dealt = _tiled(members, tile).select("node", "text", "bucket")
-    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long")
+    limit = 1 - similarity + 1e-9
+    near, found = _met(members, tile, distances, limit, limit + 1e-9)
+    return near.select("node", "text", "bucket", "known").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "a long, b long").unionByName(found)
 
 
 def similar(rows: DataFrame, similarity: float = SIMILARITY, tile: int = TILE, set_tile: int = SET_TILE) -> DataFrame:
     """(id, component) for rows (id, text): components over links between texts whose sets of 5-word shingles have at
     least that similarity; component is the smallest id. Texts of equal sets are one node, so are texts without words.
 
-    Texts meet if they share a band of minima; those whose sizes and parities don't rule out the similarity give
-    candidate components, within which the sets decide."""
+    Texts meet if they share a band of minima; those with near SimHashes, and those whose sizes and parities don't rule
+    out the similarity, give candidate components, within which the sets decide."""
     marked = written(_marks(rows), "marks")
-    nodes = written(marked.groupBy("node").agg(F.min("id").alias("least"), *[F.first(c).alias(c) for c in ("size", "bits", "keys")]), "nodes")
-    loose = _candidates(nodes.select("node", "size", "bits", F.explode("keys").alias("key")), similarity, tile)
+    nodes = written(marked.groupBy("node").agg(F.min("id").alias("least"), *[F.first(c).alias(c) for c in ("size", "bits", "fp", "keys")]), "nodes")
+    loose = _candidates(nodes.select("node", "size", "bits", "fp", F.explode("keys").alias("key")), similarity, tile)
     roots = connected_components(loose)
     linked = connected_components(_verified(rows, nodes.select("node", "least"), roots, similarity, set_tile))
     grouped = nodes.select("node", "least").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
