@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from registra.llm.common import in_slices
+from registra.llm.common import in_slices, written
 
 UNKNOWN = "und"
 #: Buckets of trigrams, a power of two.
@@ -26,6 +26,8 @@ BUCKETS = 1 << 13
 #: Added to each count.
 SMOOTH = 0.5
 ROUNDS, TOLERANCE = 20, 1e-3
+#: Languages that are learned: those with the most training texts, a bound on the table that reaches the driver.
+LANGUAGES = 512
 #: Each byte is in three trigrams: their counts weigh a third, so that the penalty meets independent evidence.
 WEIGHT = 1 / 3
 #: A text fits no language if trigrams spread evenly over the buckets explain it better than its mixture does, by more
@@ -49,26 +51,38 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
-def learn(rows: DataFrame) -> tuple[list[str], np.ndarray]:
-    """rows: (text, lang). The languages in order, and log probabilities (buckets, languages). Null texts and languages are skipped."""
+def learn(rows: DataFrame, most: int = LANGUAGES) -> tuple[list[str], np.ndarray]:
+    """rows: (text, lang). The languages in order, and log probabilities (buckets, languages). Null texts and languages
+    are skipped; of more than `most` languages, those with the most texts are learned, ties to the smaller name."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
+
+        def counted():
+            for lang, counts in seen.items():
+                at = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(counts[at])], names=["lang", "bucket", "n"])
+            seen.clear()
+
         for batch in in_slices(batches, "text"):
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
                 if lang not in seen:
-                    seen[lang] = np.zeros(BUCKETS, dtype=np.int64)
-                seen[lang] += np.bincount(buckets(text), minlength=BUCKETS)
-        for lang, counts in seen.items():
-            at = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(counts[at])], names=["lang", "bucket", "n"])
+                    if len(seen) >= 256:
+                        yield from counted()
+                    seen[lang] = np.zeros(BUCKETS + 1, dtype=np.int64)
+                seen[lang][:BUCKETS] += np.bincount(buckets(text), minlength=BUCKETS)
+                seen[lang][BUCKETS] += 1  # texts
+        yield from counted()
 
     known = rows.select("text", "lang").where("text is not null and lang is not null")
-    total = known.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    langs = sorted(total.lang.unique())
+    total = written(known.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "trigrams")
+    first = total.where(F.col("bucket") == BUCKETS).orderBy(F.desc("n"), "lang").limit(most).select("lang")
+    table = total.where(F.col("bucket") < BUCKETS).join(first, "lang", "left_semi").toPandas()
+    langs = sorted(r.lang for r in first.collect())
     counts = np.full((BUCKETS, max(1, len(langs))), SMOOTH)
     if langs:
-        counts[total.bucket, np.searchsorted(langs, total.lang)] += total.n
+        at = {x: i for i, x in enumerate(langs)}
+        counts[table.bucket, table.lang.map(at).to_numpy(dtype=np.int64)] += table.n
     return langs, np.log(counts / counts.sum(axis=0))
 
 
@@ -151,8 +165,8 @@ def held_out(id_col: str = "doc_id"):
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(id, held_out, lang_pred, score, lang_shares) for each row. Learns from rows of the other folds with an id, a
-    text and a language. Texts that are null or have no letter, or all of them if there is nothing to learn from,
+    """(id, held_out, lang_pred, score, lang_shares) for each row. Learns from rows of the other folds with an id (a null
+    id is in no fold, so nothing is learned from it), a text and a language. Texts that are null or have no letter, or all of them if there is nothing to learn from,
     are `und` with score 0."""
     rows = docs.select(docs[id_col], docs[text_col].alias("text"), docs[lang_col].alias("lang")).withColumn("held_out", held_out(id_col))
     langs, logp = learn(rows.where(~F.col("held_out") & F.col(id_col).isNotNull()))
@@ -160,9 +174,9 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """docs, each judged by its mixture. Texts that are null, have no letter or fit no language (see MISFIT) go, and all
-    of them if there is nothing to learn from. The others get the prediction of identify as their label; a label that
-    no training row has can't be judged and stays. Same columns."""
+    """docs, each judged by its mixture. Texts that are null, have no letter or fit no language (see MISFIT) go. The others
+    get the prediction of identify as their label; a label that no training row has can't be judged and stays. If there
+    is nothing to learn from, every text with a letter stays as it is. Same columns."""
     learned = docs.where(~held_out(id_col) & F.col(id_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     langs, logp = learn(learned)
     schema, names = docs.schema, docs.columns
@@ -171,8 +185,8 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for batch in in_slices(batches, text_col):
             keep, filled = [], []
             for text, lang in zip(batch.column(text_col).to_pylist(), batch.column(lang_col).to_pylist()):
-                keep.append(bool(langs) and has_letter(text))
-                if keep[-1]:
+                keep.append(has_letter(text))
+                if keep[-1] and langs:
                     _, chosen, keep[-1] = judged(text, logp)
                     if lang is None or lang in langs:
                         lang = langs[int(chosen.argmax())]
