@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from registra.llm import bpe, langid, mixing, pii, simhash
-from registra.llm.common import written
+from registra.llm.common import erase, new_path, scratch, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,12 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        path = new_path(spark, name)
+        with scratch(spark):  # what the stage has written for itself, and then its input, are needed no more
+            docs = written(stage(spark, docs, sf_dir), name, path)
+        if last:
+            erase(spark, last)
+        last = path
     return STAGES[-1][1](spark, docs, sf_dir)
