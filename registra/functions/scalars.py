@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -47,6 +48,12 @@ def normalize_title(c: Column) -> Column:
     return F.trim(F.regexp_replace(fold(F.lower(F.coalesce(c, F.lit("")))), "[^a-z0-9]+", " "))
 
 
+def normalized(text: str) -> str:
+    """normalize_title of one string, on the driver."""
+    plain = "".join(c for c in unicodedata.normalize("NFKD", text.lower()) if not "\u0300" <= c <= "\u036f")
+    return " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in plain).split())
+
+
 def fold_text(c: Column) -> Column:
     return F.lower(fold(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))))
 
@@ -100,14 +107,27 @@ def absolute_url(base: Column, href: Column) -> Column:
     origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)", 1)
     folder = F.regexp_extract(F.regexp_replace(base, r"[?#].*$", ""), r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(?:/.*/|/)?)", 1)
     folder = F.when(F.endswith(folder, F.lit("/")), folder).otherwise(F.concat(folder, F.lit("/")))
-    return (
+    joined = (
         F.when(h.isNull() | h.rlike(r"(?i)^(#|\*|mailto:|tel:|javascript:|data:)") | (h == ""), None)
         .when(h.rlike("(?i)^[a-z][a-z0-9+.-]*://"), h)
         .when(F.startswith(h, F.lit("//")), F.concat(F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*:)", 1), h))
         .when(F.startswith(h, F.lit("/")), F.concat(origin, h))
         .when(F.startswith(h, F.lit("?")), F.concat(F.regexp_replace(base, r"[?#].*$", ""), h))
-        .otherwise(F.concat(folder, F.regexp_replace(h, r"^\./", "")))
+        .otherwise(F.concat(folder, h))
     )
+    return F.when(joined.rlike(r"/\.\.?(/|[?#]|$)"), without_dots(joined)).otherwise(joined)
+
+
+def without_dots(url: Column) -> Column:
+    """A URL whose path has no . and .. segments any more; .. above the root goes."""
+    origin, path, rest = (F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)([^?#]*)(.*)$", k) for k in (1, 2, 3))
+
+    def step(kept, part):
+        up = F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))
+        return F.when(part == "..", up).when(part == ".", kept).otherwise(F.concat(kept, F.array(part)))
+
+    parts = F.split(F.regexp_replace(F.regexp_replace(path, "^/", ""), r"(^|/)(\.\.?)$", "$1$2/"), "/")
+    return F.concat(origin, F.lit("/"), F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/"), rest)
 
 
 def is_document_url(url: Column) -> Column:
@@ -115,6 +135,29 @@ def is_document_url(url: Column) -> Column:
     return u.rlike(r"\.(pdf|doc|docx|rtf|xls|xlsx)(\?|#|$)") | u.rlike(r"[?&](download|file|attachment_id)=") | u.rlike(r"/download/?")
 
 
+ASSETS = r"\.(png|jpe?g|webp|gif|svg|ico|css|js|map|woff2?|ttf|otf|eot|mp4|webm|mov|avi|mp3|wav)(\?|#|$)"
+
+
+def looks_like_document(url: Column) -> Column:
+    """The page scan's rule: assets are no documents; then extensions, archives too, and download addresses."""
+    u = F.lower(F.coalesce(url, F.lit("")))
+    return ~u.rlike(ASSETS) & (u.rlike(r"\.(pdf|docx?|rtf|xlsx?|zip|rar)(\?|#|$)") | u.rlike(r"[?&](download|file|attachment_id)=") | u.rlike("/download/?"))
+
+
+def is_attachment_url(url: Column) -> Column:
+    """The attachments' rule: http only; an allowed extension in path or query, a download path or a download parameter."""
+    raw = parse_http_url(url)
+    path = F.lower(F.coalesce(F.try_url_decode(F.try_parse_url(raw, F.lit("PATH"))), F.lit("")))
+    query = F.lower(F.coalesce(F.try_parse_url(raw, F.lit("QUERY")), F.lit("")))
+    found = attachment_ext(raw).isNotNull() | path.rlike("/(downloads?|files?|attachments?)(/|$)") | query.rlike("(^|&)(download|file|attachment|attachment_id|document)(=|&|$)")
+    return F.coalesce(raw.isNotNull() & (found | F.lower(raw).rlike(r"\.(pdf|docx?|zip)(\?|#|$)")), F.lit(False))
+
+
+def is_office_url(url: Column) -> Column:
+    """The candidate search's rule: any office or archive extension."""
+    return F.lower(F.coalesce(url, F.lit(""))).rlike(r"\.(pdf|docx?|xlsx?|zip|rar|7z|pptx?|rtf|od[tsp])(\?|#|$)")
+
+
 def attachment_ext(url: Column) -> Column:
     """Extension from the path, else from any value of the query; only pdf, doc, docx and zip."""
     path = F.lower(F.coalesce(F.try_url_decode(F.try_parse_url(url, F.lit("PATH"))), F.lit("")))
@@ -202,19 +245,31 @@ def url_date(url: Column) -> Column:
     return F.coalesce(permalink, stamp, F.array_max(uploads))
 
 
+def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c), where c is evaluated once however often f uses it."""
+    return F.transform(F.array(c), f)[0]
+
+
 def parse_amount(c: Column) -> Column:
     """DECIMAL(18,2). With both separators the last one is decimal; one kind is decimal only before one or two last digits."""
-    kept = F.regexp_replace(F.coalesce(c, F.lit("")), r"[^0-9,.\-]", "")
-    sign = F.when(F.startswith(kept, F.lit("-")), F.lit("-")).otherwise(F.lit(""))
-    clean = F.replace(kept, F.lit("-"), F.lit(""))
-    tail = F.regexp_extract(clean, r"([,.])([^,.]*)$", 2)
-    last = F.regexp_extract(clean, r"([,.])[^,.]*$", 1)
-    both = F.contains(clean, F.lit(",")) & F.contains(clean, F.lit("."))
-    other = F.when(last == ",", F.lit(".")).otherwise(F.lit(","))
-    decimal = F.concat(F.regexp_replace(F.substring(clean, F.lit(1), F.length(clean) - F.length(tail) - 1), "[,.]", ""), F.lit("."), tail)
-    mixed = F.replace(F.replace(clean, other, F.lit("")), F.lit(","), F.lit("."))
-    plain = F.when(last == "", clean).when(both, F.regexp_extract(mixed, r"^[0-9]*\.?[0-9]*", 0)).when(F.length(tail).between(1, 2), decimal).otherwise(F.regexp_replace(clean, "[,.]", ""))
-    value = F.concat(sign, plain).try_cast("decimal(30,8)")
+
+    def plain_of(parts: Column) -> Column:
+        clean, tail, last = parts["clean"], parts["tail"], parts["last"]
+        both = F.contains(clean, F.lit(",")) & F.contains(clean, F.lit("."))
+        other = F.when(last == ",", F.lit(".")).otherwise(F.lit(","))
+        digits = F.translate(clean, ",.", "")
+        decimal = F.concat(F.substring(digits, F.lit(1), F.length(digits) - F.length(tail)), F.lit("."), tail)
+        mixed = F.translate(F.replace(clean, other, F.lit("")), ",", ".")
+        return F.when(last == "", clean).when(both, F.regexp_extract(mixed, r"^[0-9]*\.?[0-9]*", 0)).when(F.length(tail).between(1, 2), decimal).otherwise(digits)
+
+    def value_of(kept: Column) -> Column:
+        clean = F.translate(kept, "-", "")
+        # what follows the last separator, and that separator
+        tail = F.element_at(F.split(clean, "[,.]"), -1)
+        parts = bound(F.struct(clean.alias("clean"), tail.alias("tail")), lambda x: F.struct(x["clean"].alias("clean"), x["tail"].alias("tail"), F.substring(x["clean"], F.length(x["clean"]) - F.length(x["tail"]), F.when(F.length(x["clean"]) > F.length(x["tail"]), 1).otherwise(0)).alias("last")))
+        return F.concat(F.when(F.startswith(kept, F.lit("-")), F.lit("-")).otherwise(F.lit("")), bound(parts, plain_of))
+
+    value = bound(F.regexp_replace(F.coalesce(c, F.lit("")), r"[^0-9,.\-]", ""), value_of).try_cast("decimal(30,8)")
     return F.floor(value * 100 + F.lit("0.5").cast("decimal(2,1)")).cast("decimal(20,0)").__truediv__(F.lit(100)).cast("decimal(18,2)")
 
 
@@ -250,9 +305,26 @@ def cpv_codes(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(c, F.lit(r"(\d{8}-\d)"), F.lit(1)))
 
 
-def cpv_label(c: Column) -> Column:
-    plain = nonblank(F.regexp_replace(F.regexp_replace(c, r"\d{8}-\d", ""), r"[\s,;-]+", " "))
-    return F.coalesce(plain, F.lit("UNKNOWN"))
+def without_cpv(c: Column) -> Column:
+    """A label without CPV codes and the commas and spaces that they leave behind."""
+    plain = F.regexp_replace(c, r"\d{8}-\d\s*[-:;,]*\s*", "")
+    plain = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, r"\s+,", ","), r",\s*,", ", "), r"\s{2,}", " "))
+    return F.regexp_replace(F.regexp_replace(plain, r"^,\s*", ""), r",\s*$", "")
+
+
+def cpv_display(code: Column, label: Column, names: dict[str, str] = vocab.CPV_NAMES) -> Column:
+    """struct<title, secondary, is_other> of a spend bucket: the label without codes, or the name for the rest or for
+    an unknown one; and the source label where the title differs from it, else the distinct codes."""
+    c, t = F.trim(F.coalesce(code, F.lit(""))), F.trim(F.coalesce(label, F.lit("")))
+    other = (F.lower(c) == "other") | (F.lower(t) == "other")
+    best = F.coalesce(nonblank(t), c)
+    unknown = (best == "") | (F.upper(best) == "UNKNOWN")
+    title = F.coalesce(nonblank(without_cpv(best)), best)
+    codes = cpv_codes(F.concat_ws(" ", c, t))
+    by_code = F.when(F.size(codes) > 0, F.concat(F.lit(names["code"]), F.array_join(codes, ", "))).otherwise(names["no_code"])
+    by_label = lambda x: F.concat(F.lit(names["label"]), x)
+    secondary = F.when(other, F.when(t != "", by_label(t)).otherwise(names["others"])).when(~unknown & (title != best), by_label(best)).otherwise(by_code)
+    return F.struct(F.when(other, names["other"]).when(unknown, names["unknown"]).otherwise(title).alias("title"), secondary.alias("secondary"), other.alias("is_other"))
 
 
 def decision_number(c: Column) -> Column:
@@ -292,6 +364,12 @@ def invalid_title(title: Column, municipality: Column | None = None) -> Column:
     return bad if municipality is None else bad | (t == F.concat(F.lit("bashkia "), normalize_title(municipality)))
 
 
+def generic_title(title: Column) -> Column:
+    """Titles of links that say nothing about the document behind them."""
+    t = normalize_title(title)
+    return (t == "") | t.isin(vocab.GENERIC_TITLES) | F.trim(F.coalesce(title, F.lit(""))).rlike(r"(?i)^(https?://|www\.)")
+
+
 def hour_bucket(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH")
 
@@ -302,6 +380,11 @@ def export_url_parts(url: Column) -> Column:
     return F.struct(host(url).alias("host"), F.try_parse_url(url, F.lit("PATH")).alias("path"), nonblank(F.try_url_decode(F.regexp_extract(ref, r"(?:^|&)procedure=([^&]*)", 1))).alias("procedure"), normalize_url(url).alias("page"))
 
 
+def is_export_url(url: Column, host_suffix: str = vocab.EXPORT_HOST, path: str = vocab.EXPORT_PATH) -> Column:
+    parts = export_url_parts(F.trim(url))
+    return F.coalesce(F.endswith(parts["host"], F.lit(host_suffix)) & (F.lower(parts["path"]) == path), F.lit(False))
+
+
 def _sha1(c: Column, n: int) -> Column:
     return F.substring(F.sha1(c.cast("binary")), 1, n)
 
@@ -359,6 +442,18 @@ def error_class(error_type: Column, cause: Column) -> Column:
     return out.otherwise("SCRAPE_ERROR")
 
 
+def is_skippable(status: Column, error_type: Column, message: Column) -> Column:
+    """Failures after which a run goes on with the next source: timeouts, blocks and server errors; not bad requests,
+    missing rights, rate limits or a server that isn't set up."""
+    known = F.coalesce(status > 0, F.lit(False)) & ~F.coalesce(status.isin(400, 401, 429), F.lit(False))
+    own = F.coalesce(status, F.lit(0))
+    text = F.lower(F.coalesce(message, F.lit("")))
+    setup = (own == 503) & (F.trim(text) == "server_misconfigured")
+    slow = (own == 504) | F.upper(F.coalesce(error_type, F.lit(""))).isin("TIMEOUT", "HTTP_504") | F.contains(text, F.lit("timeout"))
+    blocked = (own == 403) | (F.upper(F.coalesce(error_type, F.lit(""))) == "HTTP_403") | F.contains(text, F.lit("http_403"))
+    return known & ~setup & (slow | blocked | own.between(500, 599))
+
+
 def is_timeout(error_type: Column, message: Column) -> Column:
     return (F.upper(F.coalesce(error_type, F.lit(""))) == "TIMEOUT") | F.lower(F.coalesce(message, F.lit(""))).rlike("timeout|timed out|aborted")
 

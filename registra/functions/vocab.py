@@ -79,3 +79,20 @@ CONSULTATION_PATHS = [
 ]
 CONSULTATION_PHRASES = [("konsultimi publik|konsultim publik", 20), ("njoftim dhe konsultim publik", 24), ("regjistri elektronik", 24)]
 CANDIDATE_METHODS = {"homepage_link": 8, "common_path": 12}
+# Fixed values: (pattern, points) of decision page candidates, on text, href and URL together or on one of them.
+DECISION_ALL = [("vendime-te-keshillit-bashkiak", 140), ("vendime-te-keshillit", 120), ("vendime-keshilli|vendime-keshillit", 90), ("keshill", 25)]
+DECISION_URL = [("/vendime([/?#-]|$)", 75), ("category/vendime|kategoria/vendime", 55), ("vendim", 50)]
+DECISION_TEXT = [("vendim", 45)]
+DECISION_HREF = [("vendim", 50)]
+DECISION_METHODS = {"homepage_link": 10, "common_path": 20}
+# Fixed values: (pattern, points) of procurement and consultation page candidates, and the points of all categories.
+PROCUREMENT_KEYWORDS = [(r"\bprokurim[a-z-]*\b", 38), (r"\bprocurement\b", 28), (r"\btender[a-z-]*\b", 28), (r"\bnjoftim[a-z-]*\b", 18)]
+CONSULTATION_KEYWORDS = [(r"\bkonsultim[a-z-]*\b", 36), (r"\bkonsultime[a-z-]*\b", 36), (r"\bkonsultim[a-z-]*\s+publik[a-z-]*\b", 28), (r"\bdegjes[a-z-]*\b", 26)]
+GENERIC_ALL = [("transparen|program|publik|njoftime", 8)]
+GENERIC_URL = [("/category/|/kategoria/", 6)]
+GENERIC_METHODS = {"homepage_link": 8, "common_path": 16}
+# Titles of links that say nothing, and the names of spend buckets.
+GENERIC_TITLES = ["shkarko", "download", "pdf", "shiko vendimin", "kliko ketu", "klikoni ketu", "lexo me shume", "read more", "shiko", "lexo", "view"]
+CPV_NAMES = {"other": "Kategori të tjera më të vogla", "others": "Kategori të tjera", "label": "Etiketa burimore: ", "unknown": "E panjohur", "code": "Kodi CPV: ", "no_code": "Kodi CPV mungon"}
+# Host suffix and path of a procurement export's address.
+EXPORT_HOST, EXPORT_PATH = "app.gov.al", "/getdata/exportdocument"

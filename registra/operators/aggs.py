@@ -25,11 +25,13 @@ def spend_rows(records: DataFrame, items: DataFrame, municipality_id=None, year:
 def spend_top_codes(rows: DataFrame, top: int = 10) -> DataFrame:
     """(bucket, position, amount, contracts): the top codes by amount, ties by code, and `other`, always there."""
     codes = rows.groupBy("code").agg(F.sum("amount_value").alias("amount"), F.count("*").alias("contracts"))
-    ranked = codes.withColumn("rn", F.row_number().over(Window.orderBy(F.desc("amount"), "code")))
-    first = F.col("rn") <= top
-    merged = ranked.select(F.when(first, F.col("code")).otherwise("other").alias("bucket"), F.when(first, F.col("rn")).otherwise(top + 1).alias("position"), "amount", "contracts")
-    zero = rows.sparkSession.range(1).select(F.lit("other").alias("bucket"), F.lit(top + 1).alias("position"), F.lit(0).cast("decimal(18,2)").alias("amount"), F.lit(0).cast("long").alias("contracts"))
-    return merged.unionByName(zero).groupBy("bucket", "position").agg(F.sum("amount").cast("decimal(18,2)").alias("amount"), F.sum("contracts").alias("contracts"))
+    first = codes.orderBy(F.desc("amount"), "code").limit(top)
+    ranked = first.withColumn("position", F.row_number().over(Window.orderBy(F.desc("amount"), "code")))  # of `top` rows
+    sums = lambda df: df.agg(F.coalesce(F.sum("amount"), F.lit(0)).alias("amount"), F.coalesce(F.sum("contracts"), F.lit(0)).alias("contracts"))
+    whole, part = sums(codes), sums(first).select(F.col("amount").alias("a"), F.col("contracts").alias("n"))
+    other = whole.join(part).select(F.lit("other").alias("bucket"), F.lit(top + 1).alias("position"), (F.col("amount") - F.col("a")).alias("amount"), (F.col("contracts") - F.col("n")).alias("contracts"))
+    every = ranked.select(F.col("code").alias("bucket"), "position", "amount", "contracts").unionByName(other)
+    return every.select("bucket", "position", F.col("amount").cast("decimal(18,2)").alias("amount"), "contracts")
 
 
 def spend_shares(buckets: DataFrame) -> DataFrame:
@@ -146,11 +148,42 @@ def failures_by_source(attempts: DataFrame) -> DataFrame:
 
 
 def category_totals(items: DataFrame) -> DataFrame:
-    """Published items by category; a null category holds the grand total."""
-    return items.where("status = 'published'").rollup("category").agg(F.count("*").alias("n"))
+    """(category, is_total, n): published items by category (null is a category of its own), and the grand total."""
+    found = items.where("status = 'published'").rollup("category").agg((F.grouping("category") == 1).alias("is_total"), F.count("*").alias("n"))
+    return found.select("category", "is_total", "n")
+
+
+def failures_by_municipality(attempts: DataFrame, registry: DataFrame) -> DataFrame:
+    """(municipality_id, timeouts, blocked, last_failure, last_error) of failed attempts at all of its sources."""
+    keys = registry.select("source_id", "municipality_id").distinct()
+    failed = attempts.where("not ok").join(keys, "source_id")
+    t, b = S.is_timeout(F.col("error_type"), F.col("message")), S.is_blocked(F.col("error_type"), F.col("http_status"), F.col("message"))
+    return failed.groupBy("municipality_id").agg(F.count_if(t).alias("timeouts"), F.count_if(b & ~t).alias("blocked"), F.max("ts").alias("last_failure"), F.max_by("error_type", F.struct("ts", "id")).alias("last_error"))
+
+
+def ingest_counters(seen: DataFrame, actions: DataFrame) -> DataFrame:
+    """One row of an ingest's counters. seen: (skip_reason, null for kept rows, and match_mode); actions: (action)."""
+    rows = seen.agg(
+        F.count("*").alias("seen"), F.count_if(F.col("skip_reason").isNull()).alias("kept"), F.count_if(F.col("skip_reason") == "missing_date").alias("missing_date"), F.count_if(F.col("skip_reason") == "wrong_year").alias("wrong_year"),
+        F.count_if(F.col("match_mode").isin("primary", "exact_override")).alias("matched_primary"), F.count_if(F.col("match_mode") == "operator_suffix").alias("matched_fallback"), F.count_if(F.col("match_mode").isNull()).alias("unmatched"),
+    )
+    done = actions.agg(*[F.count_if(F.col("action") == a).alias(a) for a in ("inserted", "updated", "skipped")])
+    return rows.join(done)  # one row each
+
+
+def repair_report(results: DataFrame) -> DataFrame:
+    """(status, reason, n) of repaired records, with a row for each status (reason null) and one for all."""
+    found = results.rollup("status", "reason").agg(F.grouping_id().alias("level"), F.count("*").alias("n"))
+    return found.select("status", "reason", "level", "n")
 
 
 def checked_baseline(registry: DataFrame) -> DataFrame:
+    """Primary rows, rows checked for each category, and rows that carry the old flag (checked) and no new one yet or already."""
+    if "checked" in registry.columns:
+        old, new = F.coalesce("checked", F.lit(False)), F.coalesce("vendime_checked", F.lit(False))
+        registry = registry.withColumn("__done", old & new).withColumn("__old", old)
+        own = registry.where("is_primary")
+        return own.agg(F.count("*").alias("primaries"), F.count_if("__old").alias("legacy_checked"), F.count_if("__done").alias("backfilled"))
     return registry.where("is_primary").agg(F.count("*").alias("primaries"), F.count_if("vendime_checked").alias("vendime_checked"), F.count_if("prokurime_checked").alias("prokurime_checked"), F.count_if("konsultime_checked").alias("konsultime_checked"))
 
 

@@ -2,46 +2,69 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from registra.functions import scalars as S
 from registra.operators.windows import keep_first, top_k
 
-ANCHOR = r'<a\s[^>]*?href="([^"]*)"[^>]*>([^<]*)</a>'
+ATTRIBUTES = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
+#: A value with its quotes: double, single or none.
+VALUE = r"""("[^"]*+"|'[^']*+'|[^\s"'>]++)"""
 
 
 def strip_tags(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(c, "<[^>]*>", " "), r"\s+", " "))
 
 
-def anchors(pages: DataFrame, pattern: str = ANCHOR) -> DataFrame:
-    """(page_id, pos, href, text, abs_url): every link of every page, in page order."""
-    pairs = F.arrays_zip(F.regexp_extract_all("html", F.lit(pattern), F.lit(1)).alias("href"), F.regexp_extract_all("html", F.lit(pattern), F.lit(2)).alias("text"))
-    each = pages.select("page_id", "url", F.posexplode(pairs).alias("pos", "a"))
-    return each.select("page_id", "url", "pos", "a.href", F.trim("a.text").alias("text"), S.absolute_url(F.col("url"), F.col("a.href")).alias("abs_url"))
+def unquoted(value: Column) -> Column:
+    """An attribute's value without its quotes, & decoded."""
+    return F.trim(F.replace(F.regexp_replace(value, "^[\"']|[\"']$", ""), F.lit("&amp;"), F.lit("&")))
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """The value of an attribute of a tag, in any of its quotes; null if there is none."""
+    return S.nonblank(unquoted(F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*{VALUE}", 1)))
+
+
+def anchor_array(html: Column) -> Column:
+    """Array of struct<href, text>: every a element with an href in page order, its text without tags. An element that
+    isn't closed ends where the next one begins."""
+    tag = lambda p: F.regexp_extract(p, rf"(?is)^<a\b{ATTRIBUTES}>", 0)
+    parts = F.filter(F.split(html, r"(?i)(?=<a[\s/>])"), lambda p: tag(p).rlike(r"(?is)\shref\s*="))
+    return F.transform(parts, lambda p: F.struct(F.coalesce(attribute(tag(p), "href"), F.lit("")).alias("href"), strip_tags(F.regexp_extract(p, rf"(?is)^<a\b{ATTRIBUTES}>(.*?)(?:</a\b|\z)", 1)).alias("text")))
+
+
+def anchors(pages: DataFrame) -> DataFrame:
+    """(page_id, url, pos, href, text, abs_url): every link of every page, in page order."""
+    each = pages.select("page_id", "url", F.posexplode(anchor_array(F.col("html"))).alias("pos", "a"))
+    return each.select("page_id", "url", "pos", "a.href", "a.text", S.absolute_url(F.col("url"), F.col("a.href")).alias("abs_url"))
 
 
 def document_links(pages: DataFrame) -> DataFrame:
     """(page_id, branch, pos, url): document URLs of anchors, embeds, data attributes and onclick handlers; where a
     page has none, of its raw text. The first of repeated URLs stays; viewer URLs are unwrapped."""
     branches = [
-        r'<a\s[^>]*?href="([^"]+)"',
-        r'<(?:iframe|embed|source)\s[^>]*?src="([^"]+)"',
-        r'<object\s[^>]*?data="([^"]+)"',
-        r'\sdata-(?:href|url|src|file|download)="([^"]+)"',
-        r"onclick=\"[^\"]*?'([^']+)'",
+        rf"(?is)<(?:iframe|embed|source)\s[^>]*?\bsrc\s*=\s*{VALUE}",
+        rf"(?is)<object\s[^>]*?\bdata\s*=\s*{VALUE}",
+        rf"(?is)\sdata-(?:href|url|src|file|download)\s*=\s*{VALUE}",
+        rf"(?is)\sonclick\s*=\s*{VALUE}",
     ]
+    # a handler's URL is its first quoted string
+    link_of = lambda b, x: F.regexp_extract(unquoted(x), "[\"']([^\"']+)[\"']", 1) if b == 4 else unquoted(x)
 
-    def of_branch(b: int, pattern: str) -> Column:
-        return F.transform(F.regexp_extract_all("html", F.lit(pattern), F.lit(1)), lambda x, i: F.struct(F.lit(b).alias("branch"), i.alias("pos"), x.alias("href")))
+    def of_branch(b: int, hrefs: Column) -> Column:
+        return F.transform(hrefs, lambda x, i: F.struct(F.lit(b).alias("branch"), i.alias("pos"), x.alias("href")))
 
-    found = F.flatten(F.array(*[of_branch(b, p) for b, p in enumerate(branches)]))
+    values = [F.transform(F.regexp_extract_all("html", F.lit(p), F.lit(1)), partial(link_of, b)) for b, p in enumerate(branches, 1)]
+    found = F.flatten(F.array(*[of_branch(b, x) for b, x in enumerate([F.transform(anchor_array(F.col("html")), lambda a: a["href"]), *values])]))
     each = pages.select("page_id", F.col("url").alias("base"), F.explode(found).alias("x")).select("page_id", "base", "x.*")
     inner = F.coalesce(S.nonblank(F.try_url_decode(F.regexp_extract("href", r"[?&](?:url|file|src)=(https?[^&]+)", 1))), F.col("href"))
     links = each.withColumn("link", S.absolute_url(F.col("base"), inner)).where(S.is_document_url(F.col("link")))
     raw = F.regexp_extract_all("html", F.lit(r"(https?://[^\s\"'<>]+\.(?:pdf|docx?|xlsx?|rtf))"), F.lit(1))
-    rest = pages.join(links.select("page_id").distinct(), "page_id", "left_anti").select("page_id", F.posexplode(raw).alias("pos", "link")).select("page_id", F.lit(len(branches)).alias("branch"), "pos", "link")
+    rest = pages.join(links.select("page_id").distinct(), "page_id", "left_anti").select("page_id", F.posexplode(raw).alias("pos", "link")).select("page_id", F.lit(len(branches) + 1).alias("branch"), "pos", "link")
     every = links.select("page_id", "branch", "pos", "link").unionByName(rest)
     return keep_first(every, ["page_id", "link"], ["branch", "pos"]).withColumnRenamed("link", "url")
 
@@ -54,7 +77,7 @@ def table_rows(pages: DataFrame) -> DataFrame:
     each = each.withColumn("cells", cells)
     fit = F.filter("cells", lambda c: ~S.invalid_title(c) & S.free_text_date(c).isNull())
     best = F.array_max(F.transform(fit, lambda c: F.struct(F.length(c).alias("n"), c.alias("c"))))["c"]
-    href = F.regexp_extract("tr", r'href="([^"]+)"', 1)
+    href = unquoted(F.regexp_extract("tr", rf"(?is)\bhref\s*=\s*{VALUE}", 1))
     date = F.array_min(F.array_compact(F.transform("cells", lambda c: S.numeric_date(c))))
     return each.select("page_id", "row", "cells", best.alias("title"), S.absolute_url(F.col("url"), S.nonblank(href)).alias("href"), date.alias("date")).where("title is not null")
 
@@ -69,7 +92,8 @@ def post_links(pages: DataFrame, pattern: str = "vendim|konsultim") -> DataFrame
 
 def next_page(pages: DataFrame) -> DataFrame:
     """(page_id, next_url): rel=next, else the link of the smallest page number above the current one."""
-    rel = F.coalesce(S.nonblank(F.regexp_extract("html", r'rel="next"[^>]*href="([^"]+)"', 1)), S.nonblank(F.regexp_extract("html", r'href="([^"]+)"[^>]*rel="next"', 1)))
+    tags = F.filter(F.regexp_extract_all("html", F.lit(rf"(?is)<(?:a|link)\b{ATTRIBUTES}>"), F.lit(0)), lambda t: F.lower(F.coalesce(attribute(t, "rel"), F.lit(""))).rlike(r"\bnext\b"))
+    rel = F.get(F.filter(F.transform(tags, lambda t: attribute(t, "href")), lambda h: h.isNotNull()), 0)
     number = lambda c: F.coalesce(F.regexp_extract(c, r"[?&/](?:page|paged|p)[=/](\d+)", 1).try_cast("int"), F.lit(1))
     links = anchors(pages).where(F.col("abs_url").rlike(r"[?&/](?:page|paged|p)[=/]\d+") & (S.host(F.col("abs_url")) == S.host(F.col("url"))))
     numbered = links.where(number(F.col("abs_url")) > number(F.col("url"))).groupBy("page_id").agg(F.min_by("abs_url", F.struct(number(F.col("abs_url")), "pos")).alias("numbered"))
@@ -105,7 +129,7 @@ def year_export_link(pages: DataFrame, year: int) -> DataFrame:
 def list_signals(pages: DataFrame) -> DataFrame:
     """(page_id, li, articles, row_nodes, title_links, score): signs that a page lists documents."""
     n = lambda p: F.regexp_count("html", F.lit(p))
-    titles = F.size(F.filter(F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(2)), lambda t: F.length(F.trim(t)).between(18, 260)))
+    titles = F.size(F.filter(anchor_array(F.col("html")), lambda a: F.length(a["text"]).between(18, 260)))
     found = pages.select("page_id", n("<li[ >]").alias("li"), n("<article[ >]").alias("articles"), n('class="[^"]*(?:row|list|post)[^"]*"').alias("row_nodes"), titles.alias("title_links"))
     points = F.when(F.col("li") >= 8, 8).otherwise(0) + F.when(F.col("articles") >= 2, 8).otherwise(0) + F.when(F.col("row_nodes") >= 3, 8).otherwise(0) + F.when(F.col("title_links") >= 5, 10).otherwise(0)
     return found.withColumn("score", points)
@@ -139,6 +163,18 @@ def page_summary(html: Column, least: int = 20) -> Column:
     return F.try_element_at(F.filter(texts, lambda t: F.length(t) >= least), F.lit(1))
 
 
+def dated_by_precedence(pages: DataFrame, listing: DataFrame, years: tuple[int, int] = (2000, 2100)) -> DataFrame:
+    """(page_id, published_date): the date of the page's heading, else of its first PDF on the page's own host whose URL
+    holds one, else the one that the listing (page_id, listed_date) has. Dates of other years than `years` don't count."""
+    fit = lambda d: F.when(F.year(d).between(*years), d)
+    files = anchors(pages).where(F.lower("abs_url").rlike(r"\.pdf([?#]|$)") & (S.compare_host(F.col("abs_url")) == S.compare_host(F.col("url"))))
+    dated = files.withColumn("file_date", fit(S.url_date(F.col("abs_url")))).where("file_date is not null")
+    first = dated.groupBy("page_id").agg(F.min_by("file_date", "pos").alias("file_date"))
+    heading = fit(S.numeric_date(strip_tags(F.regexp_extract("html", r"(?is)<h1\b[^>]*>(.*?)</h1>", 1))))
+    met = pages.select("page_id", heading.alias("heading_date")).join(first, "page_id", "left").join(listing.select("page_id", "listed_date"), "page_id", "left")
+    return met.select("page_id", F.coalesce("heading_date", "file_date", "listed_date").alias("published_date"))
+
+
 def challenge_page(url: Column, html: Column) -> Column:
     return F.lower(F.coalesce(url, F.lit(""))).rlike("/cdn-cgi/|challenge") | F.lower(F.coalesce(html, F.lit(""))).rlike("cf-challenge|just a moment|attention required|captcha")
 
@@ -150,10 +186,10 @@ def item_documents(pages: DataFrame) -> DataFrame:
 
 
 def json_ld(pages: DataFrame) -> DataFrame:
-    """(page_id, title, date): of the nodes of a page's JSON-LD, those with title and date first, in page order."""
+    """(page_id, title, date): of the nodes of a page's JSON-LD (objects, arrays, graphs), those with title and date first, in page order."""
     bodies = F.regexp_extract_all("html", F.lit(r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"), F.lit(1))
     node = "struct<headline:string,name:string,datePublished:string,`@graph`:array<struct<headline:string,name:string,datePublished:string>>>"
-    each = pages.select("page_id", F.posexplode(bodies).alias("pos", "body")).select("page_id", "pos", F.from_json("body", f"array<{node}>").alias("many"))
+    each = pages.select("page_id", F.posexplode(bodies).alias("pos", "body")).select("page_id", "pos", F.from_json(F.when(F.startswith(F.ltrim("body"), F.lit("[")), F.col("body")).otherwise(F.concat(F.lit("["), "body", F.lit("]"))), f"array<{node}>").alias("many"))
     own = each.select("page_id", "pos", F.posexplode("many").alias("k", "n"))
     flat = own.select("page_id", "pos", "k", F.explode(F.concat(F.array(F.struct("n.headline", "n.name", "n.datePublished")), F.coalesce("n.@graph", F.array().cast("array<struct<headline:string,name:string,datePublished:string>>")))).alias("x"))
     rows = flat.select("page_id", "pos", "k", F.coalesce("x.headline", "x.name").alias("title"), S.strict_iso_date(F.substring("x.datePublished", 1, 10)).alias("date"))

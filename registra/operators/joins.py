@@ -42,12 +42,18 @@ def _grams(tokens: Column, longest: int) -> Column:
     return F.array_distinct(F.flatten(runs))
 
 
-def match_authorities(rows: DataFrame, terms: DataFrame, overrides: dict[str, str] = vocab.EXACT_AUTHORITIES, prefixes: list[str] = vocab.OPERATOR_PREFIXES, longest: int = 8) -> DataFrame:
+def longest_term(terms: DataFrame) -> int:
+    """Tokens of the longest term."""
+    return terms.agg(F.coalesce(F.max(F.size(F.split("term", " "))), F.lit(1))).first()[0]
+
+
+def match_authorities(rows: DataFrame, terms: DataFrame, overrides: dict[str, str] = vocab.EXACT_AUTHORITIES, prefixes: list[str] = vocab.OPERATOR_PREFIXES) -> DataFrame:
     """(id, authority, municipality_id, match_mode, matched_prefix, reason, matched_term) for each row (id, authority).
 
     Exact names first; then the tail after BASHKIA or MUNICIPALITY OF, which holds a term on token boundaries (first
     municipality by key, longest term); then allowlisted operators whose name ends in a term of exactly one
-    municipality. Runs of tokens meet the terms in equi-joins; `longest` bounds a term's tokens."""
+    municipality. Runs of tokens, as long as the longest term, meet the terms in equi-joins."""
+    longest = longest_term(terms)
     text = S.normalize_authority(F.col("authority"))
     marked = rows.select("id", "authority", text.alias("text"))
     bashkia = F.regexp_replace(F.trim(F.regexp_extract("text", r"\bBASHKIA\b(.*)$", 1)), r"^E\s+", "")
@@ -93,9 +99,9 @@ def match_authorities(rows: DataFrame, terms: DataFrame, overrides: dict[str, st
     )
 
 
-def mention_gap(rows: DataFrame, terms: DataFrame, longest: int = 8) -> DataFrame:
+def mention_gap(rows: DataFrame, terms: DataFrame) -> DataFrame:
     """(municipality_id, mentions): rows (id, authority) that hold a term of the municipality anywhere."""
-    grams = rows.select("id", F.explode(_grams(F.split(S.normalize_authority(F.col("authority")), " "), longest)).alias("term"))
+    grams = rows.select("id", F.explode(_grams(F.split(S.normalize_authority(F.col("authority")), " "), longest_term(terms))).alias("term"))
     return grams.join(terms, "term").select("id", "municipality_id").distinct().groupBy("municipality_id").agg(F.count("*").alias("mentions"))
 
 
@@ -115,14 +121,16 @@ def with_attachments(items: DataFrame, attachments: DataFrame) -> DataFrame:
     return met.withColumn("attachments", F.coalesce("attachments", empty)).withColumn("n_attachments", F.coalesce("n_attachments", F.lit(0)))
 
 
-def match_export_rows(items: DataFrame, rows: DataFrame) -> DataFrame:
+def match_export_rows(items: DataFrame, rows: DataFrame, scope: str | None = None) -> DataFrame:
     """(id, row_index, reason, candidates) for items (id, procedure_id, published_date, title) against export rows
-    (row_index, procedure_id, published_date, title): by procedure id, first row wins; else by date and title if unique."""
-    own = items.select("id", S.nonblank(S.normalize_procedure_id(F.col("procedure_id"))).alias("pid"), "published_date", S.normalize_title(F.col("title")).alias("t"))
-    there = rows.select("row_index", S.nonblank(S.normalize_procedure_id(F.col("procedure_id"))).alias("pid"), "published_date", S.normalize_title(F.col("title")).alias("t"))
-    by_id = there.where("pid is not null").groupBy("pid").agg(F.min("row_index").alias("first_row"), F.count("*").alias("id_rows"))
-    by_title = there.where("published_date is not null and t <> ''").groupBy("published_date", "t").agg(F.min("row_index").alias("title_row"), F.count("*").alias("title_rows"))
-    met = own.join(by_id, "pid", "left").join(by_title, ["published_date", "t"], "left")
+    (row_index, procedure_id, published_date, title): by procedure id, first row wins; else by date and title if unique.
+    scope: a column of both; an item meets only rows of its own scope."""
+    within = F.col(scope) if scope else F.lit("")
+    own = items.select("id", within.alias("scope"), S.nonblank(S.normalize_procedure_id(F.col("procedure_id"))).alias("pid"), "published_date", S.normalize_title(F.col("title")).alias("t"))
+    there = rows.select("row_index", within.alias("scope"), S.nonblank(S.normalize_procedure_id(F.col("procedure_id"))).alias("pid"), "published_date", S.normalize_title(F.col("title")).alias("t"))
+    by_id = there.where("pid is not null").groupBy("scope", "pid").agg(F.min("row_index").alias("first_row"), F.count("*").alias("id_rows"))
+    by_title = there.where("published_date is not null and t <> ''").groupBy("scope", "published_date", "t").agg(F.min("row_index").alias("title_row"), F.count("*").alias("title_rows"))
+    met = own.join(by_id, ["scope", "pid"], "left").join(by_title, ["scope", "published_date", "t"], "left")
     comparable = F.col("published_date").isNotNull() & (F.col("t") != "")
     reason = (
         F.when(F.col("first_row").isNotNull(), "matched_procedure_id")

@@ -1,7 +1,8 @@
 """Merges: (target, incoming) to a new target and an action for each incoming key. Nothing is written here.
 
-Incoming rows are reduced to the first of each key before the join, so a merge doesn't depend on row order, and
-merging the result again takes no action."""
+Incoming rows are reduced to one of each key before the join, so a merge doesn't depend on row order, and merging the
+result again takes no action. Where the last write wins (upserts, patches), an order can be given; by default it is
+that of the rows."""
 
 from __future__ import annotations
 
@@ -14,10 +15,16 @@ from registra.operators.windows import keep_first
 ITEM_KEY = ["municipality_id", "category", "dedup_key"]
 
 
-def _pair(target: DataFrame, incoming: DataFrame, key: list[str]) -> DataFrame:
-    """Full join of two tables of the same columns, as structs t and n."""
+def last_of(rows: DataFrame, keys: list[str], order: list[str] | None) -> DataFrame:
+    """The last row of each key by the columns of order, or in row order. Rows with a null key column are one group."""
+    by = [F.col(c).desc_nulls_last() for c in order] if order else [F.desc("__at")]
+    return keep_first(rows.withColumn("__at", F.monotonically_increasing_id()), keys, by).drop("__at")
+
+
+def _pair(target: DataFrame, incoming: DataFrame, key: list[str], more: tuple[str, ...] = ()) -> DataFrame:
+    """Full join of two tables of the same columns, as structs t and n; n has the columns of more, too."""
     t = target.select(*key, F.struct(*[F.col(c) for c in target.columns]).alias("t"))
-    n = incoming.select(*key, F.struct(*[F.col(c) for c in target.columns]).alias("n"))
+    n = incoming.select(*key, F.struct(*[F.col(c) for c in (*target.columns, *more)]).alias("n"))
     return t.join(n, key, "full")
 
 
@@ -51,7 +58,8 @@ def merge_documents(target: DataFrame, incoming: DataFrame, publish: bool = Fals
     """Title is always refreshed, dates only fill nulls, URLs stay where set, the status only rises.
 
     on_url_conflict: a new row whose source_url another key of the target has is skipped, or reconciled: merged into
-    that row, if municipality and category are the same."""
+    that row, which takes the new key (it is free, as the row is new) and the new origin, if municipality and category
+    are the same."""
     first = keep_first(incoming, ITEM_KEY, [F.col("published_date").desc_nulls_last(), F.col("id")])
     fresh = first.join(target.select(*ITEM_KEY), ITEM_KEY, "left_anti").where("source_url is not null")
     owners = target.where("source_url is not null").groupBy("source_url").agg(F.min(F.struct("municipality_id", "category", "dedup_key")).alias("own"))
@@ -59,13 +67,15 @@ def merge_documents(target: DataFrame, incoming: DataFrame, publish: bool = Fals
     same = (F.col("own.municipality_id") == F.col("municipality_id")) & (F.col("own.category") == F.col("category"))
     moved = clash.where(same).select("id", F.col("own.dedup_key").alias("moved_key")) if on_url_conflict == "reconcile" else clash.where("false").select("id", F.col("own.dedup_key").alias("moved_key"))
     lost = clash.select("id").join(moved, "id", "left_anti")
-    kept = first.join(lost, "id", "left_anti").join(moved, "id", "left").withColumn("dedup_key", F.coalesce("moved_key", "dedup_key")).select(*first.columns)
+    kept = first.join(lost, "id", "left_anti").join(moved, "id", "left").withColumn("new_key", F.when(F.col("moved_key").isNotNull(), F.col("dedup_key"))).withColumn("dedup_key", F.coalesce("moved_key", "dedup_key")).select(*first.columns, "new_key")
     kept = keep_first(kept, ITEM_KEY, [F.col("published_date").desc_nulls_last(), F.col("id")])
     kept = keep_first(kept.withColumn("u", F.coalesce("source_url", F.concat(F.lit("#"), F.col("id").cast("string")))), ["u"], ["id"]).drop("u")
-    pair = _pair(target, kept, ITEM_KEY)
+    pair = _pair(target, kept, ITEM_KEY, ("new_key",))
     fills = F.col("t.published_date").isNull() & F.col("n.published_date").isNotNull()
     raises = F.lit(publish) & (F.col("t.status") != "published")
+    moves = F.col("n.new_key").isNotNull()
     new = {
+        "dedup_key": F.coalesce("n.new_key", "t.dedup_key"),
         "title": F.col("n.title"),
         "published_date": F.coalesce("t.published_date", "n.published_date"),
         "source_url": F.coalesce("t.source_url", "n.source_url"),
@@ -73,13 +83,16 @@ def merge_documents(target: DataFrame, incoming: DataFrame, publish: bool = Fals
     }
     if "date_unknown" in target.columns:
         new["date_unknown"] = F.coalesce("t.published_date", "n.published_date").isNull()
-    out, actions = _merged(pair, target.columns, ~F.col("n.title").eqNullSafe(F.col("t.title")) | fills | raises | (F.col("t.source_url").isNull() & F.col("n.source_url").isNotNull()), new)
+    if "source_origin" in target.columns:
+        new["source_origin"] = F.when(moves, F.coalesce("n.source_origin", "t.source_origin")).otherwise(F.col("t.source_origin"))
+    out, actions = _merged(pair, target.columns, moves | ~F.col("n.title").eqNullSafe(F.col("t.title")) | fills | raises | (F.col("t.source_url").isNull() & F.col("n.source_url").isNotNull()), new)
     skipped = first.select("id").join(actions, "id", "left_anti").select("id", F.lit("skipped").alias("action"))
     return out, actions.unionByName(skipped)
 
 
-def resolve_decision_keys(incoming: DataFrame, target: DataFrame) -> DataFrame:
-    """incoming with dedup_key: a dated row adopts the stored key of the same number and title without a date.
+def resolve_decision_keys(incoming: DataFrame, target: DataFrame, order: str | None = None) -> DataFrame:
+    """incoming with dedup_key: a dated row adopts the key of the same number and title without a date, if that is
+    stored, or comes earlier in the batch by the column `order` (without one, rows of a batch don't meet).
 
     incoming: municipality_id, published_date, number, title_normalized; target: municipality_id, category, dedup_key."""
     title = F.col("title_normalized")
@@ -89,12 +102,19 @@ def resolve_decision_keys(incoming: DataFrame, target: DataFrame) -> DataFrame:
     rows = incoming.drop("dedup_key").withColumn("dated_key", dated).withColumn("unknown_key", unknown)
     met = rows.join(keys.select("municipality_id", F.col("dedup_key").alias("dated_key"), F.lit(True).alias("has_dated")), ["municipality_id", "dated_key"], "left")
     met = met.join(keys.select("municipality_id", F.col("dedup_key").alias("unknown_key"), F.lit(True).alias("has_unknown")), ["municipality_id", "unknown_key"], "left")
+    if order is not None:
+        undated = rows.where("published_date is null").groupBy("municipality_id", "unknown_key").agg(F.min(order).alias("first_unknown"))
+        of_dated = rows.where("published_date is not null").groupBy("municipality_id", "dated_key").agg(F.min(order).alias("first_dated"))
+        met = met.join(undated, ["municipality_id", "unknown_key"], "left").join(of_dated, ["municipality_id", "dated_key"], "left")
+        # the first dated row decides for its key: it is stored under it, unless the undated key was there before
+        met = met.withColumn("has_unknown", F.coalesce(F.col("has_unknown") | (F.col("first_unknown") < F.col("first_dated")), F.col("has_unknown"), F.col("first_unknown") < F.col("first_dated"))).drop("first_unknown", "first_dated")
     chosen = F.when(F.col("has_dated").isNull() & F.col("has_unknown") & F.col("published_date").isNotNull(), F.col("unknown_key")).otherwise(F.col("dated_key"))
     return met.withColumn("dedup_key", chosen).drop("dated_key", "unknown_key", "has_dated", "has_unknown")
 
 
-def upsert(target: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
-    """Incoming rows replace target rows of the same key."""
+def upsert(target: DataFrame, incoming: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """Incoming rows replace target rows of the same key; of several incoming rows the last by order (see last_of)."""
+    incoming = last_of(incoming, keys, order)
     return target.join(incoming.select(*keys), keys, "left_anti").unionByName(incoming.select(*target.columns))
 
 
@@ -111,13 +131,14 @@ def upsert_scores(target: DataFrame, fresh: DataFrame, indicators: int = 5) -> D
     return pair.select(*[value(c).alias(c) for c in target.columns])
 
 
-def override_scores(scores: DataFrame, patches: DataFrame, rubric: list[int] = [0, 5, 10], indicators: int = 5) -> tuple[DataFrame, DataFrame]:
-    """patches: (municipality_id, indicator, action set or clear, value, argument). Gives scores and rejected patches."""
-    good = F.col("indicator").between(1, indicators) & (((F.col("action") == "set") & F.col("value").isin(rubric) & (F.trim(F.coalesce("argument", F.lit(""))) != "")) | (F.col("action") == "clear"))
+def override_scores(scores: DataFrame, patches: DataFrame, rubric: tuple[int, ...] = (0, 5, 10), indicators: int = 5, order: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """patches: (municipality_id, indicator, action set or clear, value, argument). Gives scores and rejected patches; of
+    several patches of one cell the last by order counts (see last_of)."""
+    good = F.col("indicator").between(1, indicators) & (((F.col("action") == "set") & F.col("value").isin(list(rubric)) & (F.trim(F.coalesce("argument", F.lit(""))) != "")) | (F.col("action") == "clear"))
     known = patches.join(scores.select("municipality_id"), "municipality_id", "left_semi")
     fit = known.where(F.coalesce(good, F.lit(False)))
     rejected = patches.exceptAll(fit)
-    folded = fit.groupBy("municipality_id").agg(F.map_from_entries(F.collect_list(F.struct("indicator", F.struct("action", "value")))).alias("p"))
+    folded = last_of(fit, ["municipality_id", "indicator"], order).groupBy("municipality_id").agg(F.map_from_entries(F.collect_list(F.struct("indicator", F.struct("action", "value")))).alias("p"))
     out = scores.join(folded, "municipality_id", "left")
     for k in range(1, indicators + 1):
         own = F.try_element_at("p", F.lit(k))
@@ -141,23 +162,29 @@ def publish(items: DataFrame, keys: DataFrame | None = None, municipality_id=Non
 
 
 def attempt_summary(attempts: DataFrame) -> DataFrame:
-    """One row for each source: attempts, first and last times, last outcome, hour buckets."""
+    """One row for each source: attempts, first and last times, last outcome, hour buckets; whether any attempt was
+    blocked, and the last final URL that an attempt has."""
     best = F.max_by(F.struct("ok", "error_type"), F.struct("ts", "id"))
+    final = F.col("final_url") if "final_url" in attempts.columns else F.lit(None).cast("string")
     return attempts.groupBy("source_id").agg(
         F.count("*").alias("attempts"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.max(F.when(F.col("ok"), F.col("ts"))).alias("last_ok"),
         best.alias("last"), F.array_sort(F.collect_set(S.hour_bucket(F.col("ts")))).alias("hours"),
+        F.max(~F.col("ok") & F.col("error_type").eqNullSafe("HTTP_403")).alias("was_blocked"), F.max_by(final, F.when(final.isNotNull(), F.struct("ts", "id"))).alias("last_final_url"),
     )
 
 
 def apply_attempts(registry: DataFrame, attempts: DataFrame, block_minutes: int = 10080, minutes: int = 30) -> DataFrame:
     """registry (source_id, attempt_count, first_seen, last_checked, last_seen, last_error_type, cooldown_until,
     homepage_status, hour_buckets) after the attempts: counts add up, first_seen is written once, hours are appended,
-    and the last outcome sets error, cooldown and status."""
+    and the last outcome sets error, cooldown and status. feasibility and final_url, if the registry has them: C after any
+    block, and the last one that an attempt has."""
     met = registry.join(attempt_summary(attempts), "source_id", "left")
     ok, failed = F.coalesce(F.col("last.ok"), F.lit(False)), ~F.coalesce(F.col("last.ok"), F.lit(True))
     error = F.col("last.error_type")
     pause = F.when(error == "HTTP_403", F.col("last_ts") + F.make_dt_interval(mins=F.lit(block_minutes))).otherwise(F.col("last_ts") + F.make_dt_interval(mins=F.lit(minutes)))
+    more = {"feasibility": F.when(F.col("was_blocked"), "C").otherwise(F.col("feasibility")) if "feasibility" in registry.columns else None, "final_url": F.coalesce("last_final_url", "final_url") if "final_url" in registry.columns else None}
     return met.select(
+        *[x.alias(c) for c, x in more.items() if x is not None],
         "source_id", (F.col("attempt_count") + F.coalesce("attempts", F.lit(0))).alias("attempt_count"), F.coalesce("first_seen", "first_ts").alias("first_seen"),
         F.greatest("last_checked", "last_ts").alias("last_checked"), F.greatest("last_seen", "last_ok").alias("last_seen"),
         F.when(ok, None).when(failed, error).otherwise(F.col("last_error_type")).alias("last_error_type"), F.when(ok, None).when(failed, pause).otherwise(F.col("cooldown_until")).alias("cooldown_until"),

@@ -11,13 +11,7 @@ from registra.functions import vocab
 
 def resolve_headers(columns: list[str], keywords: list[str]) -> list[str]:
     """The columns whose normalised name contains a keyword, keyword by keyword: the order in which values are tried."""
-    import unicodedata
-
-    def norm(x: str) -> str:
-        plain = "".join(c for c in unicodedata.normalize("NFKD", x.lower()) if not "̀" <= c <= "ͯ")
-        return " ".join("".join(c if c.isascii() and c.isalnum() else " " for c in plain).split())
-
-    found = [c for k in keywords for c in columns if norm(k) in norm(c)]
+    found = [c for k in keywords for c in columns if S.normalized(k) in S.normalized(c)]
     return list(dict.fromkeys(found))
 
 

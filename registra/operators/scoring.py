@@ -30,10 +30,51 @@ def keyword_hits(text: Column, keywords: list[str]) -> Column:
 def candidate_score(candidates: DataFrame, keywords: list[str], paths: list[tuple[str, int]] = vocab.CONSULTATION_PATHS, phrases: list[tuple[str, int]] = vocab.CONSULTATION_PHRASES, methods: dict[str, int] = vocab.CANDIDATE_METHODS, per_hit: int = 16) -> DataFrame:
     """Adds score to candidates (text, href, url, method): keyword hits, path, phrases and how they were found."""
     both = S.fold_text(F.concat_ws(" ", "text", "href", "url"))
-    method = F.lit(0)
+    return candidates.withColumn("score", keyword_hits(both, keywords) * per_hit + rule_points(S.fold_text(F.col("url")), paths) + rule_points(both, phrases) + method_points(methods))
+
+
+def method_points(methods: dict[str, int]) -> Column:
+    out = F.lit(0)
     for name, points in methods.items():
-        method = method + F.when(F.col("method") == name, points).otherwise(0)
-    return candidates.withColumn("score", keyword_hits(both, keywords) * per_hit + rule_points(S.fold_text(F.col("url")), paths) + rule_points(both, phrases) + method)
+        out = out + F.when(F.col("method") == name, points).otherwise(0)
+    return out
+
+
+def decision_score(candidates: DataFrame) -> DataFrame:
+    """Adds score to candidates (text, href, url, method) of decision pages, by the rules on all of it and on each part."""
+    text, href, url = (F.lower(F.coalesce(c, F.lit(""))) for c in ("text", "href", "url"))
+    both = F.concat_ws(" ", text, href, url)
+    score = rule_points(both, vocab.DECISION_ALL) + rule_points(url, vocab.DECISION_URL) + rule_points(text, vocab.DECISION_TEXT) + rule_points(href, vocab.DECISION_HREF)
+    return candidates.withColumn("score", score + method_points(vocab.DECISION_METHODS))
+
+
+def generic_score(candidates: DataFrame, keywords: list[tuple[str, int]] = vocab.PROCUREMENT_KEYWORDS) -> DataFrame:
+    """Adds score and keyword_hits to candidates (text, href, url, method): points for each keyword, 8 more for a second
+    and a third mention, 20 for two different keywords and 12 for three, and the general rules."""
+    url = S.fold_text(F.col("url"))
+    both = F.trim(F.concat_ws(" ", S.fold_text(F.col("text")), S.fold_text(F.col("href")), url))
+    score, hits = rule_points(both, vocab.GENERIC_ALL) + rule_points(url, vocab.GENERIC_URL) + method_points(vocab.GENERIC_METHODS), F.lit(0)
+    for pattern, points in keywords:
+        n = F.regexp_count(both, F.lit(pattern))
+        hits = hits + F.when(n > 0, 1).otherwise(0)
+        score = score + F.when(n > 0, points + (F.least(n, F.lit(3)) - 1) * 8).otherwise(0)
+    score = score + F.when(hits >= 2, 20).otherwise(0) + F.when(hits >= 3, 12).otherwise(0)
+    return candidates.withColumn("keyword_hits", hits).withColumn("score", score)
+
+
+def confirmed_score(scored: DataFrame, pages: DataFrame, pattern: str, points: int) -> DataFrame:
+    """Scored candidates (page_id) with `points` more if their page (http_status, html) is there and holds the pattern:
+    100 for decision pages, 52 for others. Adds valid and confidence."""
+    seen = pages.select("page_id", (F.coalesce(F.col("http_status") == 200, F.lit(False)) & S.fold_text(F.col("html")).rlike(pattern)).alias("valid"))
+    met = scored.join(seen, "page_id", "left").withColumn("valid", F.coalesce("valid", F.lit(False)))
+    return met.withColumn("score", F.col("score") + F.when(F.col("valid"), points).otherwise(0)).withColumn("confidence", S.confidence_from_score(F.col("score")))
+
+
+def fill_urls(registry: DataFrame, best: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """registry with the null URLs of its columns (category to column) filled from best (source_id, category, url)."""
+    wide = best.groupBy("source_id").agg(*[F.min(F.when(F.col("category") == k, F.col("url"))).alias(f"__{c}") for k, c in columns.items()])
+    met = registry.join(wide, "source_id", "left")
+    return met.withColumns({c: F.coalesce(c, f"__{c}") for c in columns.values()}).select(*registry.columns)
 
 
 def verified_score(scored: DataFrame, pages: DataFrame, signals: DataFrame, keywords: list[str]) -> DataFrame:

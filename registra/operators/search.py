@@ -42,7 +42,7 @@ def inverted(documents: DataFrame, weights: dict[str, int] = WEIGHTS) -> DataFra
 
 
 def term_search(postings: DataFrame, query: str, limit: int = 50) -> DataFrame:
-    """(id, matched, weight): documents by number of distinct query terms, then weight, then id."""
-    terms = list(dict.fromkeys(t for t in query.lower().split() if t))
+    """(id, matched, weight): documents by number of distinct query terms, folded like the postings, then weight, then id."""
+    terms = list(dict.fromkeys(S.normalized(query).split()))
     hits = postings.where(F.col("term").isin(terms)) if terms else postings.where("false")
     return hits.groupBy("id").agg(F.count("*").alias("matched"), F.sum("weight").alias("weight")).orderBy(F.desc("matched"), F.desc("weight"), "id").limit(limit)

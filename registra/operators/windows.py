@@ -38,6 +38,24 @@ def feed_page(items: DataFrame, page: int = 1, limit: int = 20, newest: bool = T
     return items.orderBy(*[c.desc() if newest else c.asc() for c in order]).offset((page - 1) * limit).limit(limit)
 
 
+def coverage_order(cells: DataFrame) -> DataFrame:
+    return cells.orderBy("name_key", "category")
+
+
+def municipality_list(municipality: DataFrame) -> DataFrame:
+    return municipality.select("id", "name_sq", "name_key", "county").orderBy("name_sq", "id")
+
+
+def candidate_pool(found: DataFrame, common: DataFrame, most_found: int = 20, most: int = 28) -> DataFrame:
+    """Candidates (page_id, url, score, pos) of a page's links and of common paths: the first of each URL (without
+    fragment) by score, at most `most_found` links, then the common paths that aren't among them; `most` in all."""
+    keyed = lambda df: df.withColumn("plain", F.regexp_replace("url", "#.*$", ""))
+    links = top_k(keep_first(keyed(found), ["page_id", "plain"], [F.desc("score"), "pos"]), ["page_id"], [F.desc("score"), "pos"], most_found).withColumn("part", F.lit(0))
+    paths = keep_first(keyed(common), ["page_id", "plain"], ["pos"]).withColumn("part", F.lit(1))
+    both = keep_first(links.unionByName(paths), ["page_id", "plain"], ["part"])
+    return top_k(both, ["page_id"], ["part", F.when(F.col("part") == 0, -F.col("score")), "pos"], most).drop("plain", "part")
+
+
 def latest(items: DataFrame, n: int = 10) -> DataFrame:
     return feed_page(items, 1, n)
 

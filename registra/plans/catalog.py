@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from registra.functions import scalars as S
 from registra.operators import aggs, joins, predicates, windows
-from registra.plans import extra, more
+from registra.plans import extra, more, pages
 from registra.plans.views import view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,9 +117,10 @@ def visible_attachments(spark, d):
     return joins.visible_attachments(view(spark, d, "v_att"), view(spark, d, "v_item")).select("id", "item_id")
 
 
-@query("select category, count(*) as n from v_item where status = 'published' group by rollup (category)")
+@query("select category, grouping(category) = 1 as is_total, count(*) as n from (select status, case when id % 8 = 0 then null else category end as category from v_item) x where status = 'published' group by rollup (category)")
 def category_totals(spark, d):
-    return aggs.category_totals(view(spark, d, "v_item"))
+    """Every eighth item has no category."""
+    return aggs.category_totals(view(spark, d, "v_item").withColumn("category", F.when(F.col("id") % 8 != 0, F.col("category"))))
 
 
 @query("""with keys as (select distinct lower(replace(n_name, '_', '-')) as key from nation union select 'n' || cast(n_nationkey as varchar) from nation union select 'x' || cast(n_nationkey as varchar) from nation)
@@ -293,14 +294,14 @@ def date_parse_variants(spark, d):
 FOLD_SQL = "trim(regexp_replace(strip_accents(lower(coalesce({0}, ''))), '[^a-z0-9]+', ' ', 'g'))"
 
 
-@query(f"select id, {FOLD_SQL.format('title')} as folded, {FOLD_SQL.format('text')} as folded_text from v_doc")
+@query(f"select id, {FOLD_SQL.format('text')} as folded_text from v_doc")
 def title_fold(spark, d):
-    return view(spark, d, "v_doc").select("id", S.normalize_title(F.col("title")).alias("folded"), S.normalize_title(F.col("text")).alias("folded_text"))
+    return view(spark, d, "v_doc").select("id", S.normalize_title(F.col("text")).alias("folded_text"))
 
 
-@query("select id, regexp_replace(regexp_replace(strip_accents(lower(title)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') as slug, regexp_replace(translate(lower(title), 'ëç', 'ec'), '[^a-z0-9]', '', 'g') as legacy from v_doc")
+@query("select id, regexp_replace(regexp_replace(strip_accents(lower(text)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') as slug, regexp_replace(translate(lower(text), 'ëç', 'ec'), '[^a-z0-9]', '', 'g') as legacy from v_doc")
 def slugs(spark, d):
-    return view(spark, d, "v_doc").select("id", S.slugify(F.col("title")).alias("slug"), S.legacy_key(F.col("title")).alias("legacy"))
+    return view(spark, d, "v_doc").select("id", S.slugify(F.col("text")).alias("slug"), S.legacy_key(F.col("text")).alias("legacy"))
 
 
 T1 = FOLD_SQL.format("title")
@@ -316,13 +317,14 @@ def dedup_keys(spark, d):
     return view(spark, d, "v_item").select("id", S.decision_key(m, p, (F.col("id") % 40).cast("string"), t).alias("decision"), S.document_key(m, F.col("category"), p, t, F.col("source_url")).alias("document"), S.procurement_key(m, ref, p, t).alias("procurement"))
 
 
-@query("select id, source, lang from (select *, row_number() over (partition by title order by id) as rn from v_doc) x where rn = 1")
+@query("select id, source, lang from (select *, row_number() over (partition by text order by id) as rn from v_doc) x where rn = 1")
 def dedup_first(spark, d):
-    return windows.keep_first(view(spark, d, "v_doc"), ["title"], ["id"]).select("id", "source", "lang")
+    """Documents of one whole text, known by its digest."""
+    return windows.keep_first(view(spark, d, "v_doc").withColumn("digest", F.sha2("text", 256)), ["digest"], ["id"]).select("id", "source", "lang")
 
 
-QUERIES |= more.QUERIES | extra.QUERIES
-ORACLE |= more.ORACLE | extra.ORACLE
+QUERIES |= more.QUERIES | extra.QUERIES | pages.QUERIES
+ORACLE |= more.ORACLE | extra.ORACLE | pages.ORACLE
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -39,7 +39,7 @@ VIEWS = {
         from {supplier} join {nation} on s_nationkey = n_nationkey""",
     "v_attempt": """select event_id as id, user_id as source_id, ts, event_id % 5 not in (0, 1, 2) as ok, case event_id % 5 when 0 then 'HTTP_403' when 1 then 'TIMEOUT' when 2 then 'ENOTFOUND' else null end as error_type,
         cast(case event_id % 5 when 0 then 403 when 1 then null when 2 then null else 200 end as int) as http_status, case event_id % 5 when 1 then 'Request timed out' else null end as message from {events}""",
-    "v_doc": "select doc_id as id, substr(text, 1, 80) as title, text, source, lang from {documents}",
+    "v_doc": "select doc_id as id, text, source, lang from {documents}",
     "v_page": "select page_id, url, html from {pages}",
 }
 

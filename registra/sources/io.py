@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from registra.functions import scalars as S
@@ -18,21 +18,43 @@ REGISTRY = (
 )
 
 
-def sniff_delimiter(spark: SparkSession, path: str) -> str:
-    """';' if the first line has more of them outside quotes than ','; an empty first line is an error."""
-    first = spark.read.text(path).limit(1).collect()
-    line = first[0][0].lstrip("﻿") if first else ""
+def delimiter_of(line: str | None, path: str = "") -> str:
+    """';' if a header line has more of them outside quotes than ','; an empty one is an error."""
+    line = (line or "").lstrip("\ufeff")
     if not line.strip():
         raise ValueError(f"{path}: the header row is empty")
     outside = "".join(line.split('"')[::2])
     return ";" if outside.count(";") > outside.count(",") else ","
 
 
-def read_export(spark: SparkSession, path: str) -> DataFrame:
-    """A procurement export: delimiter by its first line, trimmed values, empty lines skipped, row_index in file order.
-    A row with more or fewer values than the header fails the whole read."""
-    df = spark.read.csv(path, header=True, sep=sniff_delimiter(spark, path), quote='"', escape='"', multiLine=True, mode="FAILFAST", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
-    return df.withColumn("row_index", F.monotonically_increasing_id())
+def sniff_delimiters(spark: SparkSession, path: str) -> dict[str, list[str]]:
+    """The files of path by delimiter, each by its own first line."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")).alias("place"), "value")
+    found: dict[str, list[str]] = {}
+    for file, line in lines.groupBy("file").agg(F.min_by("value", "place")).collect():
+        found.setdefault(delimiter_of(line, file), []).append(file)
+    if not found:
+        raise ValueError(f"{path}: the header row is empty")
+    return found
+
+
+def read_export(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    """A procurement export of one or many files: delimiter of each file by its first line, trimmed values, empty lines
+    skipped, row_index from 0 without gaps, by file and in file order. A row with more or fewer values than the header
+    fails the whole read. multiline: values may hold line breaks, which keeps a file in one task; without it files are
+    split."""
+    parts = None
+    for sep, files in sorted(sniff_delimiters(spark, path).items()):
+        df = spark.read.csv(files, header=True, sep=sep, quote='"', escape='"', multiLine=multiline, mode="FAILFAST", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+        place = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block"), F.monotonically_increasing_id().alias("__at")]
+        own = df.select("*", *place)
+        parts = own if parts is None else parts.unionByName(own, allowMissingColumns=True)
+    # rows of one block of a file lie together; a row for each block is all that is put in one order
+    blocks = parts.groupBy("__file", "__block").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__file", "__block")) - F.col("__n")
+    starts = blocks.select("__file", "__block", (before - F.col("__first")).alias("__shift"))
+    met = parts.join(starts, ["__file", "__block"])
+    return met.withColumn("row_index", F.col("__at") + F.col("__shift")).drop("__file", "__block", "__at", "__shift")
 
 
 def is_csv(content_type: Column, body: Column) -> Column:
@@ -51,7 +73,7 @@ def read_csv_or_reject(spark: SparkSession, paths: str) -> tuple[DataFrame, Data
 
 def read_registry(spark: SparkSession, path: str) -> DataFrame:
     df = spark.read.csv(path, header=True, schema=REGISTRY, multiLine=True, quote='"', escape='"')
-    hours = F.array_distinct(F.filter(F.transform(F.split(F.coalesce("hour_buckets_seen", F.lit("")), ","), F.trim), lambda x: x != ""))
+    hours = F.array_distinct(F.filter(F.transform(F.split(F.coalesce("hour_buckets_seen", F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != ""))
     return df.withColumn("hour_buckets", hours)
 
 
@@ -73,12 +95,17 @@ def seed_registry(registry: DataFrame, municipality: DataFrame) -> DataFrame:
 
 def read_attachments(spark: SparkSession, path: str, cap: int = ATTACHMENT_CAP) -> DataFrame:
     """(path, size_bytes, sha256, type, accepted) of files; contents above the cap aren't read."""
-    files = spark.read.format("binaryFile").load(path)
+    return attachments_of(spark.read.format("binaryFile").load(path), cap)
+
+
+def attachments_of(files: DataFrame, cap: int = ATTACHMENT_CAP, declared: Column | None = None) -> DataFrame:
+    """The same of a table of binary files; the declared type is the extension of the file's name, unless given."""
     small = files.where(F.col("length") <= cap)
-    declared = S.attachment_ext(F.concat(F.lit("http://f/"), F.element_at(F.split("path", "/"), -1)))
+    if declared is None:
+        declared = S.attachment_ext(F.concat(F.lit("http://f/"), F.element_at(F.split("path", "/"), -1)))
     kind = S.detect_attachment_type(F.col("content"), declared)
     read = small.select("path", F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), kind.alias("type"), kind.isNotNull().alias("accepted"))
-    large = spark.read.format("binaryFile").load(path).where(F.col("length") > cap)
+    large = files.where(F.col("length") > cap)
     return read.unionByName(large.select("path", F.col("length").alias("size_bytes"), F.lit(None).cast("string").alias("sha256"), F.lit(None).cast("string").alias("type"), F.lit(False).alias("accepted")))
 
 
