@@ -55,7 +55,8 @@ def normalized(text: str) -> str:
 
 
 def fold_text(c: Column) -> Column:
-    return F.lower(fold(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))))
+    """Lower case without accents and marks of any script, runs of white space as one space."""
+    return F.lower(F.regexp_replace(fold(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))), r"\p{M}+", ""))
 
 
 def normalize_authority(c: Column) -> Column:

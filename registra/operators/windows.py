@@ -18,6 +18,16 @@ def top_k(df: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
     return df.withColumn(n, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(n) <= k).drop(n)
 
 
+def tagged_union(parts: dict[str, DataFrame], keys: list[str], order: list, tag: str = "part") -> DataFrame:
+    """Union of tables of the same columns with the name of each row's table; of rows of one key the one of the first
+    table stays, then by order."""
+    every = None
+    for k, (name, part) in enumerate(parts.items()):
+        own = part.withColumn(tag, F.lit(name)).withColumn("__precedence", F.lit(k))
+        every = own if every is None else every.unionByName(own)
+    return keep_first(every, keys, ["__precedence", *order]).drop("__precedence")
+
+
 def with_duplicates(df: DataFrame, keys: list[str], order: list) -> DataFrame:
     """Adds duplicate_rank: 1 for the row that is kept."""
     return df.withColumn("duplicate_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))

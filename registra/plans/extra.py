@@ -265,18 +265,17 @@ def document_cap(spark, d):
     return windows.document_cap(found, most=2).select(F.col("id").alias("page_id"), "url")
 
 
-@query("select id, title, published_date, source_url from v_item where municipality_id = 5 and category = 'Vendime' and year(published_date) = 1997 order by published_date desc nulls last, source_url, title limit 15")
+@query("select id, title, published_date, source_url from v_item where year(published_date) = 1997")
 def union_keep_first(spark, d):
     """Articles, hearings and registers overlap: the first source of each URL counts."""
-    own = view(spark, d, "v_item").where("municipality_id = 5 and category = 'Vendime'")
-    found = extract.page_items(own, own, own.where("id % 2 = 0").withColumn("title", F.lit("other")), own.withColumn("title", F.lit("late")), year=1997, limit=15)
+    own = view(spark, d, "v_item")
+    found = extract.page_items(own, own, own.where("id % 2 = 0").withColumn("title", F.lit("other")), own.withColumn("title", F.lit("late")), year=1997)
     return found.join(own.select("id", F.col("source_url").alias("u")), F.col("source_url") == F.col("u")).select("id", "title", "published_date", "source_url")
 
 
-@query("select id, title, source_origin from v_item where id % 2 = 0 union all select id, title, 'official.al' from v_item where id % 2 = 1")
+@query("select id, title, source_origin, 'baseline' as part from v_item where id % 2 = 0 union all select id, title, 'official.al', 'official' from v_item where id % 2 = 1")
 def tagged_union(spark, d):
     """Baseline and official rows with their source; official rows of the same key come first."""
     items = view(spark, d, "v_item").select(*ITEM)
     official = items.where("id % 2 = 1").withColumn("source_origin", F.lit("official.al"))
-    tagged = items.withColumn("precedence", F.lit(1)).unionByName(official.withColumn("precedence", F.lit(0)), allowMissingColumns=True)
-    return windows.keep_first(tagged, merges.ITEM_KEY, ["precedence", "id"]).select("id", "title", "source_origin")
+    return windows.tagged_union({"official": official, "baseline": items}, merges.ITEM_KEY, ["id"]).select("id", "title", "source_origin", "part")

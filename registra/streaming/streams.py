@@ -34,9 +34,12 @@ def current(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(f"{path}/v={found[-1]}") if found else None
 
 
-def versioned_merge(path: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
+def versioned_merge(path: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame], keep: int = 2) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function: batch k reads the newest version before k + 1 and writes version k + 1. A batch that
-    is run again finds its version complete and does nothing, so each batch takes effect once."""
+    is run again finds its version complete and does nothing, so each batch takes effect once. The newest `keep`
+    versions stay (the last one for the next batch, others for readers); older ones, and what lost batches have left of
+    them, are deleted. A version is the whole table: merges look across keys (an address belongs to one item), so a
+    batch can touch rows of any partition."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -46,6 +49,9 @@ def versioned_merge(path: str, merge: Callable[[DataFrame | None, DataFrame], Da
         before = [v for v in found if v <= batch_id]
         target = spark.read.parquet(f"{path}/v={before[-1]}") if before else None
         merge(target, batch).write.mode("overwrite").parquet(f"{path}/v={batch_id + 1}")
+        for v in [*before, batch_id + 1][:-keep]:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v={v}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return run
 

@@ -1,9 +1,11 @@
 import datetime
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from registra.operators import extract, joins, merges, predicates, scoring, windows
+from registra import pipelines
+from registra.operators import extract, joins, merges, predicates, scoring, search, windows
 from registra.sources import io
 from registra.streaming import streams
 
@@ -139,6 +141,61 @@ def test_batches_take_effect_once(spark, tmp_path):
     run(batch, 0)
     run(batch, 1)
     assert streams.current(spark, str(tmp_path / "t")).count() == 2 and len(calls) == 2
+    run(batch, 2)
+    assert streams.current(spark, str(tmp_path / "t")).count() == 3 and streams.versions(spark, str(tmp_path / "t")) == [2, 3]
+
+
+def test_late_attempts_are_dropped(spark, tmp_path):
+    def at(hour, minute):
+        return datetime.datetime(2024, 1, 1, hour, minute)
+
+    schema = "id long, source_id long, ts timestamp, ok boolean"
+    batches = [[(1, 7, at(10, 0), True), (2, 7, at(13, 5), False)], [(3, 7, at(9, 0), True), (4, 7, at(13, 30), True)], [(5, 7, at(10, 30), True), (6, 7, at(12, 40), True)]]
+    for rows in batches:  # the file source takes older files first
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    counts = streams.hour_activity(stream, "1 hour")
+    add = lambda target, batch: merges.upsert(batch.limit(0) if target is None else target, batch, ["source_id", "hour"])
+    query = counts.writeStream.outputMode("update").foreachBatch(streams.versioned_merge(str(tmp_path / "t"), add)).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = {r.hour: (r.attempts, r.errors) for r in streams.current(spark, str(tmp_path / "t")).collect()}
+    # the first batch moves the watermark to 12:05; the third one drops 10:30 by it, as its hour is over, and takes 12:40
+    assert got == {"2024-01-01T10": (1, 0), "2024-01-01T13": (2, 1), "2024-01-01T09": (1, 0), "2024-01-01T12": (1, 0)}
+
+
+def test_exports_of_many_files(spark, tmp_path):
+    folder = tmp_path / "many"
+    folder.mkdir()
+    for k in range(4):
+        sep = ";" if k % 2 else ","
+        (folder / f"f{k}.csv").write_text(f"Titulli{sep}Vlera\n" + "".join(f"t{k}-{i}{sep}{i}\n" for i in range(10)), encoding="utf-8")
+    for multiline in (True, False):
+        rows = io.read_export(spark, str(folder), multiline).orderBy("row_index").collect()
+        assert [r.row_index for r in rows] == list(range(40)) and {r.Titulli for r in rows} == {f"t{k}-{i}" for k in range(4) for i in range(10)}
+    parts = [windows.row_window(io.read_export(spark, str(folder)), o, 10).count() for o in (0, 10, 20, 30, 40)]
+    assert parts == [10, 10, 10, 10, 0]
+
+
+def test_long_terms_and_folded_queries(spark):
+    name = "Njesia e re e qytetit te vogel prane lumit te madh"
+    m = spark.createDataFrame([(1, name, "njesia")], "id int, name_sq string, name_key string")
+    alias = spark.createDataFrame([], "alias_key string, municipality_id int")
+    rows = spark.createDataFrame([(1, f"Bashkia {name}")], "id int, authority string")
+    terms = joins.authority_terms(m, alias)
+    assert joins.match_authorities(rows, terms).first().municipality_id == 1 and joins.mention_gap(rows, terms).first().mentions == 1
+    postings = spark.createDataFrame([("keshilli", 1, 5), ("bashkiak", 1, 5), ("tjeter", 2, 5)], "term string, id long, weight int")
+    assert [(r.id, r.matched) for r in search.term_search(postings, "Këshilli, BASHKIAK").collect()] == [(1, 2)]
+
+
+def test_records_without_exports(spark):
+    items = spark.createDataFrame([(1, "https://x.app.gov.al/GetData/ExportDocument?a#procedure=R-1", None, None, "t"), (2, "https://x.al/", None, None, "t"), (3, None, None, None, None), (4, "https://x.app.gov.al/GetData/ExportDocument?b", None, None, "t")], "id long, source_url string, procedure_id string, published_date date, title string")
+    rows = spark.createDataFrame([("https://x.app.gov.al/GetData/ExportDocument?a", 0, "R-1", "R-1", None, "t", None)], "export_url string, row_index long, procedure_id string, procedure_ref string, published_date date, title string, amount_value decimal(18,2)")
+    rejects = spark.createDataFrame([("https://x.app.gov.al/GetData/ExportDocument?b", "export_not_csv")], "export_url string, reason string")
+    records = spark.createDataFrame([], "item_id long, amount_value decimal(18,2), procedure_ref string, source_export_url string")
+    done, status = pipelines.rebuild_records(items, rows, rejects, records)
+    assert {r.id: r.reason for r in status.collect()} == {1: "record_upserted_amount_null", 2: "source_not_exportdocument", 3: "source_not_exportdocument", 4: "export_not_csv"}
+    assert [(r.item_id, r.procedure_ref) for r in done.collect()] == [(1, "R-1")]
 
 
 def test_run_log_round_trip(spark, tmp_path):
