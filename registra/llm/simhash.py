@@ -203,27 +203,27 @@ def _met(keyed: DataFrame, tile: int, distances, limit: float, reach: float | No
 
     Keys with two nodes to `tile` are buckets. Of larger ones each node's distance to the key's smallest node, the
     pivot, comes first: distances(rows) maps Arrow batches of (chunk, is_pivot, node, key, pivot, ...), sorted by chunk
-    and the pivot first, to (node, key, pivot, d). Nodes at `limit` or less are linked to the pivot: these are known.
+    and the pivot first, to (node, key, pivot, ..., d). Nodes at `limit` or less are linked to the pivot: these are known.
     Tiles pair chunks of the others with each other and with the known ones; of a metric, known nodes that are farther
     than `reach` below the nearest other's distance are left out."""
     half = tile // 2
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1")
-    sized = keyed.join(sizes, "key")
     names = [c for c in keyed.columns if c != "key"]
-    small = sized.where(F.col("n") <= tile).select(*names, F.col("key").alias("bucket"), F.lit(False).alias("known"))
-    hot = sized.where(F.col("n") > tile)
-    none = keyed.sparkSession.createDataFrame([], "a long, b long")
-    if sizes.where(F.col("n") > tile).isEmpty():
-        return small, none
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("pivot"))
+    small = keyed.join(sizes.where(F.col("n").between(2, tile)).select("key"), "key").select(*names, F.col("key").alias("bucket"), F.lit(False).alias("known"))
+    hot_keys = written(sizes.where(F.col("n") > tile), "hot")
+    if hot_keys.isEmpty():
+        return small, keyed.sparkSession.createDataFrame([], "a long, b long")
+    hot = keyed.join(hot_keys, "key")
     chunks = F.ceil(F.col("n") / half).cast("int")
     own = hot.withColumn("is_pivot", F.col("node") == F.col("pivot")).withColumn("chunk_no", F.when(F.col("is_pivot"), F.sequence(F.lit(0), chunks - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), chunks).cast("int"))))
     dealt = own.withColumn("chunk", F.explode("chunk_no")).withColumn("chunk", F.xxhash64("key", "chunk")).drop("n", "chunk_no")
     ordered = dealt.repartition("chunk").sortWithinPartitions("chunk", F.desc("is_pivot"))
-    pivoted = written(ordered.mapInArrow(distances, "node long, key long, pivot long, d double").where("node <> pivot"), "pivoted")
+    payload = [f"`{c}` {t}" for c, t in keyed.dtypes if c not in ("node", "key")]
+    pivoted = written(ordered.mapInArrow(distances, ", ".join(["node long, key long, pivot long", *payload, "d double"])).where("node <> pivot"), "pivoted")
     near = F.col("d") <= limit
     found = pivoted.where(near).select(F.col("node").alias("a"), F.col("pivot").alias("b"))
     rest = pivoted.groupBy("key").agg(F.count_if(~near).alias("n_other"), F.min(F.when(~near, F.col("d"))).alias("nearest"), F.count_if(near).alias("n_known")).where("n_other > 0")
-    left = pivoted.join(rest, "key")
+    left = pivoted.join(written(rest, "rest"), "key")  # one row for each hot key
     if reach is not None:
         left = left.where(~near | (F.col("d") >= F.col("nearest") - reach))
     others, knowns = F.ceil(F.col("n_other") / half).cast("int"), F.greatest(F.lit(1), F.ceil(F.col("n_known") / half).cast("int"))
@@ -233,8 +233,14 @@ def _met(keyed: DataFrame, tile: int, distances, limit: float, reach: float | No
     mine = spread(others)
     to_others = each(others, lambda j: struct(F.least(mine, j), F.greatest(mine, j), False))
     tiles = F.when(near, each(others, lambda i: struct(i, spread(knowns), True))).otherwise(F.concat(to_others, each(knowns, lambda j: struct(mine, j, True))))
-    tiled = left.select("node", "key", near.alias("known"), F.explode(tiles).alias("t")).select("node", "key", "known", F.xxhash64("key", "t.i", "t.j", "t.w").alias("bucket"))
-    return small.unionByName(tiled.join(keyed, ["node", "key"]).select(*names, "bucket", "known")), found
+    tiled = left.withColumn("known", near).withColumn("t", F.explode(tiles)).withColumn("bucket", F.xxhash64("key", "t.i", "t.j", "t.w"))
+    return small.unionByName(tiled.select(*names, "bucket", "known")), found
+
+
+def _with_distances(batch: pa.RecordBatch, d: list[float] | np.ndarray) -> pa.RecordBatch:
+    """The batch's nodes and what they carry, with their distances to the pivot."""
+    names = ["node", "key", "pivot", *(c for c in batch.schema.names if c not in ("node", "key", "pivot", "is_pivot", "chunk"))]
+    return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(d, pa.float64())], names=[*names, "d"])
 
 
 def _bucket_links(keyed: DataFrame, radius: int, tile: int) -> DataFrame:
@@ -250,7 +256,7 @@ def _bucket_links(keyed: DataFrame, radius: int, tile: int) -> DataFrame:
             if len(fps):
                 pivot = other[-1]
             d = np.bitwise_count(fps ^ other.astype(np.uint64)).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "key", "pivot")), pa.array(d)], names=["node", "key", "pivot", "d"])
+            yield _with_distances(batch, d)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, dtype=t) for t in (np.int64, np.uint64, np.int64, bool)]
@@ -308,7 +314,7 @@ WORDS, SIMILARITY = 5, 0.8
 #: Bands of two minima each: two texts of similarity 0.8 share a band with a probability of 1 - (1 - 0.64) ** 14 > 0.999999.
 BANDS = 14
 #: Texts of a candidate component beyond which it is dealt out as tiles.
-SET_TILE = 256
+SET_TILE = 512
 #: Bits of the SimHashes of two sets' distinct hashes up to which the sets are proposed without another look.
 NEAR = 8
 
@@ -404,14 +410,24 @@ def _candidates(keyed: DataFrame, similarity: float, tile: int) -> DataFrame:
                 width = min(len(bits), len(pivot[1]))
                 differ = int(np.bitwise_count(folded(bits, width) ^ folded(pivot[1], width)).sum())
                 out.append(0.0 if possible(differ, size + pivot[0], similarity) else 1.0)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "key", "pivot")), pa.array(out, pa.float64())], names=["node", "key", "pivot", "d"])
+            yield _with_distances(batch, out)
 
     def compared(bucket, node, size, bits, fp, known):
         bucket, node, size, known = np.array(bucket), np.array(node), np.array(size, dtype=np.int64), np.array(known, dtype=bool)
         pairs = forest(bucket, np.array(fp, dtype=np.int64).view(np.uint64), NEAR, known if known.any() else None)
         label = linked_before(bucket, known)
-        for a, b in pairs:
-            label[label == label[b]] = label[a]
+        if pairs:
+            parent = label.tolist()
+
+            def find(i: int) -> int:
+                while parent[i] != i:
+                    parent[i] = parent[parent[i]]
+                    i = parent[i]
+                return i
+
+            for a, b in pairs:
+                parent[find(a)] = find(b)
+            label = np.array([find(i) for i in range(len(parent))])
         starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else []
         for a, b in zip(starts, [*starts[1:], len(bucket)]):
             own = label[a:b]
@@ -485,7 +501,7 @@ def _verified(rows: DataFrame, nodes: DataFrame, roots: DataFrame, similarity: f
                 own = np.unique(shingle_hashes(text, WORDS))
                 pivot = own if first else pivot
                 out.append(1.0 - similarity_of(own, pivot))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("node", "key", "pivot")), pa.array(out, pa.float64())], names=["node", "key", "pivot", "d"])
+            yield _with_distances(batch, out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, nodes, sets, knowns, out = None, [], [], [], []

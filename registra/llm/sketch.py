@@ -1,7 +1,8 @@
 """Threshold-scaled document fingerprints: every shingle hash below a fixed fraction of the range.
 
-The sketch of a union is the union of the sketches, and containment and likeness can be estimated between very
-unequal documents, since both keep the same fraction. A text none of whose hashes are below keeps its smallest.
+The sketch of a union is the union of the sketches (`below`), and containment and likeness can be estimated between very
+unequal documents, since both keep the same fraction. A fingerprint must tell texts apart that have no hash below, too:
+there it keeps the smallest one (`sketch`), which is no part of the sketch of a union.
 
 Each document is also compared with an edited text, which needs the next document in descending order of ids. Ids
 are cut at approximate quantiles into buckets, buckets are sorted by themselves, and the first document of each
@@ -45,14 +46,18 @@ def hashes(words: list[bytes], n: int = WORDS, start: int = 0) -> np.ndarray:
     return np.array(found, dtype=np.uint64)
 
 
-def sketch(found: np.ndarray, scale: int = SCALE) -> np.ndarray:
-    """The sorted distinct hashes below 2**64 / scale, cut to WIDTH bytes."""
+def below(found: np.ndarray, scale: int = SCALE) -> np.ndarray:
+    """The sorted distinct hashes below 2**64 / scale, cut to WIDTH bytes. Mergeable: of a union the union."""
     kept = found[found < np.uint64((1 << 64) // scale)] if scale > 1 else found
-    if not len(kept):
-        kept = found[found == found.min()] if len(found) else found
     return np.unique(kept >> np.uint64(64 - 8 * WIDTH))
 
 
+def sketch(found: np.ndarray, scale: int = SCALE) -> np.ndarray:
+    """The hashes below, or the smallest one of all if there is none below."""
+    kept = below(found, scale)
+    return kept if len(kept) or not len(found) else np.array([found.min() >> np.uint64(64 - 8 * WIDTH)], dtype=np.uint64)
+
+
 def text_of(sketched: np.ndarray) -> str:
     raw = sketched.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - WIDTH :]
     return base64.b64encode(raw.tobytes()).decode()

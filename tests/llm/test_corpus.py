@@ -43,6 +43,8 @@ def test_sketches_with_null_and_repeated_ids(spark):
 def test_containment_of_unequal_texts():
     words = [f"w{i}".encode() for i in range(20_000)]
     whole, part = sketch.sketch(sketch.hashes(words)), sketch.sketch(sketch.hashes(words[:2000]))
+    few = [sketch.hashes([w]) for w in words[:40]]
+    assert (np.unique(np.concatenate([sketch.below(h) for h in few])) == sketch.below(np.concatenate(few))).all() and all(len(sketch.sketch(h)) == 1 for h in few)
     merged = np.union1d(part, sketch.sketch(sketch.hashes(words[1996:])))
     assert sketch.containment(part, whole) == 1.0 and abs(sketch.likeness(part, whole) - 0.1) < 0.02 and (merged == whole).all()
 

@@ -168,3 +168,23 @@ def test_parities_rule_out_no_similar_pair():
         assert pairs or not len(b) or both < 0.8 * (len(a) + len(b) - both)
     a, b = (np.unique(rng.integers(0, 1 << 64, 1000, dtype=np.uint64)) for _ in range(2))
     assert simhash.possible_pairs(np.array([1000, 1000]), [simhash.parities(x) for x in (a, b)], 0.8) == []
+
+
+def test_null_ids(spark):
+    docs = spark.createDataFrame([(None, "one two three four five"), (4, "one two three four five"), (None, "alone here and nowhere else"), (2, None)], "doc_id long, text string")
+    got = sorted(((r.doc_id or 0), (r.component_id or 0)) for r in simhash.near_duplicates(docs).collect())
+    assert got == [(0, 0), (0, 4), (2, 2), (4, 4)]
+
+
+def test_pivots_spare_comparisons(spark):
+    rng = np.random.default_rng(9)
+    centre = rng.integers(0, 1 << 63, dtype=np.uint64)
+    near = np.unique(np.concatenate([[centre], centre ^ (np.uint64(1) << rng.integers(0, 64, 40).astype(np.uint64))]))
+    far = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    f = np.unique(np.concatenate([near, far]))
+    keyed = spark.createDataFrame([(int(x), int(x), 1) for x in f.view(np.int64)], "node long, fp long, key long")
+    want = components(len(f), np.argwhere(simhash.np.bitwise_count(f[:, None] ^ f[None, :]) <= 4).tolist())
+    at = {int(x): i for i, x in enumerate(f.view(np.int64))}
+    for tile in (4, 16, 64, 1000):
+        pairs = [(at[r.a], at[r.b]) for r in simhash._bucket_links(keyed, 4, tile).collect()]
+        assert components(len(f), pairs) == want

@@ -175,3 +175,10 @@ def test_long_identifiers(spark):
     texts = [f"Our record. email: user{i}@mail.example and more" for i in range(20)] + [f"Our record. email: {uuid.format(7)} and more", "Our record. email: ABCDE12345678 and more"]
     got = spans_of(spark, pii.find, texts)
     assert got[20] == "ctx_email:19:55" and got[21] == "ctx_email:19:32"
+
+
+def test_redact_keeps_clashing_columns_and_empty_tables(spark):
+    docs = spark.createDataFrame([(1, "mail a@b.cd now", "k", "e", 7), (1, "mail a@b.cd now", "k", "e", 7), (None, None, None, None, None)], "doc_id long, text string, __key string, __extra string, n_chars int")
+    out = pii.redact(docs)
+    assert out.columns == docs.columns and sorted(out.collect(), key=str) == sorted([(1, "mail <EMAIL> now", "k", "e", 16)] * 2 + [(None,) * 5], key=str)
+    assert out.schema["n_chars"].dataType == docs.schema["n_chars"].dataType and pii.redact(docs.limit(0)).count() == 0
