@@ -491,7 +491,7 @@ def _verified(rows: DataFrame, nodes: DataFrame, roots: DataFrame, similarity: f
     anew from the texts of the components' nodes; only these are read."""
     every = roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
     wanted = nodes.join(every, "node").select(F.col("least").alias("id"), "node", F.col("root").alias("key"))
-    members = rows.join(wanted, "id").dropDuplicates(["node"]).select("node", "key", "text")
+    members = written(rows.join(wanted, "id").dropDuplicates(["node"]).select("node", "key", "text"), "members")
 
     def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivot = None
