@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from registra import pipelines
 from registra.functions import scalars as S
-from registra.operators import aggs, extract, joins, merges, predicates, scoring, windows
+from registra.operators import aggs, extract, merges, predicates, scoring, windows
 from registra.plans.extra import _export
 from registra.plans.more import ATTEMPTS, ITEM, _folder, _halves, _scores, _states, _stored
 from registra.plans.views import view
