@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from registra.llm import bpe, langid, mixing, permutation, pii, secrets, simhash, sketch, tokenfile, wrapper
+from registra.llm import bpe, langid, lines, mixing, oracles, periodic, permutation, pii, secrets, simhash, sketch, tokenfile, trie, wrapper
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.build(table(spark, sf_dir, "conversations"))
+
+
+def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.find(table(spark, sf_dir, "documents"), planted=True)
+
+
 QUERIES = {
     "op1_secrets": op1_secrets,
     "op2_simhash": op2_simhash,
@@ -65,5 +77,8 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_language": op9_language,
     "op10_bpe": op10_bpe,
+    "op11_lines": op11_lines,
+    "op12_trie": op12_trie,
+    "op13_periodic": op13_periodic,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_lines": oracles.LINES, "op12_trie": oracles.TRIE}
