@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from registra.llm.common import written
+
 #: Code points of a key, and documents that hold it, from which a line counts as shared.
 LEAST_CHARS, LEAST_DOCS = 40, 5
 BLANKS = " \t\n\x0b\x0c\r"
@@ -42,7 +44,8 @@ def shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lines = each.withColumn("bare", F.btrim("line", F.lit(BLANKS))).where(F.length("bare") >= least_chars)
     lines = lines.select("id", "digest", "pos", _digest(key_of(F.col("bare"))).alias("hash"))
     counted = lines.groupBy("hash").agg(F.count_distinct("id").alias("docs"), F.max("id").alias("last"))
-    return lines, counted.where(F.col("docs") >= least_docs)
+    # written, so that it meets the lines from a scan: a join of two shuffles is one that Spark can split at a hot hash
+    return lines, written(counted.where(F.col("docs") >= least_docs), "shared_lines")
 
 
 def _without(text: Column, dropped: Column) -> Column:
