@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -246,31 +244,18 @@ def url_date(url: Column) -> Column:
     return F.coalesce(permalink, stamp, F.array_max(uploads))
 
 
-def bound(c: Column, f: Callable[[Column], Column]) -> Column:
-    """f(c), where c is evaluated once however often f uses it."""
-    return F.transform(F.array(c), f)[0]
-
-
 def parse_amount(c: Column) -> Column:
-    """DECIMAL(18,2). With both separators the last one is decimal; one kind is decimal only before one or two last digits."""
-
-    def plain_of(parts: Column) -> Column:
-        clean, tail, last = parts["clean"], parts["tail"], parts["last"]
-        both = F.contains(clean, F.lit(",")) & F.contains(clean, F.lit("."))
-        other = F.when(last == ",", F.lit(".")).otherwise(F.lit(","))
-        digits = F.translate(clean, ",.", "")
-        decimal = F.concat(F.substring(digits, F.lit(1), F.length(digits) - F.length(tail)), F.lit("."), tail)
-        mixed = F.translate(F.replace(clean, other, F.lit("")), ",", ".")
-        return F.when(last == "", clean).when(both, F.regexp_extract(mixed, r"^[0-9]*\.?[0-9]*", 0)).when(F.length(tail).between(1, 2), decimal).otherwise(digits)
-
-    def value_of(kept: Column) -> Column:
-        clean = F.translate(kept, "-", "")
-        # what follows the last separator, and that separator
-        tail = F.element_at(F.split(clean, "[,.]"), -1)
-        parts = bound(F.struct(clean.alias("clean"), tail.alias("tail")), lambda x: F.struct(x["clean"].alias("clean"), x["tail"].alias("tail"), F.substring(x["clean"], F.length(x["clean"]) - F.length(x["tail"]), F.when(F.length(x["clean"]) > F.length(x["tail"]), 1).otherwise(0)).alias("last")))
-        return F.concat(F.when(F.startswith(kept, F.lit("-")), F.lit("-")).otherwise(F.lit("")), bound(parts, plain_of))
-
-    value = bound(F.regexp_replace(F.coalesce(c, F.lit("")), r"[^0-9,.\-]", ""), value_of).try_cast("decimal(30,8)")
+    """DECIMAL(18,2). With both separators the last one is decimal; one kind is decimal only before one or two last digits.
+
+    Plain string functions throughout: they stay in generated code, which evaluates what they share once."""
+    kept = F.regexp_replace(F.coalesce(c, F.lit("")), r"[^0-9,.\-]", "")
+    clean = F.translate(kept, "-", "")
+    comma, point = F.instr(F.reverse(clean), ","), F.instr(F.reverse(clean), ".")  # from the end, 0 if there is none
+    digits, tail = F.translate(clean, ",.", ""), F.greatest(comma, point) - 1
+    mixed = F.when(comma < point, F.translate(clean, ",.", ".")).otherwise(F.translate(clean, ".,", "."))
+    split = F.concat(F.substring(digits, F.lit(1), F.length(digits) - tail), F.lit("."), F.substring(digits, F.length(digits) - tail + 1, tail))
+    plain = F.when((comma > 0) & (point > 0), F.substring_index(mixed, ".", 2)).when(tail.between(1, 2), split).otherwise(digits)
+    value = F.concat(F.when(F.startswith(kept, F.lit("-")), F.lit("-")).otherwise(F.lit("")), plain).try_cast("decimal(30,8)")
     return F.floor(value * 100 + F.lit("0.5").cast("decimal(2,1)")).cast("decimal(20,0)").__truediv__(F.lit(100)).cast("decimal(18,2)")
 
 
