@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from registra.functions import scalars as S
 from registra.functions import vocab
+from registra.operators.cells import cells
 from registra.operators.joins import latest_primary
 from registra.operators.predicates import missing_url
 
@@ -47,21 +48,15 @@ def default_year(rows: DataFrame, fallback: int = 2026) -> DataFrame:
 def coverage(municipality: DataFrame, registry: DataFrame, items: DataFrame, attachments: DataFrame, categories: list[str] = vocab.CATEGORIES, nationwide: str = vocab.NATIONWIDE_CATEGORY) -> DataFrame:
     """One row for each municipality and category: counts, latest dates, latest attachment, source.
 
-    Items and attachments are aggregated once each, before the joins; archived items count only for latest_collected."""
-    live, draft = F.col("status") == "published", F.col("status") == "draft"
-    of_items = items.groupBy("municipality_id", "category").agg(
-        F.count_if(live).alias("published"), F.count_if(draft).alias("drafts"),
-        F.max(F.when(live, F.col("published_date"))).alias("latest_published"), F.max("collected_at").alias("latest_collected"),
-    )
-    keyed = attachments.select("item_id", F.col("id").alias("attachment_id"), "created_at").join(items.select(F.col("id").alias("item_id"), "municipality_id", "category", "status"), "item_id")
-    shown = F.when(F.col("status") != "archived", F.col("status"))
-    of_attachments = keyed.groupBy("municipality_id", "category").agg(
-        F.count_if(live).alias("published_attachments"), F.count_if(draft).alias("draft_attachments"),
-        F.max(F.struct("created_at", "attachment_id", shown.alias("status"))).alias("last"),
-    )
-    cells = municipality.select(F.col("id").alias("municipality_id"), "name_key").withColumn("category", F.explode(F.array(*map(F.lit, categories))))
+    Attachments are aggregated by item and items by cell, once each; archived items count only for latest_collected."""
+    return coverage_of(municipality, registry, cells(items, attachments), categories, nationwide)
+
+
+def coverage_of(municipality: DataFrame, registry: DataFrame, state: DataFrame, categories: list[str] = vocab.CATEGORIES, nationwide: str = vocab.NATIONWIDE_CATEGORY) -> DataFrame:
+    """coverage() from the cells' state, which may be kept up to date by batches (see operators.cells)."""
+    every = municipality.select(F.col("id").alias("municipality_id"), "name_key").withColumn("category", F.explode(F.array(*map(F.lit, categories))))
     source = latest_primary(registry).select("municipality_id", "vendime_url", "prokurime_url", "konsultime_url", "homepage_status", "last_error_type")
-    met = cells.join(of_items, ["municipality_id", "category"], "left").join(of_attachments, ["municipality_id", "category"], "left").join(source, "municipality_id", "left")
+    met = every.join(state, ["municipality_id", "category"], "left").join(source, "municipality_id", "left")
     own = F.when(F.col("category") == categories[0], F.col("vendime_url")).when(F.col("category") == categories[1], F.col("prokurime_url")).otherwise(F.col("konsultime_url"))
     zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("published", "drafts", "published_attachments", "draft_attachments")]
     return met.select(

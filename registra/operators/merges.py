@@ -162,13 +162,14 @@ def publish(items: DataFrame, keys: DataFrame | None = None, municipality_id=Non
 
 
 def attempt_summary(attempts: DataFrame) -> DataFrame:
-    """One row for each source: attempts, first and last times, last outcome, hour buckets; whether any attempt was
-    blocked, and the last final URL that an attempt has."""
+    """One row for each source: attempts, first and last times, last outcome, the last status that an attempt sets, hour
+    buckets; whether any attempt was blocked, and the last final URL that an attempt has."""
     best = F.max_by(F.struct("ok", "error_type"), F.struct("ts", "id"))
+    status = F.when(F.col("ok"), "OK").when(F.col("error_type") == "HTTP_403", "BLOCKED").when(F.col("error_type") == "TIMEOUT", "ERROR")
     final = F.col("final_url") if "final_url" in attempts.columns else F.lit(None).cast("string")
     return attempts.groupBy("source_id").agg(
         F.count("*").alias("attempts"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.max(F.when(F.col("ok"), F.col("ts"))).alias("last_ok"),
-        best.alias("last"), F.array_sort(F.collect_set(S.hour_bucket(F.col("ts")))).alias("hours"),
+        best.alias("last"), F.max_by(status, F.when(status.isNotNull(), F.struct("ts", "id"))).alias("last_status"), F.array_sort(F.collect_set(S.hour_bucket(F.col("ts")))).alias("hours"),
         F.max(~F.col("ok") & F.col("error_type").eqNullSafe("HTTP_403")).alias("was_blocked"), F.max_by(final, F.when(final.isNotNull(), F.struct("ts", "id"))).alias("last_final_url"),
     )
 
@@ -176,7 +177,7 @@ def attempt_summary(attempts: DataFrame) -> DataFrame:
 def apply_attempts(registry: DataFrame, attempts: DataFrame, block_minutes: int = 10080, minutes: int = 30) -> DataFrame:
     """registry (source_id, attempt_count, first_seen, last_checked, last_seen, last_error_type, cooldown_until,
     homepage_status, hour_buckets) after the attempts: counts add up, first_seen is written once, hours are appended,
-    and the last outcome sets error, cooldown and status. feasibility and final_url, if the registry has them: C after any
+    the last outcome sets error and cooldown, and the last that is a success, a block or a timeout the status. feasibility and final_url, if the registry has them: C after any
     block, and the last one that an attempt has."""
     met = registry.join(attempt_summary(attempts), "source_id", "left")
     ok, failed = F.coalesce(F.col("last.ok"), F.lit(False)), ~F.coalesce(F.col("last.ok"), F.lit(True))
@@ -188,7 +189,7 @@ def apply_attempts(registry: DataFrame, attempts: DataFrame, block_minutes: int
         "source_id", (F.col("attempt_count") + F.coalesce("attempts", F.lit(0))).alias("attempt_count"), F.coalesce("first_seen", "first_ts").alias("first_seen"),
         F.greatest("last_checked", "last_ts").alias("last_checked"), F.greatest("last_seen", "last_ok").alias("last_seen"),
         F.when(ok, None).when(failed, error).otherwise(F.col("last_error_type")).alias("last_error_type"), F.when(ok, None).when(failed, pause).otherwise(F.col("cooldown_until")).alias("cooldown_until"),
-        F.when(ok, "OK").when(failed & (error == "HTTP_403"), "BLOCKED").when(failed & (error == "TIMEOUT"), "ERROR").otherwise(F.col("homepage_status")).alias("homepage_status"),
+        F.coalesce("last_status", "homepage_status").alias("homepage_status"),
         F.array_sort(F.array_union(F.coalesce("hour_buckets", F.array().cast("array<string>")), F.coalesce("hours", F.array().cast("array<string>")))).alias("hour_buckets"),
     )
 

@@ -132,6 +132,7 @@ def key_regeneration(spark, d):
 # Source state
 
 ATTEMPTS = """s as (select source_id, count(*) as attempts, min(ts) as first_ts, max(ts) as last_ts, max(ts) filter (ok) as last_ok, arg_max(ok, (ts, id)) as ok, arg_max_null(error_type, (ts, id)) as err,
+    arg_max(case when ok then 'OK' when error_type = 'HTTP_403' then 'BLOCKED' when error_type = 'TIMEOUT' then 'ERROR' end, (ts, id)) as st,
     count(distinct strftime(ts, '%Y-%m-%dT%H')) as hours, min(strftime(ts, '%Y-%m-%dT%H')) as first_hour from v_attempt group by 1)"""
 
 
@@ -157,7 +158,7 @@ def failure_counts(spark, d):
 
 @query(f"""with {ATTEMPTS} select r.source_id, r.source_id % 9 + coalesce(attempts, 0) as attempt_count, first_ts as first_seen, last_ts as last_checked, last_ok as last_seen,
     case when s.ok then null when s.ok is not null then err else last_error_type end as last_error_type, case when s.ok or s.ok is null then null when err = 'HTTP_403' then last_ts + interval '10080' minute else last_ts + interval '30' minute end as cooldown_until,
-    case when s.ok then 'OK' when err = 'HTTP_403' and not s.ok then 'BLOCKED' when err = 'TIMEOUT' and not s.ok then 'ERROR' else homepage_status end as homepage_status, coalesce(hours, 0) as hours from v_reg r left join s on s.source_id = r.source_id""")
+    coalesce(st, homepage_status) as homepage_status, coalesce(hours, 0) as hours from v_reg r left join s on s.source_id = r.source_id""")
 def registry_after_failures(spark, d):
     return merges.apply_attempts(_states(spark, d), view(spark, d, "v_attempt")).withColumn("hours", F.size("hour_buckets").cast("long")).drop("hour_buckets")
 
