@@ -96,3 +96,19 @@ GENERIC_TITLES = ["shkarko", "download", "pdf", "shiko vendimin", "kliko ketu",
 CPV_NAMES = {"other": "Kategori të tjera më të vogla", "others": "Kategori të tjera", "label": "Etiketa burimore: ", "unknown": "E panjohur", "code": "Kodi CPV: ", "no_code": "Kodi CPV mungon"}
 # Host suffix and path of a procurement export's address.
 EXPORT_HOST, EXPORT_PATH = "app.gov.al", "/getdata/exportdocument"
+
+# Arguments of automatic scores, by indicator; {0} to {2} are filled in.
+PENDING_REVIEW = "Pending review - could not auto-compute consultation score from available public evidence."
+ARGUMENTS = {
+    "annual": "Ind1=10 - consultation calendar/annual plan evidence identified: {0}. Full-year coverage and quality remain pending review.",
+    "no_annual": "No annual consultation calendar document detected in archived consultation attachments. Per-item consultation calendars are not counted as annual plans - pending review.",
+    "register": "A consultation register was found ({0}). Not assessed for dedicated / mobile-friendly / intuitive access (20 pts) - pending review.",
+    "no_register": "No consultation register source configured - pending review.",
+    "draft": "Ind3=10 - draft/project-act evidence identified: {0}. Plain-language explanatory material and completeness remain pending review.",
+    "documents": "{0} consultation items published with {1} archived documents across {2} items, but no clear draft/project-act or relacion document was identified by conservative patterns - pending review.",
+    "items": "{0} consultation items found but no documents archived - pending review.",
+    "no_items": "No consultation drafts/documents found - pending review.",
+    "timeframe": "Consultation-to-vote timeframe could not be automatically verified (no reliable link between consultations and council decisions). Pending review.",
+    "response": "Ind5=10 - consultation response/summary-report evidence identified: {0}. Whether it addresses public input remains pending review.",
+    "no_response": "No explicit post-consultation response or summary-report document detected in archived consultation attachments. Generic council reports and processverbals are not counted - pending review.",
+}

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from registra.functions import scalars as S
-from registra.operators.windows import keep_first, top_k
+from registra.operators.windows import keep_first, top_k, with_duplicates
 
 ATTRIBUTES = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
 #: A value with its quotes: double, single or none.
@@ -215,13 +215,22 @@ def profile_items(pages: DataFrame, profiles: DataFrame) -> tuple[DataFrame, Dat
 
 
 def page_items(pages: DataFrame, *parts: DataFrame, year: int | None = None, limit: int | None = None) -> DataFrame:
-    """Union of item tables (title, published_date, source_url, ...) in order of precedence, first of each URL, newest first."""
+    """Union of item tables (title, published_date, source_url, ...) in order of precedence, first of each URL, newest first.
+    Rows without a URL are left out."""
+    return counted_items(*parts, year=year, limit=limit)[0]
+
+
+def counted_items(*parts: DataFrame, year: int | None = None, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """page_items of the parts, and (precedence, duplicates): how many rows of each part come under a URL that an earlier
+    row has, whatever the year and the limit."""
     every = None
     for k, part in enumerate(parts):
         own = part.select("title", "published_date", "source_url").withColumn("precedence", F.lit(k))
         every = own if every is None else every.unionByName(own)
-    out = keep_first(every, ["source_url"], ["precedence", "title"])
+    ranked = with_duplicates(every.where(S.nonblank(F.col("source_url")).isNotNull()), ["source_url"], ["precedence", "title"])
+    duplicates = ranked.groupBy("precedence").agg(F.count_if(F.col("duplicate_rank") > 1).alias("duplicates"))
+    out = ranked.where("duplicate_rank = 1").drop("duplicate_rank")
     if year is not None:
         out = out.where(F.year("published_date") == year)
     out = out.orderBy(F.col("published_date").desc_nulls_last(), "source_url", "title")
-    return out if limit is None else out.limit(limit)
+    return (out if limit is None else out.limit(limit)), duplicates

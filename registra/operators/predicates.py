@@ -56,6 +56,15 @@ def year_gate(df: DataFrame, year: int | None, date: str = "published_date") ->
     return df.withColumn("skip_reason", F.when(F.col(date).isNull(), "missing_date").when(F.year(date) != year, "wrong_year"))
 
 
+def year_floor(df: DataFrame, floor: int = vocab.CONSULTATION_FLOOR, date: str = "published_date") -> DataFrame:
+    """Rows dated in the floor year or later; rows without a date go."""
+    return df.where(F.col(date) >= F.lit(f"{floor}-01-01").cast("date"))
+
+
+def supported_year(c: Column, years: tuple[int, int] = vocab.YEARS) -> Column:
+    return F.coalesce(c.between(*years), F.lit(False))
+
+
 def looks_like_decision(title: Column, url: Column, rejects: list[str] = vocab.NOT_DECISIONS) -> Column:
     text = F.lower(F.concat_ws(" ", F.coalesce(title, F.lit("")), F.coalesce(url, F.lit(""))))
     return ~text.rlike("|".join(rejects)) & (S.is_document_url(url) | F.contains(text, F.lit("vendim")) | text.rlike(r"\bnr[.\- ]?\s*\d{1,4}\b"))

@@ -123,27 +123,58 @@ def calendar_rank(item: Column, document: Column, date: Column, year: int = 2026
     )
 
 
-def indicator_scores(municipality: DataFrame, registry: DataFrame, items: DataFrame, attachments: DataFrame) -> DataFrame:
-    """ind1..5 (automatic score, confidence, argument) of every municipality, in one pass over items and attachments."""
+def document_name(url: Column, file_name: Column) -> Column:
+    """A document as arguments name it: the last part of its URL's path, else its file's name, and the URL behind."""
+    part = F.regexp_extract(F.coalesce(F.try_parse_url(url, F.lit("PATH")), F.lit("")), "([^/]+)/*$", 1)
+    decoded = F.coalesce(F.try_url_decode(F.replace(part, F.lit("+"), F.lit("%2B"))), part)
+    name = S.clean_text(F.coalesce(S.nonblank(decoded), S.nonblank(file_name), F.lit("archived document")), 180)
+    link = S.clean_text(F.coalesce(url, F.lit("")), 320)
+    return F.when(link == "", name).otherwise(F.concat(name, F.lit(" ("), link, F.lit(")")))
+
+
+def argument(kind: str, *values: Column) -> Column:
+    """The fixed text of a kind with the values in it."""
+    out = F.lit(vocab.ARGUMENTS[kind])
+    for k, v in enumerate(values):
+        out = F.replace(out, F.lit(f"{{{k}}}"), v.cast("string"))
+    return out
+
+
+def indicator_scores(municipality: DataFrame, registry: DataFrame, items: DataFrame, attachments: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """ind1..5 (automatic score, confidence, argument) of every municipality, in one pass over items and attachments: the
+    best evidence of each kind is picked by one aggregation (see pick_evidence for the order).
+
+    failed: (municipality_id) of those whose inputs could not be read; they get zeros and the text that asks for review."""
     evidence = evidence_rows(items, attachments)
     i, d = F.col("item_text"), F.col("document_text")
     kinds = {"annual": P.annual_calendar(i, d), "draft": P.draft_act(d), "response": P.response_document(i, d)}
-    flags = evidence.groupBy("municipality_id").agg(*[F.max(F.when(k, F.struct("published_date", "title")))["title"].alias(n) for n, k in kinds.items()])
+    ranks = {"annual": calendar_rank(i, d, F.col("published_date"))}
+    order = [F.col("published_date").isNull(), -F.unix_date(F.col("published_date").cast("date")), F.col("title"), F.col("attachment_url").isNull(), F.col("attachment_url"), F.col("attachment_id")]
+    best = [F.min_by(document_name(F.col("attachment_url"), F.col("file_name")), F.when(k, F.struct(-ranks.get(n, F.lit(0)), *order))).alias(n) for n, k in kinds.items()]
     m = municipality.select(F.col("id").alias("municipality_id"), "name_key")
-    url = latest_primary(registry).select("municipality_id", F.col("konsultime_url").alias("register_url"))
-    all_ = m.join(consultation_counts(items, attachments), "municipality_id", "left").join(flags, "municipality_id", "left").join(url, "municipality_id", "left")
-    some = (F.coalesce("items", F.lit(0)) > 0) | (F.coalesce("attachments", F.lit(0)) > 0)
-    score = {
-        1: F.when(F.col("annual").isNotNull(), 10).otherwise(0),
-        2: F.when(~P.missing_url(F.col("register_url")), 10).otherwise(0),
-        3: F.when(F.col("draft").isNotNull(), 10).when(some, 5).otherwise(0),
-        4: F.lit(0),
-        5: F.when(F.col("response").isNotNull(), 10).otherwise(0),
-    }
-    argument = {1: F.col("annual"), 2: F.col("register_url"), 3: F.coalesce(F.col("draft"), F.when(some, F.format_string("%d items, %d attachments", F.coalesce("items", F.lit(0)), F.coalesce("attachments", F.lit(0))))), 4: F.lit(None), 5: F.col("response")}
+    url = latest_primary(registry).select("municipality_id", S.clean_text(F.coalesce("konsultime_url", F.lit("")), 240).alias("register_url"))
+    all_ = m.join(consultation_counts(items, attachments), "municipality_id", "left").join(evidence.groupBy("municipality_id").agg(*best), "municipality_id", "left").join(url, "municipality_id", "left")
+    n, files, with_files = (F.coalesce(c, F.lit(0)) for c in ("items", "attachments", "items_with_attachment"))
+    found = {c: F.col(c).isNotNull() for c in kinds}
+    has_register = F.coalesce("register_url", F.lit("")) != ""
+    low, medium = F.lit("low"), F.lit("medium")
+    rows = {
+        1: (F.when(found["annual"], 10).otherwise(0), F.when(found["annual"], medium).otherwise(low), F.when(found["annual"], argument("annual", F.col("annual"))).otherwise(argument("no_annual"))),
+        2: (F.when(has_register, 10).otherwise(0), F.when(has_register, medium).otherwise(low), F.when(has_register, argument("register", F.col("register_url"))).otherwise(argument("no_register"))),
+        3: (
+            F.when(found["draft"], 10).when((files > 0) | (n > 0), 5).otherwise(0), F.when(found["draft"], medium).otherwise(low),
+            F.when(found["draft"], argument("draft", F.col("draft"))).when(files > 0, argument("documents", n, files, with_files)).when(n > 0, argument("items", n)).otherwise(argument("no_items")),
+        ),
+        4: (F.lit(0), low, argument("timeframe")),
+        5: (F.when(found["response"], 10).otherwise(0), F.when(found["response"], medium).otherwise(low), F.when(found["response"], argument("response", F.col("response"))).otherwise(argument("no_response"))),
+    }
+    lost = F.lit(False)
+    if failed is not None:
+        all_ = all_.join(failed.select("municipality_id").distinct().withColumn("__failed", F.lit(True)), "municipality_id", "left")
+        lost = F.coalesce("__failed", F.lit(False))
     columns = []
-    for k, s in score.items():
-        columns += [s.alias(f"ind{k}_auto"), F.when(s > 0, "medium").otherwise("low").alias(f"ind{k}_confidence"), S.clean_text(argument[k].cast("string")).alias(f"ind{k}_argument")]
+    for k, (score, confidence, text) in rows.items():
+        columns += [F.when(lost, 0).otherwise(score).alias(f"ind{k}_auto"), F.when(lost, low).otherwise(confidence).alias(f"ind{k}_confidence"), F.when(lost, F.lit(vocab.PENDING_REVIEW)).otherwise(S.clean_text(text)).alias(f"ind{k}_argument")]
     return all_.select("municipality_id", "name_key", *columns)
 
 

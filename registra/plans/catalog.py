@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from registra.functions import scalars as S
 from registra.operators import aggs, joins, predicates, windows
-from registra.plans import extra, incremental, more, pages
+from registra.plans import extra, incremental, more, pages, whole
 from registra.plans.views import view, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -323,8 +323,8 @@ def dedup_first(spark, d):
     return windows.keep_first(view(spark, d, "v_doc").withColumn("digest", F.sha2("text", 256)), ["digest"], ["id"]).select("id", "source", "lang")
 
 
-QUERIES |= more.QUERIES | extra.QUERIES | pages.QUERIES | incremental.QUERIES
-ORACLE |= more.ORACLE | extra.ORACLE | pages.ORACLE | incremental.ORACLE
+QUERIES |= more.QUERIES | extra.QUERIES | pages.QUERIES | incremental.QUERIES | whole.QUERIES
+ORACLE |= more.ORACLE | extra.ORACLE | pages.ORACLE | incremental.ORACLE | whole.ORACLE
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
