@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,8 @@ from registra import pipelines
 from registra.operators import aggs, extract, joins, predicates, scoring
 from registra.plans import more
 from registra.plans.views import view
+from registra.sources import exports
+from registra.sources.shared import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -140,3 +143,18 @@ def exact_authorities(spark, d):
     names = {f"AGJENCIA KOMBETARE NATION {k}": "nation-9" for k in range(25)}
     found = joins.match_authorities(rows, joins.authority_terms(view(spark, d, "v_m"), view(spark, d, "v_alias")), overrides=names)
     return found.where("id % 4 = 3").select("id", "authority", "municipality_id", "match_mode")
+
+
+# Exports with line breaks
+
+
+@query("""select 'r' || cast(item_id as varchar) as nr, 'Line of ' || title || chr(10) || 'and "quotes"; B' as title, case when item_id % 3 = 0 then null else supplier_name end as supplier from v_rec r join v_item i on i.id = r.item_id""")
+def export_split(spark, d):
+    """An export whose titles have line breaks and quotes, read as many tasks."""
+    path = f"{shared_dir(spark)}/work-{uuid.uuid4().hex}"
+    rows = view(spark, d, "v_rec").join(view(spark, d, "v_item").select(F.col("id").alias("item_id"), "title"), "item_id")
+    supplier = F.when(F.col("item_id") % 3 != 0, F.col("supplier_name"))
+    rows = rows.select(F.concat(F.lit("r"), F.col("item_id").cast("string")).alias("Nr"), F.concat(F.lit("Line of "), "title", F.lit('\nand "quotes"; B')).alias("Objekti"), supplier.alias("Operatori"))
+    rows.write.option("header", True).option("escape", '"').csv(path)
+    found = exports.read_export_split(spark, path)
+    return found.select(F.col("Nr").alias("nr"), F.col("Objekti").alias("title"), F.col("Operatori").alias("supplier"))
