@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from registra.operators import aggs, cells, paging, trigrams
+from registra.operators import cells, paging, search_index, trigrams
 from registra.plans import more
 from registra.plans.views import view
 from registra.sources.shared import shared_dir
@@ -161,3 +161,22 @@ def feed_trigrams(spark, d):
         own = trigrams.matching(items, trigrams.Postings(at, 16), t).select(F.lit(t).alias("q"), "id")
         out = own if out is None else out.unionByName(own)
     return out
+
+
+# Search over segments
+
+RANKED = """toks as (select id, unnest(string_split(trim(regexp_replace(lower(x), '[^a-z0-9]+', ' ', 'g')), ' ')) as term, a from (
+    select id, case when id % 5 = 2 then 'urgent ' || title else title end as x, 0 as a from docs union all select id, summary, 1 from docs union all select id, municipality, 2 from docs union all select id, category, 3 from docs union all select id, source_host, 4 from docs) y where id % 7 <> 3),
+    m as (select id, case when term = 'building' then 0 when term = 'urgent' then 1 when term = '7' then 2 end as w, a from toks union all select id, 3, a from toks where starts_with(term, 'vend')),
+    b as (select id, w, min(a) as a from m where w is not null group by 1, 2), s as (select id, count(*) as matched, min(a) as attribute, sum(a) as places from b group by 1)"""
+
+
+@query(f"with {more.DOCS}, {RANKED} select id, matched, cast(attribute as int) as attribute, cast(places as bigint) as places from s order by matched desc, attribute, places, id limit 50")
+def search_ranked(spark, d):
+    """All documents as the first segment, changed titles and deletions as a second one; the last word is a prefix."""
+    at = folder(spark)
+    docs = more._docs(spark, d)
+    search_index.add_segment(docs, at, 0)
+    changed = docs.where("id % 5 = 2").withColumn("title", F.concat(F.lit("urgent "), "title"))
+    search_index.add_segment(changed.where("id % 7 <> 3"), at, 1, docs.where("id % 7 = 3").select("id"))
+    return search_index.search(spark, at, "Building urgent 7 Vend")
