@@ -25,7 +25,8 @@ UNKNOWN = "und"
 BUCKETS = 1 << 13
 #: Added to each count.
 SMOOTH = 0.5
-ROUNDS, TOLERANCE = 20, 1e-3
+#: Expectation-maximisation ends when no share changes by more.
+TOLERANCE = 1e-3
 #: Languages that are learned: those with the most training texts, a bound on the table that reaches the driver.
 LANGUAGES = 512
 #: Each byte is in three trigrams: their counts weigh a third, so that the penalty meets independent evidence.
@@ -88,11 +89,11 @@ def learn(rows: DataFrame, most: int = LANGUAGES) -> tuple[list[str], np.ndarray
 
 def _mixture(p: np.ndarray, c: np.ndarray, n: float) -> tuple[np.ndarray, float]:
     share = np.full(p.shape[1], 1 / p.shape[1])
-    for _ in range(ROUNDS):
+    while True:
         new = share * ((c / (p @ share)) @ p) / n
-        done = np.abs(new - share).max() < TOLERANCE
+        change = np.abs(new - share).max()
         share = new
-        if done:
+        if not change >= TOLERANCE:
             break
     return share, float(c @ np.log(p @ share))
 

@@ -11,6 +11,8 @@ The graph has a row for each distinct (pattern, value). Texts are known by a dig
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,7 +20,6 @@ from registra.llm import spans
 from registra.llm.common import written
 
 KINDS = ["email", "ip", "card", "phone", "ctx_email", "ctx_ip", "ctx_card", "ctx_phone"]
-ROUNDS = 3
 #: Distinct known values that a pattern needs, and the confidence from which patterns and values count as known.
 SUPPORT, CONFIDENT = 3, 0.8
 
@@ -32,8 +33,10 @@ CANDIDATE = (
     r"(?:(?<![A-Za-z0-9.+@-])(?=[A-Za-z-]*+[0-9])[A-Za-z0-9][A-Za-z0-9-]{5,}+(?![A-Za-z0-9@-])"
     r"|(?<![A-Za-z0-9._%+@-])[A-Za-z0-9._%+-]++\x20?[(\[](?i:at)[)\]]\x20?[A-Za-z0-9.-]++(?:\x20?[(\[](?i:dot)[)\]]\x20?[A-Za-z0-9-]++)*+(?![A-Za-z0-9@-]))"
 )
-#: Code points before and after a value that its contexts are taken from: patterns are of words nearby.
+#: Code points before and after a value in which its contexts' words are looked for first. Where a word is cut there, it
+#: is looked for in so many more, and then in the whole text: contexts are of whole words.
 CONTEXT = (60, 40)
+WIDER = 1000
 
 
 def _digits(hit: Column) -> Column:
@@ -70,9 +73,19 @@ def _mentions(cut: Column, found: Column, k: int | None, context: tuple[int, int
     """Array of struct<k, start, end, value, patterns>; k is null for candidates. cut: the text's pieces."""
     fold = lambda s: F.regexp_replace(F.regexp_replace(F.lower(s), "[0-9]", "0"), r"\s+", " ")
 
+    def widened(near: Column, is_cut: Column, wider: Column, still_cut: Callable[[Column], Column], whole: Column) -> Column:
+        more = F.transform(F.array(wider), lambda w: F.when(still_cut(w), whole).otherwise(w))[0]
+        return F.when(is_cut, more).otherwise(near)
+
     def one(x):
-        before = fold(spans.between(cut, F.greatest(F.lit(0), x["start"] - context[0]), x["start"]))
-        after = F.regexp_extract(fold(spans.between(cut, x["end"], x["end"] + context[1])), r"^ ?(\S+)", 1)
+        begin = lambda n: spans.between(cut, F.greatest(F.lit(0), x["start"] - n), x["start"])
+        end = lambda n: spans.between(cut, x["end"], x["end"] + n)
+        # at most two words fit: the first of them may be cut, unless the text begins there
+        few = lambda w, n: (x["start"] > n) & ~w.rlike(r"\s\S+\s+\S+\s*$")
+        before = F.transform(F.array(begin(context[0])), lambda w: widened(w, few(w, context[0]), begin(WIDER), lambda v: few(v, WIDER), begin(x["start"])))[0]
+        long = lambda w, n: (F.length(w) == n) & w.rlike(r"^\s*\S+$")
+        after = F.transform(F.array(end(context[1])), lambda w: widened(w, long(w, context[1]), end(WIDER), lambda v: long(v, WIDER), end(F.lit(2**31 - 1) - x["end"])))[0]
+        before, after = fold(before), F.regexp_extract(fold(after), r"^ ?(\S+)", 1)
         two, label = F.regexp_extract(before, r"(\S+ \S+) ?$", 1), F.regexp_extract(before, r"(\S*\w\S*[:=#]) ?$", 1)
         patterns = F.array_compact(F.array(F.when((two != "") & (after != ""), F.concat(two, F.lit(" _ "), after)), F.when(label != "", F.concat(label, F.lit(" _")))))
         return F.struct(F.lit(k).cast("int").alias("k"), x["start"].alias("start"), x["end"].alias("end"), F.lower(x["hit"]).alias("value"), patterns.alias("patterns"))
@@ -85,22 +98,24 @@ def _candidates(text: Column) -> Column:
     return F.filter(found, lambda x: (F.length(_digits(x["hit"])) >= 5) | x["hit"].rlike(r"(?i)[(\[]at[)\]]"))
 
 
-def discovered(mentions: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, confident: float = CONFIDENT) -> DataFrame:
-    """(value, k): candidates that patterns of high confidence give a kind. mentions: (k, value, patterns), k null for candidates."""
+def discovered(mentions: DataFrame, support: int = SUPPORT, confident: float = CONFIDENT) -> DataFrame:
+    """(value, k): candidates that patterns of high confidence give a kind. mentions: (k, value, patterns), k null for
+    candidates. Rounds go on until one finds no new pattern and no new confident value; both only grow."""
     graph = mentions.select("value", "k", F.explode("patterns").alias("pattern")).groupBy("pattern", "value").agg(F.min("k").alias("seed"))
     graph = written(graph, "graph")
     known = graph.where("seed is not null").select("value", F.col("seed").alias("k"), F.lit(1.0).alias("score")).distinct()
     sizes = graph.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= support)
-    passed = None
-    for _ in range(rounds):
+    seeds, before = known, None
+    while True:
         held = graph.join(known, "value").groupBy("pattern", "k").agg(F.sum("score").alias("held"), F.count_if(F.col("score") >= confident).alias("sure"))
         scored = held.join(sizes, "pattern").withColumn("conf", F.col("held") / (F.col("n") + 0.5))
         patterns = written(scored.where((F.col("sure") >= support) & (F.col("conf") >= confident)).select("pattern", "k", "conf"), "patterns")
         noisy = (1 - F.exp(F.sum(F.log(1 - F.col("conf"))))).alias("score")
         passed = written(graph.where("seed is null").join(patterns, "pattern").groupBy("value", "k").agg(noisy), "values")
-        seeds = graph.where("seed is not null").select("value", F.col("seed").alias("k"), F.lit(1.0).alias("score")).distinct()
-        if passed.isEmpty():
+        now = (patterns.count(), passed.where(F.col("score") >= confident).count())
+        if now == before or not now[1]:
             break
+        before = now
         known = seeds.unionByName(passed)
     best = passed.where(F.col("score") >= confident).groupBy("value").agg(F.max_by("k", F.struct("score", -F.col("k"))).alias("k"))
     return best

@@ -178,7 +178,7 @@ def test_language_table_is_bounded(spark):
     assert langs == ["l000", "l001", "l002", "l003", "l650"] and logp.shape == (langid.BUCKETS, 5) and np.allclose(np.exp(logp).sum(axis=0), 1)
 
 
-def brute_mixture(counts, p, rounds=20, tolerance=1e-3):
+def brute_mixture(counts, p, rounds=100_000, tolerance=1e-3):
     """EM over plain lists: shares of the columns of p (rows of probabilities), and the log likelihood."""
     import math
 

@@ -117,7 +117,7 @@ def test_many_matches_in_one_text(spark):
     assert clean.text == "é ip: <IP> " * n and clean.n_chars == len(clean.text)
 
 
-def brute_discovered(mentions, rounds=3, support=3, confident=0.8):
+def brute_discovered(mentions, support=3, confident=0.8):
     """The scores of patterns and values over plain dictionaries; mentions: (k or None, value, patterns)."""
     import math
 
@@ -129,8 +129,8 @@ def brute_discovered(mentions, rounds=3, support=3, confident=0.8):
     size = {}
     for p, _ in seed:
         size[p] = size.get(p, 0) + 1
-    passed = {}
-    for _ in range(rounds):
+    passed, before = {}, None
+    while True:
         known = {(v, k): 1.0 for (_, v), k in seed.items() if k is not None} | passed
         sure, held = {}, {}
         for p, v in seed:
@@ -146,8 +146,10 @@ def brute_discovered(mentions, rounds=3, support=3, confident=0.8):
                 if k is None and p == q:
                     rest[v, kind] = rest.get((v, kind), 0.0) + math.log(1 - c)
         passed = {vk: 1 - math.exp(x) for vk, x in rest.items()}
-        if not passed:
+        now = (set(conf), {vk for vk, x in passed.items() if x >= confident})
+        if now == before or not now[1]:
             break
+        before = now
     best = {}
     for (v, k), s in passed.items():
         if s >= confident and (v not in best or (s, -k) > best[v]):
@@ -170,6 +172,22 @@ def test_pattern_scores_against_dictionaries(spark):
     assert found
 
 
+def test_discovery_goes_on_while_anything_is_new(spark):
+    """Values of each stage make known the patterns of the next one: five rounds of new values."""
+    sizes = [9000, 1500, 240, 40, 7, 1]
+    rows = [(0 if stage == 0 else None, f"v{stage}-{i}", [f"p{s}{x}" for s in (stage - 1, stage) if s >= 0 for x in "abcd"]) for stage, n in enumerate(sizes) for i in range(n)]
+    got = {r.value for r in pii.discovered(spark.createDataFrame(rows, "k int, value string, patterns array<string>")).collect()}
+    assert len(got) == sum(sizes[1:]) and "v5-0" in got
+
+
+def test_contexts_are_of_whole_words(spark):
+    one, other, after = "a" * 30 + "z" * 80, "b" * 30 + "z" * 80, "y" * 60
+    texts = [f"x {one}: user{i}@mail.example ok" for i in range(20)] + [f"x {one}: ABCDE12345678 ok", f"x {other}: ABCDE12345679 ok"]
+    texts += [f"so {one} user{i}@mail.example {after}c so" for i in range(20)] + [f"so {one} ABCDE12345680 {after}c so", f"so {one} ABCDE12345681 {after}d so", f"so {other} ABCDE12345682 {after}c so"]
+    got = spans_of(spark, pii.find, texts)
+    assert [bool(re.search("ctx", got[i])) for i in (20, 21, 42, 43, 44)] == [True, False, True, False, False]
+
+
 def test_long_identifiers(spark):
     uuid = "550e8400-e29b-41d4-a716-{:012d}"
     texts = [f"Our record. email: user{i}@mail.example and more" for i in range(20)] + [f"Our record. email: {uuid.format(7)} and more", "Our record. email: ABCDE12345678 and more"]
