@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from registra.functions import scalars as S
@@ -166,6 +166,29 @@ def ingest_counters(seen: DataFrame, actions: DataFrame) -> DataFrame:
     return rows.join(done)  # one row each
 
 
+ACTIONS = ("inserted", "updated", "skipped")
+
+
+def observed(rows: DataFrame, counts: dict[str, Column]) -> tuple[DataFrame, Observation]:
+    """rows, whose next job also counts: the observation's `get` then has a number for each name, and nothing is read again."""
+    seen = Observation()
+    return rows.observe(seen, *[F.coalesce(F.count_if(c), F.lit(0)).alias(n) for n, c in counts.items()]), seen
+
+
+def observed_actions(actions: DataFrame) -> tuple[DataFrame, Observation]:
+    """A merge's actions with the number of each kind observed (see observed)."""
+    return observed(actions, {a: F.col("action") == a for a in ACTIONS})
+
+
+def observed_rows(rows: DataFrame) -> tuple[DataFrame, Observation]:
+    """Rows of an ingest (skip_reason, match_mode) with the counters that ingest_counters reads from them observed."""
+    reason, mode = F.col("skip_reason"), F.col("match_mode")
+    return observed(rows, {
+        "seen": F.lit(True), "kept": reason.isNull(), "missing_date": reason == "missing_date", "wrong_year": reason == "wrong_year",
+        "matched_primary": mode.isin("primary", "exact_override"), "matched_fallback": mode == "operator_suffix", "unmatched": mode.isNull(),
+    })
+
+
 def repair_report(results: DataFrame) -> DataFrame:
     """(status, reason, n) of repaired records, with a row for each status (reason null) and one for all."""
     found = results.rollup("status", "reason").agg(F.grouping_id().alias("level"), F.count("*").alias("n"))

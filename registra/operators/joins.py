@@ -24,6 +24,14 @@ def resolve_keys(keys: DataFrame, municipality: DataFrame, alias: DataFrame) ->
     return keys.select("key").distinct().join(first, "key", "left").select("key", F.col("best.municipality_id").alias("municipality_id"), by.alias("matched_by"))
 
 
+def resolve_names(names: DataFrame, municipality: DataFrame, collation: str = "UNICODE_CI_AI") -> DataFrame:
+    """(name, municipality_id) of each distinct name as it is written: the smallest id whose name is equal in the collation,
+    else null. One equi-join on the collation's keys. By default neither case nor marks count (in `sq`, ë is a letter)."""
+    asked, known = names.select("name").distinct(), municipality.select("name_sq", "id")
+    met = asked.join(known, F.collate("name", collation) == F.collate("name_sq", collation), "left")
+    return met.groupBy("name").agg(F.min("id").alias("municipality_id"))
+
+
 def authority_terms(municipality: DataFrame, alias: DataFrame, suffixes: list[str] = vocab.GENITIVE_SUFFIXES) -> DataFrame:
     """(municipality_id, name_key, term): names, keys and aliases, with genitive endings on last words of four letters or more."""
     alias = alias.groupBy("municipality_id").agg(F.collect_list("alias_key").alias("aliases"))

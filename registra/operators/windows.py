@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -52,8 +52,14 @@ def coverage_order(cells: DataFrame) -> DataFrame:
     return cells.orderBy("name_key", "category")
 
 
-def municipality_list(municipality: DataFrame) -> DataFrame:
-    return municipality.select("id", "name_sq", "name_key", "county").orderBy("name_sq", "id")
+def in_collation(column: str, collation: str | None) -> Column:
+    """The column as it sorts and compares in a collation (`sq`: Albanian, in which dh, gj or xh are letters after d, g and
+    x, and ç and ë after c and e); plain without one."""
+    return F.collate(F.col(column), collation) if collation else F.col(column)
+
+
+def municipality_list(municipality: DataFrame, collation: str | None = None) -> DataFrame:
+    return municipality.select("id", "name_sq", "name_key", "county").orderBy(in_collation("name_sq", collation), "id")
 
 
 def candidate_pool(found: DataFrame, common: DataFrame, most_found: int = 20, most: int = 28) -> DataFrame:
@@ -70,6 +76,8 @@ def latest(items: DataFrame, n: int = 10) -> DataFrame:
     return feed_page(items, 1, n)
 
 
-def score_table(scores: DataFrame, by: str = "total", descending: bool = True) -> DataFrame:
-    first = F.col(by).desc() if descending else F.col(by).asc()
-    return scores.orderBy(first, F.lower("name_sq"), "name_key")
+def score_table(scores: DataFrame, by: str = "total", descending: bool = True, collation: str | None = None) -> DataFrame:
+    """Rows by total or name, ties by name: in small letters, or in a collation."""
+    name = in_collation("name_sq", collation) if collation else F.lower("name_sq")
+    first = name if by == "name_sq" else F.col(by)
+    return scores.orderBy(first.desc() if descending else first.asc(), name, "name_key")

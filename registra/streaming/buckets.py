@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from registra.operators import merges
+from registra.operators import aggs, merges
 
 BUCKET = "bucket"
 
@@ -30,12 +30,14 @@ def bucket_of(keys: list[str], buckets: int) -> Column:
 
 @dataclass
 class Snapshot:
-    """A commit: the batch, the number of buckets, and for each table its schema, its keys and the batch of each bucket."""
+    """A commit: the batch, the number of buckets, for each table its schema, its keys and the batch of each bucket, and how
+    many rows of the batch were inserted, updated and skipped."""
 
     path: str
     batch: int = -1
     buckets: int = 64
     tables: dict[str, dict] = field(default_factory=dict)
+    counters: dict[str, int] = field(default_factory=dict)
 
     def keys(self, table: str) -> list[str]:
         return self.tables[table]["keys"]
@@ -82,13 +84,13 @@ def _publish(spark: SparkSession, made: Snapshot) -> None:
     fs, to = _fs(spark, f"{made.path}/commits/{made.batch + 1}")
     _, new = _fs(spark, f"{made.path}/commits/.{made.batch + 1}.new")
     out = fs.create(new, True)
-    out.write(bytearray(json.dumps({"path": made.path, "batch": made.batch, "buckets": made.buckets, "tables": made.tables}).encode()))
+    out.write(bytearray(json.dumps({"path": made.path, "batch": made.batch, "buckets": made.buckets, "tables": made.tables, "counters": made.counters}).encode()))
     out.close()
     if not fs.rename(new, to):
         raise OSError(f"commit {made.batch + 1} of {made.path} is there already")
 
 
-def commit(spark: SparkSession, before: Snapshot, batch: int, changes: dict[str, tuple[DataFrame, list[int]]], keep: int = 2) -> Snapshot:
+def commit(spark: SparkSession, before: Snapshot, batch: int, changes: dict[str, tuple[DataFrame, list[int]]], keep: int = 2, counters: dict[str, int] | None = None) -> Snapshot:
     """Write the changed buckets of each table (rows, buckets: the rows of other buckets are left out; a bucket without
     rows becomes empty) and let them take effect together. Buckets that neither the new commit nor the `keep` - 1 before
     it hold are deleted."""
@@ -105,7 +107,7 @@ def commit(spark: SparkSession, before: Snapshot, batch: int, changes: dict[str,
                 tables[table]["held"][str(k)] = batch
             else:
                 tables[table]["held"].pop(str(k), None)
-    after = Snapshot(before.path, batch, before.buckets, tables)
+    after = Snapshot(before.path, batch, before.buckets, tables, counters or {})
     _publish(spark, after)
     _forget(spark, before.path, keep)
     return after
@@ -176,7 +178,7 @@ def changed_items(spark: SparkSession, now: Snapshot, batch: DataFrame, publish:
 
 def ingest(path: str, publish: bool = False, on_url_conflict: str = "skip", each: Callable[[DataFrame, int, Snapshot, Change], dict[str, tuple[DataFrame, list[int]]]] | None = None) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function over tables of create_items(): a batch costs its own keys' and URLs' buckets, whatever the
-    tables hold. each: (batch, batch_id, snapshot, change) to changes of more tables of the set, which take effect with
+    tables hold. The actions are written under path/actions; the job that writes them counts them for the commit. each: (batch, batch_id, snapshot, change) to changes of more tables of the set, which take effect with
     the items."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -188,7 +190,9 @@ def ingest(path: str, publish: bool = False, on_url_conflict: str = "skip", each
         try:
             change, changes = changed_items(spark, now, batch, publish, on_url_conflict)
             more = each(batch, batch_id, now, change) if each else {}
-            commit(spark, now, batch_id, changes | more)
+            actions, counts = aggs.observed_actions(change.actions)
+            actions.write.mode("overwrite").parquet(f"{path}/actions/batch={batch_id}")
+            commit(spark, now, batch_id, changes | more, counters=counts.get)
             change.after.unpersist()
             change.actions.unpersist()
         finally:

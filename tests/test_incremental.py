@@ -62,11 +62,13 @@ def test_a_small_batch_writes_few_buckets(spark, tmp_path):
     few = docs(spark, [(900 + i, f"n{i}" if i < 5 else f"k{i}", "other", f"w{i}") for i in range(10)])
     run(few, 1)
     assert 0 < len(written_buckets(path, 1)) <= 20
+    assert buckets.snapshot(spark, str(path)).counters == {"inserted": 5, "updated": 5, "skipped": 0}
     before = rows_of(buckets.snapshot(spark, str(path)).read(spark, buckets.ITEMS))
     run(few, 1)
     assert buckets.snapshot(spark, str(path)).batch == 1
     run(few, 2)
     assert written_buckets(path, 2) == [] and buckets.snapshot(spark, str(path)).batch == 2
+    assert buckets.snapshot(spark, str(path)).counters == {"inserted": 0, "updated": 0, "skipped": 10}
     assert rows_of(buckets.snapshot(spark, str(path)).read(spark, buckets.ITEMS)) == before and len(before) == 505
     run(docs(spark, []), 3)
     assert rows_of(buckets.snapshot(spark, str(path)).read(spark, buckets.ITEMS)) == before

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from registra import pipelines
-from registra.operators import extract, joins, merges, predicates, scoring, search, windows
+from registra.operators import aggs, extract, joins, merges, predicates, scoring, search, windows
 from registra.sources import io
 from registra.streaming import streams
 
@@ -210,3 +210,27 @@ def test_attachments_source(spark, tmp_path):
     (tmp_path / "c.pdf").write_bytes(b"%PDF-" + b"x" * 100)
     got = {r.path[-5:]: (r.type, r.accepted) for r in io.read_attachments(spark, str(tmp_path), cap=50).collect()}
     assert got == {"a.pdf": ("pdf", True), "b.pdf": (None, False), "c.pdf": (None, False)}
+
+
+NAMES = ["Cërrik", "Çorovodë", "Devoll", "Dibër", "Durrës", "Dhërmi", "Elbasan", "Ëmbël", "Gramsh", "Gjirokastër", "Xarrë", "Xhafzotaj", "Zogaj"]
+
+
+def test_albanian_order_and_lookup(spark):
+    m = spark.createDataFrame([((7 * k) % 13, n, f"k{k}", "c", k % 2) for k, n in enumerate(NAMES)], "id int, name_sq string, name_key string, county string, total int")
+    assert [r.name_sq for r in windows.municipality_list(m, "sq").collect()] == NAMES
+    assert [r.name_sq for r in windows.score_table(m, collation="sq").collect()] == NAMES[1::2] + NAMES[::2]
+    assert [r.name_sq for r in windows.score_table(m, "name_sq", False, "sq").collect()] == NAMES
+    asked = spark.createDataFrame([("DURRES",), ("emBEL",), ("Durrësi",), (None,), ("DURRES",)], "name string")
+    assert {r.name: r.municipality_id for r in joins.resolve_names(asked, m).collect()} == {"DURRES": 28 % 13, "emBEL": 49 % 13, "Durrësi": None, None: None}
+
+
+def test_observed_counters(spark, tmp_path):
+    """The job that writes rows counts them: the same numbers as a second reading gives."""
+    seen = spark.createDataFrame([(None, "primary"), (None, None), ("wrong_year", "operator_suffix"), ("missing_date", "exact_override")], "skip_reason string, match_mode string")
+    actions = spark.createDataFrame([("inserted",), ("skipped",), ("inserted",)], "action string")
+    counts = []
+    for rows, seen_by in (aggs.observed_rows(seen), aggs.observed_actions(actions), aggs.observed_actions(actions.limit(0))):
+        rows.write.mode("overwrite").parquet(str(tmp_path / "x"))
+        counts.append(seen_by.get)
+    assert counts[0] | counts[1] == aggs.ingest_counters(seen, actions).first().asDict()
+    assert counts[2] == {"inserted": 0, "updated": 0, "skipped": 0}
