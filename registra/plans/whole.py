@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from registra import pipelines
 from registra.operators import aggs, extract, joins, predicates, scoring, windows
-from registra.plans import more
+from registra.plans import extra, more
 from registra.plans.views import view
 from registra.sources import exports
 from registra.sources.shared import shared_dir
@@ -185,3 +185,11 @@ def names_without_marks(spark, d):
     m = _named(spark, d)
     asked = m.select(F.upper(F.translate("name_sq", "ëËçÇ", "eEcC")).alias("name")).union(spark.range(1).select(F.lit("NOWHERE")))
     return joins.resolve_names(asked, m)
+
+
+@query("""select cast(item_id as varchar) as nr, title || ', "A"; B' as title, strftime(published_date, '%d/%m/%Y') as date, supplier_name as supplier, 9 as columns from v_rec r join v_item i on i.id = r.item_id""")
+def raw_rows(spark, d):
+    """What the raw row of an export's record holds under its headers; blank values are null."""
+    raw = predicates.procurement_records(extra._export(spark, d)).select(F.from_json(F.to_json("raw_row"), "map<string,string>").alias("raw"), F.size("raw_row").alias("columns"))
+    value = lambda name: F.col("raw")[name]
+    return raw.select(value("Nr").alias("nr"), value("Objekti i Kontratës").alias("title"), value("Data e publikimit").alias("date"), value("Operatori Ekonomik").alias("supplier"), "columns")

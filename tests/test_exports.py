@@ -55,3 +55,16 @@ def test_headers(spark, tmp_path):
         exports.read_export_split(spark, str(tmp_path))
     (tmp_path / "b.csv").write_text("a,b\n")
     assert exports.read_export_split(spark, str(tmp_path / "b.csv")).collect() == []
+
+
+def test_search_sink_adds_replaces_and_counts(spark, tmp_path):
+    """A dry run writes nothing; without reset documents are added, with it they replace; files are of bounded length."""
+    docs, path = spark.createDataFrame([(i, f"t{i}") for i in range(10)], "id int, title string").coalesce(1), str(tmp_path / "s")
+    assert io.write_search_documents(docs, path, dry_run=True) == 10 and not (tmp_path / "s").exists()
+    assert io.write_search_documents(docs.where("id < 4"), path) is None
+    io.write_search_documents(docs.where("id >= 4"), path, rows_per_file=2)
+    assert sorted(r.id for r in spark.read.json(path).collect()) == list(range(10)) and len(list((tmp_path / "s").glob("*.json"))) == 4
+    io.write_search_documents(docs.where("id = 7"), path, reset=True)
+    assert [r.id for r in spark.read.json(path).collect()] == [7]
+    io.write_search_documents(docs, str(tmp_path / "p"), file_format="parquet")
+    assert spark.read.parquet(str(tmp_path / "p")).count() == 10
