@@ -32,7 +32,7 @@ def folder(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/work-{uuid.uuid4().hex}"
 
 
-def as_stream(rows: DataFrame, by: str, path: str, parts: int = 3) -> DataFrame:
+def as_stream(rows: DataFrame, by: str, path: str, parts: int = 2) -> DataFrame:
     """All rows as a file stream of about `parts` batches, written in the order of ranges of a number."""
     spark = rows.sparkSession
     low, high = rows.agg(F.coalesce(F.min(by), F.lit(0)), F.coalesce(F.max(by), F.lit(0))).first()
@@ -55,7 +55,7 @@ def stream_bucket_ingest(spark, d):
         F.col("doc_id").alias("id"), F.col("source").alias("municipality_id"), F.col("lang").alias("category"), F.concat(F.lit("Document "), F.sha1("text")).alias("title"), F.lit(None).cast("date").alias("published_date"),
         F.concat(F.lit("https://"), "source", F.lit("/"), "lang", F.lit("/"), digest).alias("source_url"), digest.alias("dedup_key"), F.lit("draft").alias("status"), F.lit("2024-01-01").cast("timestamp").alias("ts"),
     )
-    buckets.create_items(spark, f"{at}/t", rows.drop("ts").schema)
+    buckets.create_items(spark, f"{at}/t", rows.drop("ts").schema, 16)
     stream = buckets.once_within(as_stream(rows, "id", f"{at}/in"), "ts", "1 hour", [*buckets.ADDRESS, "title"]).drop("ts")
     for run in ("first", "second"):
         done = buckets.snapshot(spark, f"{at}/t").batch + 1
@@ -72,7 +72,7 @@ def stream_register(spark, d):
     items = view(spark, d, "v_item").select("id", "municipality_id", "category", "title", "published_date", "source_url", "source_origin", "dedup_key", "status")
     rows = items.join(view(spark, d, "v_rec").select(F.col("item_id").alias("id"), *record), "id", "left")
     records = rows.select(F.col("id").alias("item_id"), *record).schema
-    buckets.create_register(spark, f"{at}/t", items.schema, records, rows.select("municipality_id").schema)
+    buckets.create_register(spark, f"{at}/t", items.schema, records, rows.select("municipality_id").schema, 16)
     streams.run_available(as_stream(rows, "id", f"{at}/in"), buckets.register(f"{at}/t"), f"{at}/c")
     now = buckets.snapshot(spark, f"{at}/t")
     kept = now.read(spark, "records").withColumnRenamed("item_id", "id")
