@@ -113,7 +113,7 @@ def discovered(mentions: DataFrame, support: int = SUPPORT, confident: float = C
         noisy = (1 - F.exp(F.sum(F.log(1 - F.col("conf"))))).alias("score")
         passed = written(graph.where("seed is null").join(patterns, "pattern").groupBy("value", "k").agg(noisy), "values")
         now = (patterns.count(), passed.where(F.col("score") >= confident).count())
-        if now == before or not now[1]:
+        if not now[1] or before and now[0] <= before[0] and now[1] <= before[1]:
             break
         before = now
         known = seeds.unionByName(passed)
