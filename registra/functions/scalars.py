@@ -26,9 +26,20 @@ def _fold_table() -> tuple[str, str]:
 FOLD_FROM, FOLD_TO = _fold_table()
 
 
+def bound(value: Column, of) -> Column:
+    """of(value) with the value computed once, wherever `of` names it. Spark shares equal expressions only within one
+    projection's generated code, not in filters, branches or functions of arrays."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda kept, _: kept, of)
+
+
+def beyond_ascii(c: Column, of) -> Column:
+    """of(c) for texts with letters that ASCII lacks; others, which are most, have nothing to change and stay."""
+    return bound(c, lambda t: F.when(F.octet_length(t) == F.length(t), t).otherwise(of(t)))
+
+
 def fold(c: Column) -> Column:
     """Drop accents: letters with marks become base letters, combining marks go."""
-    return F.regexp_replace(F.translate(c, FOLD_FROM, FOLD_TO), "[̀-ͯ]", "")
+    return beyond_ascii(c, lambda t: F.regexp_replace(F.translate(t, FOLD_FROM, FOLD_TO), "[̀-ͯ]", ""))
 
 
 @F.pandas_udf(StringType())
@@ -54,7 +65,8 @@ def normalized(text: str) -> str:
 
 def fold_text(c: Column) -> Column:
     """Lower case without accents and marks of any script, runs of white space as one space."""
-    return F.lower(F.regexp_replace(fold(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))), r"\p{M}+", ""))
+    plain = F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    return F.lower(beyond_ascii(plain, lambda t: F.regexp_replace(fold(t), r"\p{M}+", "")))
 
 
 def normalize_authority(c: Column) -> Column:
@@ -100,21 +112,38 @@ def normalize_url(url: Column) -> Column:
     return F.when(F.try_parse_url(F.trim(url), F.lit("HOST")).isNotNull(), F.split_part(F.trim(url), F.lit("#"), F.lit(1)))
 
 
+def base_parts(base: Column) -> Column:
+    """What absolute links need of a page's URL: struct<scheme, origin, plain, folder>."""
+    root = r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)"
+
+    def parts(plain):
+        folder = F.regexp_extract(plain, root[:-1] + "(?:/.*/|/)?)", 1)
+        closed = bound(folder, lambda f: F.when(F.endswith(f, F.lit("/")), f).otherwise(F.concat(f, F.lit("/"))))
+        return F.struct(F.regexp_extract(plain, "^([A-Za-z][A-Za-z0-9+.-]*:)", 1).alias("scheme"), F.regexp_extract(plain, root, 1).alias("origin"), plain.alias("plain"), closed.alias("folder"))
+
+    return bound(F.regexp_replace(base, r"[?#].*$", ""), parts)
+
+
+def resolved(b: Column, href: Column) -> Column:
+    """href against the parts of a page's URL; null for fragments, scripts and mail or phone links."""
+
+    def joined(h):
+        return (
+            F.when(h.isNull() | (h == "") | h.rlike(r"(?i)^(#|\*|mailto:|tel:|javascript:|data:)"), None)
+            .when(F.startswith(h, F.lit("//")), F.concat(b["scheme"], h))
+            .when(F.startswith(h, F.lit("/")), F.concat(b["origin"], h))
+            .when(F.startswith(h, F.lit("?")), F.concat(b["plain"], h))
+            .when(h.rlike("(?i)^[a-z][a-z0-9+.-]*://"), h)
+            .otherwise(F.concat(b["folder"], h))
+        )
+
+    dotted = lambda u: F.contains(u, F.lit("/.")) & u.rlike(r"/\.\.?(/|[?#]|$)")
+    return bound(bound(F.trim(href), joined), lambda u: F.when(dotted(u), without_dots(u)).otherwise(u))
+
+
 def absolute_url(base: Column, href: Column) -> Column:
     """href against base; null for fragments, scripts and mail or phone links."""
-    h = F.trim(href)
-    origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+)", 1)
-    folder = F.regexp_extract(F.regexp_replace(base, r"[?#].*$", ""), r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]+(?:/.*/|/)?)", 1)
-    folder = F.when(F.endswith(folder, F.lit("/")), folder).otherwise(F.concat(folder, F.lit("/")))
-    joined = (
-        F.when(h.isNull() | h.rlike(r"(?i)^(#|\*|mailto:|tel:|javascript:|data:)") | (h == ""), None)
-        .when(h.rlike("(?i)^[a-z][a-z0-9+.-]*://"), h)
-        .when(F.startswith(h, F.lit("//")), F.concat(F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*:)", 1), h))
-        .when(F.startswith(h, F.lit("/")), F.concat(origin, h))
-        .when(F.startswith(h, F.lit("?")), F.concat(F.regexp_replace(base, r"[?#].*$", ""), h))
-        .otherwise(F.concat(folder, h))
-    )
-    return F.when(joined.rlike(r"/\.\.?(/|[?#]|$)"), without_dots(joined)).otherwise(joined)
+    return bound(base_parts(base), lambda b: resolved(b, href))
 
 
 def without_dots(url: Column) -> Column:
@@ -130,8 +159,7 @@ def without_dots(url: Column) -> Column:
 
 
 def is_document_url(url: Column) -> Column:
-    u = F.lower(F.coalesce(url, F.lit("")))
-    return u.rlike(r"\.(pdf|doc|docx|rtf|xls|xlsx)(\?|#|$)") | u.rlike(r"[?&](download|file|attachment_id)=") | u.rlike(r"/download/?")
+    return F.lower(F.coalesce(url, F.lit(""))).rlike(r"\.(pdf|doc|docx|rtf|xls|xlsx)(\?|#|$)|[?&](download|file|attachment_id)=|/download/?")
 
 
 ASSETS = r"\.(png|jpe?g|webp|gif|svg|ico|css|js|map|woff2?|ttf|otf|eot|mp4|webm|mov|avi|mp3|wav)(\?|#|$)"
@@ -188,14 +216,22 @@ def detect_attachment_type(content: Column, declared: Column) -> Column:
 
 
 def strict_iso_date(c: Column) -> Column:
-    return F.when(F.trim(c).rlike(r"^\d{4}-\d{2}-\d{2}$"), F.trim(c).try_cast("date"))
+    return bound(F.trim(c), lambda t: F.when(t.rlike(r"^\d{4}-\d{2}-\d{2}$"), t.try_cast("date")))
 
 
 def _dmy(c: Column, pattern: str, order: tuple[int, int, int] = (1, 2, 3)) -> Column:
-    """yyyy-mm-dd text of a pattern's groups (day, month, year); null where it doesn't match."""
-    d, m, y = (F.regexp_extract(c, pattern, k) for k in order)
-    year = F.when(F.length(y) == 2, F.concat(F.when(y.try_cast("int") <= 30, F.lit("20")).otherwise(F.lit("19")), y)).when(F.length(y) == 5, F.substring(y, 1, 4)).otherwise(y)
-    return F.when(d != "", F.concat_ws("-", year, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")))
+    """yyyy-mm-dd text of a pattern's groups (day, month, year); null where it doesn't match. The text is searched once;
+    the groups are taken from what is found."""
+
+    def text(y, m, d):
+        year = F.when(F.length(y) == 2, F.concat(F.when(y.try_cast("int") <= 30, F.lit("20")).otherwise(F.lit("19")), y)).when(F.length(y) == 5, F.substring(y, 1, 4)).otherwise(y)
+        return F.concat_ws("-", year, F.lpad(m, 2, "0"), F.lpad(d, 2, "0"))
+
+    def of(found):
+        d, m, y = (F.regexp_extract(found, pattern, k) for k in order)
+        return F.when(found != "", bound(y, lambda own: text(own, m, d)))
+
+    return bound(F.regexp_extract(c, pattern, 0), of)
 
 
 def export_date(c: Column) -> Column:

@@ -26,26 +26,40 @@ def unquoted(value: Column) -> Column:
 
 def attribute(tag: Column, name: str) -> Column:
     """The value of an attribute of a tag, in any of its quotes; null if there is none."""
-    return S.nonblank(unquoted(F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*{VALUE}", 1)))
+    return S.bound(unquoted(F.regexp_extract(tag, rf"(?is)\s{name}\s*=\s*{VALUE}", 1)), lambda v: F.nullif(v, F.lit("")))
+
+
+def computed(df: DataFrame, *kept: str, **columns: Column) -> DataFrame:
+    """The kept columns and new ones, as a generator's row: filters on them read the values and don't compute them again."""
+    return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
 def anchor_array(html: Column) -> Column:
     """Array of struct<href, text>: every a element with an href in page order, its text without tags. An element that
     isn't closed ends where the next one begins."""
-    tag = lambda p: F.regexp_extract(p, rf"(?is)^<a\b{ATTRIBUTES}>", 0)
-    parts = F.filter(F.split(html, r"(?i)(?=<a[\s/>])"), lambda p: tag(p).rlike(r"(?is)\shref\s*="))
-    return F.transform(parts, lambda p: F.struct(F.coalesce(attribute(tag(p), "href"), F.lit("")).alias("href"), strip_tags(F.regexp_extract(p, rf"(?is)^<a\b{ATTRIBUTES}>(.*?)(?:</a\b|\z)", 1)).alias("text")))
+
+    def anchor(p, tag):
+        body = F.regexp_extract(F.substring(p, F.length(tag) + 1, F.length(p)), r"(?is)^(.*?)(?:</a\b|\z)", 1)
+        return F.when(tag.rlike(r"(?is)\shref\s*="), F.struct(F.coalesce(attribute(tag, "href"), F.lit("")).alias("href"), strip_tags(body).alias("text")))
+
+    parts = F.split(html, r"(?i)(?=<a[\s/>])")
+    return F.array_compact(F.transform(parts, lambda p: S.bound(F.regexp_extract(p, rf"(?is)^<a\b{ATTRIBUTES}>", 0), lambda tag: anchor(p, tag))))
+
+
+def link_array(html: Column, url: Column) -> Column:
+    """Array of struct<pos, href, text, abs_url>: anchor_array with absolute URLs."""
+    of = lambda b: F.transform(anchor_array(html), lambda a, i: F.struct(i.alias("pos"), a["href"].alias("href"), a["text"].alias("text"), S.resolved(b, a["href"]).alias("abs_url")))
+    return S.bound(S.base_parts(url), of)
 
 
 def anchors(pages: DataFrame) -> DataFrame:
     """(page_id, url, pos, href, text, abs_url): every link of every page, in page order."""
-    each = pages.select("page_id", "url", F.posexplode(anchor_array(F.col("html"))).alias("pos", "a"))
-    return each.select("page_id", "url", "pos", "a.href", "a.text", S.absolute_url(F.col("url"), F.col("a.href")).alias("abs_url"))
+    return pages.select("page_id", "url", F.inline(link_array(F.col("html"), F.col("url"))))
 
 
-def document_links(pages: DataFrame) -> DataFrame:
-    """(page_id, branch, pos, url): document URLs of anchors, embeds, data attributes and onclick handlers; where a
-    page has none, of its raw text. The first of repeated URLs stays; viewer URLs are unwrapped."""
+def document_array(html: Column, url: Column) -> Column:
+    """Array of struct<branch, pos, link>: document URLs of anchors, embeds, data attributes and onclick handlers, in this
+    order; where a page has none, of its raw text. Viewer URLs are unwrapped."""
     branches = [
         rf"(?is)<(?:iframe|embed|source)\s[^>]*?\bsrc\s*=\s*{VALUE}",
         rf"(?is)<object\s[^>]*?\bdata\s*=\s*{VALUE}",
@@ -54,32 +68,45 @@ def document_links(pages: DataFrame) -> DataFrame:
     ]
     # a handler's URL is its first quoted string
     link_of = lambda b, x: F.regexp_extract(unquoted(x), "[\"']([^\"']+)[\"']", 1) if b == 4 else unquoted(x)
+    viewed = lambda href: F.coalesce(S.nonblank(F.try_url_decode(F.regexp_extract(href, r"[?&](?:url|file|src)=(https?[^&]+)", 1))), href)
+    inner = lambda href: F.when(href.rlike("[?&](?:url|file|src)=http"), viewed(href)).otherwise(href)
+
+    def of_branch(b: int, hrefs: Column, base: Column) -> Column:
+        return F.transform(hrefs, lambda x, i: F.struct(F.lit(b).alias("branch"), i.alias("pos"), S.resolved(base, inner(x)).alias("link")))
 
-    def of_branch(b: int, hrefs: Column) -> Column:
-        return F.transform(hrefs, lambda x, i: F.struct(F.lit(b).alias("branch"), i.alias("pos"), x.alias("href")))
-
-    values = [F.transform(F.regexp_extract_all("html", F.lit(p), F.lit(1)), partial(link_of, b)) for b, p in enumerate(branches, 1)]
-    found = F.flatten(F.array(*[of_branch(b, x) for b, x in enumerate([F.transform(anchor_array(F.col("html")), lambda a: a["href"]), *values])]))
-    each = pages.select("page_id", F.col("url").alias("base"), F.explode(found).alias("x")).select("page_id", "base", "x.*")
-    inner = F.coalesce(S.nonblank(F.try_url_decode(F.regexp_extract("href", r"[?&](?:url|file|src)=(https?[^&]+)", 1))), F.col("href"))
-    links = each.withColumn("link", S.absolute_url(F.col("base"), inner)).where(S.is_document_url(F.col("link")))
-    raw = F.regexp_extract_all("html", F.lit(r"(https?://[^\s\"'<>]+\.(?:pdf|docx?|xlsx?|rtf))"), F.lit(1))
-    rest = pages.join(links.select("page_id").distinct(), "page_id", "left_anti").select("page_id", F.posexplode(raw).alias("pos", "link")).select("page_id", F.lit(len(branches) + 1).alias("branch"), "pos", "link")
-    every = links.select("page_id", "branch", "pos", "link").unionByName(rest)
+    values = [F.transform(F.regexp_extract_all(html, F.lit(p), F.lit(1)), partial(link_of, b)) for b, p in enumerate(branches, 1)]
+    hrefs = [F.transform(anchor_array(html), lambda a: a["href"]), *values]
+    found = S.bound(S.base_parts(url), lambda base: F.filter(F.flatten(F.array(*[of_branch(b, x, base) for b, x in enumerate(hrefs)])), lambda x: S.is_document_url(x["link"])))
+    raw = F.regexp_extract_all(html, F.lit(r"(https?://[^\s\"'<>]+\.(?:pdf|docx?|xlsx?|rtf))"), F.lit(1))
+    rest = F.transform(raw, lambda x, i: F.struct(F.lit(len(branches) + 1).alias("branch"), i.alias("pos"), x.alias("link")))
+    return S.bound(found, lambda own: F.when(F.size(own) > 0, own).otherwise(rest))
+
+
+def document_links(pages: DataFrame) -> DataFrame:
+    """(page_id, branch, pos, url): the documents of each page (see document_array). The first of repeated URLs stays."""
+    every = pages.select("page_id", F.inline(document_array(F.col("html"), F.col("url"))))
     return keep_first(every, ["page_id", "link"], ["branch", "pos"]).withColumnRenamed("link", "url")
 
 
-def table_rows(pages: DataFrame) -> DataFrame:
-    """(page_id, row, cells, title, href, date): rows of tables with the longest cell that is no date as title."""
-    rows = F.regexp_extract_all("html", F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))
-    each = pages.select("page_id", "url", F.posexplode(rows).alias("row", "tr"))
-    cells = F.transform(F.regexp_extract_all("tr", F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1)), strip_tags)
-    each = each.withColumn("cells", cells)
-    fit = F.filter("cells", lambda c: ~S.invalid_title(c) & S.free_text_date(c).isNull())
-    best = F.array_max(F.transform(fit, lambda c: F.struct(F.length(c).alias("n"), c.alias("c"))))["c"]
-    href = unquoted(F.regexp_extract("tr", rf"(?is)\bhref\s*=\s*{VALUE}", 1))
-    date = F.array_min(F.array_compact(F.transform("cells", lambda c: S.numeric_date(c))))
-    return each.select("page_id", "row", "cells", best.alias("title"), S.absolute_url(F.col("url"), S.nonblank(href)).alias("href"), date.alias("date")).where("title is not null")
+def row_array(html: Column, url: Column) -> Column:
+    """Array of struct<row, cells, title, href, date>: rows of tables; the title is the longest cell that is no date."""
+
+    def of_row(b, tr, cells, i):
+        fit = F.filter(cells, lambda c: ~S.invalid_title(c) & S.free_text_date(c).isNull())
+        best = F.array_max(F.transform(fit, lambda c: F.struct(F.length(c).alias("n"), c.alias("c"))))["c"]
+        href = S.nonblank(unquoted(F.regexp_extract(tr, rf"(?is)\bhref\s*=\s*{VALUE}", 1)))
+        date = F.array_min(F.array_compact(F.transform(cells, S.numeric_date)))
+        return F.struct(i.alias("row"), cells.alias("cells"), best.alias("title"), S.resolved(b, href).alias("href"), date.alias("date"))
+
+    cells = lambda tr: F.transform(F.regexp_extract_all(tr, F.lit(r"(?is)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1)), strip_tags)
+    rows = F.regexp_extract_all(html, F.lit(r"(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))
+    return S.bound(S.base_parts(url), lambda b: F.transform(rows, lambda tr, i: S.bound(cells(tr), lambda own: of_row(b, tr, own, i))))
+
+
+def table_rows(pages: DataFrame, *kept: str) -> DataFrame:
+    """(page_id, row, cells, title, href, date): rows of tables with the longest cell that is no date as title; and the
+    kept columns of their page."""
+    return pages.select("page_id", *kept, F.inline(row_array(F.col("html"), F.col("url")))).where("title is not null")
 
 
 def post_links(pages: DataFrame, pattern: str = "vendim|konsultim") -> DataFrame:
@@ -137,20 +164,19 @@ def list_signals(pages: DataFrame) -> DataFrame:
 
 def post_items(pages: DataFrame, pattern: str = "konsultim|vendim") -> DataFrame:
     """One item for each page: its first document if it has any, else the page itself if title or URL hold a keyword."""
-    best = keep_first(document_links(pages), ["page_id"], ["branch", "pos"]).select("page_id", F.col("url").alias("document_url"))
     title = strip_tags(F.regexp_extract("html", r"(?is)<h1[^>]*>(.*?)</h1>", 1))
-    rows = pages.select("page_id", "url", title.alias("title"), page_date(F.col("html")).alias("published_date")).join(best, "page_id", "left")
-    keep = F.col("document_url").isNotNull() | (S.strict_iso_date(F.col("published_date").cast("string")).isNotNull() & S.fold_text(F.concat_ws(" ", "title", "url")).rlike(pattern))
+    first = F.get(document_array(F.col("html"), F.col("url")), 0)["link"]
+    rows = computed(pages, "page_id", "url", title=title, published_date=page_date(F.col("html")), document_url=first)
+    keep = F.col("document_url").isNotNull() | (F.col("published_date").isNotNull() & S.fold_text(F.concat_ws(" ", "title", "url")).rlike(pattern))
     return rows.where(keep).withColumn("source_url", F.coalesce("document_url", "url"))
 
 
 def year_categories(pages: DataFrame, year: int, fallback: int = 3) -> DataFrame:
     """Links with the year in text or URL; pages without one give their first `fallback` links."""
     token = rf"(^|\D){year}(\D|$)"
-    links = anchors(pages)
-    hits = links.where(F.col("text").rlike(token) | F.col("abs_url").rlike(token))
-    rest = top_k(links.join(hits.select("page_id").distinct(), "page_id", "left_anti"), ["page_id"], ["pos"], fallback)
-    return hits.unionByName(rest)
+    hits = lambda links: F.filter(links, lambda a: a["text"].rlike(token) | a["abs_url"].rlike(token))
+    of = lambda links: S.bound(hits(links), lambda own: F.when(F.size(own) > 0, own).otherwise(F.slice(links, 1, fallback)))
+    return pages.select("page_id", "url", F.inline(S.bound(link_array(F.col("html"), F.col("url")), of)))
 
 
 def pdf_items(pages: DataFrame) -> DataFrame:
@@ -166,13 +192,13 @@ def page_summary(html: Column, least: int = 20) -> Column:
 def dated_by_precedence(pages: DataFrame, listing: DataFrame, years: tuple[int, int] = (2000, 2100)) -> DataFrame:
     """(page_id, published_date): the date of the page's heading, else of its first PDF on the page's own host whose URL
     holds one, else the one that the listing (page_id, listed_date) has. Dates of other years than `years` don't count."""
-    fit = lambda d: F.when(F.year(d).between(*years), d)
-    files = anchors(pages).where(F.lower("abs_url").rlike(r"\.pdf([?#]|$)") & (S.compare_host(F.col("abs_url")) == S.compare_host(F.col("url"))))
-    dated = files.withColumn("file_date", fit(S.url_date(F.col("abs_url")))).where("file_date is not null")
-    first = dated.groupBy("page_id").agg(F.min_by("file_date", "pos").alias("file_date"))
+    fit = lambda c: S.bound(c, lambda d: F.when(F.year(d).between(*years), d))
+    own = lambda a, host: F.lower(a["abs_url"]).rlike(r"\.pdf([?#]|$)") & (S.compare_host(a["abs_url"]) == host)
+    files = S.bound(S.compare_host(F.col("url")), lambda host: F.filter(link_array(F.col("html"), F.col("url")), lambda a: own(a, host)))
+    first = F.get(F.array_compact(F.transform(files, lambda a: fit(S.url_date(a["abs_url"])))), 0)
     heading = fit(S.numeric_date(strip_tags(F.regexp_extract("html", r"(?is)<h1\b[^>]*>(.*?)</h1>", 1))))
-    met = pages.select("page_id", heading.alias("heading_date")).join(first, "page_id", "left").join(listing.select("page_id", "listed_date"), "page_id", "left")
-    return met.select("page_id", F.coalesce("heading_date", "file_date", "listed_date").alias("published_date"))
+    found = pages.select("page_id", F.coalesce(heading, first).alias("own_date"))
+    return found.join(listing.select("page_id", "listed_date"), "page_id", "left").select("page_id", F.coalesce("own_date", "listed_date").alias("published_date"))
 
 
 def challenge_page(url: Column, html: Column) -> Column:
@@ -201,16 +227,16 @@ def profile_items(pages: DataFrame, profiles: DataFrame) -> tuple[DataFrame, Dat
     """Listing rows by site profile: (host, path_pattern, number_cell, date_cell, title_cell, title_template, year_floor, kind).
 
     Gives items and rejected rows with a reason (missing number, date or URL, or before the floor)."""
-    rows = table_rows(pages).join(pages.select("page_id", "url"), "page_id").withColumn("host", S.compare_host(F.col("url")))
-    met = rows.join(profiles, "host").where(F.expr("path_pattern is null or url rlike path_pattern"))
+    hosted = pages.select("page_id", "url", "html", S.compare_host(F.col("url")).alias("host"))
+    met = table_rows(hosted, "url", "host").drop("title").join(profiles, "host").where(F.expr("path_pattern is null or url rlike path_pattern"))
     cell = lambda k: F.try_element_at("cells", F.col(k) + 1)
     number = S.nonblank(F.regexp_extract(cell("number_cell"), r"(\d{1,4})", 1))
     date = F.coalesce(S.numeric_date(cell("date_cell")), S.strict_iso_date(cell("date_cell")))
-    title = F.coalesce(F.when(F.col("title_template").isNotNull(), F.replace(F.replace(F.col("title_template"), F.lit("{number}"), number), F.lit("{date}"), date.cast("string"))), cell("title_cell"))
-    out = met.withColumn("number", number).withColumn("published_date", date).withColumn("item_title", title)
+    found = computed(met, "page_id", "row", "kind", "href", "year_floor", "title_template", number=number, published_date=date, own_title=cell("title_cell"))
+    title = F.coalesce(F.when(F.col("title_template").isNotNull(), F.replace(F.replace(F.col("title_template"), F.lit("{number}"), F.col("number")), F.lit("{date}"), F.col("published_date").cast("string"))), "own_title")
     reason = F.when(F.col("number").isNull(), "missing_number").when(F.col("published_date").isNull(), "missing_date").when(F.col("href").isNull(), "missing_url").when(F.year("published_date") < F.col("year_floor"), "before_floor")
-    out = out.withColumn("reason", reason)
-    keep = out.where("reason is null").select("page_id", "row", "kind", "number", "published_date", F.col("item_title").alias("title"), F.col("href").alias("source_url"))
+    out = found.withColumn("reason", reason)
+    keep = out.where("reason is null").select("page_id", "row", "kind", "number", "published_date", title.alias("title"), F.col("href").alias("source_url"))
     return keep, out.where("reason is not null").select("page_id", "row", "reason")
 
 

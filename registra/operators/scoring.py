@@ -95,12 +95,11 @@ def repeat_boost(scored: DataFrame, each: int = 8, most: int = 3) -> DataFrame:
 def link_categories(links: DataFrame, categories: dict[str, list[str]], least: int = 6) -> DataFrame:
     """(page_id, category, url, score, confidence): the best link for each category, with 5 points for each keyword
     in the text and 4 in the URL, if it has at least `least`."""
-    rows = None
-    for name, words in categories.items():
-        score = keyword_hits(S.fold_text(F.col("text")), words) * 5 + keyword_hits(S.fold_text(F.col("abs_url")), words) * 4
-        own = links.select("page_id", "pos", F.lit(name).alias("category"), F.col("abs_url").alias("url"), score.alias("score"))
-        rows = own if rows is None else rows.unionByName(own)
-    best = keep_first(rows.where(F.col("score") >= least), ["page_id", "category"], [F.desc("score"), "pos"])
+    score = lambda x, words: keyword_hits(x["text"], words) * 5 + keyword_hits(x["url"], words) * 4
+    every = lambda x: F.array(*[F.struct(F.lit(name).alias("category"), score(x, words).alias("score")) for name, words in categories.items()])
+    folded = F.struct(S.fold_text(F.col("text")).alias("text"), S.fold_text(F.col("abs_url")).alias("url"))
+    rows = links.select("page_id", "pos", F.col("abs_url").alias("url"), F.inline(S.bound(folded, lambda x: F.filter(every(x), lambda s: s["score"] >= least))))
+    best = keep_first(rows, ["page_id", "category"], [F.desc("score"), "pos"]).select("page_id", "category", "url", "score", "pos")
     return best.withColumn("confidence", F.least(F.lit(1.0), F.col("score") / 20.0)).drop("pos")
 
 
