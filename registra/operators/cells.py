@@ -11,13 +11,18 @@ COUNTS = ["published", "drafts", "published_attachments", "draft_attachments", "
 LATEST = ["latest_published", "latest_collected", "last"]
 
 
-def cells(items: DataFrame, attachments: DataFrame) -> DataFrame:
-    """(municipality_id, category, COUNTS, LATEST) of every cell with an item. Archived items count only for
-    latest_collected; last is the latest attachment, with its item's status (null if archived).
-
-    Attachments are aggregated by item, then met by it, so each table is shuffled once on the item."""
+def counted(items: DataFrame, attachments: DataFrame) -> DataFrame:
+    """items with n, the number of their attachments, and newest, the latest one. Attachments are aggregated by item, then
+    met by it, so each table is shuffled once on the item."""
     own = attachments.groupBy("item_id").agg(F.count("*").alias("n"), F.max(F.struct("created_at", F.col("id").alias("attachment_id"))).alias("newest"))
-    met = items.join(own.withColumnRenamed("item_id", "id"), "id", "left")
+    return items.join(own.withColumnRenamed("item_id", "id"), "id", "left")
+
+
+def cells(items: DataFrame, attachments: DataFrame | None = None) -> DataFrame:
+    """(municipality_id, category, COUNTS, LATEST) of every cell with an item. Archived items count only for
+    latest_collected; last is the latest attachment, with its item's status (null if archived). Items that are counted
+    already (see counted()) need no attachments."""
+    met = items if attachments is None else counted(items, attachments)
     live, draft, n = F.col("status") == "published", F.col("status") == "draft", F.coalesce("n", F.lit(0))
     shown = F.when(F.col("status") != "archived", F.col("status"))
     last = F.when(F.col("newest").isNotNull(), F.struct("newest.created_at", "newest.attachment_id", shown.alias("status")))
@@ -28,8 +33,12 @@ def cells(items: DataFrame, attachments: DataFrame) -> DataFrame:
 
 
 def changed_rows(before: DataFrame, after: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows of each table that the other lacks: what a merge took away and put in."""
-    return before.exceptAll(after), after.exceptAll(before)
+    """The rows of each table that the other lacks: what a merge took away and put in. Both tables meet in one grouping,
+    whose exchange the two results share."""
+    signed = before.withColumn("__net", F.lit(1)).unionByName(after.withColumn("__net", F.lit(-1)))
+    net = signed.groupBy(*before.columns).agg(F.sum("__net").cast("int").alias("__net"))
+    side = lambda n: net.where(n > 0).select(*before.columns, F.explode(F.array_repeat(F.lit(0), n)).alias("__k")).drop("__k")
+    return side(F.col("__net")), side(-F.col("__net"))
 
 
 def _gone(name: str) -> Column:
@@ -39,7 +48,7 @@ def _gone(name: str) -> Column:
     return held & F.coalesce(F.col(f"a.{name}") < F.col(f"s.{name}"), F.lit(True))
 
 
-def apply_changes(state: DataFrame, before: DataFrame, after: DataFrame, attachments_before: DataFrame, attachments_after: DataFrame) -> DataFrame:
+def apply_changes(state: DataFrame, before: DataFrame, after: DataFrame, attachments_before: DataFrame | None = None, attachments_after: DataFrame | None = None) -> DataFrame:
     """state (as cells() gives it) after a change, with `stale`: whether a latest value was taken back, so that it has to
     be looked up (see refreshed()). Cells that lose all that counts stay, with zeros.
 
@@ -54,14 +63,15 @@ def apply_changes(state: DataFrame, before: DataFrame, after: DataFrame, attachm
     return met.select(*CELL, *counts, *[F.greatest(F.col(f"s.{c}"), F.col(f"a.{c}")).alias(c) for c in LATEST], F.coalesce(stale, F.lit(False)).alias("stale"))
 
 
-def refreshed(state: DataFrame, items: DataFrame, attachments: DataFrame) -> DataFrame:
+def refreshed(state: DataFrame, items: DataFrame, attachments: DataFrame | None = None) -> DataFrame:
     """state without `stale`: stale cells get their latest values from the items and attachments as they are now, of these
     cells alone. Cells whose items are all gone go."""
     worn = state.where("stale")
     if worn.isEmpty():
         return state.drop("stale")
     own = items.join(worn.select(*CELL), CELL, "left_semi")
-    fresh = cells(own, attachments.join(own.select(F.col("id").alias("item_id")), "item_id", "left_semi")).select(*CELL, F.struct(*LATEST).alias("f"))
+    met = own if attachments is None else counted(own, attachments.join(own.select(F.col("id").alias("item_id")), "item_id", "left_semi"))
+    fresh = cells(met).select(*CELL, F.struct(*LATEST).alias("f"))
     met = state.join(fresh, CELL, "left").where(~F.col("stale") | F.col("f").isNotNull())
     return met.select(*CELL, *COUNTS, *[F.when(F.col("stale"), F.col(f"f.{c}")).otherwise(F.col(c)).alias(c) for c in LATEST])
 

@@ -270,3 +270,14 @@ def test_postings_hold_each_gram_once(spark, tmp_path):
     for r in spark.read.parquet(str(tmp_path / "p/postings")).collect():
         held[r.gram].append((r.field, r.id))
     assert held == {"aaa": [(0, 1)], "aa ": [(0, 1)], "a a": [(0, 1)], " aa": [(0, 1)]}
+
+
+def test_changes_share_one_exchange(spark):
+    """Both sides of a change come from one grouping, repeated rows included; counted items need no attachments."""
+    a = spark.createDataFrame([(1, "x"), (1, "x"), (2, "y")], "id int, t string").repartition(2)
+    gone, new = cells.changed_rows(a, a.where("id = 1").union(a.where("id = 1")))
+    assert sorted(map(tuple, gone.collect())) == [(2, "y")] and sorted(map(tuple, new.collect())) == [(1, "x"), (1, "x")]
+    assert "Except" not in gone._jdf.queryExecution().analyzed().toString()
+    items = spark.sql("select 1 as id, 2 as municipality_id, 'c' as category, 'published' as status, date '2024-01-01' as published_date, timestamp '2024-01-02' as collected_at")
+    files = spark.sql("select 7 as id, 1 as item_id, timestamp '2024-01-03' as created_at")
+    assert cells.cells(cells.counted(items, files)).collect() == cells.cells(items, files).collect()
