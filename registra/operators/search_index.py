@@ -24,8 +24,9 @@ def postings(documents: DataFrame, attributes: list[str] = ATTRIBUTES) -> DataFr
     def words(k: int):
         return F.transform(F.split(S.normalize_title(F.col(attributes[k])), " "), lambda t: F.struct(t.alias("term"), F.lit(k).alias("attribute")))
 
-    every = F.flatten(F.array(*map(words, range(len(attributes)))))
-    return documents.select("id", F.explode(every).alias("x")).select("x.term", "id", "x.attribute").where("term <> ''").groupBy("term", "id").agg(F.min("attribute").alias("attribute"))
+    every = F.sort_array(F.flatten(F.array(*map(words, range(len(attributes))))))
+    first = lambda xs: F.filter(xs, lambda x, i: (x["term"] != "") & ~x["term"].eqNullSafe(F.get(xs, i - 1)["term"]))
+    return documents.select("id", F.inline(S.bound(every, first))).select("term", "id", "attribute")
 
 
 def add_segment(documents: DataFrame, path: str, number: int, deleted: DataFrame | None = None, ranges: int = 32, attributes: list[str] = ATTRIBUTES) -> None:

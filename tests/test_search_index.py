@@ -55,3 +55,11 @@ def test_a_search_reads_its_range(spark, tmp_path):
 
 def test_query_words():
     assert X.query_words("Një nr nr Ven") == (["nje", "nr"], "ven") and X.query_words("a b ") == (["a", "b"], None) and X.query_words("") == ([], None)
+
+
+def test_postings_need_no_shuffle(spark):
+    """A word of several attributes is one posting, of the first attribute; words of one document don't meet by a shuffle."""
+    docs = spark.createDataFrame([(1, "Urgent road", "urgent Urgent", "m", "c", "h")], "id long, title string, summary string, municipality string, category string, source_host string")
+    found = X.postings(docs)
+    assert sorted(map(tuple, found.collect())) == [("c", 1, 3), ("h", 1, 4), ("m", 1, 2), ("road", 1, 0), ("urgent", 1, 0)]
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
