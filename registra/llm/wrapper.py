@@ -11,8 +11,8 @@ text outside links, over all pages, together with the first heading that varies;
 whatever its name and however it varies. If nothing of the main part would be left, its constant text stays.
 
 Trees are walked with explicit stacks, at any depth. Nodes can match only if they have the same labels from the root on,
-so others leave both trees before the alignment; what is left is aligned exactly. Only lists with more than WIDE pairs of
-unlike children are matched by the labels that two children's subtrees share instead of by their own best alignment.
+so others leave both trees before the alignment; what is left is aligned exactly, whatever its size: in time with the
+product of the two trees' unlike nodes, row by row in bounded memory.
 
 The counts per node are a grouped sum with one row for each text; no host's pages meet in one task. Skeletons and
 blocks are written to the shared folder, so each page is parsed once.
@@ -24,7 +24,7 @@ import hashlib
 import html as entities
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -38,8 +38,8 @@ from registra.llm.common import in_slices, written
 PAGES, SHARE = 3, 0.9
 #: Share of the slots' text that the main part of a host's pages holds at least.
 MAIN = 0.6
-#: Pairs of unlike children up to which each pair's own best alignment is computed.
-WIDE = 10_000
+#: Sizes of matchings that an alignment keeps; a bound on memory only: others are computed again when they are asked for.
+HELD = 16_000_000
 
 # Element names of HTML, by their parsing rules.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -258,11 +258,11 @@ def tree_of(skeleton: str) -> tuple[list[str], list[int]]:
 
 
 class Forest:
-    """Trees, equal subtrees numbered alike: label, children, size and height of each number."""
+    """Trees, equal subtrees numbered alike: label, children and size of each number."""
 
     def __init__(self):
         self.number: dict[tuple, int] = {}
-        self.label, self.inner, self.size, self.height = [], [], [], []
+        self.label, self.inner, self.size = [], [], []
 
     def add(self, labels: list[str], parents: list[int]) -> tuple[list[int], list[list[int]]]:
         """Numbers and children of the nodes, in preorder."""
@@ -279,7 +279,6 @@ class Forest:
                 self.label.append(labels[i])
                 self.inner.append(inner)
                 self.size.append(1 + sum(self.size[x] for x in inner))
-                self.height.append(1 + max((self.height[x] for x in inner), default=0))
             own[i] = self.number[key]
         return own, children
 
@@ -310,22 +309,17 @@ def _middle(xs: list[int], ys: list[int]) -> tuple[int, int]:
     return a, b
 
 
-def _aligned(xs: list[int], ys: list[int], weights_of) -> tuple[int, list[tuple[int, int]]]:
-    """The largest sum of weights of pairs that keep the order of both lists, and such pairs. weights_of: (x, array of
-    ys) to their weights. A row of the table at a time; of each cell only two bits are kept."""
-    if not xs or not ys:
-        return 0, []
-    kinds, column = np.unique(ys, return_inverse=True)
-    row_of = {x: weights_of(x, kinds)[column] for x in set(xs)}
-    prior, diagonal, up = np.zeros(len(ys) + 1, dtype=np.int64), [], []
-    for x in xs:
-        w = row_of[x]
+def _aligned(rows: Iterable[np.ndarray], n: int) -> list[tuple[int, int]]:
+    """The pairs of two lists that keep the order of both and have the largest sum of weights. rows: for each element of
+    the first list its weights with the n elements of the second; of each cell of the table only two bits are kept."""
+    prior, diagonal, up = np.zeros(n + 1, dtype=np.int64), [], []
+    for w in rows:
         met = prior[:-1] + w
         row = np.concatenate([[0], np.maximum.accumulate(np.maximum(prior[1:], met))])
         diagonal.append(np.packbits((w > 0) & (row[1:] == met)))
         up.append(np.packbits(row[1:] == prior[1:]))
         prior = row
-    pairs, k, q = [], len(xs) - 1, len(ys) - 1
+    pairs, k, q = [], len(diagonal) - 1, n - 1
     while k >= 0 and q >= 0:
         byte, bit = q >> 3, 7 - (q & 7)
         if diagonal[k][byte] >> bit & 1:
@@ -335,7 +329,103 @@ def _aligned(xs: list[int], ys: list[int], weights_of) -> tuple[int, list[tuple[
             k -= 1
         else:
             q -= 1
-    return int(prior[-1]), pairs[::-1]
+    return pairs[::-1]
+
+
+class _Level:
+    """The subtrees of two trees that may meet at one path of labels from the root: their numbers, and the levels below by
+    label. Codes number the other tree's subtrees of all levels below; the last code is that of everything else."""
+
+    def __init__(self, mine: set[int], other: set[int]):
+        self.mine, self.other = sorted(mine), sorted(other)
+        self.column = {y: k for k, y in enumerate(self.other)}
+        self.below: dict[str, tuple[int, int]] = {}  # label to level and first code
+        self.codes, self.groups, self.rows = 0, [], {}
+
+
+class Matching:
+    """Simple tree matching of subtrees of a forest: sizes of the largest matchings, row by row. A row holds those of one
+    subtree with all of the other tree at the same path, side by side; rows of the largest levels, beyond HELD cells in
+    all, are made again when they are asked for, so that memory is bounded and no result depends on it."""
+
+    def __init__(self, forest: Forest, x: int, y: int):
+        self.forest, self.levels = forest, [_Level({x}, {y})]
+        for level in self.levels:  # grows
+            self._open(level)
+        cells = [len(level.mine) * len(level.other) for level in self.levels]
+        order = np.argsort(cells, kind="stable")
+        held = set(order[np.cumsum(np.array(cells)[order]) <= HELD].tolist())
+        for k in range(len(self.levels) - 1, -1, -1):
+            if k in held:
+                self.levels[k].rows = {p: self._row(self.levels[k], p) for p in self.levels[k].mine}
+
+    def _children(self, level: _Level, x: int) -> list[int]:
+        """What a subtree's matching depends on: without the equal ends, where only one pair meets."""
+        xs = self.forest.inner[x]
+        if len(level.mine) == len(level.other) == 1:
+            head, tail = _middle(self.forest.inner[level.mine[0]], self.forest.inner[level.other[0]])
+            return xs[head : len(xs) - tail]
+        return xs
+
+    def _open(self, level: _Level) -> None:
+        label = self.forest.label
+        sides: list[dict[str, set[int]]] = [{}, {}]
+        if level.mine != level.other or len(level.mine) > 1:
+            for kinds, found in zip((level.mine, level.other), sides):
+                for x in kinds:
+                    for c in self._children(level, x):
+                        found.setdefault(label[c], set()).add(c)
+        for name in sides[0]:
+            if name in sides[1]:
+                level.below[name] = (len(self.levels), level.codes)
+                level.codes += len(sides[1][name])
+                self.levels.append(_Level(sides[0][name], sides[1][name]))
+        # the other tree's subtrees in groups of about as many children, as codes
+        wide: dict[int, list[tuple[int, list[int]]]] = {}
+        for k, y in enumerate(level.other):
+            found = [c for c in self.codes(level, self._children(level, y)) if c < level.codes]
+            if found:
+                wide.setdefault(len(found).bit_length(), []).append((k, found))
+        for members in wide.values():
+            most = max(len(f) for _, f in members)
+            level.groups.append((np.array([k for k, _ in members]), np.array([f + [level.codes] * (most - len(f)) for _, f in members])))
+
+    def codes(self, level: _Level, ys: list[int]) -> list[int]:
+        out = []
+        for y in ys:
+            at, first = level.below.get(self.forest.label[y], (-1, 0))
+            own = self.levels[at].column.get(y) if at >= 0 else None
+            out.append(level.codes if own is None else first + own)
+        return out
+
+    def weights(self, level: _Level, x: int) -> np.ndarray | None:
+        """The largest matchings of x, a child at that level, by code; None if nothing there has its label."""
+        at, first = level.below.get(self.forest.label[x], (-1, 0))
+        if at < 0:
+            return None
+        out = np.zeros(level.codes + 1, dtype=np.int64)
+        own = self.levels[at]
+        out[first : first + len(own.other)] = own.rows[x] if x in own.rows else self._row(own, x)
+        return out
+
+    def _row(self, level: _Level, x: int) -> np.ndarray:
+        forest, out = self.forest, np.ones(len(level.other), dtype=np.int32)
+        tables = [np.zeros((len(g), w.shape[1] + 1), dtype=np.int64) for g, w in level.groups]
+        for c in self._children(level, x):
+            w = self.weights(level, c)
+            if w is None:
+                continue
+            for table, (_, codes) in zip(tables, level.groups):
+                np.maximum.accumulate(np.maximum(table[:, 1:], table[:, :-1] + w[codes]), axis=1, out=table[:, 1:])
+        for table, (at, _) in zip(tables, level.groups):
+            out[at] += table[:, -1].astype(np.int32)
+        if len(level.mine) == len(level.other) == 1:
+            xs = forest.inner[x]
+            head, tail = _middle(xs, forest.inner[level.other[0]])
+            out += sum(forest.size[v] for v in (*xs[:head], *xs[len(xs) - tail :]))
+        if x in level.column:
+            out[level.column[x]] = forest.size[x]
+        return out
 
 
 @lru_cache(maxsize=512)
@@ -349,85 +439,27 @@ def align(skeleton: str, reference: str) -> tuple[int, ...]:
         return tuple(out)
     forest = Forest()
     (a, a_children), (b, b_children) = forest.add(*_part(ours, a_kept)), forest.add(*_part(theirs, b_kept))
-    label, inner, size = np.array(forest.label, dtype=object), forest.inner, np.array(forest.size, dtype=np.int64)
-    weights: dict[int, dict[int, int]] = {}  # of unlike pairs of one label, where it is over 1
-
-    def weights_of(x: int, ys: np.ndarray) -> np.ndarray:
-        row = (label[ys] == label[x]).astype(np.int64)
-        row[ys == x] = size[x]
-        own = weights.get(x)
-        if own:
-            at = np.searchsorted(ys, list(own))
-            for k, (y, w) in zip(at.tolist(), own.items()):
-                if k < len(ys) and ys[k] == y:
-                    row[k] = w
-        return row
-
-    def pairs_of(x: int, y: int) -> tuple[int, int, int, list[tuple[int, int]]]:
-        """Lengths of the equal ends of the children, the size of what they hold, and the rest's best sum and pairs."""
-        xs, ys = inner[x], inner[y]
-        head, tail = _middle(xs, ys)
-        same = int(size[xs[:head]].sum() + size[xs[len(xs) - tail :]].sum())
-        best, pairs = _aligned(xs[head : len(xs) - tail], ys[head : len(ys) - tail], weights_of)
-        return head, tail, same + best, pairs
-
-    # unlike pairs of one label that a match may need and whose children have labels in common, from the leaves up
-    todo, needed = [(a[0], b[0])], set()
-    while todo:
-        x, y = todo.pop()
-        if x == y or (x, y) in needed:
-            continue
-        needed.add((x, y))
-        head, tail = _middle(inner[x], inner[y])
-        mine, other = (set(v[head : len(v) - tail]) for v in (inner[x], inner[y]))
-        if len(mine) * len(other) > WIDE:
-            _rough(forest, sorted(mine), sorted(other), weights)
-            continue
-        by_label: dict[tuple[str, str], set[int]] = {}
-        for q in other:
-            for c in inner[q]:
-                by_label.setdefault((label[q], label[c]), set()).add(q)
-        for p in mine:
-            met = {q for c in inner[p] for q in by_label.get((label[p], label[c]), ())}
-            todo += [(p, q) for q in met if p != q]
-    for x, y in sorted(needed, key=lambda pair: forest.height[pair[0]]):
-        weights.setdefault(x, {})[y] = 1 + pairs_of(x, y)[2]
-
-    todo = [(0, 0)]
+    matching = Matching(forest, a[0], b[0])
+
+    todo = [(0, 0, 0)]
     while todo:
-        i, j = todo.pop()
+        i, j, at = todo.pop()
         if a[i] == b[j]:
-            for k in range(size[a[i]]):
+            for k in range(forest.size[a[i]]):
                 out[a_kept[i + k]] = b_kept[j + k]
             continue
         out[a_kept[i]] = b_kept[j]
-        xs, ys = a_children[i], b_children[j]
-        head, tail, _, pairs = pairs_of(a[i], b[j])
-        todo += [*zip(xs[:head], ys[:head]), *((xs[head + k], ys[head + q]) for k, q in pairs), *zip(xs[len(xs) - tail :], ys[len(ys) - tail :])]
+        level, xs, ys = matching.levels[at], a_children[i], b_children[j]
+        mine, other = forest.inner[a[i]], forest.inner[b[j]]
+        head, tail = _middle(mine, other)
+        mine, other = mine[head : len(mine) - tail], other[head : len(other) - tail]
+        codes, none = np.array(matching.codes(level, other), dtype=np.int64), np.zeros(len(other), dtype=np.int64)
+        rows = (none if w is None else w[codes] for w in (matching.weights(level, x) for x in mine))
+        pairs = _aligned(rows, len(other)) if mine and other else []
+        todo += [*zip(xs[:head], ys[:head], [0] * head), *((xs[head + k], ys[head + q], level.below[forest.label[mine[k]]][0]) for k, q in pairs), *zip(xs[len(xs) - tail :], ys[len(ys) - tail :], [0] * tail)]
     return tuple(out)
 
 
-def _rough(forest: Forest, mine: list[int], other: list[int], weights: dict[int, dict[int, int]]) -> None:
-    """Weights of pairs from two long lists: one more than the number of labels below both."""
-    names = {c: k for k, c in enumerate(sorted({forest.label[c] for x in (*mine, *other) for c in forest.inner[x]}))}
-
-    def held(xs: list[int]) -> np.ndarray:
-        out = np.zeros((len(xs), len(names)), dtype=np.float32)
-        for k, x in enumerate(xs):
-            out[k, [names[forest.label[c]] for c in forest.inner[x]]] = 1
-        return out
-
-    theirs, labels = held(other).T, np.array([forest.label[y] for y in other], dtype=object)
-    for begin in range(0, len(mine), 256):
-        part = mine[begin : begin + 256]
-        for x, row in zip(part, held(part) @ theirs):
-            at = np.flatnonzero((row > 0) & (labels == forest.label[x]))
-            own = weights.setdefault(x, {})
-            for k in at.tolist():
-                if other[k] != x:
-                    own.setdefault(other[k], 1 + int(row[k]))
-
-
 def _host(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 

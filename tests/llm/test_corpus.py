@@ -344,6 +344,20 @@ def test_alignment_of_many_children():
     assert sum(x >= 0 for x in wrapper.align(a, b)) >= sum(u.count("(") for u in unlike[:1000] + unlike[1003:2500] + unlike[2500:])
 
 
+def test_alignment_of_long_lists_is_exact(monkeypatch):
+    """Lists of any length are aligned by the same rule as short ones, with or without room for all sizes."""
+    rng = np.random.default_rng(9)
+    text = lambda t: f"{t[0]}({','.join(map(text, t[1:]))})"
+    item = lambda: ("s", *(("abcd"[c], *((x,) for x in "pqr"[: rng.integers(4)])) for c in rng.integers(0, 4, 4)))
+    a, b = (("r", *(item() for _ in range(n))) for n in (130, 110))
+    best = brute_matching(a, b)
+    for held in (wrapper.HELD, 0):
+        monkeypatch.setattr(wrapper, "HELD", held)
+        wrapper.align.cache_clear()
+        assert sum(x >= 0 for x in wrapper.align(text(a), text(b))) == best
+    wrapper.align.cache_clear()
+
+
 def test_alignment_of_unlike_items_ends():
     """Names that one page alone has match nothing and cost nothing; long lists of items that differ are aligned in seconds."""
     import random
