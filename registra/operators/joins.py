@@ -60,10 +60,11 @@ def match_authorities(rows: DataFrame, terms: DataFrame, overrides: dict[str, st
 
     Exact names first; then the tail after BASHKIA or MUNICIPALITY OF, which holds a term on token boundaries (first
     municipality by key, longest term); then allowlisted operators whose name ends in a term of exactly one
-    municipality. Runs of tokens, as long as the longest term, meet the terms in equi-joins."""
+    municipality. Runs of tokens, as long as the longest term, meet the terms in equi-joins. Each distinct name is
+    matched once; its outcome goes back to its rows."""
     longest = longest_term(terms)
     text = S.normalize_authority(F.col("authority"))
-    marked = rows.select("id", "authority", text.alias("text"))
+    marked = rows.select("authority").distinct().select(F.col("authority").alias("id"), "authority", text.alias("text"))
     bashkia = F.regexp_replace(F.trim(F.regexp_extract("text", r"\bBASHKIA\b(.*)$", 1)), r"^E\s+", "")
     unit = F.trim(F.regexp_extract("text", r"\bMUNICIPALITY\s+OF\b(.*)$", 1))
     marked = marked.withColumn("b", bashkia).withColumn("u", unit).withColumn("marker", F.col("text").rlike(r"\bBASHKIA\b|\bMUNICIPALITY\s+OF\b"))
@@ -100,11 +101,12 @@ def match_authorities(rows: DataFrame, terms: DataFrame, overrides: dict[str, st
         .when(F.col("marker"), "unclear_authority_name")
         .otherwise("missing_municipality_marker")
     )
-    return all_rows.select(
-        "id", "authority", F.coalesce("exact_id", "p.municipality_id", F.when(F.col("n") == 1, F.col("one"))).alias("municipality_id"), mode.alias("match_mode"),
+    found = all_rows.select(
+        F.col("authority").alias("name"), F.coalesce("exact_id", "p.municipality_id", F.when(F.col("n") == 1, F.col("one"))).alias("municipality_id"), mode.alias("match_mode"),
         F.when(mode == "operator_suffix", F.col("prefix")).alias("matched_prefix"), reason.alias("reason"),
         F.when(mode == "primary", F.col("p.term")).when(mode == "operator_suffix", F.col("fterm")).alias("matched_term"),
     )
+    return rows.select("id", "authority").join(found, F.col("authority").eqNullSafe(F.col("name")), "left").drop("name")
 
 
 def mention_gap(rows: DataFrame, terms: DataFrame) -> DataFrame:
@@ -129,15 +131,16 @@ def with_attachments(items: DataFrame, attachments: DataFrame) -> DataFrame:
     return met.withColumn("attachments", F.coalesce("attachments", empty)).withColumn("n_attachments", F.coalesce("n_attachments", F.lit(0)))
 
 
-def match_export_rows(items: DataFrame, rows: DataFrame, scope: str | None = None) -> DataFrame:
+def match_export_rows(items: DataFrame, rows: DataFrame, scope: str | None = None, more: tuple[str, ...] = (), payload: Column | None = None) -> DataFrame:
     """(id, row_index, reason, candidates) for items (id, procedure_id, published_date, title) against export rows
     (row_index, procedure_id, published_date, title): by procedure id, first row wins; else by date and title if unique.
-    scope: a column of both; an item meets only rows of its own scope."""
-    within = F.col(scope) if scope else F.lit("")
-    own = items.select("id", within.alias("scope"), S.nonblank(S.normalize_procedure_id(F.col("procedure_id"))).alias("pid"), "published_date", S.normalize_title(F.col("title")).alias("t"))
-    there = rows.select("row_index", within.alias("scope"), S.nonblank(S.normalize_procedure_id(F.col("procedure_id"))).alias("pid"), "published_date", S.normalize_title(F.col("title")).alias("t"))
-    by_id = there.where("pid is not null").groupBy("scope", "pid").agg(F.min("row_index").alias("first_row"), F.count("*").alias("id_rows"))
-    by_title = there.where("published_date is not null and t <> ''").groupBy("scope", "published_date", "t").agg(F.min("row_index").alias("title_row"), F.count("*").alias("title_rows"))
+    scope: a column of both; an item meets only rows of its own scope. more: columns of items that are kept. payload: of
+    the row that is matched, given as `row`."""
+    within, held = F.col(scope) if scope else F.lit(""), F.lit(None) if payload is None else payload
+    own = items.select("id", F.struct(F.col("id").alias("__id"), *more).alias("item"), within.alias("scope"), S.nonblank(S.normalize_procedure_id(F.col("procedure_id"))).alias("pid"), "published_date", S.normalize_title(F.col("title")).alias("t"))
+    there = rows.select("row_index", held.alias("held"), within.alias("scope"), S.nonblank(S.normalize_procedure_id(F.col("procedure_id"))).alias("pid"), "published_date", S.normalize_title(F.col("title")).alias("t"))
+    by_id = there.where("pid is not null").groupBy("scope", "pid").agg(F.min("row_index").alias("first_row"), F.min_by("held", "row_index").alias("first_held"), F.count("*").alias("id_rows"))
+    by_title = there.where("published_date is not null and t <> ''").groupBy("scope", "published_date", "t").agg(F.min("row_index").alias("title_row"), F.min_by("held", "row_index").alias("title_held"), F.count("*").alias("title_rows"))
     met = own.join(by_id, ["scope", "pid"], "left").join(by_title, ["scope", "published_date", "t"], "left")
     comparable = F.col("published_date").isNotNull() & (F.col("t") != "")
     reason = (
@@ -149,7 +152,8 @@ def match_export_rows(items: DataFrame, rows: DataFrame, scope: str | None = Non
     )
     row = F.when(F.col("first_row").isNotNull(), F.col("first_row")).when(F.col("title_rows") == 1, F.col("title_row"))
     count = F.coalesce(F.col("id_rows"), F.when(comparable, F.coalesce("title_rows", F.lit(0))), F.lit(0))
-    return met.select("id", row.alias("row_index"), reason.alias("reason"), count.alias("candidates"))
+    found = F.when(F.col("first_row").isNotNull(), F.col("first_held")).when(F.col("title_rows") == 1, F.col("title_held"))
+    return met.select("id", *[F.col(f"item.{c}").alias(c) for c in more], row.alias("row_index"), reason.alias("reason"), count.alias("candidates"), *([] if payload is None else [found.alias("row")]))
 
 
 def missing_and_extra(found: DataFrame, expected: DataFrame, key: str) -> DataFrame:

@@ -6,7 +6,7 @@ that of the rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from registra.functions import scalars as S
@@ -23,19 +23,38 @@ def last_of(rows: DataFrame, keys: list[str], order: list[str] | None) -> DataFr
 
 def _pair(target: DataFrame, incoming: DataFrame, key: list[str], more: tuple[str, ...] = ()) -> DataFrame:
     """Full join of two tables of the same columns, as structs t and n; n has the columns of more, too."""
-    t = target.select(*key, F.struct(*[F.col(c) for c in target.columns]).alias("t"))
-    n = incoming.select(*key, F.struct(*[F.col(c) for c in (*target.columns, *more)]).alias("n"))
+    columns = [c for c in target.columns if c != "__out"]
+    t = target.select(*key, F.struct(*columns).alias("t"))
+    n = incoming.select(*key, F.struct(*columns, *more).alias("n"))
     return t.join(n, key, "full")
 
 
+def _out_of(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """rows whose mark __out is also set where a row of the same key without the mark comes before. The first rows are
+    found in parts of a key and then among these parts' first ones, so that a frequent key isn't one task's work."""
+    part = F.pmod(F.xxhash64("id"), F.lit(256))
+    for own in (part, F.lit(None).cast("long")):
+        n = F.row_number().over(Window.partitionBy(*keys, "__part").orderBy(*order))
+        # rows that are out keep to parts of their own, negative and many
+        rows = rows.withColumn("__part", F.when(F.col("__out"), -1 - F.pmod(F.xxhash64("id"), F.lit(1 << 20))).otherwise(own))
+        rows = rows.repartition(*keys, "__part").withColumn("__n", n).withColumn("__out", F.col("__out") | (F.col("__n") > 1)).drop("__n", "__part")
+    return rows
+
+
 def _merged(pair: DataFrame, columns: list[str], changed: Column, new: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
     """The new target, and (t.id or n.id, action) for incoming rows."""
+    row, action = _outcome(columns, changed, new)
+    actions = pair.where(F.col("n").isNotNull()).select(F.col("n.id").alias("id"), action.alias("action"))
+    return pair.select(row.alias("row")).select("row.*"), actions
+
+
+def _outcome(columns: list[str], changed: Column, new: dict[str, Column]) -> tuple[Column, Column]:
+    """Of a pair: the row of the new target, and the action for its incoming row."""
     both = F.col("t").isNotNull() & F.col("n").isNotNull()
     change = both & F.coalesce(changed, F.lit(False))
     value = lambda c: F.when(F.col("t").isNull(), F.col(f"n.{c}")).when(change, new.get(c, F.col(f"t.{c}"))).otherwise(F.col(f"t.{c}"))
     action = F.when(F.col("t").isNull(), "inserted").when(change, "updated").otherwise("skipped")
-    actions = pair.where(F.col("n").isNotNull()).select(F.col("n.id").alias("id"), action.alias("action"))
-    return pair.select(*[value(c).alias(c) for c in columns]), actions
+    return F.struct(*[value(c).alias(c) for c in columns]), action
 
 
 def merge_decisions(target: DataFrame, incoming: DataFrame, publish: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -60,17 +79,30 @@ def merge_documents(target: DataFrame, incoming: DataFrame, publish: bool = Fals
     on_url_conflict: a new row whose source_url another key of the target has is skipped, or reconciled: merged into
     that row, which takes the new key (it is free, as the row is new) and the new origin, if municipality and category
     are the same."""
-    first = keep_first(incoming, ITEM_KEY, [F.col("published_date").desc_nulls_last(), F.col("id")])
-    fresh = first.join(target.select(*ITEM_KEY), ITEM_KEY, "left_anti").where("source_url is not null")
-    owners = target.where("source_url is not null").groupBy("source_url").agg(F.min(F.struct("municipality_id", "category", "dedup_key")).alias("own"))
-    clash = fresh.select("id", "source_url", "municipality_id", "category").join(owners, "source_url")
-    same = (F.col("own.municipality_id") == F.col("municipality_id")) & (F.col("own.category") == F.col("category"))
-    moved = clash.where(same).select("id", F.col("own.dedup_key").alias("moved_key")) if on_url_conflict == "reconcile" else clash.where("false").select("id", F.col("own.dedup_key").alias("moved_key"))
-    lost = clash.select("id").join(moved, "id", "left_anti")
-    kept = first.join(lost, "id", "left_anti").join(moved, "id", "left").withColumn("new_key", F.when(F.col("moved_key").isNotNull(), F.col("dedup_key"))).withColumn("dedup_key", F.coalesce("moved_key", "dedup_key")).select(*first.columns, "new_key")
-    kept = keep_first(kept, ITEM_KEY, [F.col("published_date").desc_nulls_last(), F.col("id")])
-    kept = keep_first(kept.withColumn("u", F.coalesce("source_url", F.concat(F.lit("#"), F.col("id").cast("string")))), ["u"], ["id"]).drop("u")
-    pair = _pair(target, kept, ITEM_KEY, ("new_key",))
+    met = merged_documents(target, incoming, publish, on_url_conflict)
+    return met.where("row is not null").select("row.*"), met.where("action is not null").select("id", "action")
+
+
+def merged_documents(target: DataFrame, incoming: DataFrame, publish: bool = False, on_url_conflict: str = "skip") -> DataFrame:
+    """merge_documents as one table: row, a row of the new target (null for incoming rows that have no part in it), and id
+    and action of the incoming row that it has met, or that was skipped."""
+    by_date = [F.col("published_date").desc_nulls_last(), F.col("id")]
+    # rows that go are marked, not filtered: the incoming rows are read once, also for their actions
+    met = keep_first(incoming, ITEM_KEY, by_date).withColumn("new_key", F.lit(None).cast("string"))
+    met = met.join(target.select(*ITEM_KEY).distinct().withColumn("__known", F.lit(True)), ITEM_KEY, "left")
+    owners = target.where("source_url is not null").groupBy(F.col("source_url").alias("__u")).agg(F.min(F.struct(*ITEM_KEY)).alias("__own"))
+    met = met.withColumn("__u", F.coalesce("source_url", F.concat(F.lit("#"), F.col("id").cast("string")))).join(owners, "__u", "left")
+    clash = F.col("__known").isNull() & F.col("source_url").isNotNull() & F.col("__own").isNotNull()
+    if on_url_conflict == "reconcile":
+        same = (F.col("__own.municipality_id") == F.col("municipality_id")) & (F.col("__own.category") == F.col("category"))
+        met = met.withColumn("__moves", clash & F.coalesce(same, F.lit(False))).withColumn("__out", clash & ~F.col("__moves"))
+        moved = F.when(F.col("__moves"), F.col("__own.dedup_key"))
+        met = met.withColumns({"new_key": F.when(moved.isNotNull(), F.col("dedup_key")), "dedup_key": F.coalesce(moved, "dedup_key")})
+        met = _out_of(met, ITEM_KEY, by_date)
+    else:
+        met = met.withColumn("__out", clash)
+    met = _out_of(met, ["__u"], [F.col("id")])
+    pair = _pair(target.withColumn("__out", F.lit(False)), met, [*ITEM_KEY, "__out"], ("new_key",))
     fills = F.col("t.published_date").isNull() & F.col("n.published_date").isNotNull()
     raises = F.lit(publish) & (F.col("t.status") != "published")
     moves = F.col("n.new_key").isNotNull()
@@ -85,9 +117,10 @@ def merge_documents(target: DataFrame, incoming: DataFrame, publish: bool = Fals
         new["date_unknown"] = F.coalesce("t.published_date", "n.published_date").isNull()
     if "source_origin" in target.columns:
         new["source_origin"] = F.when(moves, F.coalesce("n.source_origin", "t.source_origin")).otherwise(F.col("t.source_origin"))
-    out, actions = _merged(pair, target.columns, moves | ~F.col("n.title").eqNullSafe(F.col("t.title")) | fills | raises | (F.col("t.source_url").isNull() & F.col("n.source_url").isNotNull()), new)
-    skipped = first.select("id").join(actions, "id", "left_anti").select("id", F.lit("skipped").alias("action"))
-    return out, actions.unionByName(skipped)
+    changed = moves | ~F.col("n.title").eqNullSafe(F.col("t.title")) | fills | raises | (F.col("t.source_url").isNull() & F.col("n.source_url").isNotNull())
+    row, action = _outcome(target.columns, changed, new)
+    kept, arrived = ~F.col("__out"), F.col("n").isNotNull()
+    return pair.select(F.when(kept, row).alias("row"), F.col("n.id").alias("id"), F.when(arrived & kept, action).when(arrived, "skipped").alias("action"))
 
 
 def resolve_decision_keys(incoming: DataFrame, target: DataFrame, order: str | None = None) -> DataFrame:
@@ -114,8 +147,12 @@ def resolve_decision_keys(incoming: DataFrame, target: DataFrame, order: str | N
 
 def upsert(target: DataFrame, incoming: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
     """Incoming rows replace target rows of the same key; of several incoming rows the last by order (see last_of)."""
-    incoming = last_of(incoming, keys, order)
-    return target.join(incoming.select(*keys), keys, "left_anti").unionByName(incoming.select(*target.columns))
+    columns, null = target.columns, F.lit(False)
+    for c in keys:
+        null = null | F.col(c).isNull()
+    both = target.withColumn("__new", F.lit(0)).unionByName(last_of(incoming, keys, order).select(*columns, F.lit(1).alias("__new")))
+    met = both.withColumn("__any", F.max("__new").over(Window.partitionBy(*keys)))
+    return met.where((F.col("__new") == F.col("__any")) | null).select(*columns)
 
 
 def upsert_scores(target: DataFrame, fresh: DataFrame, indicators: int = 5) -> DataFrame:

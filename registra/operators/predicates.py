@@ -28,25 +28,34 @@ def url_from_value(value: Column, base: Column) -> Column:
 
 def procurement_items(export: DataFrame, export_url: str, row: str = "row_index") -> DataFrame:
     """Rows of an export as items: title, published_date, procedure_id, authority, source_url."""
+    return export.select(row, *item_columns(export, export_url, row))
+
+
+def item_columns(export: DataFrame, export_url: str, row: str = "row_index") -> list[Column]:
     title = F.coalesce(by_headers(export, vocab.TITLE_HEADERS), F.concat(F.lit("Procurement row "), F.col(row) + 1))
     procedure = by_headers(export, vocab.ITEM_PROCEDURE_HEADERS)
     links = [url_from_value(by_headers(export, vocab.DETAIL_HEADERS), F.lit(export_url))]
     links += [S.nonblank(F.regexp_extract(F.col(f"`{c}`"), r"(https?://[^\s\"'<>]+)", 1)) for c in export.columns if c != row]
     fallback = F.when(procedure.isNotNull(), F.concat(F.lit(export_url + "#procedure="), F.url_encode(procedure)))
-    return export.select(row, title.alias("title"), S.export_date(by_headers(export, vocab.DATE_HEADERS)).alias("published_date"), procedure.alias("procedure_id"), by_headers(export, vocab.AUTHORITY_HEADERS).alias("authority"), F.coalesce(*links, fallback, F.lit(export_url)).alias("source_url"))
+    return [title.alias("title"), S.export_date(by_headers(export, vocab.DATE_HEADERS)).alias("published_date"), procedure.alias("procedure_id"), by_headers(export, vocab.AUTHORITY_HEADERS).alias("authority"), F.coalesce(*links, fallback, F.lit(export_url)).alias("source_url")]
 
 
 def procurement_records(export: DataFrame, row: str = "row_index") -> DataFrame:
     """Rows of an export as records: amount, currency, supplier, CPV, procedure, type, authority and the raw row."""
+    return export.select(row, *record_columns(export, row).values())
+
+
+def record_columns(export: DataFrame, row: str = "row_index") -> dict[str, Column]:
     amount, cpv = by_headers(export, vocab.AMOUNT_HEADERS), by_headers(export, vocab.CPV_HEADERS)
     names = [c for c in export.columns if c != row]
     raw = F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*[F.col(f"`{c}`").cast("string") for c in names]))
-    return export.select(
-        row, S.parse_amount(amount).alias("amount_value"), S.storage_currency(S.detect_currency(amount, by_headers(export, vocab.CURRENCY_HEADERS))).alias("amount_currency"),
-        by_headers(export, vocab.SUPPLIER_HEADERS).alias("supplier_name"), cpv.alias("cpv_code"), S.cpv_group(cpv).alias("cpv_group"),
-        by_headers(export, vocab.RECORD_PROCEDURE_HEADERS).alias("procedure_ref"), by_headers(export, vocab.PROCEDURE_TYPE_HEADERS).alias("procedure_type"),
-        by_headers(export, vocab.AUTHORITY_HEADERS).alias("contracting_authority"), raw.alias("raw_row"),
-    )
+    found = {
+        "amount_value": S.parse_amount(amount), "amount_currency": S.storage_currency(S.detect_currency(amount, by_headers(export, vocab.CURRENCY_HEADERS))),
+        "supplier_name": by_headers(export, vocab.SUPPLIER_HEADERS), "cpv_code": cpv, "cpv_group": S.cpv_group(cpv),
+        "procedure_ref": by_headers(export, vocab.RECORD_PROCEDURE_HEADERS), "procedure_type": by_headers(export, vocab.PROCEDURE_TYPE_HEADERS),
+        "contracting_authority": by_headers(export, vocab.AUTHORITY_HEADERS), "raw_row": raw,
+    }
+    return {c: x.alias(c) for c, x in found.items()}
 
 
 def year_gate(df: DataFrame, year: int | None, date: str = "published_date") -> DataFrame:

@@ -1,4 +1,5 @@
-"""The engine's pipelines, composed of the operators: tables in, tables out. Nothing is written here."""
+"""The engine's pipelines, composed of the operators: tables in, tables out. Only what several results of an ingest read is
+written, to the shared folder."""
 
 from __future__ import annotations
 
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from registra.functions import scalars as S
 from registra.functions import vocab
 from registra.operators import aggs, joins, merges, predicates, scoring, windows
+from registra.sources.shared import written
 
 ITEM = ["id", "municipality_id", "category", "title", "published_date", "date_unknown", "source_url", "source_origin", "dedup_key", "status"]
 
@@ -18,18 +20,22 @@ def ingest_procurement(export: DataFrame, export_url: str, municipality: DataFra
     items: ITEM; records: item_id and fields of procurement_records. Gives the new items and records, the action for
     each incoming item, and one row of counters."""
     terms = joins.authority_terms(municipality, alias)
-    rows = predicates.year_gate(predicates.procurement_items(export, export_url), year)
-    match = joins.match_authorities(rows.select(F.col("row_index").alias("id"), "authority"), terms)
-    seen = rows.join(match.select(F.col("id").alias("row_index"), "municipality_id", "match_mode"), "row_index")
+    own = [x for c, x in predicates.record_columns(export).items() if c in records.columns]
+    rows = predicates.year_gate(export.select("*", F.struct(*predicates.item_columns(export, export_url)).alias("__item")), year, "__item.published_date")
+    # only kept rows' amounts and codes are read
+    rows = rows.select(export["row_index"], "__item.*", "skip_reason", F.when(F.col("skip_reason").isNull(), F.struct(*own)).alias("record"))
+    rows = written(rows, "rows")
+    match = joins.match_authorities(rows.select(F.struct(*rows.columns).alias("id"), "authority"), terms)
+    seen = match.select("id.*", "municipality_id", "match_mode")
     kept = seen.where("skip_reason is null and municipality_id is not null")
     key = S.procurement_key(F.col("municipality_id"), F.col("procedure_id"), F.col("published_date"), S.normalize_title(F.col("title")))
     incoming = kept.withColumn("dedup_key", key).select(
         F.xxhash64("municipality_id", "dedup_key").alias("id"), "municipality_id", F.lit(vocab.NATIONWIDE_CATEGORY).alias("category"), "title", "published_date", F.col("published_date").isNull().alias("date_unknown"), "source_url",
-        S.compare_host(F.lit(export_url)).alias("source_origin"), "dedup_key", predicates.publish_decision(publish, F.lit(False)).alias("status"), "row_index",
+        S.compare_host(F.lit(export_url)).alias("source_origin"), "dedup_key", predicates.publish_decision(publish, F.lit(False)).alias("status"), "row_index", "record",
     )
     merged, actions = merges.merge_documents(items.select(*ITEM), incoming, publish=publish)
-    of_row = incoming.select("row_index", *merges.ITEM_KEY).join(merged.select(*merges.ITEM_KEY, F.col("id").alias("item_id")), merges.ITEM_KEY)
-    fresh = predicates.procurement_records(export).join(of_row.select("row_index", "item_id"), "row_index").withColumn("source_export_url", F.lit(export_url))
+    of_row = incoming.select("row_index", "record", *merges.ITEM_KEY).join(merged.select(*merges.ITEM_KEY, F.col("id").alias("item_id")), merges.ITEM_KEY)
+    fresh = of_row.select("row_index", "record.*", "item_id", F.lit(export_url).alias("source_export_url"))
     fields = [c for c in records.columns if c in fresh.columns]
     return {
         "items": merged,
@@ -49,12 +55,12 @@ def rebuild_records(items: DataFrame, rows: DataFrame, rejects: DataFrame, recor
     parts = S.export_url_parts(F.trim("source_url"))
     asked = items.withColumn("is_export", S.is_export_url(F.col("source_url"))).withColumn("export_url", F.when(F.col("is_export"), parts["page"]))
     asked = asked.withColumn("procedure_id", F.coalesce(S.nonblank(parts["procedure"]), "procedure_id"))
-    good = asked.where("is_export").join(rejects.select("export_url"), "export_url", "left_anti")
-    match = joins.match_export_rows(good, rows, "export_url").select("id", "row_index", F.col("reason").alias("match_reason"), "candidates")
-    met = asked.join(rejects.select("export_url", F.col("reason").alias("reject_reason")), "export_url", "left").join(match, "id", "left")
+    asked = asked.join(rejects.select("export_url", F.col("reason").alias("reject_reason"), F.lit(True).alias("rejected")), "export_url", "left")
+    # items of other sources and of rejected exports have no scope, so they meet no row
+    asked = asked.withColumn("scope", F.when(F.col("is_export") & F.col("rejected").isNull(), F.col("export_url")))
     fields = [c for c in records.columns if c in rows.columns]
-    payload = rows.select("export_url", "row_index", F.struct(*fields).alias("row"))
-    met = met.join(payload, ["export_url", "row_index"], "left")
+    met = joins.match_export_rows(asked, rows.withColumn("scope", F.col("export_url")), "scope", ("is_export", "reject_reason", "export_url", "procedure_id"), F.struct(*fields))
+    met = met.withColumnRenamed("reason", "match_reason")
     found = F.col("row").isNotNull()
     reason = (
         F.when(~F.col("is_export"), "source_not_exportdocument").when(F.col("reject_reason").isNotNull(), F.col("reject_reason")).when(~found, F.col("match_reason"))
@@ -63,7 +69,7 @@ def rebuild_records(items: DataFrame, rows: DataFrame, rejects: DataFrame, recor
     met = met.withColumn("status", F.when(found, "upserted").otherwise("skipped")).withColumn("out_reason", reason)
     fresh = met.where(found).select(F.col("id").alias("item_id"), *[F.col(f"row.{c}").alias(c) for c in fields if c != "procedure_ref"], F.coalesce("row.procedure_ref", "procedure_id").alias("procedure_ref"), F.col("export_url").alias("source_export_url"))
     done = merges.upsert(records, fresh.select(*[c for c in records.columns if c in fresh.columns]), ["item_id"])
-    return done, met.select("id", "status", F.col("out_reason").alias("reason"), F.when(found, F.col("match_reason")).alias("match_strategy"), F.coalesce("candidates", F.lit(0)).alias("candidates"))
+    return done, met.select("id", "status", F.col("out_reason").alias("reason"), F.when(found, F.col("match_reason")).alias("match_strategy"), "candidates")
 
 
 def ingest_documents(incoming: DataFrame, items: DataFrame, publish: bool = False, on_url_conflict: str = "reconcile") -> dict[str, DataFrame]:

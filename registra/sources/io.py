@@ -53,7 +53,7 @@ def read_export(spark: SparkSession, path: str, multiline: bool = True) -> DataF
     blocks = parts.groupBy("__file", "__block").agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
     before = F.sum("__n").over(Window.orderBy("__file", "__block")) - F.col("__n")
     starts = blocks.select("__file", "__block", (before - F.col("__first")).alias("__shift"))
-    met = parts.join(starts, ["__file", "__block"])
+    met = parts.join(F.broadcast(starts), ["__file", "__block"])  # the rows stay where they were read
     return met.withColumn("row_index", F.col("__at") + F.col("__shift")).drop("__file", "__block", "__at", "__shift")
 
 

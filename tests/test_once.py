@@ -4,8 +4,9 @@ import re
 
 from pyspark.sql import functions as F
 
+from registra import pipelines
 from registra.functions import scalars as S
-from registra.operators import extract
+from registra.operators import extract, joins, merges
 
 PAGE = '<h1>Vendim 3.4.2024</h1><table><tr><td>1</td><td>03.04.2024</td><td>Vendim i gjate</td><td><a href="/a.pdf">x</a></td></tr></table><a href="b?x=1">Vendim</a>'
 
@@ -48,3 +49,43 @@ def test_fold_beyond_ascii(spark):
 def test_dates_are_searched_once(spark):
     df = spark.createDataFrame([("am 03.04.24",)], "t string").where(S.numeric_date(F.col("t")).isNotNull())
     assert df.count() == 1 and len(re.findall(r"regexp_extract\(t#", plan_of(df))) == 1
+
+
+def marked(df, column: str):
+    """df with a filter that keeps all rows and is found in plans."""
+    return df.where(~F.coalesce(F.col(column), F.lit("")).rlike("only-once"))
+
+
+def test_merges_read_incoming_rows_once(spark):
+    """Conflicts, duplicates and skipped rows are marked in one pass over the incoming rows."""
+    item = "id long, municipality_id long, category string, dedup_key string, title string, published_date date, source_url string, status string"
+    target = spark.createDataFrame([(1, 1, "a", "k1", "old", None, "u1", "draft")], item)
+    new = [(2, 1, "a", "k2", "x", None, "u1", "draft"), (3, 1, "a", "k3", "y", None, "u2", "draft"), (4, 1, "a", "k4", "z", None, "u2", "draft"), (5, 1, "a", "k1", "new", None, None, "draft")]
+    incoming = marked(spark.createDataFrame(new, item), "title")
+    for conflict, second in (("skip", "skipped"), ("reconcile", "updated")):
+        out, actions = merges.merge_documents(target, incoming, on_url_conflict=conflict)
+        assert searches(out, "only-once") == searches(actions, "only-once") == 1
+        assert dict(actions.collect())[2] == second and dict(actions.collect())[4] == "skipped" and out.count() == 2
+    done = merges.upsert(target, incoming, ["id"])
+    assert searches(done, "only-once") == 1 and done.count() == 5
+
+
+def test_authorities_are_matched_by_distinct_name(spark):
+    """Names meet the terms once each: rows are read for their distinct names and to take the outcome."""
+    m = spark.createDataFrame([(1, "Fier", "fier")], "id long, name_sq string, name_key string")
+    terms = joins.authority_terms(m, spark.createDataFrame([], "alias_key string, municipality_id long"))
+    rows = spark.createDataFrame([(1, "Bashkia Fier"), (2, "Bashkia Fier"), (3, None), (4, "else")], "id long, authority string")
+    found = joins.match_authorities(marked(rows, "authority"), terms)
+    assert "Aggregate [authority" in plan_of(found)
+    assert {r.id: (r.municipality_id, r.reason) for r in found.collect()} == {1: (1, "matched_bashkia"), 2: (1, "matched_bashkia"), 3: (None, "missing_authority"), 4: (None, "missing_municipality_marker")}
+
+
+def test_rebuild_reads_items_once(spark):
+    """Items keep their columns through the match, and rows their fields, so neither is met again."""
+    page = "https://data.app.gov.al/GetData/ExportDocument?f=0"
+    items = spark.createDataFrame([(1, page, "P1", None, "t"), (2, "https://x.al/1", None, None, "t"), (3, page, None, None, "t")], "id long, source_url string, procedure_id string, published_date date, title string")
+    rows = spark.createDataFrame([(page, 7, "P1", "P1", None, "t", 5)], "export_url string, row_index long, procedure_id string, procedure_ref string, published_date date, title string, amount_value long")
+    records, report = pipelines.rebuild_records(marked(items, "title"), rows, spark.createDataFrame([], "export_url string, reason string"), spark.createDataFrame([(1, 9, None), (2, 8, None)], "item_id long, amount_value long, procedure_ref string"))
+    assert searches(records, "only-once") == searches(report, "only-once") == 1
+    assert {r.item_id: r.amount_value for r in records.collect()} == {1: 5, 2: 8}
+    assert {r.id: (r.status, r.reason) for r in report.collect()} == {1: ("upserted", "record_upserted"), 2: ("skipped", "source_not_exportdocument"), 3: ("skipped", "missing_fallback_identifiers")}
