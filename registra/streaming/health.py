@@ -5,8 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -21,6 +20,7 @@ FIELDS = "attempt_count bigint, first_seen bigint, last_checked bigint, last_see
 STATE = FIELDS + ", given boolean, last_ts bigint, last_id bigint, status_ts bigint, status_id bigint, timer bigint"
 OUT = "source_id bigint, at bigint, event string, cooling boolean, " + FIELDS
 NAMES, SHOWN = ([x.split()[0] for x in kinds.split(", ")] for kinds in (STATE, FIELDS))
+CHANGE = Row("source_id", "at", "event", "cooling", *SHOWN)
 MINUTE = 60_000_000
 STATUS = {"HTTP_403": "BLOCKED", "TIMEOUT": "ERROR"}
 
@@ -37,15 +37,14 @@ class SourceState(StatefulProcessor):
         self.state = handle.getValueState("source", STATE)
 
     def _get(self) -> dict:
-        now = dict(zip(NAMES, (self.state.get() if self.state.exists() else None) or [None] * len(NAMES), strict=True))
+        now = dict(zip(NAMES, self.state.get() or [None] * len(NAMES), strict=True))
         return now | {"attempt_count": now["attempt_count"] or 0, "hour_buckets": list(now["hour_buckets"] or [])}
 
     def _put(self, now: dict) -> None:
         self.state.update(tuple(now[c] for c in NAMES))
 
-    def _row(self, key, at: int, event: str, now: dict) -> pd.DataFrame:
-        row = pd.DataFrame([[key[0], at, event, now["timer"] is not None, *[now[c] for c in SHOWN]]], columns=["source_id", "at", "event", "cooling", *SHOWN])
-        return row.astype({c: "Int64" for c in ("source_id", "at", "attempt_count", *TIMES)})
+    def _row(self, key, at: int, event: str, now: dict) -> Row:
+        return CHANGE(key[0], at, event, now["timer"] is not None, *[now[c] for c in SHOWN])
 
     def _set_timer(self, now: dict, watermark: int) -> None:
         """To the end of the cooldown, in place of the one before. The watermark is in milliseconds."""
@@ -56,54 +55,49 @@ class SourceState(StatefulProcessor):
         if now["timer"] is not None:
             self.handle.registerTimer(now["timer"])
 
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        row = initialState.iloc[0]
-        now = self._get() | {c: None if pd.isna(row[c]) else row[c] for c in SHOWN if c != "hour_buckets"}
-        now |= {c: None if now[c] is None else int(now[c]) for c in TIMES}
-        now |= {"attempt_count": int(now["attempt_count"] or 0), "hour_buckets": sorted(x for x in (row["hour_buckets"] if row["hour_buckets"] is not None else [])), "given": now["first_seen"] is not None}
+    def handleInitialState(self, key, initialState: Row, timerValues) -> None:
+        now = dict.fromkeys(NAMES) | {c: initialState[c] for c in SHOWN}
+        now |= {"attempt_count": now["attempt_count"] or 0, "hour_buckets": sorted(now["hour_buckets"] or []), "given": now["first_seen"] is not None}
         self._set_timer(now, timerValues.getCurrentWatermarkInMs())
         self._put(now)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         now = self._get()
         hours = set(now["hour_buckets"])
-        for part in rows:
-            good = part.loc[part["ok"].astype(bool), "ts"]
-            now["attempt_count"] += len(part)
-            if not now["given"]:
-                earlier = [] if now["first_seen"] is None else [now["first_seen"]]
-                now["first_seen"] = min([int(part["ts"].min()), *earlier])
-            now["last_checked"] = max(int(part["ts"].max()), now["last_checked"] or 0)
-            if len(good):
-                now["last_seen"] = max(int(good.max()), now["last_seen"] or 0)
-            hours |= set(part["hour"])
-            part = part.sort_values(["ts", "id"])
-            last = part.iloc[-1]
-            if self._newer(last, now, "last"):
-                now |= self._outcome(last)
-            status = part["error_type"].map(STATUS).where(~part["ok"].astype(bool), "OK").dropna()
-            if len(status) and self._newer(part.loc[status.index[-1]], now, "status"):
-                now["homepage_status"] = status.iloc[-1]
+        for row in rows:
+            ts = row["ts"]
+            now["attempt_count"] += 1
+            if not now["given"] and (now["first_seen"] is None or ts < now["first_seen"]):
+                now["first_seen"] = ts
+            now["last_checked"] = max(ts, now["last_checked"] or 0)
+            if row["ok"]:
+                now["last_seen"] = max(ts, now["last_seen"] or 0)
+            hours.add(row["hour"])
+            if self._newer(row, now, "last"):
+                now |= self._outcome(row)
+            status = "OK" if row["ok"] else STATUS.get(row["error_type"])
+            if status and self._newer(row, now, "status"):
+                now["homepage_status"] = status
         now["hour_buckets"] = sorted(hours)
         self._set_timer(now, timerValues.getCurrentWatermarkInMs())
         self._put(now)
         yield self._row(key, now["last_checked"], "attempt", now)
 
-    def _newer(self, row: pd.Series, now: dict, name: str) -> bool:
+    def _newer(self, row: Row, now: dict, name: str) -> bool:
         """Whether row comes after the one whose time and id are kept under that name; if so, it takes its place."""
-        at = (int(row["ts"]), int(row["id"]))
+        at = (row["ts"], row["id"])
         if now[f"{name}_ts"] is not None and at <= (now[f"{name}_ts"], now[f"{name}_id"]):
             return False
         now[f"{name}_ts"], now[f"{name}_id"] = at
         return True
 
-    def _outcome(self, last: pd.Series) -> dict:
+    def _outcome(self, last: Row) -> dict:
         if last["ok"]:
             return {"last_error_type": None, "cooldown_until": None}
-        error = None if pd.isna(last["error_type"]) else last["error_type"]
-        return {"last_error_type": error, "cooldown_until": int(last["ts"]) + (self.block if error == "HTTP_403" else self.pause)}
+        error = last["error_type"]
+        return {"last_error_type": error, "cooldown_until": last["ts"] + (self.block if error == "HTTP_403" else self.pause)}
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         now = self._get()
         if now["timer"] == expiredTimerInfo.getExpiryTimeInMs():
             now["timer"] = None
@@ -137,7 +131,7 @@ def source_changes(attempts: DataFrame, registry: DataFrame, delay: str = "1 hou
     timed = attempts.withColumn("time", F.col("ts").cast("timestamp")).withWatermark("time", delay)
     rows = timed.select("source_id", "time", F.unix_micros("time").alias("ts"), "id", "ok", "error_type", S.hour_bucket(F.col("ts")).alias("hour"))
     first = registry.select("source_id", *[F.unix_micros(F.col(c).cast("timestamp")).alias(c) if c in TIMES else F.col(c) for c in SHOWN])
-    out = rows.groupBy("source_id").transformWithStateInPandas(SourceState(block_minutes, minutes), OUT, "Append", "EventTime", initialState=first.groupBy("source_id"))
+    out = rows.groupBy("source_id").transformWithState(SourceState(block_minutes, minutes), OUT, "Append", "EventTime", initialState=first.groupBy("source_id"))
     times = {c: F.timestamp_micros(c).cast("timestamp_ntz" if dict(attempts.dtypes)["ts"] == "timestamp_ntz" else "timestamp") for c in ("at", *TIMES)}
     return out.withColumns(times)
 

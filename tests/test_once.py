@@ -89,3 +89,21 @@ def test_rebuild_reads_items_once(spark):
     assert searches(records, "only-once") == searches(report, "only-once") == 1
     assert {r.item_id: r.amount_value for r in records.collect()} == {1: 5, 2: 8}
     assert {r.id: (r.status, r.reason) for r in report.collect()} == {1: ("upserted", "record_upserted"), 2: ("skipped", "source_not_exportdocument"), 3: ("skipped", "missing_fallback_identifiers")}
+
+
+def test_source_state_takes_rows_in_any_order():
+    """One event at a time, without a table for each source."""
+    from types import SimpleNamespace
+
+    from pyspark.sql import Row
+
+    from registra.streaming import health
+
+    held = {}
+    state = SimpleNamespace(get=lambda: held.get("x"), update=lambda v: held.update(x=v))
+    handle = SimpleNamespace(getValueState=lambda *_: state, registerTimer=lambda t: None, deleteTimer=lambda t: None)
+    at = health.SourceState(10, 1)
+    at.init(handle)
+    events = [Row(ts=30, id=3, ok=False, error_type="ENOTFOUND", hour="h1"), Row(ts=10, id=1, ok=True, error_type=None, hour="h0"), Row(ts=20, id=2, ok=False, error_type="HTTP_403", hour="h0")]
+    (out,) = at.handleInputRows((5,), iter(events), SimpleNamespace(getCurrentWatermarkInMs=lambda: 0))
+    assert (out.source_id, out.attempt_count, out.first_seen, out.last_checked, out.last_seen, out.last_error_type, out.homepage_status, out.hour_buckets) == (5, 3, 10, 30, 10, "ENOTFOUND", "BLOCKED", ["h0", "h1"])
