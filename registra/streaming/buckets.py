@@ -22,6 +22,8 @@ from pyspark.sql.types import StructType
 from registra.operators import aggs, merges
 
 BUCKET = "bucket"
+#: Tasks that write a bucket.
+TASKS = 2
 
 
 def bucket_of(keys: list[str], buckets: int) -> Column:
@@ -100,7 +102,10 @@ def commit(spark: SparkSession, before: Snapshot, batch: int, changes: dict[str,
             continue
         at = f"{before.path}/data/{table}/v={batch}"
         own = rows.withColumn(BUCKET, bucket_of(before.keys(table), before.buckets)).where(F.col(BUCKET).isin(changed))
-        own.repartition(len(changed), BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(at)
+        # each bucket is dealt evenly to TASKS tasks: a hash of the few buckets would put several into one
+        place = F.array_position(F.array(*map(F.lit, changed)), F.col(BUCKET)) - 1
+        share = F.pmod(F.xxhash64(*before.keys(table), F.lit(1)), F.lit(TASKS))
+        own.repartitionById(len(changed) * TASKS, (place * TASKS + share).cast("int")).write.mode("overwrite").partitionBy(BUCKET).parquet(at)
         fs, _ = _fs(spark, at)
         for k in changed:
             if fs.exists(_fs(spark, f"{at}/{BUCKET}={k}")[1]):
@@ -145,11 +150,13 @@ def create_items(spark: SparkSession, path: str, schema: StructType, buckets: in
 
 @dataclass
 class Change:
-    """What a batch did: the rows of the read buckets before and after, an action for each incoming id, and the changed buckets."""
+    """What a batch did: the rows of the read buckets before and after, an action for each incoming id, what both
+    are read from (persisted), and the changed buckets."""
 
     before: DataFrame
     after: DataFrame
     actions: DataFrame
+    held: DataFrame
     changed: dict[str, list[int]]
 
 
@@ -164,15 +171,15 @@ def changed_items(spark: SparkSession, now: Snapshot, batch: DataFrame, publish:
     at_key = buckets_in(batch, key, n)
     at_owner = buckets_in(owners, key, n)
     before = now.read(spark, ITEMS, sorted({*at_key, *at_owner}))
-    after, actions = merges.merge_documents(before, batch.select(*before.columns), publish, on_url_conflict)
-    after, actions = after.persist(), actions.persist()  # read for the buckets, both tables, and by the caller
+    merged = merges.merged_documents(before, batch.select(*before.columns), publish, on_url_conflict).persist()  # read for the buckets, both tables, and by the caller
+    after, actions = merged.where("row is not null").select("row.*"), merged.where("action is not null").select("id", "action")
     acted = batch.join(actions.where("action <> 'skipped'").select("id"), "id", "left_semi")
     changed = buckets_in(acted, key, n)
     if on_url_conflict == "reconcile":  # a row may have left the bucket of its old key
         changed = sorted({*changed, *buckets_in(owners.join(acted.select("source_url"), "source_url", "left_semi"), key, n)})
     old = urls.join(before.where("source_url is not null").select(*ADDRESS), ADDRESS, "left_anti")
     new = old.unionByName(after.where("source_url is not null").select(*ADDRESS)).distinct()
-    change = Change(before, after, actions, {ITEMS: changed, ADDRESSES: buckets_in(acted.where("source_url is not null"), ["source_url"], n)})
+    change = Change(before, after, actions, merged, {ITEMS: changed, ADDRESSES: buckets_in(acted.where("source_url is not null"), ["source_url"], n)})
     return change, {ITEMS: (after, change.changed[ITEMS]), ADDRESSES: (new, change.changed[ADDRESSES])}
 
 
@@ -193,8 +200,7 @@ def ingest(path: str, publish: bool = False, on_url_conflict: str = "skip", each
             actions, counts = aggs.observed_actions(change.actions)
             actions.write.mode("overwrite").parquet(f"{path}/actions/batch={batch_id}")
             commit(spark, now, batch_id, changes | more, counters=counts.get)
-            change.after.unpersist()
-            change.actions.unpersist()
+            change.held.unpersist()
         finally:
             batch.unpersist()
 

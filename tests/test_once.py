@@ -91,6 +91,20 @@ def test_rebuild_reads_items_once(spark):
     assert {r.id: (r.status, r.reason) for r in report.collect()} == {1: ("upserted", "record_upserted"), 2: ("skipped", "source_not_exportdocument"), 3: ("skipped", "missing_fallback_identifiers")}
 
 
+def test_streamed_rows_are_computed_once(spark, tmp_path):
+    from registra.plans.incremental import as_stream
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    as_stream(spark.range(100).mapInArrow(counted, "id long"), "id", str(tmp_path / "in"), 4)
+    assert seen.value == 100
+
+
 def test_source_state_takes_rows_in_any_order():
     """One event at a time, without a table for each source."""
     from types import SimpleNamespace
