@@ -11,6 +11,7 @@ them in any order, and a lost task costs its own segments.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from array import array
@@ -36,6 +37,8 @@ PERCENTILES = (50, 75, 90, 95, 98, 100)
 #: Bytes of an exception: its place in the block and its residual.
 EXCEPTION = 5
 
+#: Units that are given to the library as one text, and what they are.
+TOGETHER, WORD = 64, re.compile(r" ?\S+")
 #: Units of texts that a worker keeps encoded: the library takes longer for one than the memory of it is worth.
 MEMO = 1_000_000
 
@@ -117,7 +120,29 @@ def _encoder(path: str, pattern: str, plain: bool):
     def encode(new: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast(new, add_special_tokens=False)]
 
-    by_units = Units(encode, MEMO) if pattern == AT_SPACES else encode
+    line = tokenizer.encode("\n", add_special_tokens=False).ids
+
+    def by_lines(new: list[str]) -> list[bytes]:
+        """encode() of units, many to a text: a line break between units without white space of their own is a match of
+        the pattern by itself, and one id that nothing else gives."""
+        fits = [k for k, u in enumerate(new) if WORD.fullmatch(u)]
+        groups = [fits[k : k + TOGETHER] for k in range(0, len(fits), TOGETHER)]
+        out: list[bytes | None] = [None] * len(new)
+        for group, e in zip(groups, tokenizer.encode_batch_fast(["\n".join([new[k] for k in g]) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, dtype="<u4")
+            ends = [*np.flatnonzero(ids == line[0]).tolist(), len(ids)]
+            if len(ends) != len(group):
+                raise ValueError("the tokenizer doesn't split texts by the given pattern")
+            packed, start = ids.tobytes(), 0
+            for k, end in zip(group, ends):
+                out[k] = packed[4 * start : 4 * end]
+                start = end + 1
+        rest = [k for k, x in enumerate(out) if x is None]
+        for k, x in zip(rest, encode([new[k] for k in rest])):
+            out[k] = x
+        return out
+
+    by_units = Units(by_lines if len(line) == 1 and tokenizer.normalizer is None else encode, MEMO) if pattern == AT_SPACES else encode
 
     def run(texts: list[str]) -> list[bytes]:
         whole = [any(a in t for a in added) for t in texts]

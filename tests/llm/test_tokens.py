@@ -122,3 +122,14 @@ def test_repeated_and_null_ids(spark):
     rows = spark.createDataFrame([(5, "b"), (5, "b"), (None, "a"), (None, None)], "doc_id long, text string")
     got = sorted((r.start, r.n_tokens) for r in tokenfile.read_tokens(spark, tokenfile.write_tokens(rows, JSON, public_tokenizers.PATTERN)).collect())
     assert sum(n for _, n in got) == 7 and len(got) == 4
+
+
+def test_units_are_given_to_the_library_together(monkeypatch):
+    """Units of all kinds, many to a text, have the ids that the library gives each text."""
+    monkeypatch.setattr(tokenfile, "TOGETHER", 3)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rng = np.random.default_rng(7)
+    pieces = ["word", "it's", "12", "Ünïcödé", "漢字", "😀", "a\nb", "\n", "x y", " ", "...", "'", "é", "\x1c", "\t", "", "<|x|>", "_", "a-b", "\r\n"]
+    texts = [" ".join("".join(rng.choice(pieces, rng.integers(1, 4))) for _ in range(rng.integers(40))) for _ in range(400)]
+    run, plain = tokenfile._encoder(path, bpe.AT_SPACES, False), Tokenizer.from_file(path)
+    assert [np.frombuffer(x, "<u4").tolist() for x in run(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
