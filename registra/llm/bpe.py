@@ -25,9 +25,9 @@ from pyspark.sql import DataFrame
 
 from registra.llm.common import in_slices
 
-#: Pieces, and units of texts, that a worker keeps encoded; beyond it the memo is emptied. A bound on memory only: results don't depend on it.
-MEMO, UNITS = 400_000, 700_000
-#: Longer units aren't kept.
+#: Pieces, and units of texts, that a task keeps encoded; beyond it the memo is emptied. A bound on memory only: results don't depend on it.
+MEMO, UNITS = 100_000, 200_000
+#: Longer pieces and units aren't kept.
 LONGEST = 64
 #: Cells of the arrays of trees that are updated together.
 CELLS = 500_000
@@ -233,10 +233,14 @@ class Units:
         found = list(map(self.memo.get, keys))
         if None in found:
             at = [k for k, x in enumerate(found) if x is None]
-            for k, x in zip(at, self.encode([keys[k] for k in at])):
+            new = [keys[k] for k in at]
+            made = self.encode(new)
+            for k, x in zip(at, made):
                 found[k] = x
-                if len(keys[k]) <= LONGEST:
-                    self.memo[keys[k]] = x
+            self.memo.update(zip(new, made))
+            for u in new:
+                if len(u) > LONGEST:
+                    del self.memo[u]
         return found
 
     def _gathered(self, lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -245,7 +249,9 @@ class Units:
         rest = np.ones(len(words), dtype=bool)
         rest[first] = False
         leading, others = words.take(pa.array(first)).dictionary_encode(), words.filter(pa.array(rest)).dictionary_encode()
-        table = self._packed([*(" " + w for w in others.dictionary.to_pylist()), *leading.dictionary.to_pylist()])
+        spaced = pc.binary_join_element_wise("", others.dictionary, " ")
+        # to_numpy makes the strings at once, to_pylist one by one
+        table = self._packed([w for x in (spaced, leading.dictionary) for w in x.to_numpy(zero_copy_only=False).tolist()])
         sizes = np.fromiter(map(len, table), dtype=np.int64, count=len(table)) // 4
         starts, ids = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(table), dtype="<u4")
         row = np.empty(len(words), dtype=np.int64)
@@ -279,13 +285,17 @@ def piecewise(encode: Callable[[list[str]], list[bytes]], pattern: str, most: in
             memo.clear()
         new = list(set().union(*parts).difference(memo))
         memo.update(zip(new, encode(new)))
-        return [b"".join(map(memo.__getitem__, p)) for p in parts]
+        out = [b"".join(map(memo.__getitem__, p)) for p in parts]
+        for piece in new:
+            if len(piece) > LONGEST:
+                del memo[piece]
+        return out
 
     return run
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str, pattern: str) -> Callable[[list[str]], list[bytes]]:
+    """Encodes lists of texts. Its memos go with it: a worker that waits for its next task holds only the ranks."""
     ranks = ranks_at(path)
     run = piecewise(lambda new: encode_pieces([p.encode("utf-8", "replace") for p in new], ranks), pattern)
     return Units(run) if pattern == AT_SPACES else run

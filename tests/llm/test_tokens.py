@@ -2,9 +2,11 @@
 
 import base64
 import hashlib
+import weakref
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -133,3 +135,20 @@ def test_units_are_given_to_the_library_together(monkeypatch):
     texts = [" ".join("".join(rng.choice(pieces, rng.integers(1, 4))) for _ in range(rng.integers(40))) for _ in range(400)]
     run, plain = tokenfile._encoder(path, bpe.AT_SPACES, False), Tokenizer.from_file(path)
     assert [np.frombuffer(x, "<u4").tolist() for x in run(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_encoders_end_with_their_task():
+    """A worker that waits for its next task holds no pieces or units of the ones before, and no long pieces ever."""
+    encode = bpe.encoder(RANKS, public_tokenizers.PATTERN)
+    encode(["some words"])
+    assert encode.memo
+    held = weakref.ref(encode)
+    del encode
+    assert held() is None
+    assert not bpe.encoder(RANKS, public_tokenizers.PATTERN).memo
+    given = []
+    run = bpe.piecewise(lambda new: given.extend(new) or [p.encode() for p in new], public_tokenizers.PATTERN)
+    long = "x" * (bpe.LONGEST + 1)
+    assert run([long, "y " + long]) == [long.encode(), b"y " + long.encode()]
+    assert run([long, "y"]) == [long.encode(), b"y"]
+    assert given.count(long) == 2 and given.count("y") == 1
