@@ -41,6 +41,8 @@ EXCEPTION = 5
 TOGETHER, WORD = 64, re.compile(r" ?\S+")
 #: Units of texts that a worker keeps encoded: the library takes longer for one than the memory of it is worth.
 MEMO = 1_000_000
+#: Bytes and rows of texts that are encoded together: a unit is looked up once for each slice that has it.
+SLICE, ROWS = 8_000_000, 4_000
 
 FILE = "shard int, segment int, first long, doc_ids array<long>, sizes array<int>, minima array<int>, widths array<tinyint>, starts array<int>, packed binary, exceptions array<tinyint>, places binary, residuals binary"
 
@@ -160,7 +162,7 @@ def _segments(batches: Iterator[pa.RecordBatch], path: str, pattern: str, end_id
     def segment():
         return {"shard": shard, "segment": k, "first": first, "doc_ids": ids, "sizes": sizes} | pack(np.frombuffer(b"".join(parts), dtype="<u4"))
 
-    for batch in in_slices(batches, "text"):
+    for batch in in_slices(batches, "text", SLICE, ROWS):
         texts = [t or "" for t in batch.column("text").to_pylist()]
         for i, packed in zip(batch.column("id").to_pylist(), encode(texts)):
             ids.append(i)

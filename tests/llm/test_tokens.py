@@ -152,3 +152,13 @@ def test_encoders_end_with_their_task():
     assert run([long, "y " + long]) == [long.encode(), b"y " + long.encode()]
     assert run([long, "y"]) == [long.encode(), b"y"]
     assert given.count(long) == 2 and given.count("y") == 1
+
+
+def test_slices_of_the_token_file(monkeypatch):
+    """Units are looked up once for each 4,000 rows, not for each 2,000."""
+    given = []
+    monkeypatch.setattr(tokenfile, "_encoder", lambda *_: lambda texts: given.append(len(texts)) or [b"\1\0\0\0"] * len(texts))
+    monkeypatch.setattr(tokenfile.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 3})())
+    rows = pa.RecordBatch.from_pydict({"id": list(range(5000)), "text": ["a"] * 5000})
+    (segment,) = tokenfile._segments(iter([rows]), JSON, public_tokenizers.PATTERN, 0, False)
+    assert given == [4000, 1000] and segment["doc_ids"] == list(range(5000)) and segment["sizes"] == [2] * 5000
