@@ -7,7 +7,9 @@ and then one small commit that names, for each bucket of each table, the batch t
 into place, so all tables change together or not at all: a batch that is lost before has written folders that no commit
 names, and is run again; one that is run again after does nothing.
 
-The lists of buckets that pass through the driver have at most as many entries as a table has buckets."""
+The lists of buckets that pass through the driver have at most as many entries as a table has buckets. What a batch reads
+several times is written beside the tables until the batch ends (`work/batch=<batch>`), not held in executors' memory.
+"""
 
 from __future__ import annotations
 
@@ -17,13 +19,17 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import NullType, StructType
 
 from registra.operators import aggs, merges
 
 BUCKET = "bucket"
 #: Tasks that write a bucket.
 TASKS = 2
+#: Bytes of a row group. A writer holds one in memory that Spark doesn't count; Parquet's own size is four times this.
+ROW_GROUP = 32 << 20
+#: Place of a row in its batch.
+ROW = "__row"
 
 
 def bucket_of(keys: list[str], buckets: int) -> Column:
@@ -105,7 +111,7 @@ def commit(spark: SparkSession, before: Snapshot, batch: int, changes: dict[str,
         # each bucket is dealt evenly to TASKS tasks: a hash of the few buckets would put several into one
         place = F.array_position(F.array(*map(F.lit, changed)), F.col(BUCKET)) - 1
         share = F.pmod(F.xxhash64(*before.keys(table), F.lit(1)), F.lit(TASKS))
-        own.repartitionById(len(changed) * TASKS, (place * TASKS + share).cast("int")).write.mode("overwrite").partitionBy(BUCKET).parquet(at)
+        own.repartitionById(len(changed) * TASKS, (place * TASKS + share).cast("int")).write.mode("overwrite").option("parquet.block.size", ROW_GROUP).partitionBy(BUCKET).parquet(at)
         fs, _ = _fs(spark, at)
         for k in changed:
             if fs.exists(_fs(spark, f"{at}/{BUCKET}={k}")[1]):
@@ -132,6 +138,18 @@ def _forget(spark: SparkSession, path: str, keep: int) -> None:
         fs.delete(at, True)
 
 
+def _kept(rows: DataFrame, at: str) -> DataFrame:
+    """rows as a table at a path, computed once."""
+    rows.write.mode("overwrite").option("parquet.block.size", ROW_GROUP).parquet(at)
+    return rows.sparkSession.read.schema(rows.schema).parquet(at)
+
+
+def _typed(rows: DataFrame, now: Snapshot) -> DataFrame:
+    """rows with the tables' types for columns that hold nothing but untyped nulls: files have no such type."""
+    types = {f.name: f.dataType for x in now.tables.values() for f in StructType.fromJson(x["schema"])}
+    return rows.withColumns({f.name: F.col(f.name).cast(types.get(f.name, "string")) for f in rows.schema if isinstance(f.dataType, NullType)})
+
+
 def buckets_in(rows: DataFrame, keys: list[str], buckets: int) -> list[int]:
     return sorted(r[0] for r in rows.select(bucket_of(keys, buckets)).distinct().collect())
 
@@ -150,19 +168,18 @@ def create_items(spark: SparkSession, path: str, schema: StructType, buckets: in
 
 @dataclass
 class Change:
-    """What a batch did: the rows of the read buckets before and after, an action for each incoming id, what both
-    are read from (persisted), and the changed buckets."""
+    """What a batch did: the rows of the read buckets before and after, an action for each incoming id, and the changed
+    buckets."""
 
     before: DataFrame
     after: DataFrame
     actions: DataFrame
-    held: DataFrame
     changed: dict[str, list[int]]
 
 
-def changed_items(spark: SparkSession, now: Snapshot, batch: DataFrame, publish: bool = False, on_url_conflict: str = "skip") -> tuple[Change, dict[str, tuple[DataFrame, list[int]]]]:
-    """merge_documents of a batch against the buckets of its keys and of the rows that hold its URLs; nothing is written.
-    Gives the change, and what commit() takes."""
+def changed_items(spark: SparkSession, now: Snapshot, batch: DataFrame, at: str, publish: bool = False, on_url_conflict: str = "skip") -> tuple[Change, dict[str, tuple[DataFrame, list[int]]]]:
+    """merge_documents of a batch against the buckets of its keys and of the rows that hold its URLs. Only the merge
+    itself is written, at a path of the caller's. Gives the change, and what commit() takes."""
     n, key = now.buckets, merges.ITEM_KEY
     with_url = batch.where("source_url is not null")
     at_url = buckets_in(with_url, ["source_url"], n)
@@ -171,7 +188,7 @@ def changed_items(spark: SparkSession, now: Snapshot, batch: DataFrame, publish:
     at_key = buckets_in(batch, key, n)
     at_owner = buckets_in(owners, key, n)
     before = now.read(spark, ITEMS, sorted({*at_key, *at_owner}))
-    merged = merges.merged_documents(before, batch.select(*before.columns), publish, on_url_conflict).persist()  # read for the buckets, both tables, and by the caller
+    merged = _kept(merges.merged_documents(before, batch.select(*before.columns), publish, on_url_conflict), at)  # read for the buckets, both tables, and by the caller
     after, actions = merged.where("row is not null").select("row.*"), merged.where("action is not null").select("id", "action")
     acted = batch.join(actions.where("action <> 'skipped'").select("id"), "id", "left_semi")
     changed = buckets_in(acted, key, n)
@@ -179,30 +196,31 @@ def changed_items(spark: SparkSession, now: Snapshot, batch: DataFrame, publish:
         changed = sorted({*changed, *buckets_in(owners.join(acted.select("source_url"), "source_url", "left_semi"), key, n)})
     old = urls.join(before.where("source_url is not null").select(*ADDRESS), ADDRESS, "left_anti")
     new = old.unionByName(after.where("source_url is not null").select(*ADDRESS)).distinct()
-    change = Change(before, after, actions, merged, {ITEMS: changed, ADDRESSES: buckets_in(acted.where("source_url is not null"), ["source_url"], n)})
+    change = Change(before, after, actions, {ITEMS: changed, ADDRESSES: buckets_in(acted.where("source_url is not null"), ["source_url"], n)})
     return change, {ITEMS: (after, change.changed[ITEMS]), ADDRESSES: (new, change.changed[ADDRESSES])}
 
 
 def ingest(path: str, publish: bool = False, on_url_conflict: str = "skip", each: Callable[[DataFrame, int, Snapshot, Change], dict[str, tuple[DataFrame, list[int]]]] | None = None) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function over tables of create_items(): a batch costs its own keys' and URLs' buckets, whatever the
-    tables hold. The actions are written under path/actions; the job that writes them counts them for the commit. each: (batch, batch_id, snapshot, change) to changes of more tables of the set, which take effect with
-    the items."""
+    tables hold. The actions are written under path/actions; the job that writes them counts them for the commit. each: (batch with the place of its rows as `ROW`, batch_id, snapshot, change) to changes of more tables of the set,
+    which take effect with the items."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         now = snapshot(spark, path)
         if now.batch >= batch_id:
             return
-        batch = batch.persist()
+        work = f"{path}/work/batch={batch_id}"
         try:
-            change, changes = changed_items(spark, now, batch, publish, on_url_conflict)
+            batch = _kept(_typed(batch, now).withColumn(ROW, F.monotonically_increasing_id()), f"{work}/rows")
+            change, changes = changed_items(spark, now, batch, f"{work}/merged", publish, on_url_conflict)
             more = each(batch, batch_id, now, change) if each else {}
             actions, counts = aggs.observed_actions(change.actions)
             actions.write.mode("overwrite").parquet(f"{path}/actions/batch={batch_id}")
             commit(spark, now, batch_id, changes | more, counters=counts.get)
-            change.held.unpersist()
         finally:
-            batch.unpersist()
+            fs, at = _fs(spark, work)
+            fs.delete(at, True)
 
     return run
 
@@ -230,9 +248,10 @@ def register(path: str, fresh_scores: Callable[[DataFrame, Snapshot, Change], Da
         spark = batch.sparkSession
         fields = [c for c in now.read(spark, "records", []).columns if c != "item_id"]
         of = change.after.select(*merges.ITEM_KEY, F.col("id").alias("item_id"))
-        out = {"records": upserted(spark, now, "records", batch.select(*merges.ITEM_KEY, *[c for c in fields if c not in merges.ITEM_KEY]).join(of, merges.ITEM_KEY).select("item_id", *fields))}
+        own = batch.select(*merges.ITEM_KEY, *[c for c in fields if c not in merges.ITEM_KEY], ROW).join(of, merges.ITEM_KEY).select("item_id", *fields, ROW)
+        out = {"records": upserted(spark, now, "records", own, lambda target, rows: merges.upsert(target, rows, ["item_id"], [ROW]))}
         if fresh_scores:
-            out["scores"] = upserted(spark, now, "scores", fresh_scores(batch, now, change), merges.upsert_scores)
+            out["scores"] = upserted(spark, now, "scores", fresh_scores(batch.drop(ROW), now, change), merges.upsert_scores)
         return out
 
     return ingest(path, publish, on_url_conflict, each)

@@ -4,6 +4,7 @@ import random
 import re
 from collections import defaultdict
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,6 +106,53 @@ def test_tables_of_a_batch_change_together(spark, tmp_path, monkeypatch):
     assert rows_of(now.read(spark, "scores")) == ["Row(municipality_id=1, ind1_auto=2, ind1_final=2, ind1_overridden=False)"]
 
 
+def test_a_batch_is_not_held_in_memory(spark, tmp_path):
+    """What a batch reads again comes from files, also for more tables, and the files go with the batch, done or lost."""
+    path, seen = tmp_path / "t", []
+    buckets.create_items(spark, str(path), docs(spark, []).schema, 4)
+
+    def each(batch, batch_id, now, change):
+        seen.append([df._jdf.queryExecution().executedPlan().toString() for df in (batch, change.after, change.actions)])
+        if len(seen) == 2:
+            raise RuntimeError("lost")
+        return {}
+
+    run = buckets.ingest(str(path), each=each)
+    untyped = docs(spark, [(1, "k1", "a", "u1"), (2, "k2", "b", None)]).withColumns({"published_date": F.lit(None), "more": F.lit(None)})
+    run(untyped, 0)
+    with pytest.raises(RuntimeError):
+        run(docs(spark, [(3, "k3", "c", "u3")]), 1)
+    assert len(seen) == 2 and not [p for plans in seen for p in plans if "InMemoryTableScan" in p]
+    assert [p for p in path.rglob("*.parquet") if "work" in p.parts] == []
+    assert buckets.snapshot(spark, str(path)).read(spark, buckets.ITEMS).count() == 2
+
+
+def test_writers_of_large_buckets_hold_small_row_groups(spark, tmp_path, monkeypatch):
+    """A writer's memory is one row group, whatever a bucket holds."""
+    monkeypatch.setattr(buckets, "ROW_GROUP", 1 << 18, raising=False)
+    path = tmp_path / "t"
+    buckets.create_items(spark, str(path), docs(spark, []).schema, 1)
+    rows = spark.range(40_000).selectExpr("id", "1L as municipality_id", "'c' as category", "sha2(string(id), 256) as title", "cast(null as date) as published_date", "sha2(string(-id), 256) as source_url", "'o' as source_origin", "string(id) as dedup_key", "'draft' as status")
+    buckets.ingest(str(path))(rows, 0)
+    files = [pq.ParquetFile(p).metadata for p in path.glob("data/items/v=0/bucket=*/*.parquet")]
+    assert sum(f.num_rows for f in files) == 40_000
+    assert max(f.row_group(k).total_byte_size for f in files for k in range(f.num_row_groups)) < 1 << 19
+
+
+def test_the_last_record_of_a_key_wins_in_shuffled_joins(spark, tmp_path):
+    path, n = str(tmp_path / "t"), 3000
+    buckets.create_register(spark, path, docs(spark, []).schema, spark.createDataFrame([], RECORDS).schema, spark.createDataFrame([], SCORES).schema, 4)
+    rows = spark.range(0, n, 1, 7).selectExpr("id", "1L as municipality_id", "'c' as category", "'t' as title", "cast(null as date) as published_date", "cast(null as string) as source_url", "'o' as source_origin", "string(id % 5) as dedup_key", "'draft' as status", "int(id) as amount_value")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        buckets.register(path)(rows, 0)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    found = buckets.snapshot(spark, path).read(spark, "records").collect()
+    assert sorted(map(tuple, found)) == [(k, n - 5 + k) for k in range(5)]
+
+
 def test_old_buckets_go(spark, tmp_path):
     path = tmp_path / "t"
     buckets.create_items(spark, str(path), docs(spark, []).schema, 4)
